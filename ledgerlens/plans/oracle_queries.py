@@ -181,3 +181,101 @@ FROM (SELECT v FROM agg ORDER BY v DESC, k ASC NULLS FIRST LIMIT 3) s, tot GROUP
                          share_ctes("items", "item_name", "total_value"))
 
 ORACLE["top_products"] = top_n_sql("items", "item_name", "total_value", 10, "item_name", "total_value", False)
+
+
+# ------------------------------------------------------------ column expressions
+
+def TRIMX(x: str) -> str:
+    return TRIM.format(x)
+
+
+def LENIENT(x: str) -> str:
+    return (f"TRY_CAST(NULLIF(NULLIF(regexp_replace(replace({x}, ',', ''), '[^0-9.\\-]', '', 'g'), ''), '-') AS DOUBLE)")
+
+
+def DAYFIRST(x: str) -> str:
+    fmts = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y", "%d-%m-%Y", "%d-%b-%Y", "%d-%b-%y"]
+    return "coalesce(" + ", ".join(f"try_strptime({x}, '{f}')" for f in fmts) + ")"
+
+
+def TEXTKEY(x: str) -> str:
+    s = f"regexp_replace(lower({TRIMX(x)}), '[\\s\\p{{Z}}]+', ' ', 'g')"
+    return f"CASE WHEN {s} IN ('', 'nan', 'none') THEN NULL ELSE {s} END"
+
+
+def PRODKEY(x: str) -> str:
+    s = f"regexp_replace(regexp_replace(lower({TRIMX(x)}), '[^a-z0-9]+', ' ', 'g'), '^ +| +$', '', 'g')"
+    return f"NULLIF({s}, '')"
+
+
+ORACLE["trim_text"] = W(["sales_raw"], f"""SELECT _row_id AS key, {TRIMX('"Particulars"')} AS result FROM sales_raw""")
+ORACLE["lenient_number"] = W(["sales_raw"], f"""SELECT _row_id AS key, {LENIENT('"Gross Total"')} AS result FROM sales_raw""")
+ORACLE["date_parse"] = W(["sales_raw"], f"""SELECT _row_id AS key, {DAYFIRST('"Date"')} AS result FROM sales_raw""")
+ORACLE["time_features"] = W(["sales_raw"], """SELECT key, CAST(year(t) AS INTEGER) AS year, CAST(month(t) AS INTEGER) AS month,
+  strftime(t, '%Y-%m') AS year_month FROM tf""", (f"""tf AS (SELECT _row_id AS key, {DAYFIRST('"Date"')} AS t FROM sales_raw)""",))
+ORACLE["text_key"] = W(["sales_raw"], f"""SELECT _row_id AS key, {TEXTKEY('"Particulars"')} AS result FROM sales_raw""")
+ORACLE["product_key"] = W(["catalog"], f"""SELECT _row_id AS key, {PRODKEY('name_of_item')} AS result FROM catalog""")
+
+# ------------------------------------------------------------ cleaning composites
+
+_RAW_COLS = [("Date", "date"), ("Particulars", "particulars"), ("Voucher Type", "voucher_type"),
+             ("Voucher No", "voucher_no"), ("GSTIN/UIN", "gstin_uin"), ("Gross Total", "gross_total"), ("Sales", "sales")]
+
+CLEAN_CTES = (
+    "cn AS (SELECT _row_id, " + ", ".join(f'{TRIMX(chr(34) + a + chr(34))} AS {b}' for a, b in _RAW_COLS) + " FROM sales_raw)",
+    f"""cp AS (SELECT _row_id, {DAYFIRST('date')} AS date, particulars, voucher_type, {LENIENT('voucher_no')} AS voucher_no,
+      gstin_uin, {LENIENT('gross_total')} AS gross_total, {LENIENT('sales')} AS sales FROM cn)""",
+    "ck AS (SELECT * FROM cp WHERE date IS NOT NULL AND gross_total IS NOT NULL)",
+    """cmed AS (SELECT quantile_cont(voucher_no, 0.5) AS m1, quantile_cont(gross_total, 0.5) AS m2,
+      quantile_cont(sales, 0.5) AS m3 FROM ck)""",
+    """cs AS (SELECT _row_id, date, coalesce(particulars, 'Unknown Customer') AS particulars,
+      coalesce(voucher_type, 'Unknown') AS voucher_type, coalesce(voucher_no, m1) AS voucher_no,
+      coalesce(gstin_uin, 'Unknown') AS gstin_uin, coalesce(gross_total, m2) AS gross_total,
+      coalesce(sales, m3) AS sales, CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month,
+      strftime(date, '%Y-%m') AS year_month FROM ck, cmed)""",
+)
+
+MASTER_CTES = (
+    f"""cm AS (SELECT _row_id, {TRIMX('"Customer Name"')} AS customer_name, {TRIMX('"Segment"')} AS segment,
+      {LENIENT(TRIMX('"Nation Code"'))} AS nation_code, {LENIENT(TRIMX('"Credit Limit"'))} AS credit_limit FROM master)""",
+    f"""dd AS (SELECT _join_key, _row_id, customer_name, segment, nation_code, credit_limit FROM (
+      SELECT *, row_number() OVER (PARTITION BY _join_key ORDER BY _row_id) AS rn
+      FROM (SELECT *, {TEXTKEY('customer_name')} AS _join_key FROM cm) a) b
+      WHERE _join_key IS NOT NULL AND rn = 1)""",
+)
+
+INTEG_CTES = CLEAN_CTES + MASTER_CTES + (
+    f"""integ AS (SELECT cs.*, dd._row_id AS _row_id_master, dd.customer_name, dd.segment, dd.nation_code,
+      dd.credit_limit, CASE WHEN dd._join_key IS NULL THEN 'missing_in_master' ELSE 'matched' END AS _merge_status
+      FROM cs LEFT JOIN dd ON {TEXTKEY('cs.particulars')} = dd._join_key)""",)
+
+ORACLE["numeric_ratio"] = W(["sales_raw"], " UNION ALL ".join(
+    f"""SELECT '{b}' AS "column", round(CAST(count(*) FILTER (WHERE {LENIENT(TRIMX(chr(34) + a + chr(34)))} IS NOT NULL) AS DOUBLE)
+    / count(*), 6) AS ratio FROM sales_raw""" for a, b in _RAW_COLS))
+
+ORACLE["numeric_promote"] = W(["sales_raw"], f"""SELECT _row_id, {LENIENT(TRIMX('"Voucher No"'))} AS voucher_no,
+  {LENIENT(TRIMX('"Gross Total"'))} AS gross_total, {LENIENT(TRIMX('"Sales"'))} AS sales FROM sales_raw""")
+
+ORACLE["clean_stats"] = W(["sales_raw"], """SELECT count(*) FILTER (WHERE date IS NULL OR gross_total IS NULL) AS dropped,
+  count(*) FILTER (WHERE NOT (date IS NULL OR gross_total IS NULL) AND particulars IS NULL) AS filled,
+  count(*) FILTER (WHERE NOT (date IS NULL OR gross_total IS NULL)) AS kept FROM cp""", CLEAN_CTES[:2])
+
+ORACLE["median_impute"] = W(["sales_raw"], "SELECT _row_id AS key, sales AS amount FROM cs", CLEAN_CTES)
+ORACLE["clean_sales"] = W(["sales_raw"], "SELECT * FROM cs", CLEAN_CTES)
+ORACLE["clean_reference"] = W(["master"], "SELECT * FROM cm", MASTER_CTES[:1])
+ORACLE["dedupe_first"] = W(["master"], "SELECT * FROM dd", MASTER_CTES)
+ORACLE["integrate"] = W(["sales_raw", "master"], "SELECT * FROM integ", INTEG_CTES)
+ORACLE["integrate_summary"] = W(["sales_raw", "master"], f"""SELECT 'customer' AS join_key_used,
+  'particulars' AS join_key_daybook, 'customer_name' AS join_key_master,
+  count(*) AS total_rows, count(*) FILTER (WHERE _merge_status = 'matched') AS matched_rows,
+  count(*) FILTER (WHERE _merge_status <> 'matched') AS unmatched_rows,
+  CASE WHEN count(*) = 0 THEN {D0} ELSE round(CAST(count(*) FILTER (WHERE _merge_status = 'matched') AS DOUBLE) / count(*) * 100, 6) END AS match_rate_pct,
+  CASE WHEN count(*) = 0 THEN {D0} ELSE round(CAST(count(*) FILTER (WHERE _merge_status <> 'matched') AS DOUBLE) / count(*) * 100, 6) END AS unmatched_rate_pct,
+  (SELECT count(*) FROM cm) - (SELECT count(DISTINCT _join_key) FROM (SELECT {TEXTKEY('customer_name')} AS _join_key FROM cm) x) AS master_duplicate_rows_removed,
+  (SELECT count(*) FILTER (WHERE {TEXTKEY('particulars')} IS NULL) FROM cs) AS daybook_rows_missing_join_key
+FROM integ""", INTEG_CTES)
+ORACLE["sales_base"] = W(["sales_raw", "master"], f"""SELECT _row_id, date AS _date, CAST(year(date) AS INTEGER) AS _year,
+  strftime(date, '%Y-%m') AS _month, gross_total AS _revenue,
+  {TRIMX("coalesce(particulars, 'Unknown Customer')")} AS _customer,
+  {TEXTKEY(TRIMX("coalesce(particulars, 'Unknown Customer')"))} AS _customer_norm, _merge_status
+FROM integ WHERE date IS NOT NULL AND gross_total IS NOT NULL""", INTEG_CTES)

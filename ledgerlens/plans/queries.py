@@ -177,3 +177,118 @@ def q_top3_share(spark, d):
 @query
 def q_top_products(spark, d):
     return par.top_n(fx.items(spark, d), "item_name", "total_value", 10, out_value="total_value", with_pct=False)
+
+
+# ------------------------------------------------------------ column expressions
+
+from ledgerlens.functions.dates import parse_dayfirst, month_label  # noqa: E402
+from ledgerlens.functions.numbers import lenient_number  # noqa: E402
+from ledgerlens.functions.text import product_key, text_key, trim_text  # noqa: E402
+from ledgerlens.operators import clean as cl  # noqa: E402
+from ledgerlens.operators import integrate as ig  # noqa: E402
+
+
+@query
+def q_trim_text(spark, d):
+    return fx.sales_raw(spark, d).select(F.col("_row_id").alias("key"), trim_text("Particulars").alias("result"))
+
+
+@query
+def q_lenient_number(spark, d):
+    return fx.sales_raw(spark, d).select(F.col("_row_id").alias("key"), lenient_number("Gross Total").alias("result"))
+
+
+@query
+def q_date_parse(spark, d):
+    return fx.sales_raw(spark, d).select(F.col("_row_id").alias("key"), parse_dayfirst("Date").alias("result"))
+
+
+@query
+def q_time_features(spark, d):
+    t = fx.sales_raw(spark, d).select(F.col("_row_id").alias("key"), parse_dayfirst("Date").alias("t"))
+    return t.select("key", F.year("t").alias("year"), F.month("t").alias("month"), month_label("t").alias("year_month"))
+
+
+@query
+def q_text_key(spark, d):
+    return fx.sales_raw(spark, d).select(F.col("_row_id").alias("key"), text_key("Particulars").alias("result"))
+
+
+@query
+def q_product_key(spark, d):
+    return fx.catalog(spark, d).select(F.col("_row_id").alias("key"), product_key("name_of_item").alias("result"))
+
+
+# ------------------------------------------------------------ cleaning composites
+
+def _cleaned(spark, d):
+    return cl.clean_sales(fx.sales_raw(spark, d))
+
+
+def _master(spark, d):
+    return cl.clean_reference(fx.master(spark, d))[0]
+
+
+@query
+def q_numeric_ratio(spark, d):
+    return cl.numeric_ratios(cl.prepare(fx.sales_raw(spark, d)))
+
+
+@query
+def q_numeric_promote(spark, d):
+    df = cl.prepare(fx.sales_raw(spark, d))
+    from ledgerlens.operators import roles as R
+    protect = tuple(c for c in (R.date_role(df.columns), R.customer_role(df.columns), R.gstin_role(df.columns)) if c)
+    out, promoted = cl.promote_numeric(df, protect=protect)
+    return out.select("_row_id", *promoted)
+
+
+@query
+def q_clean_stats(spark, d):
+    return _cleaned(spark, d).stats.select(
+        F.col("rows_dropped_missing_date_or_revenue").alias("dropped"),
+        F.col("missing_customers_filled").alias("filled"),
+        F.col("records_after_cleaning").alias("kept"))
+
+
+@query
+def q_median_impute(spark, d):
+    return _cleaned(spark, d).dataframe.select(F.col("_row_id").alias("key"), F.col("sales").alias("amount"))
+
+
+@query
+def q_clean_sales(spark, d):
+    return _cleaned(spark, d).dataframe
+
+
+@query
+def q_clean_reference(spark, d):
+    return _master(spark, d)
+
+
+@query
+def q_dedupe_first(spark, d):
+    m = _master(spark, d)
+    return ig.dedupe_first(m.withColumn(ig.KEY, text_key("customer_name")), ig.KEY)
+
+
+def _integrated(spark, d):
+    return ig.integrate_sales_and_master(_cleaned(spark, d), _master(spark, d))
+
+
+@query
+def q_integrate(spark, d):
+    return _integrated(spark, d)[0]
+
+
+@query
+def q_integrate_summary(spark, d):
+    return _integrated(spark, d)[1]
+
+
+@query
+def q_sales_base(spark, d):
+    cs = _cleaned(spark, d)
+    merged, _ = ig.integrate_sales_and_master(cs, _master(spark, d))
+    base = cl.sales_base(merged, cs.date_column, cs.revenue_column, cs.customer_column)
+    return base.select("_row_id", "_date", "_year", "_month", "_revenue", "_customer", "_customer_norm", "_merge_status")
