@@ -279,3 +279,135 @@ ORACLE["sales_base"] = W(["sales_raw", "master"], f"""SELECT _row_id, date AS _d
   {TRIMX("coalesce(particulars, 'Unknown Customer')")} AS _customer,
   {TEXTKEY(TRIMX("coalesce(particulars, 'Unknown Customer')"))} AS _customer_norm, _merge_status
 FROM integ WHERE date IS NOT NULL AND gross_total IS NOT NULL""", INTEG_CTES)
+
+
+# ------------------------------------------------------------ catalog & roles by data
+
+def XDEC(x: str) -> str:
+    return f"CAST(CAST({x} AS DOUBLE) AS DECIMAL(38,6))"
+
+
+CAT_CTE = (f"""cat AS (SELECT key, product, category FROM (
+  SELECT {PRODKEY('name_of_item')} AS key, {TRIMX('name_of_item')} AS product,
+         coalesce({TRIMX('under')}, 'Uncategorized') AS category,
+         row_number() OVER (PARTITION BY {PRODKEY('name_of_item')} ORDER BY _row_id) AS rn FROM catalog) t
+  WHERE key IS NOT NULL AND rn = 1)""",)
+
+_P = TRIMX("coalesce(c.product, coalesce(" + TRIMX("i.item_name") + ", 'Unknown Product'))")
+_C = TRIMX("coalesce(c.category, 'Uncategorized')")
+ENRICH_CTES = CAT_CTE + (f"""enr AS (SELECT i.*, CASE WHEN {_P} = '' THEN 'Unknown Product' ELSE {_P} END AS _product,
+  CASE WHEN {_C} = '' THEN 'Uncategorized' ELSE {_C} END AS _category, i.total_value AS _revenue
+  FROM items i LEFT JOIN cat c ON {PRODKEY('i.item_name')} = c.key)""",)
+
+ORACLE["catalog"] = W(["catalog"], "SELECT * FROM cat", CAT_CTE)
+ORACLE["enrich"] = W(["items", "catalog"], "SELECT _row_id, item_name, total_value, _product, _category FROM enr", ENRICH_CTES)
+_PTOP = "pt AS (SELECT _product AS product, SUM(" + XDEC("_revenue") + ") AS v FROM enr GROUP BY _product)"
+ORACLE["product_top"] = W(["items", "catalog"], """SELECT product, CAST(v AS DOUBLE) AS revenue FROM pt
+ORDER BY v DESC, product ASC NULLS FIRST LIMIT 10""", ENRICH_CTES + (_PTOP,))
+ORACLE["product_category"] = W(["items", "catalog"], f"""SELECT _category AS category,
+  CAST(SUM({XDEC('_revenue')}) AS DOUBLE) AS revenue FROM enr GROUP BY _category""", ENRICH_CTES)
+ORACLE["product_contribution"] = W(["items", "catalog"], f"""SELECT product, revenue,
+  CASE WHEN coalesce(t, 0) = 0 THEN {D0} ELSE round(revenue / t * 100, 2) END AS contribution_pct
+FROM (SELECT product, CAST(v AS DOUBLE) AS revenue FROM pt ORDER BY v DESC, product ASC NULLS FIRST LIMIT 10) a,
+     (SELECT CAST(SUM({XDEC('_revenue')}) AS DOUBLE) AS t FROM enr) b""", ENRICH_CTES + (_PTOP,))
+
+_CTOP = (f"""ctop AS (SELECT product, CAST(v AS DOUBLE) AS revenue, 'catalog' AS source, 'rate' AS metric FROM (
+  SELECT {TRIMX('name_of_item')} AS product, SUM({XDEC('coalesce(CAST(rate AS DOUBLE), 0)')}) AS v
+  FROM catalog WHERE {TRIMX('name_of_item')} IS NOT NULL GROUP BY 1) t ORDER BY v DESC, product ASC LIMIT 10)""",)
+ORACLE["catalog_top"] = W(["catalog"], "SELECT * FROM ctop", _CTOP)
+ORACLE["catalog_category"] = W(["catalog"], f"""SELECT category, CAST(SUM(v) AS DOUBLE) AS revenue,
+  'catalog' AS source, 'rate' AS metric FROM (SELECT coalesce({TRIMX('under')}, 'Uncategorized') AS category,
+  {XDEC('coalesce(CAST(rate AS DOUBLE), 0)')} AS v FROM catalog) t GROUP BY category""")
+ORACLE["catalog_contribution"] = W(["catalog"], f"""SELECT product, revenue,
+  CASE WHEN coalesce(s, 0) = 0 THEN {D0} ELSE round(revenue / s * 100, 2) END AS contribution_pct, source, metric
+FROM ctop, (SELECT CAST(SUM({XDEC('revenue')}) AS DOUBLE) AS s FROM ctop) b""", _CTOP)
+
+_ITEM_TEXT = ["invoice_no", "customer", "item_name", "category"]
+ORACLE["role_overlap"] = W(["items", "catalog"], """SELECT col AS "column",
+  CAST(count(DISTINCT CASE WHEN k IN (SELECT key FROM cat) THEN k END) AS BIGINT) AS overlap FROM ("""
+    + " UNION ALL ".join(f"SELECT '{c}' AS col, {PRODKEY(c)} AS k FROM items" for c in _ITEM_TEXT)
+    + ") u GROUP BY col", CAT_CTE)
+ORACLE["role_catalog_value"] = W(["catalog"], " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", round(CAST(count(*) FILTER (WHERE abs(coalesce(CAST({c} AS DOUBLE), 0)) > 0) AS DOUBLE)
+    * 1000000.0 + CAST(coalesce(SUM({XDEC(f'abs(coalesce(CAST({c} AS DOUBLE), 0))')}), 0) AS DOUBLE), 6) AS score FROM catalog"""
+    for c in ["rate", "opening_qty"]))
+ORACLE["role_distinct"] = W(["items"], " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST(count(DISTINCT NULLIF({TRIMX(c)}, '')) AS BIGINT) AS n FROM items"""
+    for c in _ITEM_TEXT))
+
+# ------------------------------------------------------------ item loaders
+
+ITEMS_TEXT_CTE = ("""items_text AS (SELECT _row_id, strftime(date, '%Y-%m-%d') AS "Date", invoice_no AS "Invoice No",
+  customer AS "Customer", item_name AS "Item Name", category AS "Category", CAST(quantity AS VARCHAR) AS "Quantity",
+  CAST(unit_price AS VARCHAR) AS "Unit Price", CAST(total_value AS VARCHAR) AS "Total Value" FROM items)""",)
+
+ORACLE["items_load"] = W(["items"], f"""SELECT * FROM (SELECT try_strptime("Date", '%Y-%m-%d') AS date,
+  coalesce({TRIMX('"Customer"')}, 'Unknown Customer') AS customer,
+  coalesce({TRIMX('"Item Name"')}, 'Unknown Item') AS item_name,
+  coalesce({TRIMX('"Category"')}, 'Uncategorized') AS category,
+  TRY_CAST("Quantity" AS DOUBLE) AS quantity, TRY_CAST("Unit Price" AS DOUBLE) AS unit_price,
+  TRY_CAST("Total Value" AS DOUBLE) AS total_value FROM items_text) t
+WHERE date IS NOT NULL AND total_value IS NOT NULL""", ITEMS_TEXT_CTE)
+
+_LC = TRIMX("""coalesce("Customer", 'Unknown Customer')""")
+_LI = TRIMX("""coalesce("Item Name", 'Unknown Product')""")
+ORACLE["items_load_lenient"] = W(["items"], f"""SELECT * FROM (SELECT try_strptime("Date", '%Y-%m-%d') AS date,
+  {_LC} AS customer,
+  {_LI} AS item_name,
+  'Uncategorized' AS category,
+  coalesce(TRY_CAST("Quantity" AS DOUBLE), 0) AS quantity, coalesce(TRY_CAST("Unit Price" AS DOUBLE), 0) AS unit_price,
+  coalesce(TRY_CAST("Quantity" AS DOUBLE) * TRY_CAST("Unit Price" AS DOUBLE), 0) AS total_value FROM items_text) t
+WHERE date IS NOT NULL""", ITEMS_TEXT_CTE)
+
+# ------------------------------------------------------------ dashboard slices and facets
+
+from ledgerlens.functions.text import literal_text_key  # noqa: E402
+from ledgerlens.plans import queries as _Q  # noqa: E402
+
+_CUST = literal_text_key(_Q.SLICE_CUSTOMER)
+_PROD = literal_text_key(_Q.SLICE_PRODUCT)
+
+BASE_CTES = (
+    f"""sb AS (SELECT _row_id, date AS _date, CAST(year(date) AS INTEGER) AS _year, strftime(date, '%Y-%m') AS _month,
+      revenue AS _revenue, {TRIMX("coalesce(customer, 'Unknown Customer')")} AS _customer,
+      {TEXTKEY(TRIMX("coalesce(customer, 'Unknown Customer')"))} AS _customer_norm
+      FROM sales WHERE date IS NOT NULL AND revenue IS NOT NULL)""",
+    f"""ib AS (SELECT _row_id, invoice_no, date, {TRIMX("coalesce(customer, 'Unknown Customer')")} AS customer,
+      {TRIMX("coalesce(item_name, 'Unknown Product')")} AS item_name,
+      {TRIMX("coalesce(category, 'Uncategorized')")} AS category, coalesce(quantity, 0) AS quantity,
+      coalesce(unit_price, 0) AS unit_price, coalesce(total_value, 0) AS total_value FROM items WHERE date IS NOT NULL)""",
+    f"""ib2 AS (SELECT *, CAST(year(date) AS INTEGER) AS _year, strftime(date, '%Y-%m') AS _month,
+      {TEXTKEY('customer')} AS _customer_norm, item_name AS _product, {TEXTKEY('item_name')} AS _product_norm FROM ib)""",
+)
+_SB = ", ".join(_Q.SALES_BASE_COLS)
+_IB = ", ".join(_Q.ITEM_BASE_COLS)
+
+ORACLE["sales_slice"] = W(["sales", "items"], f"""SELECT {_SB} FROM sb
+WHERE _year = {_Q.SLICE_YEAR} AND _customer_norm = '{_CUST}'""", BASE_CTES)
+ORACLE["item_slice"] = W(["sales", "items"], f"""SELECT {_IB} FROM ib2
+WHERE _year = {_Q.SLICE_YEAR} AND _product_norm = '{_PROD}'""", BASE_CTES)
+ORACLE["product_scope"] = W(["sales", "items"], f"""SELECT {_SB} FROM sb
+WHERE _customer_norm IN (SELECT _customer_norm FROM ib2 WHERE _product_norm = '{_PROD}')""", BASE_CTES)
+ORACLE["multi_slice"] = W(["sales"], f"""SELECT _row_id, date, customer, revenue FROM sales
+WHERE date IS NOT NULL AND year(date) IN ({", ".join(str(y) for y in _Q.MULTI_YEARS)})
+  AND customer IN ({", ".join("'" + c + "'" for c in _Q.MULTI_CUSTOMERS)}) AND revenue IS NOT NULL""")
+ORACLE["facets"] = W(["sales", "items"], f"""SELECT 'year' AS facet, CAST(_year AS VARCHAR) AS value FROM (
+  SELECT _year FROM sb WHERE _customer_norm IN (SELECT _customer_norm FROM ib2 WHERE _product_norm = '{_PROD}')
+  UNION SELECT _year FROM ib2 WHERE _product_norm = '{_PROD}') y WHERE _year IS NOT NULL
+UNION ALL
+SELECT DISTINCT 'customer', {TRIMX('_customer')} FROM sb WHERE _year = {_Q.SLICE_YEAR}
+  AND _customer_norm IN (SELECT _customer_norm FROM ib2 WHERE _year = {_Q.SLICE_YEAR} AND _product_norm = '{_PROD}')
+  AND {TRIMX('_customer')} IS NOT NULL AND {TRIMX('_customer')} <> ''
+UNION ALL
+SELECT DISTINCT 'product', {TRIMX('_product')} FROM ib2 WHERE _year = {_Q.SLICE_YEAR}
+  AND {TRIMX('_product')} IS NOT NULL AND {TRIMX('_product')} <> ''""", BASE_CTES)
+ORACLE["report_options"] = W(["sales"], f"""SELECT DISTINCT 'year' AS facet, CAST(year(date) AS VARCHAR) AS value
+FROM sales WHERE date IS NOT NULL
+UNION ALL
+SELECT DISTINCT 'customer', customer FROM sales WHERE date IS NOT NULL AND customer IS NOT NULL AND {TRIMX('customer')} <> ''""")
+ORACLE["kpis"] = W(["sales", "items"], f"""SELECT coalesce(CAST(SUM({DEC.format('_revenue')}) AS DOUBLE), 0) AS total_revenue,
+  count(*) AS total_transactions,
+  CASE WHEN count(*) = 0 THEN {D0} ELSE round(coalesce(CAST(SUM({DEC.format('_revenue')}) AS DOUBLE), 0) / count(*), 6) END AS avg_value,
+  (SELECT coalesce(CAST(SUM({DEC.format('total_value')}) AS DOUBLE), 0) FROM ib2
+   WHERE _year = {_Q.SLICE_YEAR} AND _customer_norm = '{_CUST}') AS item_value
+FROM sb WHERE _year = {_Q.SLICE_YEAR} AND _customer_norm = '{_CUST}'""", BASE_CTES)

@@ -292,3 +292,145 @@ def q_sales_base(spark, d):
     merged, _ = ig.integrate_sales_and_master(cs, _master(spark, d))
     base = cl.sales_base(merged, cs.date_column, cs.revenue_column, cs.customer_column)
     return base.select("_row_id", "_date", "_year", "_month", "_revenue", "_customer", "_customer_norm", "_merge_status")
+
+
+# ------------------------------------------------------------ catalog & roles by data
+
+from ledgerlens.operators import catalog as ct  # noqa: E402
+from ledgerlens.operators import facets as fc  # noqa: E402
+from ledgerlens.operators import roles as R  # noqa: E402
+from ledgerlens.sources import items as itl  # noqa: E402
+
+
+def _enriched(spark, d):
+    e = ct.enrich(fx.items(spark, d), fx.catalog(spark, d))
+    return e.withColumn("_revenue", F.col("total_value"))
+
+
+@query
+def q_catalog(spark, d):
+    return ct.build_catalog(fx.catalog(spark, d))
+
+
+@query
+def q_enrich(spark, d):
+    return _enriched(spark, d).select("_row_id", "item_name", "total_value", "_product", "_category")
+
+
+@query
+def q_product_top(spark, d):
+    return ct.product_ranking(_enriched(spark, d), 10)
+
+
+@query
+def q_product_category(spark, d):
+    return ct.category_revenue(_enriched(spark, d))
+
+
+@query
+def q_product_contribution(spark, d):
+    return ct.product_contribution(_enriched(spark, d), 10)
+
+
+@query
+def q_catalog_top(spark, d):
+    return ct.catalog_top(fx.catalog(spark, d), 10)
+
+
+@query
+def q_catalog_category(spark, d):
+    return ct.catalog_by_category(fx.catalog(spark, d))
+
+
+@query
+def q_catalog_contribution(spark, d):
+    return ct.catalog_contribution(fx.catalog(spark, d), 10)
+
+
+@query
+def q_role_overlap(spark, d):
+    keys = ct.build_catalog(fx.catalog(spark, d)).select("key")
+    return R.catalog_overlap(fx.items(spark, d), keys).select("column", "overlap")
+
+
+@query
+def q_role_catalog_value(spark, d):
+    return R.catalog_value_scores(fx.catalog(spark, d)).select("column", "score")
+
+
+@query
+def q_role_distinct(spark, d):
+    return R.distinct_counts(fx.items(spark, d))
+
+
+# ------------------------------------------------------------ item loaders
+
+@query
+def q_items_load(spark, d):
+    return itl.load_items(fx.items_text(spark, d)).select(*itl.REQUIRED)
+
+
+@query
+def q_items_load_lenient(spark, d):
+    return itl.load_items_lenient(fx.items_text(spark, d, lenient=True)).select(*itl.REQUIRED)
+
+
+# ------------------------------------------------------------ dashboard slices and facets
+
+# Fixed query arguments, written with odd spacing and case on purpose.
+SLICE_YEAR = 1997
+SLICE_CUSTOMER = "  CUSTOMER#000000007 "
+SLICE_PRODUCT = " Blue  Bolt "
+MULTI_YEARS = [1996, 1998]
+MULTI_CUSTOMERS = ["Customer#000000007", "Customer#000000042", "Customer#000000100"]
+
+SALES_BASE_COLS = ["_row_id", "_date", "_year", "_month", "_revenue", "_customer", "_customer_norm"]
+ITEM_BASE_COLS = ["_row_id"] + itl.ITEM_COLUMNS
+
+
+def sales_frame(spark, d):
+    return cl.sales_base(fx.sales(spark, d), "date", "revenue", "customer")
+
+
+def items_frame(spark, d):
+    return itl.load_items_lenient(fx.items(spark, d))
+
+
+@query
+def q_sales_slice(spark, d):
+    return fc.slice_sales(sales_frame(spark, d), items_frame(spark, d), SLICE_YEAR, SLICE_CUSTOMER, None) \
+        .select(*SALES_BASE_COLS)
+
+
+@query
+def q_item_slice(spark, d):
+    return fc.slice_items(items_frame(spark, d), SLICE_YEAR, None, SLICE_PRODUCT).select(*ITEM_BASE_COLS)
+
+
+@query
+def q_product_scope(spark, d):
+    return fc.slice_sales(sales_frame(spark, d), items_frame(spark, d), None, None, SLICE_PRODUCT) \
+        .select(*SALES_BASE_COLS)
+
+
+@query
+def q_multi_slice(spark, d):
+    return fc.multi_slice(fx.sales(spark, d), "date", "customer", MULTI_YEARS, MULTI_CUSTOMERS) \
+        .filter(F.col("revenue").isNotNull()).select("_row_id", "date", "customer", "revenue")
+
+
+@query
+def q_facets(spark, d):
+    return fc.facets(sales_frame(spark, d), items_frame(spark, d), SLICE_YEAR, None, SLICE_PRODUCT)
+
+
+@query
+def q_report_options(spark, d):
+    return fc.report_options(fx.sales(spark, d), "date", "customer")
+
+
+@query
+def q_kpis(spark, d):
+    s = fc.slice_sales(sales_frame(spark, d), items_frame(spark, d), SLICE_YEAR, SLICE_CUSTOMER, None)
+    i = fc.slice_items(items_frame(spark, d), SLICE_YEAR, SLICE_CUSTOMER, None)
+    return met.kpis(s, i)
