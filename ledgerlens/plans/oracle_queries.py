@@ -411,3 +411,22 @@ ORACLE["kpis"] = W(["sales", "items"], f"""SELECT coalesce(CAST(SUM({DEC.format(
   (SELECT coalesce(CAST(SUM({DEC.format('total_value')}) AS DOUBLE), 0) FROM ib2
    WHERE _year = {_Q.SLICE_YEAR} AND _customer_norm = '{_CUST}') AS item_value
 FROM sb WHERE _year = {_Q.SLICE_YEAR} AND _customer_norm = '{_CUST}'""", BASE_CTES)
+
+
+# ------------------------------------------------------------ report export
+
+_TOK = "[" + ", ".join("'" + t + "'" for t in ["date", "particular", "customer", "party", "gross", "total", "gst",
+                                               "amount", "voucher", "invoice", "sales", "product", "item"]) + "]"
+HEADER_CTES = (
+    "hf AS (SELECT * FROM export_raw ORDER BY _row_id LIMIT 40)",
+    "hc AS (SELECT _row_id, list_filter([" + ", ".join(f"lower({TRIMX(f'_c{i}')})" for i in range(7))
+    + "], lambda x: x IS NOT NULL AND x <> '') AS cells FROM hf)",
+    f"""hs AS (SELECT _row_id AS row, CAST(len(list_filter({_TOK}, lambda t: len(list_filter(cells, lambda x: contains(x, t))) > 0)) AS DOUBLE) * CAST(2.0 AS DOUBLE)
+      + CAST(least(len(cells), 20) AS DOUBLE) * CAST(0.1 AS DOUBLE)
+      + CAST(len(list_distinct(cells)) AS DOUBLE) / len(cells) AS score FROM hc WHERE len(cells) >= 3)""",
+    "hb AS (SELECT row FROM hs WHERE score >= 3.0 ORDER BY score DESC, row ASC LIMIT 1)",
+)
+ORACLE["header_scores"] = W(["export_raw"], "SELECT row, round(score, 6) AS score FROM hs", HEADER_CTES)
+ORACLE["header_recovery"] = W(["export_raw"], """SELECT _row_id, _c0 AS date, _c1 AS particulars, _c2 AS voucher_type,
+  _c3 AS voucher_no, _c4 AS gstin_uin, _c5 AS gross_total, _c6 AS sales
+FROM export_raw WHERE _row_id > (SELECT row FROM hb)""", HEADER_CTES)

@@ -434,3 +434,70 @@ def q_kpis(spark, d):
     s = fc.slice_sales(sales_frame(spark, d), items_frame(spark, d), SLICE_YEAR, SLICE_CUSTOMER, None)
     i = fc.slice_items(items_frame(spark, d), SLICE_YEAR, SLICE_CUSTOMER, None)
     return met.kpis(s, i)
+
+
+# ------------------------------------------------------------ report export, forecast, payload
+
+from ledgerlens.operators import forecast as fcst  # noqa: E402
+from ledgerlens.operators import report as rp  # noqa: E402
+from ledgerlens.sources import export as ex  # noqa: E402
+
+
+@query
+def q_header_scores(spark, d):
+    return ex.header_scores(fx.export_raw(spark, d)).select("row", F.round("score", 6).alias("score"))
+
+
+@query
+def q_header_recovery(spark, d):
+    return ex.recover_header(fx.export_raw(spark, d))
+
+
+@query
+def q_forecast(spark, d):
+    out = fcst.forecast_revenue(fx.items(spark, d), "date", "total_value", ["category"], steps=6)
+    return out.select(F.col("category").alias("key"), "month", "step", "forecast", "lower_95", "upper_95")
+
+
+def _report_parts(spark, d):
+    sales = fx.sales(spark, d)
+    items = fx.items(spark, d)
+    cs = _cleaned(spark, d)
+    _, summary = ig.integrate_sales_and_master(cs, _master(spark, d))
+    fc_all = fcst.forecast_revenue(sales, "date", "revenue", steps=6).drop("_series", "phi", "theta")
+    return sales, items, cs, summary, fc_all
+
+
+@query
+def q_payload(spark, d):
+    sales, items, cs, summary, fc_all = _report_parts(spark, d)
+    parts = {
+        "cleaning": cs.stats,
+        "integration": summary,
+        "revenue_analysis": met.revenue_summary(sales, "revenue"),
+        "distribution_analysis": dist.distribution(sales, "revenue"),
+        "high_value": dist.high_value_share(sales, "revenue"),
+        "customer_concentration": par.top_share(sales, "customer", "revenue"),
+        "pareto": par.pareto_count(sales, "customer", "revenue"),
+        "item_totals": met.item_totals(items),
+        "unique_customers": met.unique_customers(sales, "customer"),
+        "tax_analysis": met.gross_vs_net(fx.invoice_tax(spark, d), "gross", "net"),
+    }
+    lists = {
+        "top_10_customers": par.top_n(sales, "customer", "revenue", 10),
+        "year_wise_revenue": ts.revenue_by_year(sales, "date", "revenue"),
+        "yearly_growth_pct": ts.yoy_growth(sales, "date", "revenue"),
+        "peak_and_weakest": ts.peak_month(sales, "date", "revenue"),
+        "category_mix": met.share_by(items, "category", "total_value", "category", "revenue"),
+        "top_items": par.top_n(items, "item_name", "total_value", 10, out_key="item"),
+        "forecast": fc_all,
+    }
+    return rp.payload(spark, parts, lists)
+
+
+@query
+def q_insights(spark, d):
+    sales, items, _, _, fc_all = _report_parts(spark, d)
+    return rp.insights(spark, par.top_n(sales, "customer", "revenue", 10),
+                       met.share_by(items, "category", "total_value", "category", "revenue"),
+                       fc_all, ts.peak_month(sales, "date", "revenue"))
