@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-# Accepted day-first text forms, tried in this order.  ISO stays
-# year-month-day; the rest read the day first.  Each sample form matches
-# exactly one pattern, so the order only matters for speed.
+# Accepted day-first text forms, tried in this order, each with
+# the text shape it can match.  ISO stays year-month-day; the rest read the day
+# first.  The shape test is a cheap regex that keeps the parser (which fails
+# by throwing) away from text that cannot fit.
 DAYFIRST_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "d/M/yyyy",
-    "d-M-yyyy",
-    "d-MMM-yyyy",
-    "d-MMM-yy",
+    ("yyyy-MM-dd", r"^\d{4}-\d{1,2}-\d{1,2}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
+    ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
+    ("d-MMM-yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"),
 ]
 
 
@@ -33,7 +34,8 @@ def parse_dayfirst(col, dtype=None) -> Column:
     if isinstance(dtype, DateType):
         return _c(col).cast("timestamp_ntz")
     s = _c(col).cast("string")
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in DAYFIRST_FORMATS]).cast("timestamp_ntz")
+    return F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f)))
+                        for f, shape in DAYFIRST_FORMATS]).cast("timestamp_ntz")
 
 
 def parse_iso(col, dtype=None) -> Column:
@@ -41,8 +43,8 @@ def parse_iso(col, dtype=None) -> Column:
     if isinstance(dtype, (TimestampType, TimestampNTZType, DateType)):
         return _c(col).cast("timestamp_ntz")
     s = _c(col).cast("string")
-    return F.coalesce(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")),
-                      F.try_to_timestamp(s, F.lit("yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz")
+    return F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f)))
+                        for f, shape in DAYFIRST_FORMATS[:2]]).cast("timestamp_ntz")
 
 
 def month_start(col) -> Column:

@@ -15,10 +15,12 @@ def _c(col) -> Column:
 
 
 def lenient_number(col) -> Column:
-    """Drop ',', then every char not in [0-9.-]; '' and '-' -> null; parse or null."""
-    s = F.regexp_replace(F.regexp_replace(_c(col).cast("string"), ",", ""), r"[^0-9.\-]", "")
-    s = F.when(s.isin("", "-"), F.lit(None).cast("string")).otherwise(s)
-    return s.try_cast("double")
+    """Drop ',', then every char not in [0-9.-]; '' and '-' -> null; parse or null.
+
+    One regex does both removals (',' is outside [0-9.-]), and `try_cast`
+    already maps '' and '-' to null.
+    """
+    return F.regexp_replace(_c(col).cast("string"), r"[^0-9.\-]", "").try_cast("double")
 
 
 def strict_number(col) -> Column:

@@ -18,6 +18,7 @@ from ledgerlens.functions.dates import add_time_features, month_label, parse_day
 from ledgerlens.functions.numbers import lenient_number, strict_number
 from ledgerlens.functions.text import canonical_names, text_key, trim_text
 from ledgerlens.operators import roles as R
+from ledgerlens.session import ensure_checkpoint_dir
 
 UNKNOWN_CUSTOMER = "Unknown Customer"
 UNKNOWN_TEXT = "Unknown"
@@ -104,15 +105,21 @@ def prepare(raw: DataFrame) -> DataFrame:
     return trim_all_text(normalize_columns(raw))
 
 
-def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = False) -> CleanedSales:
+def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = False,
+                materialize: bool = True) -> CleanedSales:
     """C14: clean a day-book export.
 
     Steps: names -> trim -> roles -> day-first dates -> numeric promotion ->
     revenue coercion -> drop rows without date/revenue -> fill customer ->
-    median imputation -> text imputation -> year/month features.  Runs one
-    profiling job (ratios + revenue check); the result is lazy.  With
+    median imputation -> text imputation -> year/month features.  With
     ``compat=False`` the date, customer and tax-id roles are protected from
     numeric promotion.
+
+    Every text column is parsed once into a staged frame (trimmed text plus
+    its lenient number).  With ``materialize`` the staged frame is written by
+    ``checkpoint()`` to the shared checkpoint folder: the parse runs once, the
+    profile, the medians and the final plan read the written copy, and lost
+    executors recompute from it rather than from the raw export.
     """
     df = prepare(raw)
     cols = df.columns
@@ -125,17 +132,24 @@ def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = Fals
     df = df.withColumn(date_c, parse_dayfirst(date_c, df.schema[date_c].dataType))
     protect = (date_c,) if compat else tuple(c for c in (date_c, cust_c, gst_c) if c)
     cands = [c for c in R.text_columns(df) if c not in protect]
-    rev_parsed = lenient_number(rev_c) if isinstance(df.schema[rev_c].dataType, StringType) else F.col(rev_c).cast("double")
-    # one profiling job: promotion ratios plus the revenue sanity check
+    rev_text = isinstance(df.schema[rev_c].dataType, StringType)
+    rev_parsed = lenient_number(rev_c) if rev_text else F.col(rev_c).cast("double")
+    staged = df.select(*[F.col(f"`{c}`") for c in df.columns],
+                       *[lenient_number(c).alias(f"__num{i}") for i, c in enumerate(cands)],
+                       rev_parsed.alias("__rev"))
+    if materialize:
+        ensure_checkpoint_dir(staged.sparkSession)
+        staged = staged.checkpoint(eager=True)
+    # profile: promotion ratios plus the revenue sanity check, one aggregate
     n = F.count(F.lit(1))
-    prof = df.agg(*([F.count_if(lenient_number(c).isNotNull()).cast("double") / n for c in cands]
-                    + [F.count_if(rev_parsed.isNotNull()).alias("rev_ok")])).collect()[0]
+    prof = staged.agg(*([F.count_if(F.col(f"__num{i}").isNotNull()).cast("double") / n for i in range(len(cands))]
+                        + [F.count_if(F.col("__rev").isNotNull()).alias("rev_ok")])).collect()[0]
     promoted = [c for i, c in enumerate(cands) if prof[i] is not None and prof[i] >= PROMOTE_THRESHOLD]
     if not prof["rev_ok"]:
         raise ValueError("Detected revenue column could not be converted to numeric values.")
-    df = df.select(*[lenient_number(c).alias(c) if c in promoted else F.col(f"`{c}`") for c in df.columns])
-    if rev_c not in promoted:
-        df = df.withColumn(rev_c, rev_parsed)
+    num_of = {c: f"__num{i}" for i, c in enumerate(cands)}
+    df = staged.select(*[F.col(num_of[c]).alias(c) if c in promoted
+                         else (F.col("__rev").alias(c) if c == rev_c else F.col(f"`{c}`")) for c in cols])
 
     dropped = F.col(date_c).isNull() | F.col(rev_c).isNull()
     stats = df.agg(

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from ledgerlens.plans.oracle import with_views as W
 
+from ledgerlens.functions.text import WS_CLASS, WS_CODEPOINTS  # noqa: E402
+
 DEC = "CAST({} AS DECIMAL(18,2))"
-TRIM = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+WS_SQL = "(" + " || ".join(f"chr({c})" for c in WS_CODEPOINTS) + ")"
+TRIM = "trim({}, " + WS_SQL.replace("{", "{{").replace("}", "}}") + ")"
 D0 = "CAST(0 AS DOUBLE)"
 
 ORACLE: dict[str, str] = {}
@@ -195,16 +198,19 @@ def LENIENT(x: str) -> str:
 
 def DAYFIRST(x: str) -> str:
     fmts = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y", "%d-%m-%Y", "%d-%b-%Y", "%d-%b-%y"]
-    return "coalesce(" + ", ".join(f"try_strptime({x}, '{f}')" for f in fmts) + ")"
+    from ledgerlens.functions.dates import DAYFIRST_FORMATS
+    shapes = [shape for _, shape in DAYFIRST_FORMATS]
+    return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({x}, '{sh}') THEN try_strptime({x}, '{f}') END"
+                                   for f, sh in zip(fmts, shapes)) + ")"
 
 
 def TEXTKEY(x: str) -> str:
-    s = f"regexp_replace(lower({TRIMX(x)}), '[\\s\\p{{Z}}]+', ' ', 'g')"
+    s = f"regexp_replace(lower({TRIMX(x)}), '{WS_CLASS}+', ' ', 'g')"
     return f"CASE WHEN {s} IN ('', 'nan', 'none') THEN NULL ELSE {s} END"
 
 
 def PRODKEY(x: str) -> str:
-    s = f"regexp_replace(regexp_replace(lower({TRIMX(x)}), '[^a-z0-9]+', ' ', 'g'), '^ +| +$', '', 'g')"
+    s = f"trim(regexp_replace(lower({TRIMX(x)}), '[^a-z0-9]+', ' ', 'g'))"
     return f"NULLIF({s}, '')"
 
 
