@@ -49,10 +49,13 @@ def enrich(txn: DataFrame, catalog: DataFrame, product_col: Optional[str] = None
     if not col:
         return txn.withColumn("_product", F.lit(UNKNOWN_PRODUCT)).withColumn("_category", F.lit(UNCATEGORIZED))
     own = F.coalesce(trim_text(col), F.lit(UNKNOWN_PRODUCT))
-    t = txn.withColumn("_pk", product_key(col))
+    # Normalise each distinct product text once, match it to the catalog,
+    # then join the (text -> catalog entry) map back on the raw text.
+    names = txn.select(F.col(col).cast("string").alias("_name")).filter(F.col("_name").isNotNull()).distinct()
     cat = cat.select(F.col("key").alias("_pk"), F.col("product").alias("_cat_product"),
                      F.col("category").alias("_cat_category"))
-    j = t.join(cat, "_pk", "left")
+    mapping = names.join(cat, product_key("_name") == F.col("_pk"), "inner").drop("_pk")
+    j = txn.join(mapping, F.col(col).cast("string") == F.col("_name"), "left")
     p = trim_text(F.coalesce(F.col("_cat_product"), own))
     c = trim_text(F.coalesce(F.col("_cat_category"), F.lit(UNCATEGORIZED)))
     return j.select(*[F.col(f"`{x}`") for x in txn.columns],

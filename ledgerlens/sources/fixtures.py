@@ -31,6 +31,19 @@ def _orders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(c, o.o_custkey == c.c_custkey)
 
 
+def _lines_orders_customers(spark: SparkSession, sf_dir: str, li: DataFrame, order_cols: list[str]) -> DataFrame:
+    """Line items joined to their order, then to the order's customer.
+
+    Fact-to-fact first (lineitem and orders share `orderkey`; at scale a
+    sort-merge join, or none at all when both are bucketed by it), then the
+    customer dimension, which Spark broadcasts only under its measured size
+    threshold.
+    """
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", *order_cols)
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean invoice-level sales: one row per order."""
     oc = _orders_customers(spark, sf_dir)
@@ -57,8 +70,7 @@ def sales_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invoice_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoice lines with gross, net and split tax amounts (exact decimals)."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", "l_tax")
-    oc = _orders_customers(spark, sf_dir).select("o_orderkey", "o_orderdate", "c_name")
-    j = li.join(oc, li.l_orderkey == oc.o_orderkey)
+    j = _lines_orders_customers(spark, sf_dir, li, ["o_orderdate"])
     ext = F.col("l_extendedprice").cast("decimal(12,2)")
     disc = F.col("l_discount").cast("decimal(3,2)")
     tax = F.col("l_tax").cast("decimal(3,2)")
@@ -79,9 +91,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item lines: one row per line item, priced and categorised by part."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    oc = _orders_customers(spark, sf_dir).select("o_orderkey", "c_name")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    j = li.join(oc, li.l_orderkey == oc.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+    j = _lines_orders_customers(spark, sf_dir, li, []).join(p, F.col("l_partkey") == p.p_partkey)
     return j.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_row_id"),
         F.col("l_shipdate").alias("date"),
