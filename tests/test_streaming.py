@@ -1,0 +1,19 @@
+"""The streaming monthly aggregate equals the batch one."""
+
+import os
+
+from ledgerlens.operators import timeseries as ts
+from ledgerlens.sources import fixtures as fx
+from ledgerlens.streaming import monthly_revenue_stream
+from tests.conftest import SMALL
+
+
+def test_stream_matches_batch(spark, tmpdir_path):
+    sales = fx.sales(spark, SMALL)
+    src = os.path.join(tmpdir_path, "in")
+    sales.write.mode("overwrite").parquet(src)
+    q = monthly_revenue_stream(spark, src, sales.schema, os.path.join(tmpdir_path, "ck"), "stream_monthly")
+    q.awaitTermination(120)
+    got = {r["month"]: r["revenue"] for r in spark.sql("SELECT * FROM stream_monthly").collect()}
+    exp = {r["month"]: r["revenue"] for r in ts.monthly_revenue(sales).collect()}
+    assert got == exp
