@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.numbers import money
 
 # Cut points for the distributed running sum (W3).  Any cut points give the
-# same exact answer; more buckets just spread the window work wider.
+# same exact answer; more buckets just spread the window work wider.  The
+# default follows the session's shuffle width, with this floor.
 PARETO_BUCKETS = 64
 
 
@@ -54,7 +55,7 @@ def top_share(df: DataFrame, key_col: str, value_col: str, limits=(10, 20)) -> D
 
 
 def cumulative_share(df: DataFrame, key_col: str, value_col: str,
-                     buckets: int = PARETO_BUCKETS) -> DataFrame:
+                     buckets: int | None = None) -> DataFrame:
     """Running share of the grand total, keys by total descending (ties: key asc).
 
     A global running sum would put every key into one task.  Instead keys are
@@ -63,6 +64,9 @@ def cumulative_share(df: DataFrame, key_col: str, value_col: str,
     bucket's offset (a handful of rows), and the running sum is a window inside
     each bucket.  Output: key, revenue, cum_dec (exact), cum_pct, total.
     """
+    if buckets is None:
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200") or 200)
+        buckets = max(PARETO_BUCKETS, width)
     agg = value_by_key(df, key_col, value_col)
     fractions = [i / buckets for i in range(1, buckets)]
     cuts = agg.agg(F.percentile_approx(F.col("value_dec").cast("double"),
