@@ -53,8 +53,10 @@ def enrich(txn: DataFrame, catalog: DataFrame, product_col: Optional[str] = None
     # then join the (text -> catalog entry) map back on the raw text.
     names = txn.select(F.col(col).cast("string").alias("_name")).filter(F.col("_name").isNotNull()).distinct()
     cat = cat.select(F.col("key").alias("_pk"), F.col("product").alias("_cat_product"),
-                     F.col("category").alias("_cat_category"))
-    mapping = names.join(cat, product_key("_name") == F.col("_pk"), "inner").drop("_pk")
+                     F.col("category").alias("_cat_category")).filter(F.col("_pk").isNotNull())
+    # null-safe: no inferred `IS NOT NULL` filter gets pushed below the distinct
+    mapping = (names.select("_name", product_key("_name").alias("_nk"))
+               .join(cat, F.col("_nk").eqNullSafe(F.col("_pk")), "inner").drop("_pk", "_nk"))
     j = txn.join(mapping, F.col(col).cast("string") == F.col("_name"), "left")
     p = trim_text(F.coalesce(F.col("_cat_product"), own))
     c = trim_text(F.coalesce(F.col("_cat_category"), F.lit(UNCATEGORIZED)))
