@@ -66,13 +66,18 @@ def integrate(sales: DataFrame, master: DataFrame, sales_key: str, master_key: s
 
 def integration_summary(sales: DataFrame, master: DataFrame, merged: DataFrame, sales_key: str,
                         master_key: str, strategy: str) -> DataFrame:
-    """One-row match report (rates are 0 on empty input)."""
-    master_rows = master.agg(F.count(F.lit(1))).scalar()
-    master_kept = master.select(text_key(master_key).alias("k")).filter(F.col("k").isNotNull()) \
-        .agg(F.count_distinct("k")).scalar()
-    missing_keys = sales.agg(F.count_if(text_key(sales_key).isNull())).scalar()
+    """One-row match report (rates are 0 on empty input).
+
+    Two aggregates: one over the merged rows (which are exactly the sales
+    rows, the master side being de-duplicated) and one over the master sheet,
+    the latter as a struct scalar subquery.  "Duplicates removed" is master
+    rows minus distinct non-null keys, so it includes null-key rows.
+    """
+    m = master.agg(F.struct(F.count(F.lit(1)).alias("rows"),
+                            F.count_distinct(text_key(master_key)).alias("keys")).alias("m")).scalar()
     a = merged.agg(F.count(F.lit(1)).alias("total_rows"),
-                   F.count_if(F.col("_merge_status") == "matched").alias("matched_rows"))
+                   F.count_if(F.col("_merge_status") == "matched").alias("matched_rows"),
+                   F.count_if(text_key(sales_key).isNull()).alias("missing_keys"))
     total = F.col("total_rows")
     return a.select(
         F.lit(strategy).alias("join_key_used"), F.lit(sales_key).alias("join_key_daybook"),
@@ -80,8 +85,8 @@ def integration_summary(sales: DataFrame, master: DataFrame, merged: DataFrame,
         (total - F.col("matched_rows")).alias("unmatched_rows"),
         F.when(total == 0, F.lit(0.0)).otherwise(F.round(F.col("matched_rows") / total * 100.0, 6)).alias("match_rate_pct"),
         F.when(total == 0, F.lit(0.0)).otherwise(F.round((total - F.col("matched_rows")) / total * 100.0, 6)).alias("unmatched_rate_pct"),
-        (master_rows - master_kept).alias("master_duplicate_rows_removed"),
-        missing_keys.alias("daybook_rows_missing_join_key"))
+        (m.rows - m["keys"]).alias("master_duplicate_rows_removed"),
+        F.col("missing_keys").alias("daybook_rows_missing_join_key"))
 
 
 def skipped_summary(sales: DataFrame, master: DataFrame) -> DataFrame:
