@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.timeseries import monthly_totals
+from ledgerlens.session import materialize
 
 HIGH_VALUE_THRESHOLD = 200000
 
@@ -74,7 +75,8 @@ def monthly_histogram(df: DataFrame, date_col: str = "date", value_col: str = "r
 
     All-equal monthly values give one bucket labelled with the rounded value.
     """
-    m = monthly_totals(df, date_col, value_col).select(F.col("revenue_dec").cast("double").alias("v"))
+    # the month series is read for its bounds, its bins and its size
+    m = materialize(monthly_totals(df, date_col, value_col).select(F.col("revenue_dec").cast("double").alias("v")))
     b = _bins(m, "v", bins)
     start = F.col("lo")
     end = F.col("lo") + F.col("w")

@@ -12,6 +12,7 @@ from ledgerlens.functions.dates import month_label, month_start
 from ledgerlens.functions.numbers import money, money_sum
 from ledgerlens.functions.text import trim_text
 from ledgerlens.operators.roles import tax_amount_columns
+from ledgerlens.session import materialize
 
 
 def revenue_summary(df: DataFrame, value_col: str = "revenue") -> DataFrame:
@@ -107,7 +108,7 @@ def item_monthly(items: DataFrame, date_col: str = "date", value_col: str = "tot
 
 def share_by(df: DataFrame, key_col: str, value_col: str, out_key: str, out_value: str = "revenue") -> DataFrame:
     """Total per key with its % of the grand total (all keys)."""
-    agg = df.groupBy(key_col).agg(F.sum(money(value_col)).alias("v"))
+    agg = materialize(df.groupBy(key_col).agg(F.sum(money(value_col)).alias("v")))
     total = agg.agg(F.sum("v").cast("double")).scalar()
     return agg.select(F.col(key_col).alias(out_key), F.col("v").cast("double").alias(out_value),
                       F.when(F.coalesce(total, F.lit(0.0)) == 0, F.lit(0.0))
@@ -122,7 +123,7 @@ def totals_by(df: DataFrame, key_col: str, value_col: str, out_key: str, out_val
 
 def top_share_n(df: DataFrame, key_col: str, value_col: str, n: int, out: str) -> DataFrame:
     """Share (%) of the grand total held by the best n keys."""
-    agg = df.groupBy(key_col).agg(F.sum(money(value_col)).alias("v"))
+    agg = materialize(df.groupBy(key_col).agg(F.sum(money(value_col)).alias("v")))
     total = agg.agg(F.sum("v").cast("double")).scalar()
     top = agg.orderBy(F.col("v").desc(), F.col(key_col).asc_nulls_first()).limit(n)
     s = F.coalesce(F.sum("v").cast("double"), F.lit(0.0))

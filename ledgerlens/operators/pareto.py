@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.numbers import money
+from ledgerlens.session import materialize
 
 # Cut points for the distributed running sum (W3).  Any cut points give the
 # same exact answer; more buckets just spread the window work wider.  The
@@ -30,6 +31,8 @@ def top_n(df: DataFrame, key_col: str, value_col: str, n: int = 10,
     grand total is a scalar subquery over the same aggregate.
     """
     agg = value_by_key(df, key_col, value_col)
+    if with_pct:
+        agg = materialize(agg)      # read by the top-n and by the total
     top = agg.orderBy(*_order(key_col)).limit(n)
     cols = [F.col(key_col).alias(out_key or key_col), F.col("value_dec").cast("double").alias(out_value)]
     if with_pct:
@@ -41,7 +44,7 @@ def top_n(df: DataFrame, key_col: str, value_col: str, n: int = 10,
 
 def top_share(df: DataFrame, key_col: str, value_col: str, limits=(10, 20)) -> DataFrame:
     """Share (%) of the grand total held by the top 10 / top 20 keys; 0 if empty."""
-    agg = value_by_key(df, key_col, value_col)
+    agg = materialize(value_by_key(df, key_col, value_col))
     biggest = max(limits)
     top = agg.orderBy(*_order(key_col)).limit(biggest)
     ranked = top.select("value_dec", F.row_number().over(Window.orderBy(*_order(key_col))).alias("rn"))
@@ -67,7 +70,8 @@ def cumulative_share(df: DataFrame, key_col: str, value_col: str,
     if buckets is None:
         width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200") or 200)
         buckets = max(PARETO_BUCKETS, width)
-    agg = value_by_key(df, key_col, value_col)
+    # read four times (cut points, bucket sums, total, window): written once
+    agg = materialize(value_by_key(df, key_col, value_col))
     fractions = [i / buckets for i in range(1, buckets)]
     cuts = agg.agg(F.percentile_approx(F.col("value_dec").cast("double"),
                                        F.array(*[F.lit(f) for f in fractions]), 10000).alias("c")).scalar()

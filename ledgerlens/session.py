@@ -63,3 +63,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for written intermediate tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialize(df):
+    """Write a reduced frame that several plans read (an aggregate per key, a
+    month series) once, with a reliable checkpoint in the shared folder.
+
+    Later reads hit the written copy instead of re-running the fact-table
+    scan, and lost executors recompute from it; the lineage is cut here.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
