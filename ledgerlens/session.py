@@ -47,7 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names this folder (it must be on shared storage).  Only when it is
-    unset, as in local tests, a scratch folder is created here.
+    unset on a local master, as in tests, a scratch folder is created here; on
+    a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not str(sc.master).startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder on shared storage; "
+                             "a machine-local folder cannot hold checkpoints on a cluster.")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
