@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.numbers import money
 from ledgerlens.session import materialize
 
-# Cut points for the distributed running sum (W3).  Any cut points give the
-# same exact answer; more buckets just spread the window work wider.  The
+# Buckets for the distributed running sum (W3).  Any bucketing in sort order
+# gives the same exact answer; more buckets spread the window work wider.  The
 # default follows the session's shuffle width, with this floor.
 PARETO_BUCKETS = 64
 
@@ -61,33 +61,28 @@ def cumulative_share(df: DataFrame, key_col: str, value_col: str,
                      buckets: int | None = None) -> DataFrame:
     """Running share of the grand total, keys by total descending (ties: key asc).
 
-    A global running sum would put every key into one task.  Instead keys are
-    range-bucketed on their total with approximate cut points (equal totals
-    share a bucket, so the order is never split wrongly), bucket sums give each
-    bucket's offset (a handful of rows), and the running sum is a window inside
-    each bucket.  Output: key, revenue, cum_dec (exact), cum_pct, total.
+    A global running sum would put every key into one task.  Instead the
+    per-key totals are range-partitioned on the full sort key (total desc,
+    key asc): Spark samples bounds on that composite key, so even one total
+    shared by a third of all keys is split across buckets by key.  Bucket
+    sums give each bucket's offset (a handful of rows, broadcast back), and
+    the running sum is a window inside each bucket.  The bucketed aggregate
+    is written once (reliable checkpoint), so the sums and the window see the
+    same buckets and never re-read the fact table.
+    Output: key, revenue, cum_dec (exact), cum_pct, total_dec.
     """
     if buckets is None:
         width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200") or 200)
         buckets = max(PARETO_BUCKETS, width)
-    # read four times (cut points, bucket sums, total, window): written once
     agg = materialize(value_by_key(df, key_col, value_col))
-    fractions = [i / buckets for i in range(1, buckets)]
-    cuts = agg.agg(F.percentile_approx(F.col("value_dec").cast("double"),
-                                       F.array(*[F.lit(f) for f in fractions]), 10000).alias("c")).scalar()
-    # bucket 0 holds the biggest totals.  The position of v in the sorted
-    # (cuts + v) array is 1 + #(cuts < v), a non-increasing function of v, so
-    # equal totals share a bucket.  (A subquery cannot sit inside a lambda,
-    # hence sort_array + position rather than filter.)
-    v = F.col("value_dec").cast("double")
-    below = F.array_position(F.sort_array(F.concat(cuts, F.array(v))), v) - 1
-    bucketed = agg.withColumn("bucket", (F.lit(buckets - 1) - below).cast("int"))
-    sums = bucketed.groupBy("bucket").agg(F.sum("value_dec").alias("bucket_dec"))
+    ranged = materialize(agg.repartitionByRange(buckets, *_order(key_col))
+                         .withColumn("bucket", F.spark_partition_id()))
+    sums = ranged.groupBy("bucket").agg(F.sum("value_dec").alias("bucket_dec"))
     offsets = sums.select("bucket", F.coalesce(F.sum("bucket_dec").over(
         Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset_dec"))
-    total = agg.agg(F.sum("value_dec")).scalar()
+    total = sums.agg(F.sum("bucket_dec")).scalar()
     w = Window.partitionBy("bucket").orderBy(*_order(key_col)).rowsBetween(Window.unboundedPreceding, 0)
-    running = (bucketed.join(F.broadcast(offsets), "bucket")
+    running = (ranged.join(F.broadcast(offsets), "bucket")
                .select(key_col, "value_dec", (F.col("offset_dec") + F.sum("value_dec").over(w)).alias("cum_dec")))
     return running.select(
         key_col, F.col("value_dec").cast("double").alias("revenue"), "cum_dec",

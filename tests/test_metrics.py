@@ -64,6 +64,26 @@ def test_pareto_one_big_customer(spark):
     assert [r["cum_pct"] for r in curve] == [90.0, 95.0, 100.0]
 
 
+def test_pareto_hot_tie_group_is_split(spark):
+    # a third of all customers share one total: they must spread over buckets
+    rows = [("2024-01-01", f"t{i:04d}", 100.0) for i in range(300)] + \
+           [("2024-01-01", f"u{i:04d}", float(i + 1)) for i in range(600)]
+    df = sales(spark, rows)
+    from ledgerlens.session import materialize
+    from pyspark.sql import functions as F
+    agg = par.value_by_key(df, "customer", "revenue")
+    ranged = agg.repartitionByRange(8, *par._order("customer")).withColumn("b", F.spark_partition_id())
+    per = {r["b"]: r["n"] for r in ranged.filter(F.col("value_dec") == 100).groupBy("b").agg(F.count("*").alias("n")).collect()}
+    assert len(per) >= 2 and max(per.values()) < 300
+    cs = {r["customer"]: r["cum_pct"] for r in par.cumulative_share(df, "customer", "revenue", buckets=8).collect()}
+    total = sum(v for _, _, v in rows)
+    run = 0.0
+    for _, c, v in sorted(rows, key=lambda r: (-r[2], r[1])):
+        run += v
+        assert cs[c] == pytest.approx(round(run / total * 100, 6), abs=1e-6)
+    assert len(cs) == 900 and cs["u0000"] == pytest.approx(100.0)
+
+
 def test_pareto_buckets_match_global_window(spark):
     import random
     rnd = random.Random(7)
