@@ -64,3 +64,30 @@ def test_dedupe_first_hot_key(spark):
     df = spark.createDataFrame(rows, "_row_id long, k string, v long")
     out = {r["k"]: r["v"] for r in ig.dedupe_first(df, "k").collect()}
     assert out["hot"] == 1 and len(out) == 101
+
+
+def test_join_key_choice_prefers_tax_id():
+    assert ig.choose_join_keys(["gstin", "party_name"], ["gstin_no", "customer_name"]) == ("gstin", "gstin_no", "gstin")
+    assert ig.choose_join_keys(["party_name"], ["customer_name", "gstin"]) == ("party_name", "customer_name", "customer")
+    assert ig.choose_join_keys(["amount"], ["rate"]) is None
+
+
+def test_compatible_variant_keeps_key(spark):
+    cs = cl.clean_sales(raw_sales(spark))
+    master = spark.createDataFrame([(1, "ACME", "gold")], "_row_id long, `Customer Name` string, Tier string")
+    m, _ = cl.clean_reference(master)
+    merged, _ = ig.integrate_sales_and_master(cs, m, on_missing="error", keep_key=True)
+    keys = {r["_row_id"]: r["join_key"] for r in merged.collect()}
+    assert keys[1] == "acme" and keys[2] == "unknown customer"
+
+
+def test_validation_guards(spark):
+    from ledgerlens.sources import items as itl
+    empty = spark.createDataFrame([(None, "a", "b", "c", "1", "2", "3")],
+                                  "Date string, Customer string, `Item Name` string, Category string, "
+                                  "Quantity string, `Unit Price` string, `Total Value` string")
+    with pytest.raises(ValueError):
+        itl.load_items(empty, check_empty=True)
+    no_rev = spark.createDataFrame([(1, "2024-01-01", "abc")], "_row_id long, date string, gross_total string")
+    with pytest.raises(ValueError):
+        cl.clean_sales(no_rev)

@@ -37,3 +37,53 @@ def test_monthly_scan_prunes_columns(spark):
     p = plan(E.queries()["monthly_revenue"](spark, SMALL))
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz,o_totalprice:double>" in p \
         or "o_orderpriority" not in p
+
+
+REDUCERS = ("HashAggregate", "ObjectHashAggregate", "SortAggregate", "TakeOrderedAndProject", "GlobalLimit",
+            "LocalLimit", "CollectLimit", "LocalTableScan", "Range", "Scan ExistingRDD", "Scan OneRowRelation")
+PASS_THROUGH = ("Project", "Filter", "Sort", "Window", "Generate", "Expand", "Coalesce", "ColumnarToRow",
+                "InputAdapter", "WholeStageCodegen", "AQEShuffleRead", "BroadcastHashJoin", "Union", "Exchange",
+                "SortMergeJoin", "BroadcastNestedLoopJoin", "ShuffledHashJoin", "Subquery", "AdaptiveSparkPlan")
+
+
+def _lines(plan_text):
+    out = []
+    for raw in plan_text.splitlines():
+        i = next((k for k, ch in enumerate(raw) if ch.isalpha()), None)
+        if i is not None:
+            out.append((i, raw[i:]))
+    return out
+
+
+def _first_child(lines, idx):
+    d = lines[idx][0]
+    for j in range(idx + 1, len(lines)):
+        if lines[j][0] > d:
+            return j
+        break
+    return None
+
+
+def single_partition_inputs(plan_text):
+    """For each `Exchange SinglePartition`, the first non-pass-through node beneath it."""
+    lines = _lines(plan_text)
+    found = []
+    for i, (_, text) in enumerate(lines):
+        if text.startswith("Exchange SinglePartition"):
+            j = _first_child(lines, i)
+            while j is not None and lines[j][1].startswith(PASS_THROUGH) and not lines[j][1].startswith(REDUCERS):
+                j = _first_child(lines, j)
+            found.append(lines[j][1] if j is not None else "<none>")
+    return found
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_single_partition_only_on_reduced_data(spark, name):
+    """No fact rows are funnelled into one task: every single-partition exchange
+    moves the output of an aggregate, a limit or a small generated relation."""
+    if name in HEAVY_SKIP:
+        pytest.skip("composite of checked queries")
+    df = E.queries()[name](spark, SMALL)
+    text = df._jdf.queryExecution().executedPlan().toString()
+    for node in single_partition_inputs(text):
+        assert node.startswith(REDUCERS), f"{name}: single-partition exchange over {node[:80]}"
