@@ -436,3 +436,74 @@ ORACLE["header_scores"] = W(["export_raw"], "SELECT row, round(score, 6) AS scor
 ORACLE["header_recovery"] = W(["export_raw"], """SELECT _row_id, _c0 AS date, _c1 AS particulars, _c2 AS voucher_type,
   _c3 AS voucher_no, _c4 AS gstin_uin, _c5 AS gross_total, _c6 AS sales
 FROM export_raw WHERE _row_id > (SELECT row FROM hb)""", HEADER_CTES)
+
+
+# ------------------------------------------------------------ forecast (T2): the same CSS fold in DuckDB
+
+def _css_sql(phi: str, theta: str) -> str:
+    e = f"(x - {phi} * acc.pw - {theta} * acc.pe)"
+    return (f"list_reduce(list_slice(w, 2, len(w)), lambda acc, x: {{'pw': x, 'pe': {e}, 'ss': acc.ss + {e} * {e}}}, "
+            f"{{'pw': w[1], 'pe': CAST(0 AS DOUBLE), 'ss': CAST(0 AS DOUBLE)}})")
+
+
+_COARSE = ("list_transform(range(0, 361), lambda g: {'phi': round(CAST(-0.9 AS DOUBLE) + CAST(g // 19 AS DOUBLE) * CAST(0.1 AS DOUBLE), 2), "
+           "'theta': round(CAST(-0.9 AS DOUBLE) + CAST(g % 19 AS DOUBLE) * CAST(0.1 AS DOUBLE), 2)})")
+_FINE = ("list_transform(range(0, 441), lambda g: {'phi': least(CAST(0.99 AS DOUBLE), greatest(CAST(-0.99 AS DOUBLE), "
+         "round(c.phi + CAST(g // 21 - 10 AS DOUBLE) * CAST(0.01 AS DOUBLE), 2))), "
+         "'theta': least(CAST(0.99 AS DOUBLE), greatest(CAST(-0.99 AS DOUBLE), "
+         "round(c.theta + CAST(g % 21 - 10 AS DOUBLE) * CAST(0.01 AS DOUBLE), 2)))})")
+
+
+def _best_sql(grid: str) -> str:
+    return f"list_sort(list_transform({grid}, lambda p: {{'ss': ({_css_sql('p.phi', 'p.theta')}).ss, 'phi': p.phi, 'theta': p.theta}}))[1]"
+
+
+def forecast_sql(view: str, key_expr: str, date: str, value: str, prefix: str = "f") -> tuple[tuple[str, ...], str]:
+    """CTEs and the final SELECT of the per-key CSS-ARIMA forecast over ``view``."""
+    P = prefix
+    ctes = (
+        f"{P}m AS (SELECT {key_expr} AS key, date_trunc('month', {date}) AS ms, {money_sum(value)} AS v FROM {view} "
+        f"WHERE {date} IS NOT NULL AND {value} IS NOT NULL GROUP BY 1, 2)",
+        f"{P}b AS (SELECT key, unnest(generate_series(min(ms), max(ms), INTERVAL 1 MONTH)) AS ms FROM {P}m GROUP BY key)",
+        f"{P}f AS (SELECT {P}b.key, {P}b.ms, CAST(coalesce({P}m.v, 0) AS DOUBLE) AS y FROM {P}b LEFT JOIN {P}m "
+        f"ON {P}b.key = {P}m.key AND {P}b.ms = {P}m.ms)",
+        f"{P}s AS (SELECT key, list(y ORDER BY ms) AS y, max(ms) AS last_month FROM {P}f GROUP BY key HAVING count(*) >= 6)",
+        f"{P}w AS (SELECT key, y, last_month, list_transform(range(1, len(y)), lambda i: y[i + 1] - y[i]) AS w FROM {P}s)",
+        f"""{P}out AS (SELECT key, strftime(last_month + to_months(CAST(h AS INTEGER)), '%Y-%m') AS month,
+  CAST(h AS INTEGER) AS step, round(mean, 2) AS forecast,
+  round(mean - 1.959964 * sqrt(var), 2) AS lower_95, round(mean + 1.959964 * sqrt(var), 2) AS upper_95
+FROM (SELECT key, last_month, h,
+        y[len(y)] + list_reduce(list_transform(range(1, h + 1), lambda j: pow(phi, j - 1) * (phi * pw + theta * pe)),
+                                lambda a, t: a + t, CAST(0 AS DOUBLE)) AS mean,
+        (ss / (len(w) - 1)) * list_reduce(list_transform(range(0, h), lambda j:
+            pow(CASE WHEN j = 0 THEN CAST(1 AS DOUBLE) ELSE 1 + (phi + theta) * (1 - pow(phi, j)) / (1 - phi) END, 2)),
+            lambda a, t: a + t, CAST(0 AS DOUBLE)) AS var
+      FROM (SELECT key, y, w, last_month, b.phi AS phi, b.theta AS theta, f.pw AS pw, f.pe AS pe, f.ss AS ss
+            FROM (SELECT *, {_css_sql("b.phi", "b.theta")} AS f
+                  FROM (SELECT *, {_best_sql(_FINE)} AS b
+                        FROM (SELECT *, {_best_sql(_COARSE)} AS c FROM {P}w) q1) q2) q3) q4,
+           (SELECT unnest(range(1, 7)) AS h) hh) q5)""",
+    )
+    return ctes, f"SELECT * FROM {P}out"
+
+
+_FC_CTES, _FC_SELECT = forecast_sql("items", "category", "date", "total_value")
+ORACLE["forecast"] = W(["items"], _FC_SELECT, _FC_CTES)
+
+# ------------------------------------------------------------ insights
+
+_SALES_FC_CTES, _ = forecast_sql("sales", "'all'", "date", "revenue", prefix="g")
+ORACLE["insights"] = W(["sales", "items"], f"""SELECT tc.k AS top_customer, CAST(tc.v AS DOUBLE) AS top_customer_revenue,
+  CASE WHEN coalesce(tot.t, 0) = 0 THEN {D0} ELSE round(CAST(tc.v AS DOUBLE) / tot.t * 100, 6) END AS top_customer_pct,
+  cm.k AS lead_category,
+  CASE WHEN coalesce(ct.t, 0) = 0 THEN {D0} ELSE round(CAST(cm.v AS DOUBLE) / ct.t * 100, 6) END AS lead_category_pct,
+  nf.month AS next_forecast_month, nf.forecast AS next_forecast,
+  pk.month AS peak_month, pk.revenue AS peak_revenue
+FROM (SELECT * FROM agg ORDER BY v DESC, k ASC NULLS FIRST LIMIT 1) tc, tot,
+     (SELECT * FROM cagg ORDER BY v DESC, k ASC LIMIT 1) cm, (SELECT CAST(SUM(v) AS DOUBLE) AS t FROM cagg) ct,
+     (SELECT * FROM gout ORDER BY step, month LIMIT 1) nf,
+     (SELECT strftime(ms, '%Y-%m') AS month, CAST(v AS DOUBLE) AS revenue FROM m ORDER BY v DESC, ms ASC LIMIT 1) pk""",
+    share_ctes("sales", "customer", "revenue")
+    + (f"cagg AS (SELECT category AS k, {money_sum('total_value')} AS v FROM items GROUP BY category)",
+       monthly_cte("sales"))
+    + _SALES_FC_CTES)
