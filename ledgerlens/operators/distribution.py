@@ -83,9 +83,8 @@ def monthly_histogram(df: DataFrame, date_col: str = "date", value_col: str = "r
     label = F.concat(_js_round(start / 1000.0).cast("string"), F.lit("k-"),
                      _js_round(end / 1000.0).cast("string"), F.lit("k"))
     spread = b.filter(F.col("min_v") < F.col("max_v")).select("bin", label.alias("label"), "count")
+    n_rows = m.agg(F.count(F.lit(1))).scalar()
     flat = (b.filter((F.col("min_v") == F.col("max_v")) & (F.col("bin") == 0))
             .select(F.lit(0).alias("bin"), _js_round(F.col("min_v")).cast("string").alias("label"),
-                    F.lit(None).cast("long").alias("_n")))
-    n_rows = m.agg(F.count(F.lit(1))).scalar()
-    flat = flat.select("bin", "label", n_rows.alias("count"))
+                    n_rows.alias("count")))
     return spread.unionByName(flat)

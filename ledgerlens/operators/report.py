@@ -18,7 +18,7 @@ def one_row_struct(df: DataFrame):
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("v")).scalar()
 
 
-def rows_array(df: DataFrame, order_by=None):
+def rows_array(df: DataFrame):
     """A small bounded frame (a top-N) as an array-of-structs scalar subquery."""
     packed = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     return df.agg(F.collect_list(packed).alias("v")).scalar()
