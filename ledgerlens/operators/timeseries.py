@@ -133,6 +133,7 @@ def calendar_pool(df: DataFrame, date_col: str = "date", days: Sequence[int] = (
     months = b.select(F.explode(F.sequence(F.make_date("y0", F.lit(1), F.lit(1)),
                                            F.make_date("y1", F.lit(12), F.lit(1)),
                                            F.expr("INTERVAL 1 MONTH"))).alias("m"))
-    # days 5..25 exist in every month, so no day spills into the next one
-    return months.select(F.explode(F.transform(F.array(*[F.lit(d) for d in days]),
-                                               lambda d: F.date_add("m", d - 1))).alias("date"))
+    # a day past the month's end (say 31 in April) is dropped, not rolled over
+    return (months.select("m", F.explode(F.transform(F.array(*[F.lit(d) for d in days]),
+                                                     lambda d: F.date_add("m", d - 1))).alias("date"))
+            .filter(F.month("date") == F.month("m")).select("date"))

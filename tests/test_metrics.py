@@ -129,3 +129,9 @@ def test_kpis_on_empty_and_tax_breakdown(spark):
 def test_unique_customers_case_sensitive(spark):
     df = spark.createDataFrame([("Acme",), (" acme ",), ("ACME",), ("",), (None,), ("  ",)], "c string")
     assert met.unique_customers(df, "c").first()[0] == 3
+
+
+def test_calendar_pool_drops_days_past_month_end(spark):
+    df = sales(spark, [("2024-01-10", "a", 1.0)])
+    got = [r["date"].isoformat() for r in ts.calendar_pool(df, days=(5, 30)).orderBy("date").collect()]
+    assert len(got) == 23 and "2024-02-05" in got and not any(g.startswith("2024-03-01") for g in got)
