@@ -18,6 +18,7 @@ from ledgerlens.functions.dates import add_time_features, month_label, parse_day
 from ledgerlens.functions.numbers import lenient_number, strict_number
 from ledgerlens.functions.text import canonical_names, text_key, trim_text
 from ledgerlens.operators import roles as R
+from ledgerlens.operators.quantiles import exact_quantiles
 from ledgerlens.session import ensure_checkpoint_dir
 
 UNKNOWN_CUSTOMER = "Unknown Customer"
@@ -80,16 +81,19 @@ def promote_numeric(df: DataFrame, threshold: float = PROMOTE_THRESHOLD,
 def impute_medians(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Fill nulls of each column with its median (an all-null column stays null).
 
-    The medians are one scalar subquery; exact `percentile` interpolates like
-    pandas, `approx=True` bounds memory on huge distinct counts.
+    Medians are exact and distributed (`quantiles.exact_quantiles`): no task
+    ever holds all distinct values.  ``approx=True`` uses one
+    `percentile_approx` aggregate instead.
     """
     if not columns:
         return df
-    pct = (lambda c: F.percentile_approx(c, 0.5, 10000).cast("double")) if approx else \
-        (lambda c: F.percentile(F.col(c), F.lit(0.5)))
-    med = df.agg(F.struct(*[pct(c).alias(f"m{i}") for i, c in enumerate(columns)]).alias("m")).scalar()
-    idx = {c: i for i, c in enumerate(columns)}
-    return df.select(*[F.coalesce(F.col(c), med[f"m{idx[c]}"]).alias(c) if c in idx else F.col(f"`{c}`")
+    if approx:
+        med = df.agg(F.struct(*[F.percentile_approx(c, 0.5, 10000).cast("double").alias(f"m{i}")
+                                for i, c in enumerate(columns)]).alias("m")).scalar()
+        fill = {c: med[f"m{i}"] for i, c in enumerate(columns)}
+    else:
+        fill = {c: exact_quantiles(df, c, [0.5]).q0 for c in columns}
+    return df.select(*[F.coalesce(F.col(c), fill[c]).alias(c) if c in fill else F.col(f"`{c}`")
                        for c in df.columns])
 
 
@@ -142,8 +146,14 @@ def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = Fals
         staged = staged.checkpoint(eager=True)
     # profile: promotion ratios plus the revenue sanity check, one aggregate
     n = F.count(F.lit(1))
+    kept_row = F.col(date_c).isNotNull() & F.col("__rev").isNotNull()
+    already = [f.name for f in df.schema.fields
+               if isinstance(f.dataType, NumericType) and f.name not in R.SYSTEM_COLUMNS and f.name != rev_c]
     prof = staged.agg(*([F.count_if(F.col(f"__num{i}").isNotNull()).cast("double") / n for i in range(len(cands))]
-                        + [F.count_if(F.col("__rev").isNotNull()).alias("rev_ok")])).collect()[0]
+                        + [F.count_if(F.col("__rev").isNotNull()).alias("rev_ok")]
+                        + [F.count_if(kept_row & F.col(f"__num{i}").isNull()).alias(f"miss{i}") for i in range(len(cands))]
+                        + [F.count_if(kept_row & F.col(f"`{c}`").isNull()).alias(f"missn{j}") for j, c in enumerate(already)]
+                        )).collect()[0]
     promoted = [c for i, c in enumerate(cands) if prof[i] is not None and prof[i] >= PROMOTE_THRESHOLD]
     if not prof["rev_ok"]:
         raise ValueError("Detected revenue column could not be converted to numeric values.")
@@ -159,7 +169,11 @@ def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = Fals
     kept = df.filter(~dropped)
     if cust_c:
         kept = kept.withColumn(cust_c, F.coalesce(F.col(cust_c), F.lit(UNKNOWN_CUSTOMER)))
-    numeric = [f.name for f in kept.schema.fields if isinstance(f.dataType, NumericType) and f.name not in R.SYSTEM_COLUMNS]
+    # only columns with a missing value among the kept rows need a median
+    missing = {c for i, c in enumerate(cands) if c in promoted and prof[f"miss{i}"]}
+    missing |= {c for j, c in enumerate(already) if prof[f"missn{j}"]}
+    numeric = [f.name for f in kept.schema.fields
+               if isinstance(f.dataType, NumericType) and f.name in missing]
     kept = impute_medians(kept, numeric, approx=approx_median)
     kept = fill_text(kept)
     kept = add_time_features(kept, date_c)

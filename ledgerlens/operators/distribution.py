@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.quantiles import exact_quantiles
 from ledgerlens.operators.timeseries import monthly_totals
 from ledgerlens.session import materialize
 
@@ -12,19 +13,19 @@ HIGH_VALUE_THRESHOLD = 200000
 
 
 def distribution(df: DataFrame, value_col: str = "revenue") -> DataFrame:
-    """Interpolated q1/q3 and bias-adjusted skewness.
+    """Interpolated q1/q3 (exact, distributed) and bias-adjusted skewness.
 
     Spark's `skewness` is the population g1; the sample-adjusted G1 is
     g1 * sqrt(n(n-1)) / (n-2).  n < 3 gives null, a constant column gives 0.
     """
     v = F.col(value_col)
-    a = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"),
-               F.skewness(v).alias("g1"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    q = exact_quantiles(df, value_col, [0.25, 0.75])
+    a = df.agg(F.skewness(v).alias("g1"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
     n = F.col("n").cast("double")
     adj = F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)
     return a.select(
-        F.round(F.col("q")[0], 6).alias("q1"),
-        F.round(F.col("q")[1], 6).alias("q3"),
+        F.round(q.q0, 6).alias("q1"),
+        F.round(q.q1, 6).alias("q3"),
         F.when(F.col("n") < 3, F.lit(None).cast("double"))
         .when(F.col("lo") == F.col("hi"), F.lit(0.0))
         .otherwise(F.round(adj, 6)).alias("skew"))

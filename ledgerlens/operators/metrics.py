@@ -11,17 +11,19 @@ from pyspark.sql.types import DecimalType, NumericType
 from ledgerlens.functions.dates import month_label, month_start
 from ledgerlens.functions.numbers import money, money_sum
 from ledgerlens.functions.text import trim_text
+from ledgerlens.operators.quantiles import exact_quantiles
 from ledgerlens.operators.roles import tax_amount_columns
 from ledgerlens.session import materialize
 
 
 def revenue_summary(df: DataFrame, value_col: str = "revenue") -> DataFrame:
-    """A1: total, mean, median (interpolated), sample standard deviation."""
+    """A1: total, mean, median (interpolated, exact and distributed), sample standard deviation."""
     v = F.col(value_col)
+    med = exact_quantiles(df, value_col, [0.5])
     return df.agg(
         money_sum(value_col).alias("total"),
         F.round(F.sum(money(value_col)).cast("double") / F.count(v), 6).alias("mean"),
-        F.round(F.percentile(v, F.lit(0.5)), 6).alias("median"),
+        F.round(F.first(med.q0), 6).alias("median"),
         F.round(F.stddev_samp(v), 6).alias("std"),
     )
 

@@ -135,3 +135,19 @@ def test_calendar_pool_drops_days_past_month_end(spark):
     df = sales(spark, [("2024-01-10", "a", 1.0)])
     got = [r["date"].isoformat() for r in ts.calendar_pool(df, days=(5, 30)).orderBy("date").collect()]
     assert len(got) == 23 and "2024-02-05" in got and not any(g.startswith("2024-03-01") for g in got)
+
+
+def test_exact_quantiles_match_pandas(spark):
+    import random
+    pd = pytest.importorskip("pandas")
+    from ledgerlens.operators.quantiles import exact_quantiles
+    rnd = random.Random(11)
+    # a third of the rows share one value: it must not matter for the result
+    vals = [5.0 if i % 3 == 0 else rnd.random() * 1000 for i in range(1000)] + [None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    q = exact_quantiles(df, "x", [0.1, 0.25, 0.5, 0.75, 0.99], buckets=6)
+    got = tuple(spark.range(1).select(q.alias("q")).first()["q"])
+    s = pd.Series([v for v in vals if v is not None])
+    assert got == pytest.approx(tuple(s.quantile(p) for p in (0.1, 0.25, 0.5, 0.75, 0.99)), rel=1e-12)
+    empty = spark.createDataFrame([], "x double")
+    assert spark.range(1).select(exact_quantiles(empty, "x", [0.5]).q0).first()[0] is None
