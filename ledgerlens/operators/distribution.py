@@ -53,6 +53,7 @@ def _bins(values: DataFrame, col: str, n: int) -> DataFrame:
                .select(F.least(F.floor((v - lo) / width).cast("int"), F.lit(n - 1)).alias("bin"))
                .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
     frame = values.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
+    # broadcast bound: at most n rows (one per bin)
     return (frame.join(F.broadcast(counted), "bin", "left")
             .select("bin", (lo + F.col("bin") * width).alias("lo"), width.alias("w"),
                     F.coalesce(F.col("count"), F.lit(0)).cast("long").alias("count"),

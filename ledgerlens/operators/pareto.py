@@ -82,6 +82,7 @@ def cumulative_share(df: DataFrame, key_col: str, value_col: str,
         Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset_dec"))
     total = sums.agg(F.sum("bucket_dec")).scalar()
     w = Window.partitionBy("bucket").orderBy(*_order(key_col)).rowsBetween(Window.unboundedPreceding, 0)
+    # broadcast bound: one row per bucket (the bucket count is a parameter)
     running = (ranged.join(F.broadcast(offsets), "bucket")
                .select(key_col, "value_dec", (F.col("offset_dec") + F.sum("value_dec").over(w)).alias("cum_dec")))
     return running.select(

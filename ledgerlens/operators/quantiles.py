@@ -42,6 +42,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], buckets: in
         Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("off"))
     n = per_bucket.agg(F.sum("bc")).scalar()
     w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # broadcast bound: one row per bucket
     cum = ranged.join(F.broadcast(offsets), "b").select("v", "c", (F.col("off") + F.sum("c").over(w)).alias("cum"))
 
     def at_rank(r: Column) -> Column:

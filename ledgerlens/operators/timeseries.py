@@ -104,6 +104,7 @@ def seasonality(df: DataFrame, date_col: str = "date", value_col: str = "revenue
     agg = (df.filter(F.col(date_col).isNotNull() & F.col(value_col).isNotNull())
            .groupBy(F.month(date_col).alias("month_no")).agg(F.sum(money(value_col)).alias("revenue_dec")))
     months = spark.range(1, 13).select(F.col("id").cast("int").alias("month_no"))
+    # broadcast bound: at most 12 rows (one per calendar month)
     return (months.join(F.broadcast(agg), "month_no", "left")
             .select("month_no",
                     F.date_format(F.make_date(F.lit(2000), F.col("month_no"), F.lit(1)), "MMMM").alias("month_name"),
