@@ -108,3 +108,12 @@ def forecast_revenue(df: DataFrame, date_col: str, value_col: str, keys: Sequenc
         df = df.withColumn("_series", F.lit("all"))
         ks = ["_series"]
     return fit_forecast(monthly_series(df, date_col, value_col, ks), ks, steps)
+
+
+def series_coverage(series: DataFrame, keys: Sequence[str], min_points: int = MIN_POINTS) -> DataFrame:
+    """T2 report: how many keys were forecast and how many were dropped for
+    having fewer than ``min_points`` months (one row)."""
+    per_key = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("months"))
+    return per_key.agg(F.count(F.lit(1)).alias("keys_total"),
+                       F.count_if(F.col("months") >= min_points).alias("keys_forecast"),
+                       F.count_if(F.col("months") < min_points).alias("keys_dropped"))

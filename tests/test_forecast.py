@@ -52,3 +52,12 @@ def test_forecast_matches_numpy(spark):
 def test_short_series_dropped(spark):
     series = spark.createDataFrame([("k", dt.date(2020, m, 1), 1.0) for m in range(1, 6)], "k string, month_start date, y double")
     assert fc.fit_forecast(series, ["k"]).count() == 0
+
+
+def test_coverage_counts_dropped_keys(spark):
+    rows = [("short", dt.date(2020, m, 1), 1.0) for m in range(1, 5)] + \
+           [("long", dt.date(2020, m, 1), float(m)) for m in range(1, 10)]
+    series = spark.createDataFrame(rows, "k string, month_start date, y double")
+    r = fc.series_coverage(series, ["k"]).first()
+    assert (r["keys_total"], r["keys_forecast"], r["keys_dropped"]) == (2, 1, 1)
+    assert {x["k"] for x in fc.fit_forecast(series, ["k"]).collect()} == {"long"}
