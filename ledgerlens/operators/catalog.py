@@ -11,6 +11,7 @@ from pyspark.sql.types import NumericType
 from ledgerlens.functions.text import product_key, trim_text
 from ledgerlens.operators import roles as R
 from ledgerlens.operators.integrate import dedupe_first
+from ledgerlens.session import materialize
 
 UNKNOWN_PRODUCT = "Unknown Product"
 UNCATEGORIZED = "Uncategorized"
@@ -45,13 +46,20 @@ def enrich(txn: DataFrame, catalog: DataFrame, product_col: Optional[str] = None
     keeps the transaction row count; AQE chooses broadcast by measured size.
     """
     cat = build_catalog(catalog)
-    col = product_col or R.product_role_by_catalog(txn, cat.select("key"))
+    if product_col:
+        col = product_col
+        names = txn.select(F.col(col).cast("string").alias("_name")).filter(F.col("_name").isNotNull()).distinct()
+    else:
+        # the distinct text values serve both the column choice and the name
+        # map, so they are computed in one pass and written once
+        values = materialize(R.distinct_text_values(txn))
+        col = R.product_role_by_catalog(txn, cat.select("key"), values)
+        names = values.filter(F.col("column") == col).select(F.col("value").alias("_name")) if col else None
     if not col:
         return txn.withColumn("_product", F.lit(UNKNOWN_PRODUCT)).withColumn("_category", F.lit(UNCATEGORIZED))
     own = F.coalesce(trim_text(col), F.lit(UNKNOWN_PRODUCT))
-    # Normalise each distinct product text once, match it to the catalog,
-    # then join the (text -> catalog entry) map back on the raw text.
-    names = txn.select(F.col(col).cast("string").alias("_name")).filter(F.col("_name").isNotNull()).distinct()
+    # Each distinct product text is normalised once and matched to the
+    # catalog; the (text -> catalog entry) map is joined back on the raw text.
     cat = cat.select(F.col("key").alias("_pk"), F.col("product").alias("_cat_product"),
                      F.col("category").alias("_cat_category")).filter(F.col("_pk").isNotNull())
     # null-safe: no inferred `IS NOT NULL` filter gets pushed below the distinct
