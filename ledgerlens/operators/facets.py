@@ -106,7 +106,7 @@ def facets(sales: DataFrame, items: DataFrame, year: Optional[int] = None, custo
 
 def sort_facets(f: DataFrame) -> DataFrame:
     """U2 order for display: years numerically, text ignoring case (D8: `lower`)."""
-    return f.orderBy("facet", F.col("value").cast("int"), F.lower("value"), "value")
+    return f.orderBy("facet", F.col("value").try_cast("int"), F.lower("value"), "value")
 
 
 def report_options(df: DataFrame, date_col: str, customer_col: Optional[str]) -> DataFrame:
