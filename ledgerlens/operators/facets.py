@@ -23,12 +23,27 @@ def _active(value: Optional[str]) -> Optional[str]:
     return norm if norm and norm != "all" else None
 
 
+def year_range(df: DataFrame, date_col: str, years: Sequence[int]):
+    """`year(date) in years` as date ranges on the raw column.
+
+    `year()` cannot reach a Parquet scan; a range on the stored column can,
+    so row groups outside the years are skipped.  The literal takes the
+    column's own type so no cast wraps the column.
+    """
+    t = df.schema[date_col].dataType.simpleString()
+    cond = None
+    for y in sorted({int(v) for v in years}):
+        r = (F.col(date_col) >= F.lit(f"{y:04d}-01-01").cast(t)) & (F.col(date_col) < F.lit(f"{y + 1:04d}-01-01").cast(t))
+        cond = r if cond is None else (cond | r)
+    return cond
+
+
 def slice_items(items: DataFrame, year: Optional[int] = None, customer: Optional[str] = None,
-                product: Optional[str] = None) -> DataFrame:
+                product: Optional[str] = None, date_col: str = "date") -> DataFrame:
     """year =, customer = and product = on normalised text."""
     out = items
     if year is not None:
-        out = out.filter(F.col("_year") == int(year))
+        out = out.filter(year_range(out, date_col, [year]) & (F.col("_year") == int(year)))
     c = _active(customer)
     if c:
         out = out.filter(F.col("_customer_norm") == c)
@@ -48,11 +63,12 @@ def product_scope(items: DataFrame, year: Optional[int] = None, customer: Option
 
 
 def slice_sales(sales: DataFrame, items: Optional[DataFrame], year: Optional[int] = None,
-                customer: Optional[str] = None, product: Optional[str] = None) -> DataFrame:
+                customer: Optional[str] = None, product: Optional[str] = None,
+                date_col: str = "_date") -> DataFrame:
     """year =, customer = on normalised text, and the product scope as a semi-join."""
     out = sales
     if year is not None:
-        out = out.filter(F.col("_year") == int(year))
+        out = out.filter(year_range(out, date_col, [year]) & (F.col("_year") == int(year)))
     c = _active(customer)
     if c:
         out = out.filter(F.col("_customer_norm") == c)
@@ -69,7 +85,7 @@ def multi_slice(df: DataFrame, date_col: str, customer_col: Optional[str], years
     rows without a date are dropped.  Long lists become a semi-join."""
     out = df.filter(F.col(date_col).isNotNull())
     if years:
-        out = out.filter(F.year(date_col).isin([int(y) for y in years]))
+        out = out.filter(year_range(df, date_col, years) & F.year(date_col).isin([int(y) for y in years]))
     if customer_col and customers:
         values = list(customers)
         if len(values) <= 1000:
