@@ -87,3 +87,10 @@ def test_single_partition_only_on_reduced_data(spark, name):
     text = df._jdf.queryExecution().executedPlan().toString()
     for node in single_partition_inputs(text):
         assert node.startswith(REDUCERS), f"{name}: single-partition exchange over {node[:80]}"
+
+
+def test_year_slice_reaches_scan_as_date_range(spark):
+    p = plan(E.queries()["sales_slice"](spark, SMALL))
+    assert "GreaterThanOrEqual(o_orderdate,1997-01-01T00:00)" in p and "LessThan(o_orderdate,1998-01-01T00:00)" in p
+    p = plan(E.queries()["item_slice"](spark, SMALL))
+    assert "GreaterThanOrEqual(l_shipdate,1997-01-01T00:00)" in p
