@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -46,9 +45,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names this folder (it must be on shared storage).  Only when it is
-    unset on a local master, as in tests, a scratch folder is created here; on
-    a cluster an unset folder is an error.
+    A cluster names this folder (it must be on shared storage).  Where the
+    setting is absent on a local master, the folder lies in the warehouse; on a
+    cluster its absence is an error.
     """
     try:
         sc = spark.sparkContext
@@ -62,7 +61,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not str(sc.master).startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a folder on shared storage; "
                              "a machine-local folder cannot hold checkpoints on a cluster.")
-        configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

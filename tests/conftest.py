@@ -11,7 +11,8 @@ sys.path.insert(0, ROOT)
 @pytest.fixture(scope="session")
 def spark():
     from ledgerlens.session import get_session
-    s = get_session("local[4]", 4, app_name="ledgerlens-tests")
+    s = get_session("local[4]", 4, app_name="ledgerlens-tests",
+                    extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="ledgerlens-test-ckpt-")})
     yield s
     s.stop()
 
