@@ -10,10 +10,11 @@ concentration bounds.
 
 Equal sets are one class (one representative each).  Representatives that share
 a band are candidates.  Instead of all pairs of a band, its members are first
-checked against a few central members (those that share most bands with others);
-after merging what was linked, only pairs that still lie in different components
-are spelled out, and checked likewise.  Every link rests on an exact comparison
-of the full sets.
+checked against the central one (which shares most bands with others).  Members
+that this leaves apart are joined with all members of the bands of the same
+central one, over an inverted index of the full sets in blocks of bounded size;
+only links leave such a task.  Every link rests on an exact comparison of the full
+sets.
 
 With 40 bands of 6 rows a pair at similarity 0.8 is missed with probability
 5e-6, less above.
@@ -40,7 +41,8 @@ from ledgerlens.llm.words import chain, hashed_words, mix, text_chunks
 SHINGLE = 5
 SIMILARITY = 80   # per cent
 BANDS, ROWS = 40, 6
-CENTERS = 3
+#: Shingles of a block of documents that are joined in one task.
+BLOCK_SHINGLES = 1_000_000
 
 
 def shingle_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,24 +129,71 @@ def verify(pairs: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataF
     return both.select("u", "v", "text_u", "text_v").mapInArrow(_verified(n, similarity), "u long, v long")
 
 
-def _pairs(left: DataFrame, right: DataFrame, similarity: int, *conditions) -> DataFrame:
-    """Distinct (u, v) of members of one band (rep, n | rep_2, n_2) whose sizes allow the similarity."""
-    pairs = left.join(right, "band").where("rep <> rep_2")
-    for condition in (f"100 * least(n, n_2) >= {similarity} * greatest(n, n_2)", *conditions):
-        pairs = pairs.where(condition)
-    return pairs.select(F.greatest("rep", "rep_2").alias("u"), F.least("rep", "rep_2").alias("v")).distinct()
-
-
-def _central(member: DataFrame, centers: int) -> DataFrame:
-    """The members of each band that share most bands with others."""
+def _central(member: DataFrame) -> DataFrame:
+    """The member of each band that shares most bands with others."""
     weight = member.groupBy("rep").agg(F.sum("size").alias("weight"))
     order = Window.partitionBy("band").orderBy(F.desc("weight"), "rep")
-    return (member.join(weight, "rep").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= centers)
-            .select("band", F.col("rep").alias("rep_2"), F.col("n").alias("n_2")))
+    return (member.join(weight, "rep").withColumn("rank", F.row_number().over(order)).where("rank = 1")
+            .select("band", F.col("rep").alias("center"), F.col("n").alias("center_n")))
+
+
+def _between_blocks(n: int, similarity: int):
+    """Links of one block of single members against one block of all: an exact join over an inverted index."""
+    def run(table: pa.Table) -> pa.Table:
+        single = np.asarray(table.column("single"))
+        sets = []
+        for own in (table.filter(pa.array(single)), table.filter(pa.array(~single))):
+            elements, first = shingle_sets(own.column("text"), n)
+            sets.append((elements, first, np.asarray(own.column("rep"), np.int64), np.asarray(own.column("component"), np.int64)))
+        (x, fx, ids, parts), (y, fy, others, other_parts) = sets
+        order = np.argsort(y, kind="stable")
+        terms, owner, size = y[order], np.repeat(np.arange(len(others)), np.diff(fy))[order], np.diff(fy)
+        u, v = [], []
+        for i in range(len(ids)):
+            own = x[fx[i]:fx[i + 1]]
+            low, high = np.searchsorted(terms, own), np.searchsorted(terms, own, side="right")
+            count = high - low
+            at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(others))
+            linked = (both > 0) & (100 * both >= similarity * (len(own) + size - both)) & (other_parts != parts[i])
+            # one link to each other component is enough
+            _, one = np.unique(other_parts[linked], return_index=True)
+            found = others[linked][one]
+            u += [ids[i]] * len(found)
+            v += found.tolist()
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _remaining_links(member: DataFrame, central: DataFrame, linked: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataFrame:
+    """Links between members of one band that the comparison with its central member left in different components.
+
+    All bands with the same central member make one cluster.  Its single members
+    (not linked to the central one) meet all members, in blocks of bounded size.
+    """
+    placed = member.join(linked.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    heads = central.join(mixed, "band", "left_semi").select("band", "center")
+    main = linked.select(F.col("id").alias("center"), F.col("component").alias("main"))
+    cluster = (placed.join(heads, "band").select("center", "rep", "n", "component").distinct()
+               .join(main, "center", "left").withColumn("single", F.col("component") != F.coalesce("main", "center")).drop("main"))
+    cluster = written(cluster, "clusters")
+    blocks = cluster.groupBy("center").agg(
+        F.ceil(F.sum(F.when(F.col("single"), F.col("n"))) / BLOCK_SHINGLES).cast("int").alias("singles"),
+        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("all"))
+    own = cluster.join(blocks, "center").withColumn("hash", F.xxhash64("rep"))
+    one = own.where("single").withColumn("a", F.expr("int(pmod(hash, singles))")).withColumn("b", F.explode(F.expr("sequence(0, all - 1)")))
+    two = (own.where("singles > 0").withColumn("b", F.expr("int(pmod(hash, all))"))
+           .withColumn("a", F.explode(F.expr("sequence(0, singles - 1)"))).withColumn("single", F.lit(False)))
+    columns = ["center", "a", "b", "single", "rep", "component"]
+    both = one.select(columns).unionByName(two.select(columns))
+    return (both.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").groupBy("center", "a", "b")
+            .applyInArrow(_between_blocks(n, similarity), "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY,
-                    bands: int = BANDS, rows: int = ROWS, centers: int = CENTERS) -> DataFrame:
+                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per document of (doc_id, text): n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(docs.mapInArrow(_signatures(shingle, bands, rows),
@@ -155,18 +204,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
               .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     member = written(banded.join(shared, "band").distinct(), "members")
-    texts = written(docs.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+    central = written(_central(member), "central")
+    texts = written(docs.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+                    .dropDuplicates(["doc_id"]), "texts")
 
-    stars = written(_pairs(member, _central(member, centers), similarity), "stars")
+    stars = (member.join(central, "band").where("rep <> center")
+             .where(f"100 * least(n, center_n) >= {similarity} * greatest(n, center_n)")
+             .select(F.greatest("rep", "center").alias("u"), F.least("rep", "center").alias("v")).distinct())
     links = written(verify(stars, texts, shingle, similarity), "links")
-    placed = (member.join(components(links).withColumnRenamed("id", "rep"), "rep", "left")
-              .withColumn("component", F.coalesce("component", "rep")))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    apart = placed.join(mixed, "band", "left_semi").select("band", "rep", "n", "component")
-    rest = _pairs(apart, apart.toDF("band", "rep_2", "n_2", "component_2"), similarity,
-                  "rep > rep_2", "component <> component_2").join(stars, ["u", "v"], "left_anti")
-    links = links.unionByName(verify(rest, texts, shingle, similarity))
-    linked = components(links)
+    rest = _remaining_links(member, central, written(components(links), "linked"), texts, shingle, similarity)
+    linked = components(links.unionByName(rest))
 
     found = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component"))

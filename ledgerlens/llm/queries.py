@@ -1,8 +1,18 @@
 """The registered corpus queries and, where SQL can express one, its DuckDB twin."""
 
 from ledgerlens.llm.decontaminate import op10_decontaminate
+from ledgerlens.llm.lm import op2_lm_score
+from ledgerlens.llm.neardup import op5_near_duplicates
+from ledgerlens.llm.packing import op1_pack
+from ledgerlens.llm.secret_scan import op9_secrets
+from ledgerlens.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_pack": op1_pack,
+    "op2_lm_score": op2_lm_score,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op7_toxicity": op7_toxicity,
+    "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
 

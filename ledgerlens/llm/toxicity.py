@@ -205,11 +205,9 @@ def _scores(chunk, model: Model):
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Per document of (doc_id, text): score, predicted and its toxic passages (code points begin:end)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
         for chunk in text_chunks(batches, "text"):
-            score, spans = zip(*_scores(chunk, sent.value))
+            score, spans = zip(*_scores(chunk, model))
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("doc_id"), pa.array(score), pa.array([int(s >= 0.5) for s in score], pa.int32()),
                  pa.array([len(s) for s in spans], pa.int32()), pa.array([",".join(s) for s in spans])],
@@ -220,11 +218,9 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents, all columns, that the model doesn't call toxic."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
         for chunk in text_chunks(batches, "text"):
-            yield chunk.filter(pa.array([score < 0.5 for score, _ in _scores(chunk, sent.value)], pa.bool_()))
+            yield chunk.filter(pa.array([score < 0.5 for score, _ in _scores(chunk, model)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
