@@ -42,7 +42,7 @@ SHINGLE = 5
 SIMILARITY = 80   # per cent
 BANDS, ROWS = 40, 6
 #: Shingles of a block of documents that are joined in one task.
-BLOCK_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 200_000
 
 
 def shingle_sets(column, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,16 +4,26 @@ from ledgerlens.llm.decontaminate import op10_decontaminate
 from ledgerlens.llm.lm import op2_lm_score
 from ledgerlens.llm.neardup import op5_near_duplicates
 from ledgerlens.llm.packing import op1_pack
+from ledgerlens.llm.pii import op4_pii
+from ledgerlens.llm.quality import op3_quality
+from ledgerlens.llm.rollup import op6_token_rollup
 from ledgerlens.llm.secret_scan import op9_secrets
 from ledgerlens.llm.toxicity import op7_toxicity
+from ledgerlens.llm.url_sql import URL_FILTER
+from ledgerlens.llm.urls import op8_url_filter
 
 QUERIES = {
     "op1_pack": op1_pack,
     "op2_lm_score": op2_lm_score,
+    "op3_quality": op3_quality,
+    "op4_pii": op4_pii,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_token_rollup": op6_token_rollup,
     "op7_toxicity": op7_toxicity,
+    "op8_url_filter": op8_url_filter,
     "op9_secrets": op9_secrets,
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE: dict[str, str] = {}
+#: The others learn models, sketch or tokenise; tests/llm holds them against brute force.
+ORACLE = {"op8_url_filter": URL_FILTER}

@@ -171,10 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, calibration: Colum
               .withColumn("calibration", calibration).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     cells = (known.where(~F.col("calibration")).select("toxic", "text").mapInArrow(_count_cells, "cell long, clean long, toxic long")
-             .groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))).toPandas()  # 2^BITS rows at most
+             .groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))).toArrow()  # 2^BITS rows at most
     clean, toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
-    clean[cells["cell"].to_numpy(np.int64)] = cells["clean"]
-    toxic[cells["cell"].to_numpy(np.int64)] = cells["toxic"]
+    clean[np.asarray(cells["cell"])] = np.asarray(cells["clean"])
+    toxic[np.asarray(cells["cell"])] = np.asarray(cells["toxic"])
     scores = (log_odds(clean, toxic) - DRIFT).astype(np.float32)
     model = Model(scores, tail_rate(scores.astype(float), clean), 0.0, np.array([0.0, 1.0, 1.0]))
 
