@@ -8,5 +8,5 @@ from ledgerlens.functions.numbers import (  # noqa: F401
     MONEY, lenient_number, strict_number, money, money_sum, pct, round6,
 )
 from ledgerlens.functions.dates import (  # noqa: F401
-    DAYFIRST_FORMATS, parse_dayfirst, parse_iso, month_label, month_start, add_time_features,
+    parse_dayfirst, parse_iso, month_label, month_start, add_time_features,
 )

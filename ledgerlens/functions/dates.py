@@ -6,45 +6,64 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
-# Accepted day-first text forms, tried in this order, each with
-# the text shape it can match.  ISO stays year-month-day; the rest read the day
-# first.  The shape test is a cheap regex that keeps the parser (which fails
-# by throwing) away from text that cannot fit.
-DAYFIRST_FORMATS = [
-    ("yyyy-MM-dd", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"),
-    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("d-MMM-yyyy", r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"),
-    ("d-MMM-yy", r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"),
-]
+# Month names.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+          "november", "december"]
+
+_TIME = r"([T ]+\d{1,2}:\d{1,2}(:\d{1,2}([.]\d+)?)?)?$"
+#: Year, month, day; and day, month (a number or a name), year of four or two digits; each with an optional time.
+YEAR_FIRST = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}" + _TIME
+DAY_FIRST = r"^\d{1,2}[-/. ]+(\d{1,2}|[A-Za-z]{3,9})[-/. ,]+(\d{4}|\d{2})" + _TIME
+_BREAKS = r"[-/. ,:]+|(?<=\d)T(?=\d)"
+# Two-digit years from this on are of the 1900s.
+PIVOT = 69
 
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _month(part: Column) -> Column:
+    low = F.lower(part)
+    names = F.array_position(F.array(*map(F.lit, MONTHS)), low)
+    short = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), low)
+    return F.coalesce(part.try_cast("int"), F.nullif(names, F.lit(0)).cast("int"), F.nullif(short, F.lit(0)).cast("int"),
+                      F.when(low == "sept", F.lit(9)))
+
+
+def _moment(parts: Column, year: Column, month: Column, day: Column) -> Column:
+    """A wall-clock time, without a zone on the way; null where there is no such day or hour."""
+    number = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("int"), F.lit(0))
+    return F.try_make_timestamp_ntz(year, month, day, number(3), number(4), number(5).cast("decimal(8,6)"))
+
+
+def _year_first(text: Column) -> Column:
+    parts = F.split(text, _BREAKS)
+    at = lambda i: F.get(parts, F.lit(i)).try_cast("int")
+    return F.when(text.rlike(YEAR_FIRST), _moment(parts, at(0), at(1), at(2)))
+
+
 def parse_dayfirst(col, dtype=None) -> Column:
-    """Lenient day-first parse to timestamp; null when no format fits.
+    """Lenient day-first parse to a wall-clock timestamp; null when no form fits.
 
-    Columns that already hold dates or timestamps pass through (pass ``dtype``).
+    Forms: year-month-day, and day-month-year with a number or a name as the
+    month and a year of four or two digits, separated by `-`, `/`, `.` or (with
+    a name) spaces, each with an optional time.  Columns that already hold
+    dates or timestamps pass through (pass ``dtype``).
     """
-    if isinstance(dtype, (TimestampType, TimestampNTZType)):
-        return _c(col).cast("timestamp_ntz")
-    if isinstance(dtype, DateType):
+    if isinstance(dtype, (TimestampType, TimestampNTZType, DateType)):
         return _c(col).cast("timestamp_ntz")
-    s = _c(col).cast("string")
-    return F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f)))
-                        for f, shape in DAYFIRST_FORMATS]).cast("timestamp_ntz")
+    text = F.trim(_c(col).cast("string"))
+    parts = F.split(text, _BREAKS)
+    year = F.get(parts, F.lit(2)).try_cast("int")
+    full = F.when(F.length(F.get(parts, F.lit(2))) > 2, year).when(year >= PIVOT, year + 1900).otherwise(year + 2000)
+    day_first = _moment(parts, full, _month(F.get(parts, F.lit(1))), F.get(parts, F.lit(0)).try_cast("int"))
+    return F.coalesce(_year_first(text), F.when(text.rlike(DAY_FIRST), day_first))
 
 
 def parse_iso(col, dtype=None) -> Column:
-    """ISO (year first) parse, null when invalid."""
-    if isinstance(dtype, (TimestampType, TimestampNTZType, DateType)):
-        return _c(col).cast("timestamp_ntz")
-    s = _c(col).cast("string")
-    return F.coalesce(*[F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(f)))
-                        for f, shape in DAYFIRST_FORMATS[:2]]).cast("timestamp_ntz")
+    """Year-first parse (also of the day-first forms with an unmistakable year), null when invalid."""
+    return parse_dayfirst(col, dtype)
 
 
 def month_start(col) -> Column:

@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Money is summed as DECIMAL so totals are exact and independent of the order
-# partitions are combined in; results are cast to double at the edge.
-MONEY = "decimal(18,2)"
+# partitions are combined in; results are cast to double at the edge.  Ten
+# decimal places hold prices times quantities unrounded, and 28 digits before
+# the point any total; NaN counts as missing.
+MONEY = "decimal(38,10)"
+
+# The whole text is a number; Java's own suffixes (1d, 2.5f) are not.
+NUMBER_SHAPE = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
 def _c(col) -> Column:
@@ -25,11 +30,12 @@ def lenient_number(col) -> Column:
 
 def strict_number(col) -> Column:
     """Null unless the whole (trimmed) text is a number."""
-    return _c(col).try_cast("double")
+    text = _c(col).cast("string")
+    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
 
 
 def money(col) -> Column:
-    return _c(col).cast(MONEY)
+    return _c(col).try_cast(MONEY)
 
 
 def money_sum(col) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ledgerlens.functions.numbers import money, strict_number
 from ledgerlens.functions.text import product_key, trim_text
 from ledgerlens.operators import roles as R
 from ledgerlens.operators.integrate import dedupe_first
@@ -15,8 +16,6 @@ from ledgerlens.session import materialize
 
 UNKNOWN_PRODUCT = "Unknown Product"
 UNCATEGORIZED = "Uncategorized"
-# catalog values are summed exactly at this scale, then reported as double
-VALUE_DEC = "decimal(38,6)"
 
 
 def build_catalog(catalog: DataFrame, order_col: str = "_row_id") -> DataFrame:
@@ -41,31 +40,18 @@ def build_catalog(catalog: DataFrame, order_col: str = "_row_id") -> DataFrame:
 def enrich(txn: DataFrame, catalog: DataFrame, product_col: Optional[str] = None) -> DataFrame:
     """Add `_product` and `_category` to transactions from the catalog.
 
-    The transaction product column is found by catalog overlap (R14, one
-    job) unless given.  The catalog side is de-duplicated, so the left join
-    keeps the transaction row count; AQE chooses broadcast by measured size.
+    The transaction product column is found by catalog overlap (R14, one job)
+    unless given; with an empty catalog, by its name (R8).  The catalog side is
+    de-duplicated, so the left join keeps the transaction row count, and it is
+    the join's small side: Spark broadcasts it below its size threshold.
     """
     cat = build_catalog(catalog)
-    if product_col:
-        col = product_col
-        names = txn.select(F.col(col).cast("string").alias("_name")).filter(F.col("_name").isNotNull()).distinct()
-    else:
-        # the distinct text values serve both the column choice and the name
-        # map, so they are computed in one pass and written once
-        values = materialize(R.distinct_text_values(txn))
-        col = R.product_role_by_catalog(txn, cat.select("key"), values)
-        names = values.filter(F.col("column") == col).select(F.col("value").alias("_name")) if col else None
+    col = product_col or R.product_role_by_catalog(txn, cat.select("key"))
     if not col:
         return txn.withColumn("_product", F.lit(UNKNOWN_PRODUCT)).withColumn("_category", F.lit(UNCATEGORIZED))
     own = F.coalesce(trim_text(col), F.lit(UNKNOWN_PRODUCT))
-    # Each distinct product text is normalised once and matched to the
-    # catalog; the (text -> catalog entry) map is joined back on the raw text.
-    cat = cat.select(F.col("key").alias("_pk"), F.col("product").alias("_cat_product"),
-                     F.col("category").alias("_cat_category")).filter(F.col("_pk").isNotNull())
-    # null-safe: no inferred `IS NOT NULL` filter gets pushed below the distinct
-    mapping = (names.select("_name", product_key("_name").alias("_nk"))
-               .join(cat, F.col("_nk").eqNullSafe(F.col("_pk")), "inner").drop("_pk", "_nk"))
-    j = txn.join(mapping, F.col(col).cast("string") == F.col("_name"), "left")
+    cat = cat.select(F.col("key").alias("_pk"), F.col("product").alias("_cat_product"), F.col("category").alias("_cat_category"))
+    j = txn.join(cat, product_key(col) == F.col("_pk"), "left")
     p = trim_text(F.coalesce(F.col("_cat_product"), own))
     c = trim_text(F.coalesce(F.col("_cat_category"), F.lit(UNCATEGORIZED)))
     return j.select(*[F.col(f"`{x}`") for x in txn.columns],
@@ -73,27 +59,26 @@ def enrich(txn: DataFrame, catalog: DataFrame, product_col: Optional[str] = None
                     F.when(c == "", F.lit(UNCATEGORIZED)).otherwise(c).alias("_category"))
 
 
-def _exact(col: str):
-    return F.col(col).cast("double").cast(VALUE_DEC)
-
-
 def product_ranking(df: DataFrame, n: int = 10, key: str = "_product", value: str = "_revenue") -> DataFrame:
     """Top n products by revenue (ties: name ascending)."""
-    agg = df.groupBy(key).agg(F.sum(_exact(value)).alias("v"))
+    agg = df.groupBy(key).agg(F.sum(money(value)).alias("v"))
     return (agg.orderBy(F.col("v").desc(), F.col(key).asc_nulls_first()).limit(n)
             .select(F.col(key).alias("product"), F.col("v").cast("double").alias("revenue")))
 
 
 def category_revenue(df: DataFrame, key: str = "_category", value: str = "_revenue") -> DataFrame:
     """Revenue per enriched category."""
-    return df.groupBy(key).agg(F.sum(_exact(value)).cast("double").alias("revenue")) \
+    return df.groupBy(key).agg(F.sum(money(value)).cast("double").alias("revenue")) \
         .select(F.col(key).alias("category"), "revenue")
 
 
 def product_contribution(df: DataFrame, n: int = 10, key: str = "_product", value: str = "_revenue") -> DataFrame:
     """Top n products with % of *all* revenue, rounded to 2 places."""
-    total = df.agg(F.sum(_exact(value)).cast("double")).scalar()
-    top = product_ranking(df, n, key, value)
+    # the total comes from the per-product sums: one pass over the rows
+    agg = materialize(df.groupBy(key).agg(F.sum(money(value)).alias("v")))
+    total = agg.agg(F.sum("v").cast("double")).scalar()
+    top = (agg.orderBy(F.col("v").desc(), F.col(key).asc_nulls_first()).limit(n)
+           .select(F.col(key).alias("product"), F.col("v").cast("double").alias("revenue")))
     return top.select("product", "revenue",
                       F.when(F.coalesce(total, F.lit(0.0)) == 0, F.lit(0.0))
                       .otherwise(F.round(F.col("revenue") / total * 100.0, 2)).alias("contribution_pct"))
@@ -101,7 +86,7 @@ def product_contribution(df: DataFrame, n: int = 10, key: str = "_product", valu
 
 def _catalog_value(catalog: DataFrame, value_col: str):
     t = catalog.schema[value_col].dataType
-    v = F.col(value_col).cast("double") if isinstance(t, NumericType) else F.col(value_col).try_cast("double")
+    v = F.col(value_col).cast("double") if isinstance(t, NumericType) else strict_number(value_col)
     return F.coalesce(v, F.lit(0.0))
 
 
@@ -111,7 +96,7 @@ def catalog_top(catalog: DataFrame, n: int = 10, value_col: Optional[str] = None
     value_col = value_col or R.catalog_value_role(catalog)
     if not prod or not value_col:
         return catalog.sparkSession.createDataFrame([], "product string, revenue double, source string, metric string")
-    rows = catalog.select(trim_text(prod).alias("product"), _catalog_value(catalog, value_col).cast(VALUE_DEC).alias("v"))
+    rows = catalog.select(trim_text(prod).alias("product"), money(_catalog_value(catalog, value_col)).alias("v"))
     agg = rows.filter(F.col("product").isNotNull()).groupBy("product").agg(F.sum("v").alias("v"))
     return (agg.orderBy(F.col("v").desc(), F.col("product").asc()).limit(n)
             .select("product", F.col("v").cast("double").alias("revenue"),
@@ -125,7 +110,7 @@ def catalog_by_category(catalog: DataFrame, value_col: Optional[str] = None) ->
     if not cat or not value_col or not R.product_role(catalog.columns):
         return catalog.sparkSession.createDataFrame([], "category string, revenue double, source string, metric string")
     rows = catalog.select(F.coalesce(trim_text(cat), F.lit(UNCATEGORIZED)).alias("category"),
-                          _catalog_value(catalog, value_col).cast(VALUE_DEC).alias("v"))
+                          money(_catalog_value(catalog, value_col)).alias("v"))
     return rows.groupBy("category").agg(F.sum("v").cast("double").alias("revenue")).select(
         "category", "revenue", F.lit("catalog").alias("source"), F.lit(value_col).alias("metric"))
 
@@ -133,7 +118,7 @@ def catalog_by_category(catalog: DataFrame, value_col: Optional[str] = None) ->
 def catalog_contribution(catalog: DataFrame, n: int = 10, value_col: Optional[str] = None) -> DataFrame:
     """Top n catalog products with % of the *top-n subtotal* (2 places)."""
     top = catalog_top(catalog, n, value_col)
-    sub = top.agg(F.sum(F.col("revenue").cast(VALUE_DEC)).cast("double")).scalar()
+    sub = top.agg(F.sum(money("revenue")).cast("double")).scalar()
     return top.select("product", "revenue",
                       F.when(F.coalesce(sub, F.lit(0.0)) == 0, F.lit(0.0))
                       .otherwise(F.round(F.col("revenue") / sub * 100.0, 2)).alias("contribution_pct"),

@@ -8,6 +8,7 @@ plan's schema must be known up front.  Everything after it is one lazy plan.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from fractions import Fraction
 from typing import Optional
 
 from pyspark.sql import DataFrame
@@ -52,13 +53,14 @@ def trim_all_text(df: DataFrame) -> DataFrame:
 def numeric_ratios(df: DataFrame, columns: Optional[list[str]] = None) -> DataFrame:
     """C4 profile: share of all rows whose text parses under C2 (nulls count against).
 
-    One aggregate over every column; output (column, ratio) rounded to 6.
+    One aggregate over every column; output (column, ratio) rounded to 6 for
+    display; null on an empty frame.
     """
     cols = columns if columns is not None else R.text_columns(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, ratio double")
     n = F.count(F.lit(1))
-    exprs = [F.round(F.count_if(lenient_number(c).isNotNull()).cast("double") / n, 6).alias(f"r{i}")
+    exprs = [F.round(F.try_divide(F.count_if(lenient_number(c).isNotNull()).cast("double"), n), 6).alias(f"r{i}")
              for i, c in enumerate(cols)]
     wide = df.agg(*exprs)
     return wide.select(F.explode(F.array(*[
@@ -68,16 +70,22 @@ def numeric_ratios(df: DataFrame, columns: Optional[list[str]] = None) -> DataFr
 
 def promote_numeric(df: DataFrame, threshold: float = PROMOTE_THRESHOLD,
                     protect: tuple = ()) -> tuple[DataFrame, list[str]]:
-    """C4: text columns where >= 80 % of rows parse become numeric (one job)."""
+    """C4: text columns where >= 80 % of rows parse become numeric (one job);
+    none on an empty frame."""
     cands = [c for c in R.text_columns(df) if c not in protect]
     if not cands:
         return df, []
-    ratios = {r["column"]: r["ratio"] for r in numeric_ratios(df, cands).collect()}
-    promoted = [c for c in cands if ratios.get(c) is not None and ratios[c] >= threshold]
+    counts = df.agg(F.count(F.lit(1)), *[F.count_if(lenient_number(c).isNotNull()) for c in cands]).first()
+    promoted = [c for c, parsed in zip(cands, counts[1:]) if reaches(parsed, counts[0], threshold)]
     out = df.select(*[lenient_number(c).alias(c) if c in promoted else F.col(f"`{c}`") for c in df.columns])
     return out, promoted
 
 
+def reaches(parsed: int, rows: int, threshold: float = PROMOTE_THRESHOLD) -> bool:
+    """Whether parsed / rows >= threshold, compared exactly (never on no rows)."""
+    return rows > 0 and parsed >= Fraction(str(threshold)) * rows
+
+
 def impute_medians(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Fill nulls of each column with its median (an all-null column stays null).
 
@@ -130,9 +138,9 @@ def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = Fals
     date_c, rev_c = R.date_role(cols), R.revenue_role(cols)
     cust_c, gst_c = R.customer_role(cols), R.gstin_role(cols)
     if not date_c:
-        raise ValueError("Could not detect a date column in the sales data.")
+        raise ValueError(f"No date column among {cols}.")
     if not rev_c:
-        raise ValueError("Could not detect a revenue column in the sales data.")
+        raise ValueError(f"No revenue column among {cols}.")
     df = df.withColumn(date_c, parse_dayfirst(date_c, df.schema[date_c].dataType))
     protect = (date_c,) if compat else tuple(c for c in (date_c, cust_c, gst_c) if c)
     cands = [c for c in R.text_columns(df) if c not in protect]
@@ -145,18 +153,17 @@ def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = Fals
         ensure_checkpoint_dir(staged.sparkSession)
         staged = staged.checkpoint(eager=True)
     # profile: promotion ratios plus the revenue sanity check, one aggregate
-    n = F.count(F.lit(1))
     kept_row = F.col(date_c).isNotNull() & F.col("__rev").isNotNull()
     already = [f.name for f in df.schema.fields
                if isinstance(f.dataType, NumericType) and f.name not in R.SYSTEM_COLUMNS and f.name != rev_c]
-    prof = staged.agg(*([F.count_if(F.col(f"__num{i}").isNotNull()).cast("double") / n for i in range(len(cands))]
-                        + [F.count_if(F.col("__rev").isNotNull()).alias("rev_ok")]
+    prof = staged.agg(*([F.count_if(F.col(f"__num{i}").isNotNull()) for i in range(len(cands))]
+                        + [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("__rev").isNotNull()).alias("rev_ok")]
                         + [F.count_if(kept_row & F.col(f"__num{i}").isNull()).alias(f"miss{i}") for i in range(len(cands))]
                         + [F.count_if(kept_row & F.col(f"`{c}`").isNull()).alias(f"missn{j}") for j, c in enumerate(already)]
                         )).collect()[0]
-    promoted = [c for i, c in enumerate(cands) if prof[i] is not None and prof[i] >= PROMOTE_THRESHOLD]
+    promoted = [c for i, c in enumerate(cands) if reaches(prof[i], prof["rows"])]
     if not prof["rev_ok"]:
-        raise ValueError("Detected revenue column could not be converted to numeric values.")
+        raise ValueError(f"No value of the revenue column {rev_c!r} is a number ({prof['rows']} rows read).")
     num_of = {c: f"__num{i}" for i, c in enumerate(cands)}
     df = staged.select(*[F.col(num_of[c]).alias(c) if c in promoted
                          else (F.col("__rev").alias(c) if c == rev_c else F.col(f"`{c}`")) for c in cols])

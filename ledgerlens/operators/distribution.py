@@ -34,7 +34,7 @@ def distribution(df: DataFrame, value_col: str = "revenue") -> DataFrame:
 def high_value_share(df: DataFrame, value_col: str = "revenue", threshold: float = HIGH_VALUE_THRESHOLD) -> DataFrame:
     """% of rows at or above the threshold."""
     v = F.col(value_col)
-    return df.agg(F.round(F.count_if(v >= threshold).cast("double") / F.count(v) * 100.0, 6).alias("high_value_pct"))
+    return df.agg(F.round(F.try_divide(F.count_if(v >= threshold).cast("double"), F.count(v)) * 100.0, 6).alias("high_value_pct"))
 
 
 def _bins(values: DataFrame, col: str, n: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import literal_text_key, trim_text
+from ledgerlens.session import materialize
 
 
 def _active(value: Optional[str]) -> Optional[str]:
@@ -38,19 +39,15 @@ def year_range(df: DataFrame, date_col: str, years: Sequence[int]):
     return cond
 
 
+def _sliced(df: DataFrame, year: Optional[int], customer: Optional[str], product: Optional[str], date_col: str) -> DataFrame:
+    out = df if year is None else df.filter(year_range(df, date_col, [year]))
+    return out.filter(_fits(customer, product, year))
+
+
 def slice_items(items: DataFrame, year: Optional[int] = None, customer: Optional[str] = None,
                 product: Optional[str] = None, date_col: str = "date") -> DataFrame:
     """year =, customer = and product = on normalised text."""
-    out = items
-    if year is not None:
-        out = out.filter(year_range(out, date_col, [year]) & (F.col("_year") == int(year)))
-    c = _active(customer)
-    if c:
-        out = out.filter(F.col("_customer_norm") == c)
-    p = _active(product)
-    if p:
-        out = out.filter(F.col("_product_norm") == p)
-    return out
+    return _sliced(items, year, customer, product, date_col)
 
 
 def product_scope(items: DataFrame, year: Optional[int] = None, customer: Optional[str] = None,
@@ -66,12 +63,7 @@ def slice_sales(sales: DataFrame, items: Optional[DataFrame], year: Optional[int
                 customer: Optional[str] = None, product: Optional[str] = None,
                 date_col: str = "_date") -> DataFrame:
     """year =, customer = on normalised text, and the product scope as a semi-join."""
-    out = sales
-    if year is not None:
-        out = out.filter(year_range(out, date_col, [year]) & (F.col("_year") == int(year)))
-    c = _active(customer)
-    if c:
-        out = out.filter(F.col("_customer_norm") == c)
+    out = _sliced(sales, year, customer, None, date_col)
     if items is not None:
         scope = product_scope(items, year, customer, product)
         if scope is not None:
@@ -82,17 +74,12 @@ def slice_sales(sales: DataFrame, items: Optional[DataFrame], year: Optional[int
 def multi_slice(df: DataFrame, date_col: str, customer_col: Optional[str], years: Sequence[int] = (),
                 customers: Sequence[str] = ()) -> DataFrame:
     """year in a list and raw customer in a list; empty list = no filter;
-    rows without a date are dropped.  Long lists become a semi-join."""
+    rows without a date are dropped.  Values are compared as text."""
     out = df.filter(F.col(date_col).isNotNull())
     if years:
         out = out.filter(year_range(df, date_col, years) & F.year(date_col).isin([int(y) for y in years]))
     if customer_col and customers:
-        values = list(customers)
-        if len(values) <= 1000:
-            out = out.filter(F.col(customer_col).cast("string").isin(values))
-        else:
-            keys = df.sparkSession.createDataFrame([(v,) for v in values], "_sel string")
-            out = out.join(keys, F.col(customer_col).cast("string") == F.col("_sel"), "left_semi")
+        out = out.filter(F.col(customer_col).cast("string").isin([str(v) for v in customers]))
     return out
 
 
@@ -102,22 +89,50 @@ def _distinct_text(df: DataFrame, col: str) -> DataFrame:
     return df.select(v.alias("value")).filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
 
 
+def _fits(customer: Optional[str] = None, product: Optional[str] = None, year: Optional[int] = None):
+    """A condition on the derived columns; null arguments don't filter."""
+    cond = F.lit(True)
+    if _active(customer):
+        cond = cond & (F.col("_customer_norm") == _active(customer))
+    if _active(product):
+        cond = cond & (F.col("_product_norm") == _active(product))
+    if year is not None:
+        cond = cond & (F.col("_year") == int(year))
+    return cond
+
+
 def facets(sales: DataFrame, items: DataFrame, year: Optional[int] = None, customer: Optional[str] = None,
            product: Optional[str] = None) -> DataFrame:
     """(facet, value) rows; each list ignores its own filter and obeys the others.
 
     Years come from sales and items (U1); order is a presentation concern
-    (`sort_facets`), rows here are unordered.
+    (`sort_facets`), rows here are unordered.  The items are read once: each row
+    gives the values of the lists that it is in, and of the two product scopes
+    (J8); the sales once, as their distinct years and customers.  Both are the
+    size of dimensions and written, as several lists read them.
     """
-    ys = slice_sales(sales, items, None, customer, product).select("_year")
-    yi = slice_items(items, None, customer, product).select("_year")
-    years = ys.union(yi).filter(F.col("_year").isNotNull()).distinct() \
-        .select(F.lit("year").alias("facet"), F.col("_year").cast("string").alias("value"))
-    custs = _distinct_text(slice_sales(sales, items, year, None, product), "_customer") \
+    name = F.nullif(trim_text(F.col("_product").cast("string")), F.lit(""))
+    tags = [("year", _fits(customer, product), F.col("_year").cast("string")), ("product", _fits(customer, None, year), name)]
+    if _active(product):
+        tags += [("scope", _fits(customer, product), F.col("_customer_norm")),
+                 ("year_scope", _fits(None, product, year), F.col("_customer_norm"))]
+    tagged = materialize(
+        items.select(F.explode(F.array(*[F.struct(F.lit(t).alias("facet"), F.when(cond, v).alias("value"))
+                                         for t, cond, v in tags])).alias("t")).select("t.*")
+        .filter(F.col("value").isNotNull()).distinct())
+    sold = materialize(sales.select("_year", "_customer", "_customer_norm").distinct())
+
+    def scoped(rows: DataFrame, scope: str) -> DataFrame:
+        if not _active(product):
+            return rows
+        return rows.join(tagged.filter(F.col("facet") == scope).select(F.col("value").alias("_customer_norm")), "_customer_norm", "left_semi")
+
+    ys = scoped(sold.filter(_fits(customer)), "scope").filter(F.col("_year").isNotNull()).select(
+        F.lit("year").alias("facet"), F.col("_year").cast("string").alias("value"))
+    years = ys.unionByName(tagged.filter(F.col("facet") == "year")).distinct()
+    custs = _distinct_text(scoped(sold.filter(_fits(None, None, year)), "year_scope"), "_customer") \
         .select(F.lit("customer").alias("facet"), "value")
-    prods = _distinct_text(slice_items(items, year, customer, None), "_product") \
-        .select(F.lit("product").alias("facet"), "value")
-    return years.unionByName(custs).unionByName(prods)
+    return years.unionByName(custs).unionByName(tagged.filter(F.col("facet") == "product"))
 
 
 def sort_facets(f: DataFrame) -> DataFrame:

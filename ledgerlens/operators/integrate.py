@@ -29,17 +29,16 @@ def choose_join_keys(left_cols, right_cols, left_gstin: Optional[str] = None,
 
 
 def dedupe_first(df: DataFrame, key_col: str, order_col: str = ORDER) -> DataFrame:
-    """Drop null keys, keep the first row per key by ``order_col``.
+    """Drop null keys, keep the first row per key by ``order_col`` (unique).
 
-    `min_by(struct(all), order)` is an ordinary aggregate, so it runs partial
-    (map-side) then final: a key holding a third of all rows costs one row
-    per task before the shuffle, and no sort is needed.
+    The smallest order value of each key is a hash aggregate of two columns
+    with a map-side part, so a key holding a third of all rows costs one row
+    per task before the shuffle; a semi-join then picks these rows whole.
     """
+    rows = df.filter(F.col(key_col).isNotNull())
+    first = rows.groupBy(key_col).agg(F.min(order_col).alias(order_col))
     others = [c for c in df.columns if c != key_col]
-    packed = F.struct(*[F.col(f"`{c}`") for c in others])
-    first = (df.filter(F.col(key_col).isNotNull())
-             .groupBy(key_col).agg(F.min_by(packed, F.col(order_col)).alias("_first")))
-    return first.select(key_col, *[F.col("_first").getField(c).alias(c) for c in others])
+    return rows.join(first, [key_col, order_col], "left_semi").select(key_col, *[F.col(f"`{c}`") for c in others])
 
 
 def integrate(sales: DataFrame, master: DataFrame, sales_key: str, master_key: str,
@@ -90,12 +89,25 @@ def integration_summary(sales: DataFrame, master: DataFrame, merged: DataFrame,
 
 
 def skipped_summary(sales: DataFrame, master: DataFrame) -> DataFrame:
-    """J7 when J4 finds no shared key: a 'skipped' record."""
+    """J7 when J4 finds no shared key: why, and both sides' columns; the join fields are null."""
     return sales.agg(F.count(F.lit(1)).alias("total_rows")).select(
-        F.lit("skipped").alias("integration_status"), "total_rows",
-        master.agg(F.count(F.lit(1))).scalar().alias("reference_rows"),
+        F.lit("skipped").alias("integration_status"),
+        F.lit("no tax id or customer column in both frames").alias("reason"),
+        F.lit(None).cast("string").alias("join_key_used"), F.lit(None).cast("string").alias("join_key_daybook"),
+        F.lit(None).cast("string").alias("join_key_master"), "total_rows",
+        F.lit(0).cast("long").alias("matched_rows"), F.col("total_rows").alias("unmatched_rows"),
+        F.lit(0.0).alias("match_rate_pct"), F.when(F.col("total_rows") > 0, 100.0).otherwise(0.0).alias("unmatched_rate_pct"),
         F.lit(0).cast("long").alias("master_duplicate_rows_removed"),
-        F.lit(0).cast("long").alias("daybook_rows_missing_join_key"))
+        F.lit(0).cast("long").alias("daybook_rows_missing_join_key"),
+        master.agg(F.count(F.lit(1))).scalar().alias("reference_rows"),
+        F.lit(", ".join(c for c in master.columns if c != ORDER)).alias("reference_columns"))
+
+
+def short_summary(summary: DataFrame) -> DataFrame:
+    """The compatible record: rows, matches, their rate and the duplicates taken out of the master sheet."""
+    return summary.select("join_key_used", "total_rows", "matched_rows", "unmatched_rows",
+                          F.col("match_rate_pct").alias("match_rate"),
+                          F.col("master_duplicate_rows_removed").alias("master_duplicates_removed"))
 
 
 def integrate_sales_and_master(cleaned, master: DataFrame, on_missing: str = "skip",
@@ -109,7 +121,7 @@ def integrate_sales_and_master(cleaned, master: DataFrame, on_missing: str = "sk
     keys = choose_join_keys(df.columns, master.columns, cleaned.gstin_column, cleaned.customer_column)
     if keys is None:
         if on_missing == "error":
-            raise ValueError("No suitable join key found in both datasets (GSTIN/customer).")
+            raise ValueError("The two frames share neither a tax id nor a customer column to join on.")
         return df, skipped_summary(df, master)
     sk, mk, strategy = keys
     merged = integrate(df, master, sk, mk, keep_key=keep_key)

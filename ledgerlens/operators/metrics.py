@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, NumericType
 
 from ledgerlens.functions.dates import month_label, month_start
-from ledgerlens.functions.numbers import money, money_sum
+from ledgerlens.functions.numbers import money, money_sum, strict_number
 from ledgerlens.functions.text import trim_text
 from ledgerlens.operators.quantiles import exact_quantiles
 from ledgerlens.operators.roles import tax_amount_columns
@@ -81,7 +81,7 @@ def tax_breakdown(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
         elif isinstance(t, NumericType):
             e = F.sum(F.col(c).cast("double"))
         else:
-            e = F.sum(F.col(c).try_cast("double"))
+            e = F.sum(strict_number(c))
         exprs.append(F.coalesce(e, F.lit(0.0)).alias(f"t{i}"))
     wide = df.agg(*exprs)
     long = wide.select(F.explode(F.array(*[

@@ -102,11 +102,12 @@ def pareto_curve(df: DataFrame, key_col: str, value_col: str, n: int = 20) -> Da
 def pareto_count(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
     """A10: keys whose cumulative share is <= 80 % (at least 1 when any key exists).
 
-    Compared exactly in decimals: cum * 100 / total <= 80  <=>  5 * cum <= 4 * total.
+    Compared in decimals: cum * 100 / total <= 80 is 5 * cum <= 4 * total, or >= below a
+    negative total.
     """
     cs = cumulative_share(df, key_col, value_col)
-    within = F.when(F.col("total_dec") == 0, F.lit(0.0) <= 80.0).otherwise(
-        F.col("cum_dec") * 5 <= F.col("total_dec") * 4)
+    cum, total = F.col("cum_dec") * 5, F.col("total_dec") * 4
+    within = F.when(total > 0, cum <= total).when(total < 0, cum >= total).otherwise(F.lit(True))
     return cs.agg(F.count_if(within).alias("n"), F.count(F.lit(1)).alias("keys")).select(
         F.when(F.col("keys") > 0, F.greatest(F.col("n"), F.lit(1))).otherwise(F.lit(0)).cast("long")
         .alias("customers_within_80pct"))

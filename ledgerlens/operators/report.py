@@ -7,10 +7,11 @@ driver until the caller writes or collects the single payload row.
 
 from __future__ import annotations
 
-from typing import Mapping
+from typing import Mapping, Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 
 def one_row_struct(df: DataFrame):
@@ -18,19 +19,38 @@ def one_row_struct(df: DataFrame):
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("v")).scalar()
 
 
-def rows_array(df: DataFrame):
-    """A small bounded frame (a top-N) as an array-of-structs scalar subquery."""
-    packed = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    return df.agg(F.collect_list(packed).alias("v")).scalar()
+def finite(df: DataFrame) -> DataFrame:
+    """NaN and infinities as null, which JSON can hold."""
+    def own(field):
+        c = F.col(f"`{field.name}`")
+        if not isinstance(field.dataType, (DoubleType, FloatType)):
+            return c
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c).alias(field.name)
 
+    return df.select(*[own(f) for f in df.schema.fields])
 
-def payload(spark: SparkSession, parts: Mapping[str, DataFrame], lists: Mapping[str, DataFrame] = ()) -> DataFrame:
+
+def rows_array(df: DataFrame, order: Sequence = ()):
+    """A small bounded frame (a top-N) as an array-of-structs scalar subquery.
+
+    ``order`` names the columns to sort by, `-name` for descending; the sort key
+    is put in front of each row, sorted inside the aggregate and dropped.
+    """
+    keys = [(F.negative(F.col(o[1:])) if o.startswith("-") else F.col(o)).alias(f"k{i}") for i, o in enumerate(order)]
+    packed = F.struct(*keys, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    return df.agg(F.transform(F.sort_array(F.collect_list(packed)), lambda x: x["row"]).alias("v")).scalar()
+
+
+def payload(spark: SparkSession, parts: Mapping[str, DataFrame], lists: Mapping[str, tuple] = (),
+            names: Mapping[str, Optional[str]] = ()) -> DataFrame:
     """One row holding every part as JSON (`NaN` becomes null, keys text).
 
-    ``parts`` are one-row frames, ``lists`` bounded frames (top-N and the like).
+    ``parts`` are one-row frames, ``lists`` pairs of a bounded frame (top-N and
+    the like) and its order, ``names`` plain texts such as detected roles.
     """
-    fields = [one_row_struct(df).alias(k) for k, df in parts.items()]
-    fields += [rows_array(df).alias(k) for k, df in dict(lists).items()]
+    fields = [one_row_struct(finite(df)).alias(k) for k, df in parts.items()]
+    fields += [rows_array(finite(df), order).alias(k) for k, (df, order) in dict(lists).items()]
+    fields += [F.struct(*[F.lit(v).cast("string").alias(k) for k, v in dict(names).items()]).alias("roles")] if names else []
     doc = F.struct(*fields)
     return spark.range(1).select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("payload"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import month_label, month_start
-from ledgerlens.functions.numbers import money
+from ledgerlens.functions.numbers import MONEY, money
 
 
 def _keys(keys: Sequence[str]) -> list[str]:
@@ -37,14 +37,15 @@ def monthly_revenue(df: DataFrame, date_col: str = "date", value_col: str = "rev
 def fill_months(monthly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """A5 core: every month between each series' first and last month, absent = 0.
 
-    The calendar is generated per key from its (min, max) with `sequence`, then
-    equi-joined back; both sides are month-grained, so the join is small.
+    One pass over the monthly rows: a key's observed months (bounded by the
+    calendar) become a map, and `sequence` between its ends looks each month up.
     """
     ks = _keys(keys)
-    bounds = monthly.groupBy(*ks).agg(F.min("month_start").alias("lo"), F.max("month_start").alias("hi"))
-    calendar = bounds.select(*ks, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
-    return (calendar.join(monthly, ks + ["month_start"], "left")
-            .select(*ks, "month_start", F.coalesce(F.col("revenue_dec"), F.lit(0).cast("decimal(28,2)")).alias("revenue_dec")))
+    series = monthly.groupBy(*ks).agg(
+        F.min("month_start").alias("lo"), F.max("month_start").alias("hi"),
+        F.map_from_entries(F.collect_list(F.struct("month_start", "revenue_dec"))).alias("seen"))
+    filled = series.where("lo is not null").select(*ks, "seen", F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
+    return filled.select(*ks, "month_start", F.coalesce(F.try_element_at("seen", F.col("month_start")), F.lit(0).cast(MONEY)).alias("revenue_dec"))
 
 
 def monthly_filled(df: DataFrame, date_col: str = "date", value_col: str = "revenue",

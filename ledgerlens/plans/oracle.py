@@ -2,7 +2,7 @@
 
 The view CTEs below restate ``ledgerlens.sources.fixtures`` in SQL.  Money is
 summed as DECIMAL and cast to DOUBLE at the end; derived ratios are rounded
-to 6 places, exactly as the Spark side does.
+to 6 places.  Nothing here is taken from the code under test.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ VIEWS = {
          c.c_mktsegment AS segment, o.o_orderkey AS voucher_no, o.o_totalprice AS revenue
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)""",
     "sales_gaps": """sales_gaps AS (
-  SELECT * FROM sales WHERE (year(date) * 12 + month(date) - 1) % 5 <> 0)""",
+  SELECT * REPLACE (CASE WHEN (year(date) * 12 + month(date) - 1) % 5 = 0 THEN date + INTERVAL 1 MONTH ELSE date END AS date)
+  FROM sales)""",
     "invoice_tax": """invoice_tax AS (
   SELECT date, customer, net, net * (1 + tax) AS gross, net * tax * 0.5 AS cgst,
          net * tax * 0.5 AS sgst, CAST(0 AS DECIMAL(3,2)) AS igst, gst_rate
@@ -58,12 +59,21 @@ VIEWS = {
   FROM (SELECT o.o_orderkey AS k, o.o_orderdate AS d, c.c_name AS nm, c.c_nationkey AS nk,
                c.c_custkey AS ck, CAST(o.o_totalprice AS DECIMAL(18,2)) AS amt
         FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey) t)""",
+    "date_forms": """date_forms AS (SELECT k AS key, i, CASE i WHEN 15 THEN '31/02/' || CAST(year(d) AS VARCHAR)
+    WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN strftime(d, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime(d, '%Y/%m/%d')
+    WHEN 3 THEN strftime(d, '%Y-%m-%dT%H:%M:%S') WHEN 4 THEN strftime(d, '%Y-%m-%d %H:%M') WHEN 5 THEN strftime(d, '%-d/%-m/%Y')
+    WHEN 6 THEN strftime(d, '%d/%m/%Y %H:%M:%S') WHEN 7 THEN strftime(d, '%d-%m-%Y') WHEN 8 THEN strftime(d, '%d.%m.%Y')
+    WHEN 9 THEN strftime(d, '%-d/%-m/%y') WHEN 10 THEN strftime(d, '%-d-%b-%Y') WHEN 11 THEN strftime(d, '%d-%b-%Y %H:%M')
+    WHEN 12 THEN strftime(d, '%-d %b %Y') WHEN 13 THEN strftime(d, '%-d-%B-%Y') WHEN 14 THEN strftime(d, '%d-%b-%y') END AS text
+  FROM (SELECT o_orderkey AS k, o_orderkey % 16 AS i, o_orderdate AS d FROM orders) t)""",
+    "sub_cents": """sub_cents AS (SELECT l_orderkey % 7 AS key, l_quantity * CASE l_linenumber % 3 WHEN 0 THEN CAST(1e15 AS DOUBLE)
+    WHEN 1 THEN CAST(0.0001 AS DOUBLE) ELSE CAST(-0.004 AS DOUBLE) END AS value FROM lineitem)""",
     "master": """master AS (
   SELECT c_custkey * 2 AS _row_id,
-         CASE WHEN c_custkey % 50 = 2 THEN NULL ELSE c_name END AS "Customer Name",
+         CASE WHEN c_custkey % 50 = 2 THEN NULL WHEN c_custkey % 10 = 0 THEN c_name || ' Ltd' ELSE c_name END AS "Customer Name",
          c_mktsegment AS "Segment", CAST(c_nationkey AS VARCHAR) AS "Nation Code",
          CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) AS "Credit Limit"
-  FROM customer WHERE c_custkey % 10 <> 0
+  FROM customer
   UNION ALL
   SELECT c_custkey * 2 + 1, upper(c_name), lower(c_mktsegment), CAST(c_nationkey AS VARCHAR),
          CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR)

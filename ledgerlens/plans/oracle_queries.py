@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from ledgerlens.plans.oracle import with_views as W
 
-from ledgerlens.functions.text import WS_CLASS, WS_CODEPOINTS  # noqa: E402
+# White space as Unicode has it, as code points.
+WS_CODEPOINTS = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200,
+                 8201, 8202, 8232, 8233, 8239, 8287, 12288]
+WS_CLASS = "[" + "".join(f"\\x{{{c:X}}}" for c in WS_CODEPOINTS) + "]"
 
-DEC = "CAST({} AS DECIMAL(18,2))"
+# the shortest text of a double, read as an exact decimal
+DEC = "CAST(CAST({} AS VARCHAR) AS DECIMAL(38,10))"
 WS_SQL = "(" + " || ".join(f"chr({c})" for c in WS_CODEPOINTS) + ")"
 TRIM = "trim({}, " + WS_SQL.replace("{", "{{").replace("}", "}}") + ")"
 D0 = "CAST(0 AS DOUBLE)"
@@ -138,7 +142,7 @@ ORACLE["pareto_curve"] = W(["sales"], f"""SELECT k AS customer, CAST(v AS DOUBLE
 FROM c, tot ORDER BY v DESC, k ASC NULLS FIRST LIMIT 20""", _CUM)
 
 ORACLE["pareto_count"] = W(["sales"], """SELECT CAST(CASE WHEN count(*) > 0 THEN greatest(
-  count(*) FILTER (WHERE CASE WHEN td = 0 THEN true ELSE cum * 5 <= td * 4 END), 1) ELSE 0 END AS BIGINT)
+  count(*) FILTER (WHERE CASE WHEN td = 0 THEN true ELSE CAST(cum AS DOUBLE) / CAST(td AS DOUBLE) * 100 <= 80 END), 1) ELSE 0 END AS BIGINT)
   AS customers_within_80pct FROM c, tot""", _CUM)
 
 ORACLE["customer_weights"] = W(["sales"], """SELECT customer, n,
@@ -197,11 +201,7 @@ def LENIENT(x: str) -> str:
 
 
 def DAYFIRST(x: str) -> str:
-    fmts = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%d/%m/%Y", "%d-%m-%Y", "%d-%b-%Y", "%d-%b-%y"]
-    from ledgerlens.functions.dates import DAYFIRST_FORMATS
-    shapes = [shape for _, shape in DAYFIRST_FORMATS]
-    return "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({x}, '{sh}') THEN try_strptime({x}, '{f}') END"
-                                   for f, sh in zip(fmts, shapes)) + ")"
+    return "coalesce(" + ", ".join(f"try_strptime({x}, '{f}')" for f in ("%Y-%m-%d", "%d/%m/%Y", "%d-%b-%Y")) + ")"
 
 
 def TEXTKEY(x: str) -> str:
@@ -216,7 +216,12 @@ def PRODKEY(x: str) -> str:
 
 ORACLE["trim_text"] = W(["sales_raw"], f"""SELECT _row_id AS key, {TRIMX('"Particulars"')} AS result FROM sales_raw""")
 ORACLE["lenient_number"] = W(["sales_raw"], f"""SELECT _row_id AS key, {LENIENT('"Gross Total"')} AS result FROM sales_raw""")
-ORACLE["date_parse"] = W(["sales_raw"], f"""SELECT _row_id AS key, {DAYFIRST('"Date"')} AS result FROM sales_raw""")
+_FORMS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%d/%m/%Y", "%d/%m/%Y %H:%M:%S",
+          "%d-%m-%Y", "%d.%m.%Y", "%d/%m/%y", "%d-%b-%Y", "%d-%b-%Y %H:%M", "%d %b %Y", "%d-%B-%Y", "%d-%b-%y"]
+ORACLE["date_parse"] = W(["date_forms"], "SELECT key, CASE i " + " ".join(
+    f"WHEN {i} THEN try_strptime(text, '{f}')" for i, f in enumerate(_FORMS)) + " END AS result FROM date_forms")
+ORACLE["money_scale"] = W(["sub_cents"], """SELECT key, CAST(SUM(CAST(CAST(value AS VARCHAR) AS DECIMAL(38,10))) AS DOUBLE) AS total
+FROM sub_cents GROUP BY key""")
 ORACLE["time_features"] = W(["sales_raw"], """SELECT key, CAST(year(t) AS INTEGER) AS year, CAST(month(t) AS INTEGER) AS month,
   strftime(t, '%Y-%m') AS year_month FROM tf""", (f"""tf AS (SELECT _row_id AS key, {DAYFIRST('"Date"')} AS t FROM sales_raw)""",))
 ORACLE["text_key"] = W(["sales_raw"], f"""SELECT _row_id AS key, {TEXTKEY('"Particulars"')} AS result FROM sales_raw""")
@@ -290,7 +295,7 @@ FROM integ WHERE date IS NOT NULL AND gross_total IS NOT NULL""", INTEG_CTES)
 # ------------------------------------------------------------ catalog & roles by data
 
 def XDEC(x: str) -> str:
-    return f"CAST(CAST({x} AS DOUBLE) AS DECIMAL(38,6))"
+    return DEC.format(f"CAST({x} AS DOUBLE)")
 
 
 CAT_CTE = (f"""cat AS (SELECT key, product, category FROM (
@@ -507,3 +512,42 @@ FROM (SELECT * FROM agg ORDER BY v DESC, k ASC NULLS FIRST LIMIT 1) tc, tot,
     + (f"cagg AS (SELECT category AS k, {money_sum('total_value')} AS v FROM items GROUP BY category)",
        monthly_cte("sales"))
     + _SALES_FC_CTES)
+
+# ------------------------------------------------------------ further operators over the same views
+
+ORACLE["strict_number"] = W(["sales_raw"], """SELECT _row_id AS key,
+  CASE WHEN regexp_full_match("Gross Total", '-?[0-9]+([.][0-9]*)?') THEN CAST("Gross Total" AS DOUBLE) END AS result FROM sales_raw""")
+ORACLE["top_15_customers"] = top_n_sql("sales", "customer", "revenue", 15, "customer", with_pct=False)
+ORACLE["roles_by_name"] = W(["sales_raw"], """SELECT role, col AS "column", filled FROM (
+  SELECT 'date' AS role, 'date' AS col, count("Date") AS filled FROM sales_raw
+  UNION ALL SELECT 'revenue', 'gross_total', count("Gross Total") FROM sales_raw
+  UNION ALL SELECT 'customer', 'particulars', count("Particulars") FROM sales_raw
+  UNION ALL SELECT 'product', 'particulars', count("Particulars") FROM sales_raw
+  UNION ALL SELECT 'gstin', 'gstin_uin', count("GSTIN/UIN") FROM sales_raw
+  UNION ALL SELECT 'category', 'voucher_type', count("Voucher Type") FROM sales_raw
+  UNION ALL SELECT 'net_sales', 'sales', count("Sales") FROM sales_raw
+  UNION ALL SELECT 'tax_amount', 'gstin_uin', count("GSTIN/UIN") FROM sales_raw) r""")
+ORACLE["items_load_stats"] = W(["items"], """SELECT count(*) AS rows_read, count(*) FILTER (WHERE _row_id % 9 = 0) AS dropped_no_date,
+  count(*) FILTER (WHERE _row_id % 9 <> 0 AND _row_id % 11 = 0) AS dropped_no_total,
+  count(*) FILTER (WHERE _row_id % 9 <> 0 AND _row_id % 11 <> 0) AS rows_kept FROM items""")
+ORACLE["enrich_empty_catalog"] = W(["items"], f"""SELECT {TRIMX('item_name')} AS _product, 'Uncategorized' AS _category,
+  count(*) AS rows FROM items GROUP BY 1""")
+ORACLE["integrate_skipped"] = W(["sales_raw"], """SELECT 'skipped' AS integration_status,
+  'no tax id or customer column in both frames' AS reason, CAST(NULL AS VARCHAR) AS join_key_used,
+  CAST(NULL AS VARCHAR) AS join_key_daybook, CAST(NULL AS VARCHAR) AS join_key_master, count(*) AS total_rows,
+  CAST(0 AS BIGINT) AS matched_rows, count(*) AS unmatched_rows, CAST(0 AS DOUBLE) AS match_rate_pct,
+  CAST(100 AS DOUBLE) AS unmatched_rate_pct, CAST(0 AS BIGINT) AS master_duplicate_rows_removed,
+  CAST(0 AS BIGINT) AS daybook_rows_missing_join_key, (SELECT count(*) FROM part) AS reference_rows,
+  'name_of_item, under, opening_qty, rate' AS reference_columns FROM cs""", CLEAN_CTES)
+ORACLE["integrate_short"] = W(["sales_raw", "master"], f"""SELECT 'customer' AS join_key_used, count(*) AS total_rows,
+  count(*) FILTER (WHERE _merge_status = 'matched') AS matched_rows, count(*) FILTER (WHERE _merge_status <> 'matched') AS unmatched_rows,
+  CASE WHEN count(*) = 0 THEN {D0} ELSE round(CAST(count(*) FILTER (WHERE _merge_status = 'matched') AS DOUBLE) / count(*) * 100, 6) END AS match_rate,
+  (SELECT count(*) FROM cm) - (SELECT count(DISTINCT _join_key) FROM (SELECT {TEXTKEY('customer_name')} AS _join_key FROM cm) x) AS master_duplicates_removed
+FROM integ""", INTEG_CTES)
+ORACLE["merged_roles"] = W(["sales_raw", "master"], """SELECT 'customer' AS role, 'customer_name' AS "column", count(customer_name) AS filled FROM integ
+UNION ALL SELECT 'date', 'date', count(date) FROM integ
+UNION ALL SELECT 'revenue', 'gross_total', count(gross_total) FROM integ""", INTEG_CTES)
+ORACLE["export_wide"] = """SELECT strftime(o_orderdate, '%-d/%-m/%Y') AS date, 'Customer ' || CAST(o_custkey AS VARCHAR) AS particulars,
+  'INV' || CAST(o_orderkey AS VARCHAR) AS voucher_no, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS gross_total,
+  'order "' || CAST(o_orderkey AS VARCHAR) || '", paid' || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'late' ELSE '' END AS remarks,
+  CASE WHEN o_orderkey % 97 = 0 THEN 'end' || CAST(o_orderkey AS VARCHAR) END AS last_cell FROM orders"""

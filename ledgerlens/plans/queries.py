@@ -5,6 +5,7 @@ The twin DuckDB SQL of each query lives in ``ledgerlens.plans.oracle_queries``.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +29,7 @@ def query(fn):
 
 @query
 def q_monthly_revenue(spark, d):
-    return ts.monthly_revenue(fx.sales(spark, d), "date", "revenue")
+    return ts.monthly_revenue(fx.sales(spark, d, customer=False), "date", "revenue")
 
 
 @query
@@ -43,12 +44,12 @@ def q_moving_avg_3m(spark, d):
 
 @query
 def q_revenue_by_year(spark, d):
-    return ts.revenue_by_year(fx.sales(spark, d), "date", "revenue")
+    return ts.revenue_by_year(fx.sales(spark, d, customer=False), "date", "revenue")
 
 
 @query
 def q_yoy_growth(spark, d):
-    return ts.yoy_growth(fx.sales(spark, d), "date", "revenue")
+    return ts.yoy_growth(fx.sales(spark, d, customer=False), "date", "revenue")
 
 
 @query
@@ -58,39 +59,39 @@ def q_seasonality(spark, d):
 
 @query
 def q_peak_month(spark, d):
-    return ts.peak_month(fx.sales(spark, d), "date", "revenue")
+    return ts.peak_month(fx.sales(spark, d, customer=False), "date", "revenue")
 
 
 @query
 def q_calendar_pool(spark, d):
-    return ts.calendar_pool(fx.sales(spark, d), "date")
+    return ts.calendar_pool(fx.sales(spark, d, customer=False), "date")
 
 
 # ------------------------------------------------------------ revenue & distribution
 
 @query
 def q_revenue_summary(spark, d):
-    return met.revenue_summary(fx.sales(spark, d), "revenue")
+    return met.revenue_summary(fx.sales(spark, d, customer=False), "revenue")
 
 
 @query
 def q_distribution(spark, d):
-    return dist.distribution(fx.sales(spark, d), "revenue")
+    return dist.distribution(fx.sales(spark, d, customer=False), "revenue")
 
 
 @query
 def q_high_value(spark, d):
-    return dist.high_value_share(fx.sales(spark, d), "revenue")
+    return dist.high_value_share(fx.sales(spark, d, customer=False), "revenue")
 
 
 @query
 def q_histogram(spark, d):
-    return dist.histogram(fx.sales(spark, d), "revenue", 30)
+    return dist.histogram(fx.sales(spark, d, customer=False), "revenue", 30)
 
 
 @query
 def q_monthly_histogram(spark, d):
-    return dist.monthly_histogram(fx.sales(spark, d), "date", "revenue", 10)
+    return dist.monthly_histogram(fx.sales(spark, d, customer=False), "date", "revenue", 10)
 
 
 # ------------------------------------------------------------ customers
@@ -129,54 +130,54 @@ def q_customer_weights(spark, d):
 
 @query
 def q_tax_component(spark, d):
-    return met.gross_vs_net(fx.invoice_tax(spark, d), "gross", "net")
+    return met.gross_vs_net(fx.invoice_tax(spark, d, order=False, customer=False), "gross", "net")
 
 
 @query
 def q_gross_net_year(spark, d):
-    return met.gross_net_by_year(fx.invoice_tax(spark, d), "date", "gross", "net")
+    return met.gross_net_by_year(fx.invoice_tax(spark, d, customer=False), "date", "gross", "net")
 
 
 @query
 def q_tax_breakdown(spark, d):
-    return met.tax_breakdown(fx.invoice_tax(spark, d)).select("name", "value")
+    return met.tax_breakdown(fx.invoice_tax(spark, d, order=False, customer=False)).select("name", "value")
 
 
 # ------------------------------------------------------------ items
 
 @query
 def q_item_totals(spark, d):
-    return met.item_totals(fx.items(spark, d))
+    return met.item_totals(fx.items(spark, d, customer=False, part=False))
 
 
 @query
 def q_item_monthly(spark, d):
-    return met.item_monthly(fx.items(spark, d))
+    return met.item_monthly(fx.items(spark, d, customer=False, part=False))
 
 
 @query
 def q_category_mix(spark, d):
-    return met.share_by(fx.items(spark, d), "category", "total_value", "category", "revenue")
+    return met.share_by(fx.items(spark, d, customer=False), "category", "total_value", "category", "revenue")
 
 
 @query
 def q_category_sales(spark, d):
-    return met.totals_by(fx.items(spark, d), "category", "total_value", "category", "total_value")
+    return met.totals_by(fx.items(spark, d, customer=False), "category", "total_value", "category", "total_value")
 
 
 @query
 def q_top_items(spark, d):
-    return par.top_n(fx.items(spark, d), "item_name", "total_value", 10, out_key="item")
+    return par.top_n(fx.items(spark, d, customer=False), "item_name", "total_value", 10, out_key="item")
 
 
 @query
 def q_top3_share(spark, d):
-    return met.top_share_n(fx.items(spark, d), "item_name", "total_value", 3, "top3_pct")
+    return met.top_share_n(fx.items(spark, d, customer=False), "item_name", "total_value", 3, "top3_pct")
 
 
 @query
 def q_top_products(spark, d):
-    return par.top_n(fx.items(spark, d), "item_name", "total_value", 10, out_value="total_value", with_pct=False)
+    return par.top_n(fx.items(spark, d, customer=False), "item_name", "total_value", 10, out_value="total_value", with_pct=False)
 
 
 # ------------------------------------------------------------ column expressions
@@ -200,7 +201,12 @@ def q_lenient_number(spark, d):
 
 @query
 def q_date_parse(spark, d):
-    return fx.sales_raw(spark, d).select(F.col("_row_id").alias("key"), parse_dayfirst("Date").alias("result"))
+    return fx.date_forms(spark, d).select("key", parse_dayfirst("text").alias("result"))
+
+
+@query
+def q_money_scale(spark, d):
+    return met.totals_by(fx.sub_cents(spark, d), "key", "value", "key", "total")
 
 
 @query
@@ -455,44 +461,53 @@ def q_header_recovery(spark, d):
 
 @query
 def q_forecast(spark, d):
-    out = fcst.forecast_revenue(fx.items(spark, d), "date", "total_value", ["category"], steps=6)
+    out = fcst.forecast_revenue(fx.items(spark, d, customer=False), "date", "total_value", ["category"], steps=6)
     return out.select(F.col("category").alias("key"), "month", "step", "forecast", "lower_95", "upper_95")
 
 
 def _report_parts(spark, d):
     sales = fx.sales(spark, d)
-    items = fx.items(spark, d)
+    items = fx.items(spark, d, customer=False)
     cs = _cleaned(spark, d)
     _, summary = ig.integrate_sales_and_master(cs, _master(spark, d))
-    fc_all = fcst.forecast_revenue(sales, "date", "revenue", steps=6).drop("_series", "phi", "theta")
+    fc_all = fcst.forecast_revenue(fx.sales(spark, d, customer=False), "date", "revenue", steps=6).drop("_series", "phi", "theta")
     return sales, items, cs, summary, fc_all
 
 
 @query
 def q_payload(spark, d):
     sales, items, cs, summary, fc_all = _report_parts(spark, d)
+    amounts = fx.sales(spark, d, customer=False)
+    cleaned = cs.dataframe.columns
+    roles = {"date": cs.date_column, "revenue": cs.revenue_column, "customer": cs.customer_column, "gstin": cs.gstin_column,
+             "product": R.product_role(cleaned), "category": R.category_role(cleaned),
+             "net_sales": R.net_sales_role(cleaned, cs.revenue_column)}
     parts = {
         "cleaning": cs.stats,
         "integration": summary,
-        "revenue_analysis": met.revenue_summary(sales, "revenue"),
-        "distribution_analysis": dist.distribution(sales, "revenue"),
-        "high_value": dist.high_value_share(sales, "revenue"),
+        "revenue_analysis": met.revenue_summary(amounts, "revenue"),
+        "distribution_analysis": dist.distribution(amounts, "revenue"),
+        "high_value": dist.high_value_share(amounts, "revenue"),
         "customer_concentration": par.top_share(sales, "customer", "revenue"),
         "pareto": par.pareto_count(sales, "customer", "revenue"),
         "item_totals": met.item_totals(items),
+        "top3_items": met.top_share_n(items, "item_name", "total_value", 3, "top3_pct"),
         "unique_customers": met.unique_customers(sales, "customer"),
-        "tax_analysis": met.gross_vs_net(fx.invoice_tax(spark, d), "gross", "net"),
+        "tax_analysis": met.gross_vs_net(fx.invoice_tax(spark, d, order=False, customer=False), "gross", "net"),
     }
     lists = {
-        "top_10_customers": par.top_n(sales, "customer", "revenue", 10),
-        "year_wise_revenue": ts.revenue_by_year(sales, "date", "revenue"),
-        "yearly_growth_pct": ts.yoy_growth(sales, "date", "revenue"),
-        "peak_and_weakest": ts.peak_month(sales, "date", "revenue"),
-        "category_mix": met.share_by(items, "category", "total_value", "category", "revenue"),
-        "top_items": par.top_n(items, "item_name", "total_value", 10, out_key="item"),
-        "forecast": fc_all,
+        "top_10_customers": (par.top_n(sales, "customer", "revenue", 10), ("-revenue", "customer")),
+        "monthly_revenue": (ts.monthly_revenue(amounts), ("month",)),
+        "moving_average": (ts.moving_average(amounts), ("month",)),
+        "month_of_year_revenue": (ts.seasonality(amounts), ("month_no",)),
+        "year_wise_revenue": (ts.revenue_by_year(amounts), ("year",)),
+        "yearly_growth_pct": (ts.yoy_growth(amounts), ("year",)),
+        "peak_and_weakest": (ts.peak_month(amounts), ("kind",)),
+        "category_mix": (par.top_n(items, "category", "total_value", 20), ("-revenue", "category")),
+        "top_items": (par.top_n(items, "item_name", "total_value", 10, out_key="item"), ("-revenue", "item")),
+        "forecast": (fc_all, ("step",)),
     }
-    return rp.payload(spark, parts, lists)
+    return rp.payload(spark, parts, lists, roles)
 
 
 @query
@@ -500,4 +515,77 @@ def q_insights(spark, d):
     sales, items, _, _, fc_all = _report_parts(spark, d)
     return rp.insights(spark, par.top_n(sales, "customer", "revenue", 10),
                        met.share_by(items, "category", "total_value", "category", "revenue"),
-                       fc_all, ts.peak_month(sales, "date", "revenue"))
+                       fc_all, ts.peak_month(fx.sales(spark, d, customer=False), "date", "revenue"))
+
+
+# ------------------------------------------------------------ further operators over the same views
+
+from ledgerlens.functions.numbers import strict_number  # noqa: E402
+from ledgerlens.session import scratch_path  # noqa: E402
+
+
+@query
+def q_strict_number(spark, d):
+    return fx.sales_raw(spark, d).select(F.col("_row_id").alias("key"), strict_number("Gross Total").alias("result"))
+
+
+@query
+def q_top_15_customers(spark, d):
+    return par.top_n(fx.sales(spark, d), "customer", "revenue", 15, with_pct=False)
+
+
+@query
+def q_roles_by_name(spark, d):
+    """The columns that R5-R12 choose in the raw export, with their filled cells."""
+    df = cl.prepare(fx.sales_raw(spark, d))
+    cols = df.columns
+    revenue = R.revenue_role(cols)
+    chosen = [("date", R.date_role(cols)), ("revenue", revenue), ("customer", R.customer_role(cols)), ("product", R.product_role(cols)),
+              ("gstin", R.gstin_role(cols)), ("category", R.category_role(cols)), ("net_sales", R.net_sales_role(cols, revenue))]
+    chosen += [("tax_amount", c) for c in R.tax_amount_columns(cols)]
+    wide = df.agg(*[F.count(c if c else F.lit(None)).alias(f"n{i}") for i, (_, c) in enumerate(chosen)])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).cast("string").alias("column"), F.col(f"n{i}").alias("filled"))
+                                           for i, (r, c) in enumerate(chosen)])).alias("r")).select("r.*")
+
+
+@query
+def q_items_load_stats(spark, d):
+    t = fx.items_text(spark, d)
+    return itl.load_items_stats(t.withColumn("Date", F.when(F.col("_row_id") % 9 == 0, F.lit("soon")).otherwise(F.col("Date")))
+                                .withColumn("Total Value", F.when(F.col("_row_id") % 11 != 0, F.col("Total Value"))))
+
+
+@query
+def q_enrich_empty_catalog(spark, d):
+    e = ct.enrich(fx.items(spark, d), fx.catalog(spark, d).filter(F.lit(False)))
+    return e.groupBy("_product", "_category").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def q_integrate_skipped(spark, d):
+    cs = _cleaned(spark, d)
+    return ig.integrate_sales_and_master(cs, fx.catalog(spark, d))[1]
+
+
+@query
+def q_integrate_short(spark, d):
+    return ig.short_summary(_integrated(spark, d)[1])
+
+
+@query
+def q_merged_roles(spark, d):
+    """Roles found again on the merged frame, with their filled cells."""
+    merged = _integrated(spark, d)[0]
+    chosen = [("customer", R.customer_role(merged.columns)), ("date", R.date_role(merged.columns)), ("revenue", R.revenue_role(merged.columns))]
+    wide = merged.agg(*[F.count(c).alias(f"n{i}") for i, (_, c) in enumerate(chosen)])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("column"), F.col(f"n{i}").alias("filled"))
+                                           for i, (r, c) in enumerate(chosen)])).alias("r")).select("r.*")
+
+
+@query
+def q_export_wide(spark, d):
+    """S3 on files: two exports with title lines, a header, quoted cells and some records of 300 cells."""
+    path = scratch_path(spark, f"export-wide-{uuid.uuid4().hex}")
+    fx.export_files(spark, d).write.partitionBy("file").text(path)
+    out = ex.read_report_files(spark, [f"{path}/file={i}" for i in (0, 1)])
+    return out.select("date", "particulars", "voucher_no", "gross_total", "remarks", F.col("unnamed_299").alias("last_cell"))

@@ -1,9 +1,10 @@
 """Report-export reading with header-row recovery.
 
 ERP exports put title lines above the real header.  Spark's CSV reader takes
-the column count from the first line, so the file is read headless with an
-explicit wide all-text schema, the header row is scored among the first 40
-rows, and the rows after it are renamed by its cells.
+the column count from the first line, so one pass over the file finds the widest
+record, the file is read headless with an all-text schema of that width, the
+header row is scored among the first 40 rows, and the rows after it are renamed
+by its cells.  Quoted cells may hold separators, doubled quotes and line breaks.
 """
 
 from __future__ import annotations
@@ -20,25 +21,25 @@ from ledgerlens.functions.text import canonical_names, trim_text
 ORDER = "_row_id"
 MAX_SCAN_ROWS = 40
 MIN_HEADER_SCORE = 3.0
-MAX_COLUMNS = 256
 
 # Words a sales-report header row tends to contain.
 HEADER_TOKENS = ["date", "particular", "customer", "party", "gross", "total", "gst", "amount",
                  "voucher", "invoice", "sales", "product", "item"]
 
 
+def placeholders(names) -> list[str]:
+    """The names that stand for no name: blank, nan or none, `unnamed...` (pandas), `_cN` (Spark)."""
+    return [n for n in map(str, names) if re.fullmatch(r"(?is)\s*(nan|none|unnamed.*|_c\d+)?\s*", n)]
+
+
 def is_placeholder(name) -> bool:
-    """An unnamed column (pandas `Unnamed: n`, Spark `_cN`, nan/none/empty)."""
-    low = str(name).strip().lower()
-    return low.startswith("unnamed") or low in {"nan", "none", ""} or re.fullmatch(r"_c\d+", low) is not None
+    return bool(placeholders([name]))
 
 
 def needs_header_recovery(names) -> bool:
     """No columns at all, or at least half of them placeholders."""
-    names = [str(n) for n in names if n != ORDER]
-    if not names:
-        return True
-    return sum(1 for n in names if is_placeholder(n)) / len(names) >= 0.5
+    own = [n for n in names if n != ORDER]
+    return 2 * len(placeholders(own)) >= len(own)
 
 
 def _cells(cols: list[str]):
@@ -46,7 +47,7 @@ def _cells(cols: list[str]):
     return F.filter(arr, lambda c: c.isNotNull() & (c != ""))
 
 
-def header_scores(df: DataFrame, order_col: str = ORDER, max_rows: int = MAX_SCAN_ROWS) -> DataFrame:
+def header_scores(df: DataFrame, order_col: str = ORDER, max_rows: int = MAX_SCAN_ROWS, keep_cells: bool = False) -> DataFrame:
     """Score each of the first ``max_rows`` rows that has >= 3 non-empty cells.
 
     score = 2 * (header tokens found in any cell) + 0.1 * min(cells, 20)
@@ -55,55 +56,73 @@ def header_scores(df: DataFrame, order_col: str = ORDER, max_rows: int = MAX_SCA
     """
     cols = [c for c in df.columns if c != order_col]
     first = df.orderBy(order_col).limit(max_rows)
-    cells = first.select(F.col(order_col).alias("row"), _cells(cols).alias("cells"))
+    cells = first.select(F.col(order_col).alias("row"), _cells(cols).alias("cells"), F.array(*cols).alias("raw"))
     tokens = F.array(*[F.lit(t) for t in HEADER_TOKENS])
     n = F.size("cells")
     hits = F.size(F.filter(tokens, lambda t: F.exists("cells", lambda c: c.contains(t))))
     score = (hits.cast("double") * 2.0 + F.least(n, F.lit(20)).cast("double") * 0.1
              + F.size(F.array_distinct("cells")).cast("double") / n)
-    return cells.filter(n >= 3).select("row", score.alias("score"))
+    return cells.filter(n >= 3).select("row", score.alias("score"), *(["raw"] if keep_cells else []))
 
 
 def detect_header_row(df: DataFrame, order_col: str = ORDER) -> Optional[int]:
     """Order value of the best-scoring row (first on ties), None below 3.0 (one job)."""
-    best = header_scores(df, order_col).orderBy(F.col("score").desc(), F.col("row").asc()).limit(1).collect()
-    if not best or best[0]["score"] < MIN_HEADER_SCORE:
-        return None
-    return best[0]["row"]
+    best = _best_row(df, order_col)
+    return None if best is None else best["row"]
+
+
+def _best_row(df: DataFrame, order_col: str):
+    """The header row's order value and cells, or None."""
+    best = (header_scores(df, order_col, keep_cells=True).where(F.col("score") >= MIN_HEADER_SCORE)
+            .orderBy(F.col("score").desc(), F.col("row").asc()).limit(1).collect())
+    return best[0] if best else None
 
 
 def recover_header(df: DataFrame, order_col: str = ORDER, canonical: bool = True) -> DataFrame:
     """S3: rename by the detected header row and keep the rows after it.
 
     Returns the frame unchanged when no header row is found confidently.
-    The header row itself is one row fetched to the driver (its cells become
-    column names); the data rows never leave the executors.
+    One job fetches the header row (its cells become column names); the data
+    rows never leave the executors.
     """
-    row = detect_header_row(df, order_col)
-    if row is None:
+    best = _best_row(df, order_col)
+    if best is None:
         return df
     cols = [c for c in df.columns if c != order_col]
-    cells = df.filter(F.col(order_col) == row).select(*cols).first()
-    raw = [(v if v is not None and str(v).strip() != "" else f"Unnamed: {i}") for i, v in enumerate(cells)]
+    raw = [v if v is not None and str(v).strip() else f"Unnamed: {i}" for i, v in enumerate(best["raw"])]
     names = canonical_names(raw) if canonical else raw
-    body = df.filter(F.col(order_col) > row)
+    body = df.filter(F.col(order_col) > best["row"])
     return body.select(F.col(order_col), *[F.col(c).alias(n) for c, n in zip(cols, names)])
 
 
-def read_headless(spark: SparkSession, path: str, max_columns: int = MAX_COLUMNS) -> DataFrame:
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether some line has an odd number of quotes: a quoted cell goes on in the next line.
+
+    Only such files give up reading one file in several splits.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
+def read_headless(spark: SparkSession, path: str) -> DataFrame:
     """Read delimited text with no header as `_c0.._c{N-1}` strings plus a file-order `_row_id`.
 
-    N is the widest of the first 40 records (one small job); fully blank
-    lines are skipped by the reader.
+    N is the widest record of the whole file, counted on the records' raw texts.
+    Fully blank lines are skipped by the reader.
     """
-    wide = StructType([StructField(f"_c{i}", StringType()) for i in range(max_columns)])
-    df = spark.read.schema(wide).option("header", False).option("mode", "PERMISSIVE").csv(path)
-    probe = df.limit(MAX_SCAN_ROWS).select(F.greatest(*[
-        F.when(F.col(f"_c{i}").isNotNull(), F.lit(i + 1)).otherwise(F.lit(0)) for i in range(max_columns)]).alias("w"))
-    n = probe.agg(F.max("w")).first()[0] or 0
+    options = {"header": False, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": has_quoted_breaks(spark, path)}
+
+    # with one column, every record with more cells also gives its raw text
+    raw = spark.read.schema("_c0 string, _raw string").options(
+        **options, columnNameOfCorruptRecord="_raw", maxColumns=1 << 20).csv(path)
+    bare = F.regexp_replace("_raw", '"[^"]*"', "")      # without quoted cells (a doubled quote ends one and begins the next)
+    cells = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    width = raw.agg(F.max(cells), F.count("_c0")).first()[0] or 1
+    wide = spark.read.schema(StructType([StructField(f"_c{i}", StringType()) for i in range(width)])).options(
+        **options, maxColumns=max(width + 2, 20480)).csv(path)
     # One export file is split in offset order and each split keeps its line
     # order, so the generated id follows file order within a file.
-    return df.select(F.monotonically_increasing_id().alias(ORDER), *[f"_c{i}" for i in range(max(n, 1))])
+    return wide.select(F.monotonically_increasing_id().alias(ORDER), *[f"_c{i}" for i in range(width)])
 
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -113,12 +132,21 @@ def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
     cols = [c for c in headless.columns if c != ORDER]
     first = headless.orderBy(ORDER).limit(1).collect()
     if not first:
-        raise ValueError(f"Export contains no rows: {path}")
-    names = [first[0][c] for c in cols]
-    if needs_header_recovery([n if n is not None else "" for n in names]):
-        out = recover_header(headless)
-    else:
-        out = headless.filter(F.col(ORDER) > first[0][ORDER]).select(
-            F.col(ORDER), *[F.col(c).alias(n) for c, n in
-                            zip(cols, canonical_names([n if n else f"Unnamed: {i}" for i, n in enumerate(names)]))])
+        raise ValueError(f"No rows in {path}.")
+    cells = [first[0][c] or "" for c in cols]
+    if needs_header_recovery(cells):
+        return recover_header(headless)
+    names = canonical_names([cell or f"Unnamed: {i}" for i, cell in enumerate(cells)])
+    return headless.filter(F.col(ORDER) > first[0][ORDER]).select(ORDER, *[F.col(c).alias(n) for c, n in zip(cols, names)])
+
+
+def read_report_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """S3 for several exports, each with its own title lines and header: their rows by column name.
+
+    A column that a file lacks is null; `_file` numbers the files as listed.
+    """
+    frames = [read_report_csv(spark, p).withColumn("_file", F.lit(i)) for i, p in enumerate(paths)]
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame, allowMissingColumns=True)
     return out

@@ -2,8 +2,10 @@
 
 Each view here has a twin CTE in ``ledgerlens.plans.oracle`` written in DuckDB
 SQL; both must stay the same deterministic expression.  Dirty views inject
-dirt by key modulo (never by sampling), so every row of the source tables
-flows through.
+dirt by key modulo (never by sampling or dropping), so every row of the source
+tables flows through.  A view joins a dimension only where the caller wants a
+column of it (``customer=False``, ``part=False``, ``order=False``): every order
+has its customer and every line its order and part, so rows stay the same.
 """
 
 from __future__ import annotations
@@ -44,8 +46,12 @@ def _lines_orders_customers(spark: SparkSession, sf_dir: str, li: DataFrame, ord
     return li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str, customer: bool = True) -> DataFrame:
     """Clean invoice-level sales: one row per order."""
+    if not customer:
+        return read_table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("_row_id"), F.col("o_orderdate").alias("date"),
+            F.col("o_orderkey").alias("voucher_no"), F.col("o_totalprice").alias("revenue"))
     oc = _orders_customers(spark, sf_dir)
     return oc.select(
         F.col("o_orderkey").alias("_row_id"),
@@ -62,22 +68,29 @@ def month_index(date_col) -> F.Column:
 
 
 def sales_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`sales` without the orders of every fifth calendar month (months with no sales)."""
-    s = sales(spark, sf_dir)
-    return s.filter(month_index(F.col("date")) % 5 != 0)
+    """`sales` with the orders of every fifth calendar month moved to the next (months with no sales)."""
+    s = sales(spark, sf_dir, customer=False)
+    return s.withColumn("date", F.when(month_index(F.col("date")) % 5 == 0, F.expr("date + INTERVAL 1 MONTH"))
+                        .otherwise(F.col("date")))
 
 
-def invoice_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
+def invoice_tax(spark: SparkSession, sf_dir: str, order: bool = True, customer: bool = True) -> DataFrame:
     """Invoice lines with gross, net and split tax amounts (exact decimals)."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", "l_tax")
-    j = _lines_orders_customers(spark, sf_dir, li, ["o_orderdate"])
+    if customer:
+        j = _lines_orders_customers(spark, sf_dir, li, ["o_orderdate"])
+    elif order:
+        o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+        j = li.join(o, li.l_orderkey == o.o_orderkey)
+    else:
+        j = li
     ext = F.col("l_extendedprice").cast("decimal(12,2)")
     disc = F.col("l_discount").cast("decimal(3,2)")
     tax = F.col("l_tax").cast("decimal(3,2)")
     net = ext * (F.lit(1) - disc)
     return j.select(
-        F.col("o_orderdate").alias("date"),
-        F.col("c_name").alias("customer"),
+        *([F.col("o_orderdate").alias("date")] if order or customer else []),
+        *([F.col("c_name").alias("customer")] if customer else []),
         net.alias("net"),
         (net * (F.lit(1) + tax)).alias("gross"),
         (net * tax * F.lit(Decimal("0.5"))).alias("cgst"),
@@ -87,19 +100,20 @@ def invoice_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, customer: bool = True, part: bool = True) -> DataFrame:
     """Item lines: one row per line item, priced and categorised by part."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
-    j = _lines_orders_customers(spark, sf_dir, li, []).join(p, F.col("l_partkey") == p.p_partkey)
+    j = _lines_orders_customers(spark, sf_dir, li, []) if customer else li
+    if part:
+        p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+        j = j.join(p, F.col("l_partkey") == p.p_partkey)
     return j.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("_row_id"),
         F.col("l_shipdate").alias("date"),
         F.concat(F.lit("INV"), F.col("l_orderkey").cast("string")).alias("invoice_no"),
-        F.col("c_name").alias("customer"),
-        F.col("p_name").alias("item_name"),
-        F.col("p_type").alias("category"),
+        *([F.col("c_name").alias("customer")] if customer else []),
+        *([F.col("p_name").alias("item_name"), F.col("p_type").alias("category")] if part else []),
         F.col("l_quantity").alias("quantity"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
         F.col("l_extendedprice").alias("total_value"),
@@ -191,13 +205,34 @@ def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as text, in every form that exports use (and some that are no dates)."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    forms = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "d/M/yyyy",
+             "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy", "dd.MM.yyyy", "d/M/yy", "d-MMM-yyyy", "dd-MMM-yyyy HH:mm", "d MMM yyyy",
+             "d-MMMM-yyyy", "dd-MMM-yy"]
+    text = F.when(k % 16 == 15, F.concat(F.lit("31/02/"), F.year(d).cast("string")))
+    for i, form in enumerate(forms):
+        text = text.when(k % 16 == i, F.date_format(d, form))
+    return read_table(spark, sf_dir, "orders").select(k.alias("key"), text.alias("text"))
+
+
+def sub_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line values of less than a cent and of many digits, of either sign."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    scale = F.when(F.col("l_linenumber") % 3 == 0, 1e15).when(F.col("l_linenumber") % 3 == 1, 0.0001).otherwise(-0.004)
+    return li.select((F.col("l_orderkey") % 7).alias("key"), (F.col("l_quantity") * scale).alias("value"))
+
+
 def master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer master sheet as text: unmatched, duplicated and null-named keys."""
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey", "c_acctbal")
     k = F.col("c_custkey")
-    base = c.filter(k % 10 != 0).select(
+    # every tenth customer has another name in the sheet, so its sales find no match
+    base = c.select(
         (k * 2).alias("_row_id"),
-        F.when(k % 50 == 2, F.lit(None).cast("string")).otherwise(F.col("c_name")).alias("Customer Name"),
+        F.when(k % 50 == 2, F.lit(None).cast("string")).when(k % 10 == 0, F.concat("c_name", F.lit(" Ltd")))
+        .otherwise(F.col("c_name")).alias("Customer Name"),
         F.col("c_mktsegment").alias("Segment"),
         F.col("c_nationkey").cast("string").alias("Nation Code"),
         _money_text(F.col("c_acctbal")).alias("Credit Limit"),
@@ -226,6 +261,27 @@ def export_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pre.unionByName(body)
 
 
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text lines of two export files (`file`: even or odd years; `value`): two title lines, a header, the orders.
+
+    Remarks are quoted and hold separators, doubled quotes and line breaks; every
+    97th order's record has 300 cells.
+    """
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    k, file = F.col("o_orderkey"), F.year("o_orderdate") % 2
+    remark = F.concat(F.lit('"order ""'), k.cast("string"), F.lit('"", paid'), F.when(k % 5 == 0, F.lit("\nlate")).otherwise(F.lit("")), F.lit('"'))
+    tail = F.when(k % 97 == 0, F.concat(F.lit("," * 295), F.lit("end"), k.cast("string"))).otherwise(F.lit(""))
+    line = F.concat(F.date_format("o_orderdate", "d/M/yyyy"), F.lit(",Customer "), F.col("o_custkey").cast("string"), F.lit(",INV"),
+                    k.cast("string"), F.lit(","), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(","), remark, tail)
+    body = o.select(file.alias("file"), k.alias("at"), line.alias("value"))
+    files = o.select(file.alias("file")).distinct()
+    head = files.select("file", F.explode(F.array(
+        F.struct(F.lit(-3).cast("long").alias("at"), F.lit(EXPORT_TITLE_LINES[0]).alias("value")),
+        F.struct(F.lit(-2).cast("long").alias("at"), F.lit(EXPORT_TITLE_LINES[1]).alias("value")),
+        F.struct(F.lit(-1).cast("long").alias("at"), F.lit('Date,Particulars,"Voucher\nNo",Gross Total,Remarks').alias("value")))).alias("l")).select("file", "l.*")
+    return head.unionByName(body).repartition("file").sortWithinPartitions("file", "at").select("file", "value")
+
+
 VIEWS = {
     "sales": sales,
     "sales_gaps": sales_gaps,
