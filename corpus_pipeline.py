@@ -19,7 +19,7 @@ from ledgerlens.llm.toxicity import fit_tables, without_toxic
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The documents whose doc_id is not among the dropped ones."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)     # null ids stay
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

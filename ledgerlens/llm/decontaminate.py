@@ -13,7 +13,8 @@ more passes over the stored index.
 
 Defined results: a null or empty text has no words and no hits, an item without
 words is never found, an item shorter than the window is one phrase, and repeated
-documents or items count as separate rows (equal item ids count once).  Empty
+documents or items count as separate rows (equal ids, null ones too, share their
+hits; equal item ids count once).  Empty
 tables give empty results; other columns of the tables are not read.
 """
 
@@ -31,7 +32,7 @@ BLOCK_BYTES = 4 << 20
 #: Test phrases sent to the executors at once: 200,000 of 10 words are 18 MB.
 PHRASES_PER_PASS = 200_000
 
-INDEX_SCHEMA = "doc_ids binary, n_words binary, terms binary, counts binary, places binary"
+INDEX_SCHEMA = "doc_ids array<long>, n_words binary, terms binary, counts binary, places binary"
 
 
 def _index_blocks(batches):
@@ -39,15 +40,16 @@ def _index_blocks(batches):
         words, first = hashed_words(chunk.column("text"), "alnum")
         order = np.argsort(words, kind="stable").astype(np.uint32)
         terms, counts = np.unique(words, return_counts=True)
-        ids = np.asarray(chunk.column("doc_id").to_numpy(zero_copy_only=False), dtype=np.int64)
-        row = [ids, np.diff(first).astype(np.uint32), terms, counts.astype(np.uint32), order]
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in row],
+        ids = pa.ListArray.from_arrays(pa.array([0, chunk.num_rows], pa.int32()), chunk.column("doc_id"))
+        row = [np.diff(first).astype(np.uint32), terms, counts.astype(np.uint32), order]
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.tobytes()], pa.binary()) for x in row)],
                                          names=["doc_ids", "n_words", "terms", "counts", "places"])
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """The stored index of (doc_id, text): a row per block with its postings."""
-    return written(docs.select("doc_id", "text").mapInArrow(_index_blocks, INDEX_SCHEMA), "postings")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return written(docs.mapInArrow(_index_blocks, INDEX_SCHEMA), "postings")
 
 
 def phrases_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -119,9 +121,9 @@ def find_phrases(index: DataFrame, phrases: list[tuple[str, bytes]], slop: int =
         matrix, lengths, items = sent.value
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, n, terms, counts, places = (
-                    np.frombuffer(batch.column(k)[r].as_py(), t)
-                    for k, t in enumerate((np.int64, np.uint32, np.uint64, np.uint32, np.uint32)))
+                ids = batch.column(0)[r].values
+                n, terms, counts, places = (np.frombuffer(batch.column(k)[r].as_py(), t)
+                                            for k, t in enumerate((np.uint32, np.uint64, np.uint32, np.uint32), 1))
                 first = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
                 who, start = _match(terms, counts, places, first, matrix, lengths, slop)
                 if len(who):
@@ -129,7 +131,7 @@ def find_phrases(index: DataFrame, phrases: list[tuple[str, bytes]], slop: int =
                     middle = np.clip(start + lengths[who] // 2, 0, first[-1] - 1)
                     document = np.searchsorted(first, middle, side="right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids[document]), pa.array(items[who], pa.string()),
+                        [ids.take(pa.array(document)), pa.array(items[who], pa.string()),
                          pa.array(start - first[document]), pa.array(lengths[who])],
                         names=["doc_id", "item_id", "start", "length"])
 
@@ -154,7 +156,7 @@ def document_lengths(index: DataFrame) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(batch.column(0)[r].as_py(), np.int64)),
+                    [batch.column(0)[r].values,
                      pa.array(np.frombuffer(batch.column(1)[r].as_py(), np.uint32).astype(np.int64))],
                     names=["doc_id", "n_words"])
 
@@ -169,7 +171,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
            .groupBy("doc_id").agg(F.countDistinct("at").alias("n_hit"),
                                   F.array_sort(F.collect_set("item_id")).alias("items")))
     none = F.array().cast("array<string>")
-    return (document_lengths(index).join(hit, "doc_id", "left")
+    lengths, hit = document_lengths(index), hit.withColumnRenamed("doc_id", "hit_id")
+    return (lengths.join(hit, lengths["doc_id"].eqNullSafe(hit["hit_id"]), "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),

@@ -32,8 +32,8 @@ from ledgerlens.llm.words import hashed_words, mix, text_buffer, text_chunks
 
 ORDER = 2
 HELD_OUT, DELETED, KEPT = 0, 1, 2     # folds: scored only, deleted for the weights, the rest of training
-BLOCK_BYTES = 10 << 20
-PART_BYTES = 6 << 20
+BLOCK_BYTES = 6 << 20
+PART_BYTES = 4 << 20
 BUCKETS, STEPS, OCTAVES = 40, 4, 48
 ROUNDS = 60
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x2545F4914F6CDD1D)
@@ -124,9 +124,9 @@ def _send_grams(order: int, bits: int):
                     keys, index, _ = grams.distinct(k)
                     counts = np.bincount(index, minlength=len(keys)).astype(np.uint32)
                     part = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    cuts = np.concatenate([np.searchsorted(part, np.arange(1 << bits)), [len(keys)]])
-                    for p in np.flatnonzero(np.diff(cuts)):
-                        own = slice(cuts[p], cuts[p + 1])
+                    used, cuts = np.unique(part, return_index=True)
+                    for p, a, b in zip(used, cuts, [*cuts[1:], len(keys)]):
+                        own = slice(a, b)
                         steps = np.diff(keys[own], prepend=np.uint64(0))
                         out.append((int(p), row["block"], row["fold"], k, _planes(steps),
                                     b"" if row["fold"] == HELD_OUT else _planes(counts[own])))

@@ -216,7 +216,8 @@ def fit(docs: DataFrame, learned: int = LEARNED_DOCUMENTS) -> dict:
     share = (np.bincount(label, weights=n, minlength=LABELS) + 1.0) / (n.sum() + LABELS)
     for kind in ("near", "skip"):
         known = rows[kind].notna().to_numpy()
-        together = np.full((LABELS, LABELS), 0.5) + np.eye(LABELS)
+        # ten pseudo-pairs: half of them agree, half are drawn apart
+        together = 5.0 * np.outer(share, share) + 5.0 * np.diag(share)
         np.add.at(together, (rows[kind][known].to_numpy(float).astype(int), label[known]), n[known])
         pairs[kind] = np.clip(np.log(together / together.sum()) - np.log(np.outer(share, share)), -3.0, 3.0)
     return {"weights": weights, "learned": int(n.sum()), **pairs}

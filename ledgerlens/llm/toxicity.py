@@ -1,8 +1,9 @@
 """Toxic passages as maximum-scoring segments, calibrated by extreme-value statistics.
 
-Every word has a log-odds between toxic and clean texts under a Dirichlet prior
-that holds `PRIOR` pseudo-words split as if the word said nothing.  Less a drift
-for each word, a text becomes a walk whose maximal segments (all of them, found
+Every word and every beginning of a word (3 to 8 bytes: inflected forms share a
+stem) has a log-odds between toxic and clean texts under a Dirichlet prior that
+holds `PRIOR` pseudo-words split as if it said nothing; a word's score is their
+mean.  Less a drift for each word, a text becomes a walk whose maximal segments (all of them, found
 in one linear scan) are its candidate passages.  The highest segment of a clean
 text follows an extreme-value law with rate `lam` (the root of
 E[exp(lam * score)] = 1 over clean words) and `ln_k`, so a segment of score s in n
@@ -10,7 +11,8 @@ words has the p-value 1 - exp(-exp(ln_k + ln n - lam * s)).  A logistic function
 of the normalised scores, fitted on documents that gave no counts, makes the
 document's score.
 
-Words are hashed to 2^BITS cells, which bounds the table that tasks receive (4 MB).
+Words and stems are hashed to 2^BITS cells, which bounds the table that tasks
+receive (8 MB).
 The model learns from at most `LABELLED` labelled documents (by hash of their id);
 everything is scored, whole.
 
@@ -28,25 +30,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm.tables import corpus_table
-from ledgerlens.llm.words import lower_ascii, separator_table, text_buffer, text_chunks, word_hashes, word_spans
+from ledgerlens.llm.tables import corpus_table, written
+from ledgerlens.llm.words import lower_ascii, mix, separator_table, text_buffer, text_chunks, word_hashes, word_spans
 
-BITS = 20
-PRIOR = 20.0
+BITS = 21
+STEMS = range(3, 9)
+PRIOR = 5.0
 DRIFT = 0.3
 SIGNIFICANT = 0.01
 LABELLED = 30_000
-EULER_GAMMA = 0.5772156649015329
+SCORE_BINS, BIN_WIDTH, LOWEST = 600, 0.05, -15.0
 
 SCORE_SCHEMA = "doc_id long, score double, predicted int, n_passages int, passages string"
 
 
 @dataclass
 class Model:
-    scores: np.ndarray      # per cell, the drift taken off
+    scores: np.ndarray      # per cell
     lam: float
     ln_k: float
-    weights: np.ndarray     # logistic: constant, highest segment, sum of significant segments
+    weights: np.ndarray     # logistic: constant, highest segment, sum of significant segments, their sum by length
 
 
 def remainder(doc_id: str = "doc_id") -> Column:
@@ -54,26 +57,58 @@ def remainder(doc_id: str = "doc_id") -> Column:
 
 
 def _words(column):
+    """Bytes and spans of the words, and their cells: a row for the words, one for each length of stem (-1: the word is no longer)."""
     data, offsets = text_buffer(column)
     starts, ends, first = word_spans(data, offsets, separator_table("alnum"))
-    cells = (word_hashes(lower_ascii(data), starts, ends) >> np.uint64(64 - BITS)).astype(np.int64)
+    low = lower_ascii(data)
+    padded = np.zeros(len(low) + 8, np.uint8)
+    padded[:len(low)] = low
+    lane = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), shape=(len(low) + 1,), strides=(1,))[starts]
+    shift, length = np.uint64(64 - BITS), ends - starts
+    cells = np.empty((1 + len(STEMS), len(starts)), np.int32)
+    cells[0] = word_hashes(low, starts, ends) >> shift
+    for row, k in enumerate(STEMS, 1):
+        mask = np.uint64((1 << 8 * k) - 1)
+        cells[row] = mix((lane & mask) + np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> shift
+        cells[row, length <= k] = -1
     return data, offsets, starts, ends, first, cells
 
 
+def _values(scores: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Each word's score: the mean of its cells', the drift taken off."""
+    used = cells >= 0
+    return np.where(used, scores[cells], 0).sum(axis=0) / used.sum(axis=0) - DRIFT
+
+
 def _count_cells(batches):
-    """Word counts of the toxic and of the clean documents, by cell."""
+    """Counts of words and stems in the toxic and in the clean documents, by cell."""
     counts = np.zeros((2, 1 << BITS), np.int64)
     for chunk in text_chunks(batches, "text"):
         *_, first, cells = _words(chunk.column("text"))
         toxic = np.repeat(np.asarray(chunk.column("toxic")) == 1, np.diff(first))
         for k, own in enumerate((~toxic, toxic)):
-            counts[k] += np.bincount(cells[own], minlength=1 << BITS)
+            for row in cells[:, own]:
+                counts[k] += np.bincount(row[row >= 0], minlength=1 << BITS)
     used = np.flatnonzero(counts.sum(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0, used]), pa.array(counts[1, used])],
                                      names=["cell", "clean", "toxic"])
 
 
+def _clean_scores(scores: np.ndarray):
+    """Histogram of the word scores of clean documents."""
+    def run(batches):
+        counts = np.zeros(SCORE_BINS, np.int64)
+        for chunk in text_chunks(batches, "text"):
+            bins = ((_values(scores, _words(chunk.column("text"))[-1]) - LOWEST) / BIN_WIDTH).astype(np.int64)
+            counts += np.bincount(np.clip(bins, 0, SCORE_BINS - 1), minlength=SCORE_BINS)
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["bin", "n"])
+
+    return run
+
+
 def log_odds(clean: np.ndarray, toxic: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """Log-odds of each cell: its counts and the prior's against the prior's, in toxic and in clean texts."""
     total = max(1, clean.sum() + toxic.sum())
     a0, a1 = prior * max(clean.sum(), 1) / total, prior * max(toxic.sum(), 1) / total
     return np.log((toxic + a1) / a1) - np.log((clean + a0) / a0)
@@ -134,33 +169,43 @@ def _evidence(values: np.ndarray, model: Model) -> tuple[float, float, list[tupl
     return top, sum(x[2] for x in found), found
 
 
-def _features(evidence: tuple[float, float, list]) -> list[float]:
-    return [1.0, float(np.log1p(evidence[0])), float(np.log1p(evidence[1]))]
+def _features(evidence: tuple[float, float, list], n: int) -> list[float]:
+    return [1.0, float(np.log1p(evidence[0])), float(np.log1p(evidence[1])), float(np.log1p(100 * evidence[1] / max(n, 1)))]
 
 
-def _highest(model: Model):
+def _highest(scores: np.ndarray):
+    """The highest segment of each text."""
     def run(batches):
         for chunk in text_chunks(batches, "text"):
             *_, first, cells = _words(chunk.column("text"))
-            out = []
+            walk, out = _values(scores, cells), []
             for a, b in zip(first[:-1], first[1:]):
-                walk = np.concatenate([[0.0], np.cumsum(model.scores[cells[a:b]])])
-                top = _evidence(model.scores[cells[a:b]], model) if model.ln_k else (0.0, 0.0, [])
-                out.append((int(b - a), float((walk - np.minimum.accumulate(walk)).max()), top[0], top[1]))
-            yield pa.RecordBatch.from_arrays([chunk.column("toxic"), *(pa.array(list(c)) for c in zip(*out))],
-                                             names=["toxic", "n", "highest", "top", "total"])
+                own = np.concatenate([[0.0], np.cumsum(walk[a:b])])
+                out.append((int(b - a), float((own - np.minimum.accumulate(own)).max())))
+            yield pa.RecordBatch.from_arrays([chunk.column("toxic"), *(pa.array(list(c)) for c in zip(*out))], names=["toxic", "n", "highest"])
+
+    return run
+
+
+def _feature_rows(model: Model):
+    def run(batches):
+        for chunk in text_chunks(batches, "text"):
+            *_, first, cells = _words(chunk.column("text"))
+            values = _values(model.scores, cells)
+            rows = [_features(_evidence(values[a:b], model), b - a) for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([chunk.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     return run
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge-stabilised logistic regression by Newton steps; slopes are kept from turning negative."""
+    """Ridge-stabilised logistic regression by Newton steps."""
     w = np.zeros(x.shape[1])
-    ridge = np.diag([1e-6, 1e-2, 1e-2])
-    for _ in range(40):
+    ridge = np.diag([1e-6] + [0.1] * (x.shape[1] - 1))
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
-    return np.array([w[0], max(w[1], 0.0), max(w[2], 0.0)])
+    return w
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out: Column, calibration: Column, labelled: int = LABELLED) -> Model:
@@ -169,32 +214,36 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: Column, calibration: Colum
     sample = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out)
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
               .withColumn("calibration", calibration).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    known = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id"), "labelled")
     cells = (known.where(~F.col("calibration")).select("toxic", "text").mapInArrow(_count_cells, "cell long, clean long, toxic long")
              .groupBy("cell").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))).toArrow()  # 2^BITS rows at most
     clean, toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
     clean[np.asarray(cells["cell"])] = np.asarray(cells["clean"])
     toxic[np.asarray(cells["cell"])] = np.asarray(cells["toxic"])
-    scores = (log_odds(clean, toxic) - DRIFT).astype(np.float32)
-    model = Model(scores, tail_rate(scores.astype(float), clean), 0.0, np.array([0.0, 1.0, 1.0]))
+    scores = log_odds(clean, toxic).astype(np.float32)
 
     other = known.where("calibration").select("toxic", "text")
-    seen = other.mapInArrow(_highest(model), "toxic int, n long, highest double, top double, total double").toPandas()
+    bins = (other.where("toxic = 0").select("text").mapInArrow(_clean_scores(scores), "bin long, n long")
+            .groupBy("bin").agg(F.sum("n").alias("n"))).toPandas()      # SCORE_BINS rows at most
+    lam = tail_rate(LOWEST + BIN_WIDTH * (bins["bin"].to_numpy(float) + 0.5), bins["n"].to_numpy(float))
+    model = Model(scores, lam, 0.0, np.zeros(4))
+    seen = other.mapInArrow(_highest(scores), "toxic int, n long, highest double").toPandas()     # as many rows as labels
     plain = seen[(seen["toxic"] == 0) & (seen["n"] > 0) & (seen["highest"] > 0)]
-    # the middle of the law, which a few mislabelled texts don't move: its median is ln_k + ln n + 0.3665
-    model.ln_k = (float(np.median(model.lam * plain["highest"] - np.log(plain["n"]))) + float(np.log(np.log(2.0)))) if len(plain) else 1e-9
+    if len(plain):
+        # the middle of the law, which a few mislabelled texts don't move: exp(-K n e^(-lam s)) = 1/2
+        model.ln_k = float(np.median(lam * plain["highest"] - np.log(plain["n"])) + np.log(np.log(2.0)))
     if seen["toxic"].nunique() == 2:
-        seen = other.mapInArrow(_highest(model), "toxic int, n long, highest double, top double, total double").toPandas()
-        x = np.column_stack([np.ones(len(seen)), np.log1p(seen["top"]), np.log1p(seen["total"])])
-        model.weights = _logistic(x, seen["toxic"].to_numpy(float))
+        rows = other.mapInArrow(_feature_rows(model), "toxic int, x array<double>").toPandas()
+        model.weights = _logistic(np.stack(rows["x"]).astype(float), rows["toxic"].to_numpy(float))
     return model
 
 
 def _scores(chunk, model: Model):
     data, offsets, starts, ends, first, cells = _words(chunk.column("text"))
+    values = _values(model.scores, cells)
     for d, (a, b) in enumerate(zip(first[:-1], first[1:])):
-        evidence = _evidence(model.scores[cells[a:b]], model)
-        score = float(1 / (1 + np.exp(-np.clip(model.weights @ _features(evidence), -30, 30))))
+        evidence = _evidence(values[a:b], model)
+        score = float(1 / (1 + np.exp(-np.clip(model.weights @ _features(evidence, b - a), -30, 30))))
         spans = []
         if evidence[2]:
             text = data[offsets[d]:offsets[d + 1]]

@@ -48,7 +48,7 @@ def test_small_table(spark):
     rows = op1_pack(spark, SMALL).collect()
     check_pieces(rows, docs_of(table(spark, "documents")))
     sequences = check_sequences(rows)
-    assert sequences <= 1.06 * sum(r.length for r in rows) / 1024 + 1
+    assert sequences <= 1.03 * sum(r.length for r in rows) / 1024 + 1
 
 
 def test_edges(spark):

@@ -39,12 +39,12 @@ def test_long_walks_are_linear():
 
 
 def test_held_out_labels(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"
     scored = tox.op7_toxicity(spark, d)
     rows = scored.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
     toxic, clean = ([r.score for r in rows if r.toxic == k] for k in (1, 0))
     auc = sum((t > c) + (t == c) / 2 for t in toxic for c in clean) / (len(toxic) * len(clean))
-    assert auc > 0.9
+    assert auc > 0.97
     assert sum(s >= 0.5 for s in clean) <= 0.03 * len(clean)
     assert scored.count() == spark.read.parquet(f"{d}/documents.parquet").count()
 
@@ -85,8 +85,8 @@ def test_passages_are_where_the_words_are(spark):
     for x in tox.score_documents(docs, model).collect():
         assert x.predicted == (x.doc_id % 5 == 0)
         if x.predicted:
-            a, b = map(int, x.passages.split(":"))
-            assert texts[x.doc_id][a:b] == " ".join(bad)
+            found = [texts[x.doc_id][a:b] for a, b in (map(int, p.split(":")) for p in x.passages.split(","))]
+            assert any(bad[1] in p and len(p) < 90 for p in found)     # chance neighbours may be taken along
     assert tox.without_toxic(docs, model).count() == 480
 
 
