@@ -118,7 +118,7 @@ def prepare(raw: DataFrame) -> DataFrame:
 
 
 def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = False,
-                materialize: bool = True) -> CleanedSales:
+                materialize: bool = False, impute: bool = True) -> CleanedSales:
     """C14: clean a day-book export.
 
     Steps: names -> trim -> roles -> day-first dates -> numeric promotion ->
@@ -127,11 +127,11 @@ def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = Fals
     ``compat=False`` the date, customer and tax-id roles are protected from
     numeric promotion.
 
-    Every text column is parsed once into a staged frame (trimmed text plus
-    its lenient number).  With ``materialize`` the staged frame is written by
-    ``checkpoint()`` to the shared checkpoint folder: the parse runs once, the
-    profile, the medians and the final plan read the written copy, and lost
-    executors recompute from it rather than from the raw export.
+    One profiling pass fixes the schema; the result is one lazy plan over the
+    export that parses only the columns its caller selects.  ``materialize``
+    writes the parsed rows by ``checkpoint()`` to the shared folder first, for
+    sources that are dear to read twice.  ``impute=False`` leaves nulls in
+    numeric columns (and spares the medians' jobs) where the caller only counts.
     """
     df = prepare(raw)
     cols = df.columns
@@ -181,7 +181,8 @@ def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = Fals
     missing |= {c for j, c in enumerate(already) if prof[f"missn{j}"]}
     numeric = [f.name for f in kept.schema.fields
                if isinstance(f.dataType, NumericType) and f.name in missing]
-    kept = impute_medians(kept, numeric, approx=approx_median)
+    if impute:
+        kept = impute_medians(kept, numeric, approx=approx_median)
     kept = fill_text(kept)
     kept = add_time_features(kept, date_c)
     return CleanedSales(kept, date_c, rev_c, cust_c, gst_c, stats, promoted)

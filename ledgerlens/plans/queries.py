@@ -227,8 +227,8 @@ def q_product_key(spark, d):
 
 # ------------------------------------------------------------ cleaning composites
 
-def _cleaned(spark, d):
-    return cl.clean_sales(fx.sales_raw(spark, d))
+def _cleaned(spark, d, impute=True):
+    return cl.clean_sales(fx.sales_raw(spark, d), impute=impute)
 
 
 def _master(spark, d):
@@ -251,7 +251,7 @@ def q_numeric_promote(spark, d):
 
 @query
 def q_clean_stats(spark, d):
-    return _cleaned(spark, d).stats.select(
+    return _cleaned(spark, d, impute=False).stats.select(
         F.col("rows_dropped_missing_date_or_revenue").alias("dropped"),
         F.col("missing_customers_filled").alias("filled"),
         F.col("records_after_cleaning").alias("kept"))
@@ -278,8 +278,8 @@ def q_dedupe_first(spark, d):
     return ig.dedupe_first(m.withColumn(ig.KEY, text_key("customer_name")), ig.KEY)
 
 
-def _integrated(spark, d):
-    return ig.integrate_sales_and_master(_cleaned(spark, d), _master(spark, d))
+def _integrated(spark, d, impute=True):
+    return ig.integrate_sales_and_master(_cleaned(spark, d, impute), _master(spark, d))
 
 
 @query
@@ -289,12 +289,12 @@ def q_integrate(spark, d):
 
 @query
 def q_integrate_summary(spark, d):
-    return _integrated(spark, d)[1]
+    return _integrated(spark, d, impute=False)[1]
 
 
 @query
 def q_sales_base(spark, d):
-    cs = _cleaned(spark, d)
+    cs = _cleaned(spark, d, impute=False)
     merged, _ = ig.integrate_sales_and_master(cs, _master(spark, d))
     base = cl.sales_base(merged, cs.date_column, cs.revenue_column, cs.customer_column)
     return base.select("_row_id", "_date", "_year", "_month", "_revenue", "_customer", "_customer_norm", "_merge_status")
@@ -468,7 +468,7 @@ def q_forecast(spark, d):
 def _report_parts(spark, d):
     sales = fx.sales(spark, d)
     items = fx.items(spark, d, customer=False)
-    cs = _cleaned(spark, d)
+    cs = _cleaned(spark, d, impute=False)
     _, summary = ig.integrate_sales_and_master(cs, _master(spark, d))
     fc_all = fcst.forecast_revenue(fx.sales(spark, d, customer=False), "date", "revenue", steps=6).drop("_series", "phi", "theta")
     return sales, items, cs, summary, fc_all
@@ -563,19 +563,19 @@ def q_enrich_empty_catalog(spark, d):
 
 @query
 def q_integrate_skipped(spark, d):
-    cs = _cleaned(spark, d)
+    cs = _cleaned(spark, d, impute=False)
     return ig.integrate_sales_and_master(cs, fx.catalog(spark, d))[1]
 
 
 @query
 def q_integrate_short(spark, d):
-    return ig.short_summary(_integrated(spark, d)[1])
+    return ig.short_summary(_integrated(spark, d, impute=False)[1])
 
 
 @query
 def q_merged_roles(spark, d):
     """Roles found again on the merged frame, with their filled cells."""
-    merged = _integrated(spark, d)[0]
+    merged = _integrated(spark, d, impute=False)[0]
     chosen = [("customer", R.customer_role(merged.columns)), ("date", R.date_role(merged.columns)), ("revenue", R.revenue_role(merged.columns))]
     wide = merged.agg(*[F.count(c).alias(f"n{i}") for i, (_, c) in enumerate(chosen)])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(c).alias("column"), F.col(f"n{i}").alias("filled"))

@@ -1,10 +1,8 @@
 """Incremental variants of the batch aggregates.
 
-The reference has no streams (no watermark, window state or late data); its
-dashboard recomputes over base tables loaded once.  The one streaming entry
-point here keeps the dashboard's monthly revenue current as new invoice
-files land, by running the very same aggregate (A4) under Structured
-Streaming.
+The one streaming entry point keeps the dashboard's monthly revenue current as
+new invoice files land, by running the very same aggregate (A4) under
+Structured Streaming.
 """
 
 from ledgerlens.streaming.monthly import monthly_revenue_stream  # noqa: F401

@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 
 
 def monthly_revenue_stream(spark: SparkSession, source_dir: str, schema: StructType, checkpoint_dir: str,
-                           sink_table: str, date_col: str = "date", value_col: str = "revenue",
+                           sink_path: str, date_col: str = "date", value_col: str = "revenue",
                            fmt: str = "parquet", available_now: bool = True) -> StreamingQuery:
-    """Start a streaming query that keeps `month -> revenue` in ``sink_table``.
+    """Start a streaming query that keeps `month -> revenue` as Parquet in ``sink_path``.
 
     State is one exact decimal running sum per month (bounded by the calendar),
     kept in the checkpoint folder, so a restarted query resumes where it
-    stopped.  ``available_now`` processes what is there and stops.
+    stopped.  Each batch replaces the written months whole; none passes through
+    the driver.  ``available_now`` processes what is there and stops.
     """
     rows: DataFrame = spark.readStream.schema(schema).format(fmt).load(source_dir)
     agg = monthly_totals(rows, date_col, value_col).select(
         month_label("month_start").alias("month"), F.col("revenue_dec").cast("double").alias("revenue"))
-    writer = (agg.writeStream.outputMode("complete").format("memory").queryName(sink_table)
-              .option("checkpointLocation", checkpoint_dir))
+    writer = (agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint_dir)
+              .foreachBatch(lambda months, _: months.write.mode("overwrite").parquet(sink_path)))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

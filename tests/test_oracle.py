@@ -6,6 +6,8 @@ import sys
 import pytest
 
 import __spark_entry__ as E
+from ledgerlens.plans.oracle_queries import ORACLE
+from ledgerlens.plans.queries import QUERIES
 from tests.conftest import SMALL
 
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
@@ -23,11 +25,11 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_duckdb(spark, con, name):
-    sdf = E.queries()[name](spark, SMALL)
+    sdf = QUERIES[name](spark, SMALL)
     a, an = oc.rows_of(sdf.columns, [tuple(r) for r in sdf.collect()])
-    cur = con.execute(E.oracle_sql()[name])
+    cur = con.execute(ORACLE[name])
     b, bn = oc.rows_of([d[0] for d in cur.description], cur.fetchall())
     assert an == bn
     assert len(a) == len(b)
@@ -38,8 +40,12 @@ def test_query_matches_duckdb(spark, con, name):
 
 
 def test_rows_only_queries_run(spark):
-    for name in set(E.queries()) - set(E.oracle_sql()):
-        assert E.queries()[name](spark, SMALL).count() >= 1
+    for name in set(QUERIES) - set(ORACLE):
+        assert QUERIES[name](spark, SMALL).count() >= 1
+
+
+def test_registry_holds_every_query():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_entry(spark):

@@ -2,21 +2,19 @@
 
 import pytest
 
-import __spark_entry__ as E
-from tests.conftest import SMALL
-
-HEAVY_SKIP = {"payload", "insights"}
+import contextlib
+import io
 
+from ledgerlens.plans.queries import QUERIES
+from tests.conftest import SMALL
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_udf(spark, name):
-    if name in HEAVY_SKIP:
-        pytest.skip("composite of checked queries")
-    p = plan(E.queries()[name](spark, SMALL))
+    p = plan(QUERIES[name](spark, SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
         assert node not in p, f"{name} uses {node}"
 
@@ -29,14 +27,48 @@ def test_slice_filter_reaches_scan(spark):
 
 
 def test_pareto_window_is_partitioned_by_bucket(spark):
-    p = plan(E.queries()["pareto_count"](spark, SMALL))
+    p = plan(QUERIES["pareto_count"](spark, SMALL))
     assert "hashpartitioning(bucket" in p
 
 
 def test_monthly_scan_prunes_columns(spark):
-    p = plan(E.queries()["monthly_revenue"](spark, SMALL))
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz,o_totalprice:double>" in p \
-        or "o_orderpriority" not in p
+    p = plan(QUERIES["monthly_revenue"](spark, SMALL))
+    assert "ReadSchema: struct<o_orderdate:timestamp_ntz,o_totalprice:double>" in p
+
+
+ONE_SCAN = ["tax_component", "tax_breakdown", "item_totals", "item_monthly", "monthly_revenue", "monthly_filled", "moving_avg_3m",
+            "revenue_by_year", "yoy_growth", "seasonality", "peak_month", "calendar_pool", "high_value"]
+TWO_SCANS = ["gross_net_year", "category_sales", "top_products", "forecast"]
+
+
+@pytest.mark.parametrize("name,scans", [(n, 1) for n in ONE_SCAN] + [(n, 2) for n in TWO_SCANS])
+def test_only_the_needed_tables_are_read(spark, name, scans):
+    assert plan(QUERIES[name](spark, SMALL)).count("FileScan parquet") == scans
+
+
+def test_facets_read_the_items_once(spark, monkeypatch):
+    """The lists come from two written frames; the plans that write them read each table once."""
+    from ledgerlens.operators import facets
+    seen = []
+
+    def write(df):
+        seen.append(plan(df))
+        return df.checkpoint()
+
+    monkeypatch.setattr(facets, "materialize", write)
+    assert plan(QUERIES["facets"](spark, SMALL)).count("FileScan parquet") == 0
+    assert [p.count("FileScan parquet") for p in seen] == [4, 2]
+
+
+def test_enrichment_joins_the_catalog_by_its_key(spark):
+    p = plan(QUERIES["enrich"](spark, SMALL))
+    assert "Scan ExistingRDD" not in p      # no copy of the facts
+
+
+def test_keep_first_is_a_hash_aggregate(spark):
+    from ledgerlens.operators.integrate import dedupe_first
+    df = spark.createDataFrame([(1, "a", "x")], "_row_id long, k string, v string")
+    assert "SortAggregate" not in plan(dedupe_first(df, "k"))
 
 
 REDUCERS = ("HashAggregate", "ObjectHashAggregate", "SortAggregate", "TakeOrderedAndProject", "GlobalLimit",
@@ -77,29 +109,24 @@ def single_partition_inputs(plan_text):
     return found
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_single_partition_only_on_reduced_data(spark, name):
     """No fact rows are funnelled into one task: every single-partition exchange
     moves the output of an aggregate, a limit or a small generated relation."""
-    if name in HEAVY_SKIP:
-        pytest.skip("composite of checked queries")
-    df = E.queries()[name](spark, SMALL)
+    df = QUERIES[name](spark, SMALL)
     text = df._jdf.queryExecution().executedPlan().toString()
     for node in single_partition_inputs(text):
         assert node.startswith(REDUCERS), f"{name}: single-partition exchange over {node[:80]}"
 
 
 def test_year_slice_reaches_scan_as_date_range(spark):
-    import contextlib
-    import io
-
     def formatted(df):
         buf = io.StringIO()
         with contextlib.redirect_stdout(buf):
             df.explain(mode="formatted")     # lists PushedFilters in full
         return buf.getvalue()
 
-    p = formatted(E.queries()["sales_slice"](spark, SMALL))
+    p = formatted(QUERIES["sales_slice"](spark, SMALL))
     assert "GreaterThanOrEqual(o_orderdate,1997-01-01T00:00)" in p and "LessThan(o_orderdate,1998-01-01T00:00)" in p
-    p = formatted(E.queries()["item_slice"](spark, SMALL))
+    p = formatted(QUERIES["item_slice"](spark, SMALL))
     assert "GreaterThanOrEqual(l_shipdate,1997-01-01T00:00)" in p

@@ -69,10 +69,10 @@ def test_payload_sink_writes_valid_json(spark, tmpdir_path):
     from ledgerlens.operators import report as rp
     one = spark.createDataFrame([(1.5, None)], "total double, net double")
     top = spark.createDataFrame([("a", 2.0), ("b", 1.0)], "customer string, revenue double")
-    df = rp.payload(spark, {"revenue": one}, {"top": top})
+    df = rp.payload(spark, {"revenue": one}, {"top": (top, ("-revenue",))})
     out = os.path.join(tmpdir_path, "payload")
     rp.write_payload(df, out)
     text = "".join(open(f).read() for f in glob.glob(os.path.join(out, "part-*")))
     doc = json.loads(text)
     assert doc["revenue"] == {"total": 1.5, "net": None}
-    assert sorted(r["customer"] for r in doc["top"]) == ["a", "b"]
+    assert [r["customer"] for r in doc["top"]] == ["a", "b"]

@@ -12,8 +12,8 @@ def test_stream_matches_batch(spark, tmpdir_path):
     sales = fx.sales(spark, SMALL)
     src = os.path.join(tmpdir_path, "in")
     sales.write.mode("overwrite").parquet(src)
-    q = monthly_revenue_stream(spark, src, sales.schema, os.path.join(tmpdir_path, "ck"), "stream_monthly")
+    q = monthly_revenue_stream(spark, src, sales.schema, os.path.join(tmpdir_path, "ck"), os.path.join(tmpdir_path, "out"))
     q.awaitTermination(120)
-    got = {r["month"]: r["revenue"] for r in spark.sql("SELECT * FROM stream_monthly").collect()}
+    got = {r["month"]: r["revenue"] for r in spark.read.parquet(os.path.join(tmpdir_path, "out")).collect()}
     exp = {r["month"]: r["revenue"] for r in ts.monthly_revenue(sales).collect()}
     assert got == exp
