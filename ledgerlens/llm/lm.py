@@ -17,7 +17,7 @@ table, whose size is bounded by buckets and `STEPS` probability steps an octave.
 
 Defined results: null and empty texts are one end token; with no training text
 the words are unknown and the uniform estimate is 1; repeated rows count each
-time; a null doc_id is no training document's and not held out; empty tables give
+time; a document with a null doc_id is a training document; empty tables give
 empty results; other columns are not read.
 """
 
