@@ -7,7 +7,7 @@ sources/    Table loading, the fixture views, CSV and report-export readers, sin
 operators/  DataFrame -> DataFrame analytics (cleaning, integration, metrics,
             time series, distribution, Pareto, facets, catalog, forecast, report).
 plans/      Named queries over a table folder and their DuckDB oracle SQL.
-streaming/  Incremental variants of the batch aggregates.
+llm/        Operators on text corpora (imported by nothing else here).
 
 Every public operator takes DataFrames and column names and returns a lazy
 DataFrame.  The few that must look at data to decide a plan (column profiling,

@@ -550,4 +550,4 @@ UNION ALL SELECT 'revenue', 'gross_total', count(gross_total) FROM integ""", INT
 ORACLE["export_wide"] = """SELECT strftime(o_orderdate, '%-d/%-m/%Y') AS date, 'Customer ' || CAST(o_custkey AS VARCHAR) AS particulars,
   'INV' || CAST(o_orderkey AS VARCHAR) AS voucher_no, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS gross_total,
   'order "' || CAST(o_orderkey AS VARCHAR) || '", paid' || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'late' ELSE '' END AS remarks,
-  CASE WHEN o_orderkey % 97 = 0 THEN 'end' || CAST(o_orderkey AS VARCHAR) END AS last_cell FROM orders"""
+  CASE WHEN o_orderkey % 97 = 0 AND year(o_orderdate) % 2 = 1 THEN 'end' || CAST(o_orderkey AS VARCHAR) END AS last_cell FROM orders"""

@@ -264,13 +264,13 @@ def export_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text lines of two export files (`file`: even or odd years; `value`): two title lines, a header, the orders.
 
-    Remarks are quoted and hold separators, doubled quotes and line breaks; every
-    97th order's record has 300 cells.
+    Remarks are quoted and hold separators, doubled quotes and line breaks; in the
+    odd years' file every 97th order's record has 300 cells.
     """
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
     k, file = F.col("o_orderkey"), F.year("o_orderdate") % 2
     remark = F.concat(F.lit('"order ""'), k.cast("string"), F.lit('"", paid'), F.when(k % 5 == 0, F.lit("\nlate")).otherwise(F.lit("")), F.lit('"'))
-    tail = F.when(k % 97 == 0, F.concat(F.lit("," * 295), F.lit("end"), k.cast("string"))).otherwise(F.lit(""))
+    tail = F.when((k % 97 == 0) & (file == 1), F.concat(F.lit("," * 295), F.lit("end"), k.cast("string"))).otherwise(F.lit(""))
     line = F.concat(F.date_format("o_orderdate", "d/M/yyyy"), F.lit(",Customer "), F.col("o_custkey").cast("string"), F.lit(",INV"),
                     k.cast("string"), F.lit(","), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(","), remark, tail)
     body = o.select(file.alias("file"), k.alias("at"), line.alias("value"))

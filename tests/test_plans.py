@@ -8,15 +8,15 @@ import io
 from ledgerlens.plans.queries import QUERIES
 from tests.conftest import SMALL
 
-def plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+def formatted(df):
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="formatted")     # lists PushedFilters and ReadSchema in full
+    return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_python_udf(spark, name):
-    p = plan(QUERIES[name](spark, SMALL))
-    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
-        assert node not in p, f"{name} uses {node}"
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_slice_filter_reaches_scan(spark):
@@ -32,7 +32,7 @@ def test_pareto_window_is_partitioned_by_bucket(spark):
 
 
 def test_monthly_scan_prunes_columns(spark):
-    p = plan(QUERIES["monthly_revenue"](spark, SMALL))
+    p = formatted(QUERIES["monthly_revenue"](spark, SMALL))
     assert "ReadSchema: struct<o_orderdate:timestamp_ntz,o_totalprice:double>" in p
 
 
@@ -110,22 +110,18 @@ def single_partition_inputs(plan_text):
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_single_partition_only_on_reduced_data(spark, name):
-    """No fact rows are funnelled into one task: every single-partition exchange
-    moves the output of an aggregate, a limit or a small generated relation."""
-    df = QUERIES[name](spark, SMALL)
-    text = df._jdf.queryExecution().executedPlan().toString()
+def test_no_python_and_single_partitions_only_on_reduced_data(spark, name):
+    """No Python node anywhere, and no fact rows funnelled into one task: every
+    single-partition exchange moves the output of an aggregate, a limit or a
+    small generated relation."""
+    text = plan(QUERIES[name](spark, SMALL))
+    for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas"):
+        assert node not in text, f"{name} uses {node}"
     for node in single_partition_inputs(text):
         assert node.startswith(REDUCERS), f"{name}: single-partition exchange over {node[:80]}"
 
 
 def test_year_slice_reaches_scan_as_date_range(spark):
-    def formatted(df):
-        buf = io.StringIO()
-        with contextlib.redirect_stdout(buf):
-            df.explain(mode="formatted")     # lists PushedFilters in full
-        return buf.getvalue()
-
     p = formatted(QUERIES["sales_slice"](spark, SMALL))
     assert "GreaterThanOrEqual(o_orderdate,1997-01-01T00:00)" in p and "LessThan(o_orderdate,1998-01-01T00:00)" in p
     p = formatted(QUERIES["item_slice"](spark, SMALL))
