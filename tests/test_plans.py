@@ -4,6 +4,7 @@ import pytest
 
 import contextlib
 import io
+import re
 
 from ledgerlens.plans.queries import QUERIES
 from tests.conftest import SMALL
@@ -32,8 +33,8 @@ def test_pareto_window_is_partitioned_by_bucket(spark):
 
 
 def test_monthly_scan_prunes_columns(spark):
-    p = formatted(QUERIES["monthly_revenue"](spark, SMALL))
-    assert "ReadSchema: struct<o_orderdate:timestamp_ntz,o_totalprice:double>" in p
+    (columns,) = re.findall(r"ReadSchema: struct<([^>]*)>", formatted(QUERIES["monthly_revenue"](spark, SMALL)))
+    assert {c.split(":")[0] for c in columns.split(",")} == {"o_orderdate", "o_totalprice"}
 
 
 ONE_SCAN = ["tax_component", "tax_breakdown", "item_totals", "item_monthly", "monthly_revenue", "monthly_filled", "moving_avg_3m",
