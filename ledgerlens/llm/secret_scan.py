@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerlens.llm.tables import corpus_table, written
-from ledgerlens.llm.words import text_buffer, text_chunks
+from ledgerlens.llm.words import text_buffer, text_chunks, word_spans
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = (b"passw", b"secret", b"token", b"api", b"akia")
+HEX_LEAST = 24
+NOT_HEX = np.array([chr(b) not in "0123456789abcdef" for b in range(256)])
 MASK = "[SECRET]"
 
 SHORTEST = 16
@@ -56,7 +58,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the known forms, leftmost without overlaps for each kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 24]
+    found += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= HEX_LEAST]
     return sorted(found)
 
 
@@ -133,7 +135,8 @@ def _scanned(chunk, places):
             continue
         t = randomness(places[e][symbols], len(ENCODINGS[e]))
         found[d].append((a - offsets[d], b - offsets[d], int(b - a), min(int(t / BIN_WIDTH), BINS - 1), bool(ordinary)))
-        flagged[d] |= not ordinary
+    starts, ends, _ = word_spans(data, offsets, NOT_HEX)
+    flagged[np.searchsorted(offsets, starts[ends - starts >= HEX_LEAST], side="right") - 1] = True
     low = data.tobytes().lower()
     for word in KEYWORDS:
         at = low.find(word)
@@ -141,8 +144,6 @@ def _scanned(chunk, places):
             d = int(np.searchsorted(offsets, at, side="right")) - 1
             flagged[d] = True
             at = low.find(word, int(offsets[d + 1]))
-    # runs of 24 hexadecimal digits may hold no decimal digit
-    flagged |= np.array([any(c[2] >= 24 for c in own) for own in found], bool)
     for d in range(chunk.num_rows):
         if not flagged[d] and not found[d]:
             yield [], []

@@ -45,6 +45,13 @@ def test_edges(spark):
     assert ss.find_secrets(empty_docs(spark)).count() == 0
 
 
+def test_hex_of_decimal_digits_only(spark):
+    cases = list(enumerate(["order 123456789012345678901234 done", "0" * 23, "x " + "7" * 24, "9" * 12, "9" * 12, None, "é" + "1" * 30]))
+    docs = spark.createDataFrame(cases, "doc_id long, text string")
+    assert [r.n_hex for r in held(ss.find_secrets(docs), cases)] == [1, 0, 1, 0, 0, 0, 1]
+    assert ss.without_secrets(docs).where("doc_id = 0").first().text == "order [SECRET] done"
+
+
 def natural(r, n):
     return "".join(r.choice(["th", "er", "in", "an", "re", "on", "es", "ti"]) for _ in range(n))
 
