@@ -1,6 +1,8 @@
 """Secrets in texts: known forms, and strings that pass a battery of randomness tests.
 
-Runs of 16 or more characters that encodings use are candidates.  Each gets the
+Runs of 16 or more characters that encodings use are candidates.  A run that mixes
+the separators of two encodings is cut instead, at `/` and `+`, at `-` and `_`, and
+at all four; its parts with a digit are candidates.  Each candidate gets the
 smallest encoding that has all its characters, and three tests against uniform
 draws from that alphabet: chi-squared of the character counts, the number of runs
 above and below the middle of the alphabet, and the serial correlation of
@@ -40,6 +42,8 @@ NOT_HEX = np.array([chr(b) not in "0123456789abcdef" for b in range(256)])
 MASK = "[SECRET]"
 
 SHORTEST = 16
+#: Parts of a run that mixes separators of two encodings.
+PARTS = [re.compile(rb"[^%s]{%d,}" % (cut, SHORTEST)) for cut in (rb"/+", rb"_-", rb"/+_-")]
 LENGTHS = (16, 20, 24, 32, 48, 64)      # length classes begin here
 BINS, BIN_WIDTH = 400, 0.5
 FALSE_SHARE = 0.01
@@ -98,7 +102,7 @@ def randomness(symbols: np.ndarray, size: int) -> float:
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray):
-    """(document, begin, end, ordinary) of the runs of encoding characters, by bytes of the chunk."""
+    """(document, begin, end, ordinary) of the runs of encoding characters (or their parts), by bytes of the chunk."""
     used = np.zeros(256, bool)
     used[[ord(c) for c in _UPPER + _LOWER + _DIGITS + "+/-_"]] = True
     if not len(data):
@@ -111,11 +115,19 @@ def candidates(data: np.ndarray, offsets: np.ndarray):
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
     long = ends - starts >= SHORTEST
     starts, ends = starts[long], ends[long]
+    first, second = (np.concatenate([[0], np.cumsum((data == ord(x)) | (data == ord(y)))]) for x, y in ("/+", "-_"))
+    mixed = (first[ends] > first[starts]) & (second[ends] > second[starts])
+    whole = int((~mixed).sum())
+    if mixed.any():
+        cuts = np.array(sorted({(a + m.start(), a + m.end()) for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist())
+                                for part in PARTS for m in part.finditer(data[a:b].tobytes())}), np.int64).reshape(-1, 2)
+        starts, ends = np.concatenate([starts[~mixed], cuts[:, 0]]), np.concatenate([ends[~mixed], cuts[:, 1]])
     digits = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
     letters = np.concatenate([[0], np.cumsum(((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A))])
     n_digits, n_letters = digits[ends] - digits[starts], letters[ends] - letters[starts]
     document = np.searchsorted(offsets, starts, side="right") - 1
     keep = n_letters > 0          # numbers alone are no secrets
+    keep[whole:] &= n_digits[whole:] > 0    # a part is no ordinary run of its own
     return list(zip(document[keep], starts[keep], ends[keep], n_digits[keep] == 0))
 
 
@@ -130,9 +142,7 @@ def _scanned(chunk, places):
     flagged = np.zeros(chunk.num_rows, bool)
     for d, a, b, ordinary in candidates(data, offsets):
         symbols = data[a:b]
-        e = next((e for e in range(len(ENCODINGS)) if (places[e][symbols] >= 0).all()), None)
-        if e is None:
-            continue
+        e = next(e for e in range(len(ENCODINGS)) if (places[e][symbols] >= 0).all())
         t = randomness(places[e][symbols], len(ENCODINGS[e]))
         found[d].append((a - offsets[d], b - offsets[d], int(b - a), min(int(t / BIN_WIDTH), BINS - 1), bool(ordinary)))
     starts, ends, _ = word_spans(data, offsets, NOT_HEX)
@@ -196,7 +206,14 @@ def limits(scanned: DataFrame, false_share: float = FALSE_SHARE) -> list[int]:
 
 
 def _all_spans(spans, own, limit):
-    return sorted([*spans, *((a, 3, b) for a, b, n, t, ordinary in own if not ordinary and t <= limit[length_class(n)])])
+    """The base spans and the random ones, overlapping parts of one run together."""
+    random: list[tuple[int, int, int]] = []
+    for a, b in sorted((a, b) for a, b, n, t, ordinary in own if not ordinary and t <= limit[length_class(n)]):
+        if random and a < random[-1][2]:
+            random[-1] = (random[-1][0], 3, max(b, random[-1][2]))
+        else:
+            random.append((a, 3, b))
+    return sorted([*spans, *random])
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:

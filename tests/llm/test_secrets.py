@@ -68,6 +68,32 @@ def test_random_strings_are_told_from_words(spark):
     assert sum(bool(out[i]) for i, _ in rows[60:]) <= 6
 
 
+def test_runs_of_mixed_separators_are_cut(spark):
+    r = random.Random(5)
+    keys = ["".join(r.choice(ss.ENCODINGS[5]) for _ in range(40)) for _ in range(60)]
+    safe = ["".join(r.choice(ss.ENCODINGS[7]) for _ in range(46)) for _ in range(60)]
+    rows = [(i, f"{natural(r, 9)} my-app/{k} {natural(r, 20)}") for i, k in enumerate(keys)]
+    rows += [(100 + i, f"{natural(r, 9)} v1/the_app/{k}/x {natural(r, 20)}") for i, k in enumerate(safe)]
+    rows += [(1000 + i, f"{natural(r, 9)} {natural(r, 14)}-{natural(r, 8)}7/{natural(r, 9)} {natural(r, 20)}") for i in range(600)]
+    rows += [(5000, "cdn/my-app/0123456789abcdef0123456789abcdef")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {x.doc_id: x.spans for x in held(ss.find_secrets(docs), rows)}
+    text = dict(rows)
+
+    def covered(d, key):
+        spans = [s.split(":") for s in out[d].split(",") if s]
+        at = text[d].index(key)
+        return any(k == "random" and int(a) <= at and at + len(key) <= int(b) for k, a, b in spans)
+
+    assert sum(covered(i, k) for i, k in enumerate(keys)) >= 55
+    assert sum(covered(100 + i, k) for i, k in enumerate(safe)) >= 55
+    assert sum(bool(out[1000 + i]) for i in range(600)) <= 6
+    assert out[5000] == "hex:11:43"
+    for spans in out.values():      # random ones do not overlap
+        ends = [tuple(map(int, s.split(":")[1:])) for s in spans.split(",") if s.startswith("random")]
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_battery():
     r = np.random.default_rng(2)
     uniform = [ss.randomness(r.integers(0, 62, 40), 62) for _ in range(400)]
