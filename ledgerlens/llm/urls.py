@@ -2,10 +2,11 @@
 
 Path segments form a tree below their host.  Going down level by level, a branch
 point with many different children (by number and by share of its urls) is
-variable and all its children become one wildcard; elsewhere a child whose share
-of labelled bad pages does not differ significantly from its siblings' (two
-proportions, normal test) is merged into the wildcard, and a child that does keeps
-its own branch.  A template (leaf) is rejected when its share of bad labels,
+variable.  A child whose share of labelled bad pages does not differ significantly
+from its siblings' (two proportions, normal test) is merged into the wildcard, and
+a child that does keeps its own branch.  Below a variable point, where most children
+have few labels, the test is corrected for continuity, lest each rare label pass
+it.  A template (leaf) is rejected when its share of bad labels,
 smoothed towards its host's and that towards all hosts', exceeds a threshold.
 
 Everything is grouping and joining on distinct (host, segments), which partial
@@ -73,11 +74,13 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         other_known, other_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
         pooled = F.col("all_bad") / F.nullif(F.col("all_known"), F.lit(0))
         variance = pooled * (1 - pooled) * (1 / F.nullif(F.col("known"), F.lit(0)) + 1 / F.nullif(other_known, F.lit(0)))
-        z = F.abs(F.col("bad") / F.nullif(F.col("known"), F.lit(0)) - other_bad / F.nullif(other_known, F.lit(0))) / F.sqrt(F.nullif(variance, F.lit(0.0)))
+        apart = F.abs(F.col("bad") / F.nullif(F.col("known"), F.lit(0)) - other_bad / F.nullif(other_known, F.lit(0)))
+        step = (1 / F.nullif(F.col("known"), F.lit(0)) + 1 / F.nullif(other_known, F.lit(0))) / 2
         variable = (F.col("children") >= MANY_CHILDREN) & (F.col("children") >= CHILDREN_SHARE * F.col("all_n"))
         alone = F.col("children") == 1
+        z = F.when(variable, apart - step).otherwise(apart) / F.sqrt(F.nullif(variance, F.lit(0.0)))
         differs = F.coalesce(z >= SIGNIFICANT_Z, F.lit(False))
-        name = F.when(~variable & (alone | differs), F.col("child")).otherwise(F.lit("*"))
+        name = F.when(alone | differs, F.col("child")).otherwise(F.lit("*"))    # a single child is never variable
         named = child.join(point, ["host", "template"]).select("host", "template", "child", name.alias("name"))
         tree = (branch.join(named, ["host", "template", "child"], "left")
                 .withColumn("template", F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name"))))

@@ -37,6 +37,28 @@ def test_templates_generalise_and_judge(spark):
     assert len({out[100 + i].template for i in range(60)}) == 1      # many children: one wildcard
 
 
+def name_of(i):
+    """A name without digits for each number."""
+    return "u" + "".join("abcdefghij"[int(c)] for c in str(i))
+
+
+def test_hot_child_of_a_variable_branch_keeps_its_branch(spark):
+    rows = [(i, f"http://h.org/{name_of(i % 700)}/x{name_of(i)}") for i in range(2000)]
+    rows += [(10_000 + i, f"http://h.org/spam/{name_of(i)}") for i in range(1000)]
+    labels = [(p, int(p >= 10_000)) for p, _ in rows]
+    out = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), rules=()).collect()}
+    assert {out[p].verdict for p, _ in rows if p >= 10_000} == {"block"}
+    assert {out[p].verdict for p, _ in rows if p < 10_000} == {"allow"}
+    assert out[10_000].template.startswith("/spam/") and len({out[i].template.split("/")[1] for i in range(2000)}) == 1
+
+
+def test_few_labels_do_not_make_a_branch_below_a_variable_one(spark):
+    rows = [(i, f"http://h.org/{name_of(i)}") for i in range(200)]
+    labels = [(i, int(i % 10 == 0)) for i in range(200)]
+    out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), rules=()).collect()
+    assert {r.template for r in out} == {"/*"} and {r.verdict for r in out} == {"allow"}
+
+
 def test_small_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     out = urls.op8_url_filter(spark, SMALL)
