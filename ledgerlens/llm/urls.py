@@ -6,7 +6,8 @@ variable.  A child whose share of labelled bad pages does not differ significant
 from its siblings' (two proportions, normal test) is merged into the wildcard, and
 a child that does keeps its own branch.  Below a variable point, where most children
 have few labels, the test is corrected for continuity, lest each rare label pass
-it.  A template (leaf) is rejected when its share of bad labels,
+it.  Levels run until every path has ended; one that is alone below its branch is
+its own template at once.  A template (leaf) is rejected when its share of bad labels,
 smoothed towards its host's and that towards all hosts', exceeds a threshold.
 
 Everything is grouping and joining on distinct (host, segments), which partial
@@ -23,11 +24,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm.tables import corpus_table, written
+from ledgerlens.llm.tables import corpus_table, shared_folder, written
 
 #: (verdict, rule), a rule being host/path-prefix; fixed values of the query.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DEPTH = 4               # deeper segments count as one
 MANY_CHILDREN = 8
 CHILDREN_SHARE = 0.2    # children for each url of the branch point
 SIGNIFICANT_Z = 1.96
@@ -55,21 +55,23 @@ def rule_of(rules=RULES) -> Column:
     return out
 
 
-def segments(depth: int = DEPTH) -> Column:
-    """The path's segments, digits runs as one shape; those beyond the depth are joined."""
-    parts = F.filter(F.split(F.regexp_replace("path", "[0-9]+", "0"), "/"), lambda s: s != F.lit(""))
-    return F.when(F.size(parts) <= depth, parts).otherwise(F.concat(
-        F.slice(parts, 1, depth - 1), F.array(F.array_join(F.slice(parts, depth, F.size(parts)), "/"))))
+def segments() -> Column:
+    """The path's segments, digits runs as one shape."""
+    return F.filter(F.split(F.regexp_replace("path", "[0-9]+", "0"), "/"), lambda s: s != F.lit(""))
 
 
-def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def templates(pages: DataFrame) -> DataFrame:
     """(host, parts, template) for every distinct path of (host, parts, bad), bad being 1, 0 or null."""
-    tree = written(pages.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.sum("bad").alias("bad"))
-                   .withColumn("bad", F.coalesce("bad", F.lit(0))).withColumn("template", F.array().cast("array<string>")), "paths")
+    tree = (pages.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.sum("bad").alias("bad"))
+            .withColumn("bad", F.coalesce("bad", F.lit(0))).withColumn("template", F.array().cast("array<string>"))
+            .withColumn("ended", F.size("parts") == 0))
+    spark, folder, level = pages.sparkSession, shared_folder(pages.sparkSession, "templates"), 0
+    tree.write.parquet(f"{folder}/0")
+    schema = tree.schema
     counts = [F.sum(c).alias(c) for c in ("n", "known", "bad")]
-    for level in range(depth):
-        branch = tree.withColumn("child", F.get("parts", F.lit(level)))
-        child = branch.where("child is not null").groupBy("host", "template", "child").agg(*counts)
+    while not (going := spark.read.schema(schema).parquet(f"{folder}/{level}").where("not ended")).isEmpty():
+        branch = going.withColumn("child", F.get("parts", F.lit(level)))
+        child = branch.groupBy("host", "template", "child").agg(F.count("*").alias("paths"), *counts)
         point = child.groupBy("host", "template").agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "known", "bad")))
         other_known, other_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
         pooled = F.col("all_bad") / F.nullif(F.col("all_known"), F.lit(0))
@@ -81,11 +83,16 @@ def templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         z = F.when(variable, apart - step).otherwise(apart) / F.sqrt(F.nullif(variance, F.lit(0.0)))
         differs = F.coalesce(z >= SIGNIFICANT_Z, F.lit(False))
         name = F.when(alone | differs, F.col("child")).otherwise(F.lit("*"))    # a single child is never variable
-        named = child.join(point, ["host", "template"]).select("host", "template", "child", name.alias("name"))
-        tree = (branch.join(named, ["host", "template", "child"], "left")
-                .withColumn("template", F.when(F.col("child").isNull(), F.col("template")).otherwise(F.concat("template", F.array("name"))))
-                .drop("child", "name"))
-    return written(tree.select("host", "parts", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "known", "bad"), "templates")
+        named = child.join(point, ["host", "template"]).select("host", "template", "child", "paths", name.alias("name"))
+        level += 1
+        lone = (F.col("paths") == 1) & (F.col("name") != "*")     # all branch points further down have a single child
+        rest = F.when(lone, F.slice("parts", level, F.size("parts"))).otherwise(F.array("name"))
+        tree = branch.join(named, ["host", "template", "child"]).select(
+            "host", "parts", "n", "known", "bad", F.concat("template", rest).alias("template"),
+            (lone | (F.size("parts") == level)).alias("ended"))
+        tree.write.parquet(f"{folder}/{level}")
+    return (spark.read.schema(schema).parquet(*(f"{folder}/{k}" for k in range(level + 1))).where("ended")
+            .select("host", "parts", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "known", "bad"))
 
 
 def purity(tree: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:

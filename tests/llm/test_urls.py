@@ -59,6 +59,20 @@ def test_few_labels_do_not_make_a_branch_below_a_variable_one(spark):
     assert {r.template for r in out} == {"/*"} and {r.verdict for r in out} == {"allow"}
 
 
+def test_deep_subtrees_are_told_apart(spark):
+    for above in ("a/b/c/d", "a/b/c/d/e/f/g"):
+        rows = [(i, f"http://h.org/{above}/ok/{name_of(i)}") for i in range(200)]
+        rows += [(1000 + i, f"http://h.org/{above}/spam/{name_of(i)}") for i in range(100)]
+        rows += [(5000, f"http://h.org/{above}/spam/never/{'/'.join(map(name_of, range(300)))}"), (5001, "http://h.org/"), (5002, "http://h.org/a")]
+        labels = [(p, int(p >= 1000)) for p, _ in rows if p < 5000]
+        out = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), rules=()).collect()}
+        assert len(out) == len(rows)
+        assert {out[p].verdict for p, _ in rows if p < 1000} == {"allow"} and {out[p].verdict for p, _ in rows if 1000 <= p < 5000} == {"block"}
+        assert out[1000].template == f"/{above}/spam/*" and out[0].template == f"/{above}/ok/*"
+        assert out[5000].template.startswith(f"/{above}/spam/") and out[5000].template.endswith(name_of(299))
+        assert out[5001].template == "/" and out[5002].template == "/a"
+
+
 def test_small_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     out = urls.op8_url_filter(spark, SMALL)
