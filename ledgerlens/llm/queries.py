@@ -8,6 +8,7 @@ from ledgerlens.llm.neardup import op5_near_duplicates
 from ledgerlens.llm.packing import op1_pack
 from ledgerlens.llm.pii import op4_pii
 from ledgerlens.llm.quality import op3_quality
+from ledgerlens.llm.quality_classifier import op13_quality_classifier
 from ledgerlens.llm.rollup import op6_token_rollup
 from ledgerlens.llm.secret_scan import op9_secrets
 from ledgerlens.llm.source_audit import op12_source_divergence
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_decontaminate": op10_decontaminate,
     "op11_filter_audit": op11_filter_audit,
     "op12_source_divergence": op12_source_divergence,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 #: The others learn models, sketch or tokenise; tests/llm holds them against brute force.
