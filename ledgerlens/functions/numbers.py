@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 # Money is summed as DECIMAL so totals are exact and independent of the order
 # partitions are combined in; results are cast to double at the edge.  Ten
 # decimal places hold prices times quantities unrounded, and 28 digits before
-# the point any total; NaN counts as missing.
+# the point any total; NaN counts as missing, and a value with more digits is
+# an error, never left out of a sum.
 MONEY = "decimal(38,10)"
 
 # The whole text is a number; Java's own suffixes (1d, 2.5f) are not.
@@ -35,7 +36,11 @@ def strict_number(col) -> Column:
 
 
 def money(col) -> Column:
-    return _c(col).try_cast(MONEY)
+    """The value in exact decimals; null where it is null, NaN or no number, an error where it has more than 28 digits before the point."""
+    value = _c(col)
+    exact, wide = value.try_cast(MONEY), value.try_cast("double")
+    return F.coalesce(exact, F.when(wide.isNotNull() & ~F.isnan(wide), F.raise_error(F.concat(
+        F.lit("an amount has more than 28 digits: "), wide.cast("string"))).cast(MONEY)))
 
 
 def money_sum(col) -> Column:

@@ -15,11 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
-from ledgerlens.functions.dates import add_time_features, month_label, parse_dayfirst
+from ledgerlens.functions.dates import FORMS, add_time_features, date_form, month_label, parse_dayfirst, parse_of_form
 from ledgerlens.functions.numbers import lenient_number, strict_number
 from ledgerlens.functions.text import canonical_names, text_key, trim_text
 from ledgerlens.operators import roles as R
-from ledgerlens.operators.quantiles import exact_quantiles
+from ledgerlens.operators.quantiles import medians
 from ledgerlens.session import ensure_checkpoint_dir
 
 UNKNOWN_CUSTOMER = "Unknown Customer"
@@ -89,8 +89,8 @@ def reaches(parsed: int, rows: int, threshold: float = PROMOTE_THRESHOLD) -> boo
 def impute_medians(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Fill nulls of each column with its median (an all-null column stays null).
 
-    Medians are exact and distributed (`quantiles.exact_quantiles`): no task
-    ever holds all distinct values.  ``approx=True`` uses one
+    Medians are exact and distributed (`quantiles.medians`): one job for all
+    columns, and no task ever holds all distinct values.  ``approx=True`` uses one
     `percentile_approx` aggregate instead.
     """
     if not columns:
@@ -100,7 +100,8 @@ def impute_medians(df: DataFrame, columns: list[str], approx: bool = False) -> D
                                 for i, c in enumerate(columns)]).alias("m")).scalar()
         fill = {c: med[f"m{i}"] for i, c in enumerate(columns)}
     else:
-        fill = {c: exact_quantiles(df, c, [0.5]).q0 for c in columns}
+        med = medians(df, columns)
+        fill = {c: med[f"m{i}"] for i, c in enumerate(columns)}
     return df.select(*[F.coalesce(F.col(c), fill[c]).alias(c) if c in fill else F.col(f"`{c}`")
                        for c in df.columns])
 
@@ -141,7 +142,6 @@ def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = Fals
         raise ValueError(f"No date column among {cols}.")
     if not rev_c:
         raise ValueError(f"No revenue column among {cols}.")
-    df = df.withColumn(date_c, parse_dayfirst(date_c, df.schema[date_c].dataType))
     protect = (date_c,) if compat else tuple(c for c in (date_c, cust_c, gst_c) if c)
     cands = [c for c in R.text_columns(df) if c not in protect]
     rev_text = isinstance(df.schema[rev_c].dataType, StringType)
@@ -151,16 +151,25 @@ def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = Fals
                        rev_parsed.alias("__rev"))
     if materialize:
         ensure_checkpoint_dir(staged.sparkSession)
-        staged = staged.checkpoint(eager=True)
-    # profile: promotion ratios plus the revenue sanity check, one aggregate
-    kept_row = F.col(date_c).isNotNull() & F.col("__rev").isNotNull()
+        staged = staged.withColumn(date_c, parse_dayfirst(date_c, df.schema[date_c].dataType)).checkpoint(eager=True)
+    date_type = staged.schema[date_c].dataType
+    forms = list(FORMS) if isinstance(date_type, StringType) else []
+    # profile: the forms of dates, promotion ratios and the revenue sanity check, one aggregate
+    seen = staged.withColumn("__form", date_form(date_c) if forms else F.lit(None).cast("string"))
+    seen = seen.withColumn("__date", parse_of_form(date_c, "__form") if forms else parse_dayfirst(date_c, date_type))
+    kept_row = F.col("__date").isNotNull() & F.col("__rev").isNotNull()
     already = [f.name for f in df.schema.fields
                if isinstance(f.dataType, NumericType) and f.name not in R.SYSTEM_COLUMNS and f.name != rev_c]
-    prof = staged.agg(*([F.count_if(F.col(f"__num{i}").isNotNull()) for i in range(len(cands))]
-                        + [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("__rev").isNotNull()).alias("rev_ok")]
-                        + [F.count_if(kept_row & F.col(f"__num{i}").isNull()).alias(f"miss{i}") for i in range(len(cands))]
-                        + [F.count_if(kept_row & F.col(f"`{c}`").isNull()).alias(f"missn{j}") for j, c in enumerate(already)]
-                        )).collect()[0]
+    prof = seen.agg(*([F.count_if(F.col(f"__num{i}").isNotNull()) for i in range(len(cands))]
+                      + [F.count(F.lit(1)).alias("rows"), F.count_if(F.col("__rev").isNotNull()).alias("rev_ok"), F.count_if(kept_row).alias("kept"),
+                         F.count_if(kept_row & (F.col(cust_c).isNull() if cust_c else F.lit(False))).alias("unnamed")]
+                      + [F.count_if(kept_row & F.col(f"__num{i}").isNull()).alias(f"miss{i}") for i in range(len(cands))]
+                      + [F.count_if(kept_row & F.col(f"`{c}`").isNull()).alias(f"missn{j}") for j, c in enumerate(already)]
+                      + [F.count_if(F.col("__form") == name).alias(f"form{j}") for j, name in enumerate(forms)]
+                      )).collect()[0]
+    # only the forms that the column has are parsed from here on, the most frequent first
+    forms = sorted((f for j, f in enumerate(forms) if prof[f"form{j}"]), key=lambda f: -prof[f"form{forms.index(f)}"])
+    staged = staged.withColumn(date_c, parse_dayfirst(date_c, date_type, forms))
     promoted = [c for i, c in enumerate(cands) if reaches(prof[i], prof["rows"])]
     if not prof["rev_ok"]:
         raise ValueError(f"No value of the revenue column {rev_c!r} is a number ({prof['rows']} rows read).")
@@ -168,12 +177,12 @@ def clean_sales(raw: DataFrame, compat: bool = False, approx_median: bool = Fals
     df = staged.select(*[F.col(num_of[c]).alias(c) if c in promoted
                          else (F.col("__rev").alias(c) if c == rev_c else F.col(f"`{c}`")) for c in cols])
 
-    dropped = F.col(date_c).isNull() | F.col(rev_c).isNull()
-    stats = df.agg(
-        F.count_if(dropped).alias("rows_dropped_missing_date_or_revenue"),
-        (F.count_if(~dropped & F.col(cust_c).isNull()) if cust_c else F.lit(0)).cast("long").alias("missing_customers_filled"),
-        F.count_if(~dropped).alias("records_after_cleaning"))
-    kept = df.filter(~dropped)
+    # the profile has counted what the drop will leave
+    stats = df.sparkSession.range(1).select(
+        F.lit(prof["rows"] - prof["kept"]).cast("long").alias("rows_dropped_missing_date_or_revenue"),
+        F.lit(prof["unnamed"]).cast("long").alias("missing_customers_filled"),
+        F.lit(prof["kept"]).cast("long").alias("records_after_cleaning"))
+    kept = df.filter(F.col(date_c).isNotNull() & F.col(rev_c).isNotNull())
     if cust_c:
         kept = kept.withColumn(cust_c, F.coalesce(F.col(cust_c), F.lit(UNKNOWN_CUSTOMER)))
     # only columns with a missing value among the kept rows need a median

@@ -2,56 +2,57 @@
 
 from __future__ import annotations
 
+from typing import Optional
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.quantiles import exact_quantiles
+from ledgerlens.operators.quantiles import moments, quantiles, value_counts
 from ledgerlens.operators.timeseries import monthly_totals
 from ledgerlens.session import materialize
 
 HIGH_VALUE_THRESHOLD = 200000
 
 
-def distribution(df: DataFrame, value_col: str = "revenue") -> DataFrame:
-    """Interpolated q1/q3 (exact, distributed) and bias-adjusted skewness.
+def distribution(df: DataFrame, value_col: str = "revenue", counts: Optional[DataFrame] = None) -> DataFrame:
+    """Interpolated q1/q3 and bias-adjusted skewness, from the counts per distinct value (one scan).
 
-    Spark's `skewness` is the population g1; the sample-adjusted G1 is
+    The moments give the population skewness g1; the sample-adjusted G1 is
     g1 * sqrt(n(n-1)) / (n-2).  n < 3 gives null, a constant column gives 0.
     """
-    v = F.col(value_col)
-    q = exact_quantiles(df, value_col, [0.25, 0.75])
-    a = df.agg(F.skewness(v).alias("g1"), F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    counts = value_counts(df, [value_col]) if counts is None else counts
+    q = quantiles(counts, [0.25, 0.75])
     n = F.col("n").cast("double")
-    adj = F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)
-    return a.select(
+    adj = F.col("skew") * F.sqrt(n * (n - 1)) / (n - 2)
+    return moments(counts).select(
         F.round(q.q0, 6).alias("q1"),
         F.round(q.q1, 6).alias("q3"),
-        F.when(F.col("n") < 3, F.lit(None).cast("double"))
+        F.when(F.coalesce("n", F.lit(0)) < 3, F.lit(None).cast("double"))
         .when(F.col("lo") == F.col("hi"), F.lit(0.0))
         .otherwise(F.round(adj, 6)).alias("skew"))
 
 
-def high_value_share(df: DataFrame, value_col: str = "revenue", threshold: float = HIGH_VALUE_THRESHOLD) -> DataFrame:
-    """% of rows at or above the threshold."""
-    v = F.col(value_col)
-    return df.agg(F.round(F.try_divide(F.count_if(v >= threshold).cast("double"), F.count(v)) * 100.0, 6).alias("high_value_pct"))
+def high_value_share(df: DataFrame, value_col: str = "revenue", threshold: float = HIGH_VALUE_THRESHOLD,
+                     counts: Optional[DataFrame] = None) -> DataFrame:
+    """% of rows at or above the threshold (of ``counts`` where given)."""
+    rows = df.select(F.col(value_col).alias("v"), F.when(F.col(value_col).isNotNull(), 1).alias("c")) if counts is None else counts
+    over = F.coalesce(F.sum(F.when(F.col("v") >= threshold, F.col("c"))), F.lit(0))
+    return rows.agg(F.round(F.try_divide(over.cast("double"), F.sum("c")) * 100.0, 6).alias("high_value_pct"))
 
 
-def _bins(values: DataFrame, col: str, n: int) -> DataFrame:
-    """Equal-width bins over [min, max], last bin closed; a constant column gets ±0.5.
+def _bins(values: DataFrame, n: int) -> DataFrame:
+    """Equal-width bins over [min, max] of `v` (in `c` rows each), last bin closed; a constant column gets ±0.5.
 
-    min/max are one scalar subquery; binning is a projection plus a partial
-    aggregate, and the n-row bin frame is joined back so empty bins show 0.
+    ``values`` is a written frame: min/max are one scalar subquery; binning is a
+    projection plus a partial aggregate, and the n-row bin frame is joined back so
+    empty bins show 0.
     """
-    stats = values.agg(F.struct(F.min(col).cast("double").alias("lo"),
-                                F.max(col).cast("double").alias("hi")).alias("s")).scalar()
+    stats = values.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi")).alias("s")).scalar()
     lo = F.when(stats.lo == stats.hi, stats.lo - 0.5).otherwise(stats.lo)
     hi = F.when(stats.lo == stats.hi, stats.hi + 0.5).otherwise(stats.hi)
     width = (hi - lo) / float(n)
-    v = F.col(col).cast("double")
-    counted = (values.filter(v.isNotNull() & ~F.isnan(v))
-               .select(F.least(F.floor((v - lo) / width).cast("int"), F.lit(n - 1)).alias("bin"))
-               .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
+    counted = (values.select(F.least(F.floor((F.col("v") - lo) / width).cast("int"), F.lit(n - 1)).alias("bin"), "c")
+               .groupBy("bin").agg(F.sum("c").alias("count")))
     frame = values.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
     # broadcast bound: at most n rows (one per bin)
     return (frame.join(F.broadcast(counted), "bin", "left")
@@ -60,9 +61,13 @@ def _bins(values: DataFrame, col: str, n: int) -> DataFrame:
                     stats.lo.alias("min_v"), stats.hi.alias("max_v")))
 
 
-def histogram(df: DataFrame, value_col: str = "revenue", bins: int = 30) -> DataFrame:
-    """Bin, lo, hi, count with `bins` equal-width bins."""
-    b = _bins(df, value_col, bins)
+def histogram(df: DataFrame, value_col: str = "revenue", bins: int = 30, counts: Optional[DataFrame] = None) -> DataFrame:
+    """Bin, lo, hi, count with `bins` equal-width bins.
+
+    Bounds and bins both come from the written counts per distinct value, so the
+    facts are scanned once.
+    """
+    b = _bins(value_counts(df, [value_col]) if counts is None else counts, bins)
     return b.filter(F.col("min_v").isNotNull()).select(
         "bin", F.round("lo", 6).alias("lo"), F.round(F.col("lo") + F.col("w"), 6).alias("hi"), "count")
 
@@ -78,8 +83,8 @@ def monthly_histogram(df: DataFrame, date_col: str = "date", value_col: str = "r
     All-equal monthly values give one bucket labelled with the rounded value.
     """
     # the month series is read for its bounds, its bins and its size
-    m = materialize(monthly_totals(df, date_col, value_col).select(F.col("revenue_dec").cast("double").alias("v")))
-    b = _bins(m, "v", bins)
+    m = materialize(monthly_totals(df, date_col, value_col).select(F.col("revenue_dec").cast("double").alias("v"), F.lit(1).alias("c")))
+    b = _bins(m, bins)
     start = F.col("lo")
     end = F.col("lo") + F.col("w")
     label = F.concat(_js_round(start / 1000.0).cast("string"), F.lit("k-"),

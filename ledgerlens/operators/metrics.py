@@ -11,21 +11,25 @@ from pyspark.sql.types import DecimalType, NumericType
 from ledgerlens.functions.dates import month_label, month_start
 from ledgerlens.functions.numbers import money, money_sum, strict_number
 from ledgerlens.functions.text import trim_text
-from ledgerlens.operators.quantiles import exact_quantiles
+from ledgerlens.operators.quantiles import moments, quantiles, value_counts
 from ledgerlens.operators.roles import tax_amount_columns
 from ledgerlens.session import materialize
 
 
-def revenue_summary(df: DataFrame, value_col: str = "revenue") -> DataFrame:
-    """A1: total, mean, median (interpolated, exact and distributed), sample standard deviation."""
-    v = F.col(value_col)
-    med = exact_quantiles(df, value_col, [0.5])
-    return df.agg(
-        money_sum(value_col).alias("total"),
-        F.round(F.sum(money(value_col)).cast("double") / F.count(v), 6).alias("mean"),
-        F.round(F.first(med.q0), 6).alias("median"),
-        F.round(F.stddev_samp(v), 6).alias("std"),
-    )
+def revenue_summary(df: DataFrame, value_col: str = "revenue", counts: Optional[DataFrame] = None) -> DataFrame:
+    """A1: total, mean, median (interpolated), sample standard deviation; NaN counts as missing.
+
+    All from the counts per distinct value (`quantiles.value_counts`, also given
+    by ``counts`` where several results share them): one scan, and every sum is
+    the same however rows are partitioned.
+    """
+    counts = value_counts(df, [value_col]) if counts is None else counts
+    med = quantiles(counts, [0.5])
+    return moments(counts).select(
+        F.col("total").cast("double").alias("total"),
+        F.round(F.col("total").cast("double") / F.col("n"), 6).alias("mean"),
+        F.round(med.q0, 6).alias("median"),
+        F.round("std", 6).alias("std"))
 
 
 def unique_customers(df: DataFrame, customer_col: str, approx: bool = False) -> DataFrame:
@@ -78,10 +82,8 @@ def tax_breakdown(df: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
         t = df.schema[c].dataType
         if isinstance(t, DecimalType):
             e = F.sum(F.col(c)).cast("double")
-        elif isinstance(t, NumericType):
-            e = F.sum(F.col(c).cast("double"))
         else:
-            e = F.sum(strict_number(c))
+            e = money_sum(F.col(c) if isinstance(t, NumericType) else strict_number(c))
         exprs.append(F.coalesce(e, F.lit(0.0)).alias(f"t{i}"))
     wide = df.agg(*exprs)
     long = wide.select(F.explode(F.array(*[
@@ -108,9 +110,9 @@ def item_monthly(items: DataFrame, date_col: str = "date", value_col: str = "tot
             .select(month_label("m").alias("month"), "value"))
 
 
-def share_by(df: DataFrame, key_col: str, value_col: str, out_key: str, out_value: str = "revenue") -> DataFrame:
-    """Total per key with its % of the grand total (all keys)."""
-    agg = materialize(df.groupBy(key_col).agg(F.sum(money(value_col)).alias("v")))
+def share_by(df: DataFrame, key_col: str, value_col: str, out_key: str, out_value: str = "revenue", written: bool = False) -> DataFrame:
+    """Total per key with its % of the grand total (all keys); ``written``: ``df`` already holds the totals."""
+    agg = df.select(key_col, F.col(value_col).alias("v")) if written else materialize(df.groupBy(key_col).agg(F.sum(money(value_col)).alias("v")))
     total = agg.agg(F.sum("v").cast("double")).scalar()
     return agg.select(F.col(key_col).alias(out_key), F.col("v").cast("double").alias(out_value),
                       F.when(F.coalesce(total, F.lit(0.0)) == 0, F.lit(0.0))
@@ -123,9 +125,9 @@ def totals_by(df: DataFrame, key_col: str, value_col: str, out_key: str, out_val
         F.col(key_col).alias(out_key), out_value)
 
 
-def top_share_n(df: DataFrame, key_col: str, value_col: str, n: int, out: str) -> DataFrame:
-    """Share (%) of the grand total held by the best n keys."""
-    agg = materialize(df.groupBy(key_col).agg(F.sum(money(value_col)).alias("v")))
+def top_share_n(df: DataFrame, key_col: str, value_col: str, n: int, out: str, written: bool = False) -> DataFrame:
+    """Share (%) of the grand total held by the best n keys; ``written``: ``df`` already holds the totals."""
+    agg = df.select(key_col, F.col(value_col).alias("v")) if written else materialize(df.groupBy(key_col).agg(F.sum(money(value_col)).alias("v")))
     total = agg.agg(F.sum("v").cast("double")).scalar()
     top = agg.orderBy(F.col("v").desc(), F.col(key_col).asc_nulls_first()).limit(n)
     s = F.coalesce(F.sum("v").cast("double"), F.lit(0.0))

@@ -19,20 +19,24 @@ def value_by_key(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
     return df.groupBy(key_col).agg(F.sum(money(value_col)).alias("value_dec"))
 
 
+def _totals(df: DataFrame, key_col: str, value_col: str, written: bool) -> DataFrame:
+    """The total per key, written once; ``written`` says that ``df`` already holds just that."""
+    return df.select(key_col, F.col(value_col).alias("value_dec")) if written else materialize(value_by_key(df, key_col, value_col))
+
+
 def _order(key_col: str):
     return [F.col("value_dec").desc(), F.col(key_col).asc_nulls_first()]
 
 
 def top_n(df: DataFrame, key_col: str, value_col: str, n: int = 10,
-          out_key: str | None = None, out_value: str = "revenue", with_pct: bool = True) -> DataFrame:
+          out_key: str | None = None, out_value: str = "revenue", with_pct: bool = True, written: bool = False) -> DataFrame:
     """Top n keys by total (ties: key ascending), with % of the grand total.
 
     Planned as a partial+final aggregate followed by TakeOrderedAndProject; the
     grand total is a scalar subquery over the same aggregate.
     """
-    agg = value_by_key(df, key_col, value_col)
-    if with_pct:
-        agg = materialize(agg)      # read by the top-n and by the total
+    # written where it is read by the top-n and by the total
+    agg = _totals(df, key_col, value_col, written) if with_pct or written else value_by_key(df, key_col, value_col)
     top = agg.orderBy(*_order(key_col)).limit(n)
     cols = [F.col(key_col).alias(out_key or key_col), F.col("value_dec").cast("double").alias(out_value)]
     if with_pct:
@@ -42,9 +46,9 @@ def top_n(df: DataFrame, key_col: str, value_col: str, n: int = 10,
     return top.select(*cols)
 
 
-def top_share(df: DataFrame, key_col: str, value_col: str, limits=(10, 20)) -> DataFrame:
+def top_share(df: DataFrame, key_col: str, value_col: str, limits=(10, 20), written: bool = False) -> DataFrame:
     """Share (%) of the grand total held by the top 10 / top 20 keys; 0 if empty."""
-    agg = materialize(value_by_key(df, key_col, value_col))
+    agg = _totals(df, key_col, value_col, written)
     biggest = max(limits)
     top = agg.orderBy(*_order(key_col)).limit(biggest)
     ranked = top.select("value_dec", F.row_number().over(Window.orderBy(*_order(key_col))).alias("rn"))
@@ -58,7 +62,7 @@ def top_share(df: DataFrame, key_col: str, value_col: str, limits=(10, 20)) -> D
 
 
 def cumulative_share(df: DataFrame, key_col: str, value_col: str,
-                     buckets: int | None = None) -> DataFrame:
+                     buckets: int | None = None, written: bool = False) -> DataFrame:
     """Running share of the grand total, keys by total descending (ties: key asc).
 
     A global running sum would put every key into one task.  Instead the
@@ -74,7 +78,7 @@ def cumulative_share(df: DataFrame, key_col: str, value_col: str,
     if buckets is None:
         width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200") or 200)
         buckets = max(PARETO_BUCKETS, width)
-    agg = materialize(value_by_key(df, key_col, value_col))
+    agg = _totals(df, key_col, value_col, written)
     ranged = materialize(agg.repartitionByRange(buckets, *_order(key_col))
                          .withColumn("bucket", F.spark_partition_id()))
     sums = ranged.groupBy("bucket").agg(F.sum("value_dec").alias("bucket_dec"))
@@ -99,13 +103,13 @@ def pareto_curve(df: DataFrame, key_col: str, value_col: str, n: int = 20) -> Da
             .select(key_col, "revenue", "cum_pct"))
 
 
-def pareto_count(df: DataFrame, key_col: str, value_col: str) -> DataFrame:
+def pareto_count(df: DataFrame, key_col: str, value_col: str, written: bool = False) -> DataFrame:
     """A10: keys whose cumulative share is <= 80 % (at least 1 when any key exists).
 
     Compared in decimals: cum * 100 / total <= 80 is 5 * cum <= 4 * total, or >= below a
     negative total.
     """
-    cs = cumulative_share(df, key_col, value_col)
+    cs = cumulative_share(df, key_col, value_col, written=written)
     cum, total = F.col("cum_dec") * 5, F.col("total_dec") * 4
     within = F.when(total > 0, cum <= total).when(total < 0, cum >= total).otherwise(F.lit(True))
     return cs.agg(F.count_if(within).alias("n"), F.count(F.lit(1)).alias("keys")).select(

@@ -55,6 +55,17 @@ def payload(spark: SparkSession, parts: Mapping[str, DataFrame], lists: Mapping[
     return spark.range(1).select(F.to_json(doc, {"ignoreNullFields": "false"}).alias("payload"))
 
 
+def payload_rows(document: DataFrame) -> DataFrame:
+    """The payload read back from its JSON: section, i (place in a list, else 0), field, and its value as number or else text."""
+    text = F.col("text")
+    sections = document.select(F.explode(F.from_json("payload", "map<string,string>")).alias("section", "json"))
+    each = sections.select("section", F.posexplode(F.when(F.col("json").startswith("["), F.from_json("json", "array<map<string,string>>"))
+                                                   .otherwise(F.array(F.from_json("json", "map<string,string>")))).alias("i", "row"))
+    number = text.try_cast("double")
+    return each.select("section", "i", F.explode("row").alias("field", "text")).select(
+        "section", "i", "field", number.alias("number"), F.when(number.isNull(), text).alias("text"))
+
+
 def write_payload(df: DataFrame, path: str) -> None:
     """S6 sink: the payload row as a JSON text file (one line)."""
     df.coalesce(1).write.mode("overwrite").text(path)

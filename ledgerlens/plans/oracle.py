@@ -64,8 +64,13 @@ VIEWS = {
     WHEN 3 THEN strftime(d, '%Y-%m-%dT%H:%M:%S') WHEN 4 THEN strftime(d, '%Y-%m-%d %H:%M') WHEN 5 THEN strftime(d, '%-d/%-m/%Y')
     WHEN 6 THEN strftime(d, '%d/%m/%Y %H:%M:%S') WHEN 7 THEN strftime(d, '%d-%m-%Y') WHEN 8 THEN strftime(d, '%d.%m.%Y')
     WHEN 9 THEN strftime(d, '%-d/%-m/%y') WHEN 10 THEN strftime(d, '%-d-%b-%Y') WHEN 11 THEN strftime(d, '%d-%b-%Y %H:%M')
-    WHEN 12 THEN strftime(d, '%-d %b %Y') WHEN 13 THEN strftime(d, '%-d-%B-%Y') WHEN 14 THEN strftime(d, '%d-%b-%y') END AS text
-  FROM (SELECT o_orderkey AS k, o_orderkey % 16 AS i, o_orderdate AS d FROM orders) t)""",
+    WHEN 12 THEN strftime(d, '%-d %b %Y') WHEN 13 THEN strftime(d, '%-d-%B-%Y') WHEN 14 THEN strftime(d, '%d-%b-%y')
+    WHEN 16 THEN strftime(d, '%Y-%m-%dT%H:%M:%SZ') WHEN 17 THEN strftime(d, '%Y-%m-%dT%H:%M:%S+05:30')
+    WHEN 18 THEN strftime(d, '%d/%m/%Y %I:%M %p') WHEN 19 THEN strftime(d, '%Y%m%d') WHEN 20 THEN strftime(d, '%b %-d, %Y')
+    WHEN 21 THEN strftime(d, '%a, %-d %b %Y') WHEN 22 THEN strftime(d, '%-dth %b %Y') WHEN 23 THEN strftime(d, '%Y-%m')
+    WHEN 24 THEN strftime(d, '%B %Y') WHEN 25 THEN strftime(d, '%Y%m%d%H%M%S') END AS text
+  FROM (SELECT o_orderkey AS k, o_orderkey % 26 AS i, date_trunc('day', o_orderdate) + to_hours(CAST(o_orderkey % 24 AS INTEGER))
+    + to_minutes(CAST(o_orderkey % 60 AS INTEGER)) AS d FROM orders) t)""",
     "sub_cents": """sub_cents AS (SELECT l_orderkey % 7 AS key, l_quantity * CASE l_linenumber % 3 WHEN 0 THEN CAST(1e15 AS DOUBLE)
     WHEN 1 THEN CAST(0.0001 AS DOUBLE) ELSE CAST(-0.004 AS DOUBLE) END AS value FROM lineitem)""",
     "master": """master AS (

@@ -217,7 +217,9 @@ def PRODKEY(x: str) -> str:
 ORACLE["trim_text"] = W(["sales_raw"], f"""SELECT _row_id AS key, {TRIMX('"Particulars"')} AS result FROM sales_raw""")
 ORACLE["lenient_number"] = W(["sales_raw"], f"""SELECT _row_id AS key, {LENIENT('"Gross Total"')} AS result FROM sales_raw""")
 _FORMS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M", "%d/%m/%Y", "%d/%m/%Y %H:%M:%S",
-          "%d-%m-%Y", "%d.%m.%Y", "%d/%m/%y", "%d-%b-%Y", "%d-%b-%Y %H:%M", "%d %b %Y", "%d-%B-%Y", "%d-%b-%y"]
+          "%d-%m-%Y", "%d.%m.%Y", "%d/%m/%y", "%d-%b-%Y", "%d-%b-%Y %H:%M", "%d %b %Y", "%d-%B-%Y", "%d-%b-%y", "%d/%m/%Y",
+          "%Y-%m-%dT%H:%M:%SZ", "%Y-%m-%dT%H:%M:%S+05:30", "%d/%m/%Y %I:%M %p", "%Y%m%d", "%b %d, %Y", "%a, %d %b %Y", "%dth %b %Y",
+          "%Y-%m", "%B %Y", "%Y%m%d%H%M%S"]
 ORACLE["date_parse"] = W(["date_forms"], "SELECT key, CASE i " + " ".join(
     f"WHEN {i} THEN try_strptime(text, '{f}')" for i, f in enumerate(_FORMS)) + " END AS result FROM date_forms")
 ORACLE["money_scale"] = W(["sub_cents"], """SELECT key, CAST(SUM(CAST(CAST(value AS VARCHAR) AS DECIMAL(38,10))) AS DOUBLE) AS total
@@ -551,3 +553,48 @@ ORACLE["export_wide"] = """SELECT strftime(o_orderdate, '%-d/%-m/%Y') AS date, '
   'INV' || CAST(o_orderkey AS VARCHAR) AS voucher_no, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS gross_total,
   'order "' || CAST(o_orderkey AS VARCHAR) || '", paid' || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'late' ELSE '' END AS remarks,
   CASE WHEN o_orderkey % 97 = 0 AND year(o_orderdate) % 2 = 1 THEN 'end' || CAST(o_orderkey AS VARCHAR) END AS last_cell FROM orders"""
+
+# ------------------------------------------------------------ the payload's document (S6), section by section
+
+def _section(name: str, sql: str, numbers: str = "", texts: str = "", order: str = "1") -> str:
+    """The rows of one section: its fields as number or text, by place in the section."""
+    fields = [f"{{'field': '{c}', 'number': CAST(\"{c}\" AS DOUBLE), 'text': CAST(NULL AS VARCHAR)}}" for c in numbers.split()]
+    fields += [f"{{'field': '{c}', 'number': CAST(NULL AS DOUBLE), 'text': CAST(\"{c}\" AS VARCHAR)}}" for c in texts.split()]
+    return (f"SELECT '{name}' AS section, i, u.field AS field, u.number AS number, u.text AS text FROM (SELECT i, unnest([{', '.join(fields)}]) AS u "
+            f"FROM (SELECT *, CAST(row_number() OVER (ORDER BY {order}) - 1 AS INTEGER) AS i FROM ({sql}) q) r) s")
+
+
+_SALES_M = lambda sql: W(["sales"], sql, (monthly_cte("sales"),))
+ORACLE["payload"] = " UNION ALL ".join([
+    _section("cleaning", f"""SELECT dropped AS rows_dropped_missing_date_or_revenue, filled AS missing_customers_filled,
+        kept AS records_after_cleaning FROM ({ORACLE['clean_stats']}) c""",
+             "rows_dropped_missing_date_or_revenue missing_customers_filled records_after_cleaning"),
+    _section("integration", ORACLE["integrate_summary"], "total_rows matched_rows unmatched_rows match_rate_pct unmatched_rate_pct "
+             "master_duplicate_rows_removed daybook_rows_missing_join_key", "join_key_used join_key_daybook join_key_master"),
+    _section("revenue_analysis", ORACLE["revenue_summary"], "total mean median std"),
+    _section("distribution_analysis", ORACLE["distribution"], "q1 q3 skew"),
+    _section("high_value", ORACLE["high_value"], "high_value_pct"),
+    _section("customer_concentration", ORACLE["top_share"], "top10_pct top20_pct"),
+    _section("pareto", ORACLE["pareto_count"], "customers_within_80pct"),
+    _section("item_totals", ORACLE["item_totals"], "rows total mean", "start end"),
+    _section("top3_items", ORACLE["top3_share"], "top3_pct"),
+    _section("unique_customers", "SELECT count(DISTINCT customer) AS unique_customers FROM (" + W(["sales"], "SELECT customer FROM sales") + ") c",
+             "unique_customers"),
+    _section("tax_analysis", ORACLE["tax_component"], "net_total tax_total tax_pct"),
+    _section("top_10_customers", ORACLE["top_customers"], "revenue pct", "customer", "revenue DESC, customer"),
+    _section("monthly_revenue", ORACLE["monthly_revenue"], "revenue", "month", "month"),
+    _section("moving_average", _SALES_M("""SELECT strftime(ms, '%Y-%m') AS month, CAST(v AS DOUBLE) AS revenue, round(CAST(SUM(v) OVER w AS DOUBLE)
+        / COUNT(*) OVER w, 6) AS ma3 FROM m WINDOW w AS (ORDER BY ms ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"""), "revenue ma3", "month", "month"),
+    _section("month_of_year_revenue", _SALES_M(f"""SELECT CAST(g.k AS INTEGER) AS month_no, monthname(make_date(2000, CAST(g.k AS INTEGER), 1)) AS month_name,
+        coalesce(CAST(SUM(m.v) AS DOUBLE), {D0}) AS revenue FROM range(1, 13) g(k) LEFT JOIN m ON month(m.ms) = g.k GROUP BY 1, 2"""),
+             "month_no revenue", "month_name", "month_no"),
+    _section("year_wise_revenue", ORACLE["revenue_by_year"], "year revenue", "", "year"),
+    _section("yearly_growth_pct", ORACLE["yoy_growth"], "year growth_pct", "", "year"),
+    _section("peak_and_weakest", ORACLE["peak_month"], "revenue", "kind month", "kind"),
+    _section("category_mix", ORACLE["category_mix"], "revenue pct", "category", "revenue DESC, category"),
+    _section("top_items", ORACLE["top_items"], "revenue pct", "item", "revenue DESC, item"),
+    _section("forecast", W(["sales"], "SELECT month, step, forecast, lower_95, upper_95 FROM gout", _SALES_FC_CTES),
+             "step forecast lower_95 upper_95", "month", "step"),
+    _section("roles", """SELECT 'date' AS "date", 'gross_total' AS revenue, 'particulars' AS customer, 'gstin_uin' AS gstin,
+        'particulars' AS product, 'voucher_type' AS category, 'sales' AS net_sales""", "", "date revenue customer gstin product category net_sales"),
+])

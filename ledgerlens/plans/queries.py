@@ -182,7 +182,7 @@ def q_top_products(spark, d):
 
 # ------------------------------------------------------------ column expressions
 
-from ledgerlens.functions.dates import parse_dayfirst, month_label  # noqa: E402
+from ledgerlens.functions.dates import month_label, month_start, parse_dayfirst  # noqa: E402
 from ledgerlens.functions.numbers import lenient_number  # noqa: E402
 from ledgerlens.functions.text import product_key, text_key, trim_text  # noqa: E402
 from ledgerlens.operators import clean as cl  # noqa: E402
@@ -445,6 +445,7 @@ def q_kpis(spark, d):
 # ------------------------------------------------------------ report export, forecast, payload
 
 from ledgerlens.operators import forecast as fcst  # noqa: E402
+from ledgerlens.operators import grains as gr  # noqa: E402
 from ledgerlens.operators import report as rp  # noqa: E402
 from ledgerlens.sources import export as ex  # noqa: E402
 
@@ -465,57 +466,67 @@ def q_forecast(spark, d):
     return out.select(F.col("category").alias("key"), "month", "step", "forecast", "lower_95", "upper_95")
 
 
-def _report_parts(spark, d):
-    sales = fx.sales(spark, d)
-    items = fx.items(spark, d, customer=False)
-    cs = _cleaned(spark, d, impute=False)
-    _, summary = ig.integrate_sales_and_master(cs, _master(spark, d))
-    fc_all = fcst.forecast_revenue(fx.sales(spark, d, customer=False), "date", "revenue", steps=6).drop("_series", "phi", "theta")
-    return sales, items, cs, summary, fc_all
+def _sales_grains(spark, d, **keys):
+    """Sales totals by customer, by month and by other keys, in one scan."""
+    return gr.grains(fx.sales(spark, d), "revenue", {"customer": F.col("customer"), "month": month_start("date"), **keys})
+
+
+def _all_forecast(by_month):
+    return fcst.forecast_revenue(by_month, "month", "revenue", steps=6).drop("_series", "phi", "theta")
 
 
 @query
 def q_payload(spark, d):
-    sales, items, cs, summary, fc_all = _report_parts(spark, d)
-    amounts = fx.sales(spark, d, customer=False)
+    """Every result of the report as one JSON document, read back as rows; one scan for the sales, the items, the tax lines and the export's profile."""
+    sales = _sales_grains(spark, d, value=F.col("revenue").cast("double"))
+    by_customer, by_month, counts = sales.total("customer"), sales.total("month"), sales.counts("value")
+    items = gr.grains(fx.items(spark, d, customer=False), "total_value", {"category": F.col("category"), "item_name": F.col("item_name")},
+                      {"date": F.col("date").cast("date")})
+    by_category, by_item = items.total("category"), items.total("item_name", "item")
+    cs = _cleaned(spark, d, impute=False)
+    _, summary = ig.integrate_sales_and_master(cs, _master(spark, d))
     cleaned = cs.dataframe.columns
     roles = {"date": cs.date_column, "revenue": cs.revenue_column, "customer": cs.customer_column, "gstin": cs.gstin_column,
              "product": R.product_role(cleaned), "category": R.category_role(cleaned),
              "net_sales": R.net_sales_role(cleaned, cs.revenue_column)}
+    total = F.col("s").cast("double")
     parts = {
         "cleaning": cs.stats,
         "integration": summary,
-        "revenue_analysis": met.revenue_summary(amounts, "revenue"),
-        "distribution_analysis": dist.distribution(amounts, "revenue"),
-        "high_value": dist.high_value_share(amounts, "revenue"),
-        "customer_concentration": par.top_share(sales, "customer", "revenue"),
-        "pareto": par.pareto_count(sales, "customer", "revenue"),
-        "item_totals": met.item_totals(items),
-        "top3_items": met.top_share_n(items, "item_name", "total_value", 3, "top3_pct"),
-        "unique_customers": met.unique_customers(sales, "customer"),
+        "revenue_analysis": met.revenue_summary(counts, "v", counts),
+        "distribution_analysis": dist.distribution(counts, "v", counts),
+        "high_value": dist.high_value_share(counts, "v", counts=counts),
+        "customer_concentration": par.top_share(by_customer, "customer", "revenue", written=True),
+        "pareto": par.pareto_count(by_customer, "customer", "revenue", written=True),
+        "item_totals": items.whole().select("rows", F.col("min_date").alias("start"), F.col("max_date").alias("end"), total.alias("total"),
+                                            F.round(total / F.col("n"), 6).alias("mean")),
+        "top3_items": met.top_share_n(by_item, "item", "revenue", 3, "top3_pct", written=True),
+        "unique_customers": met.unique_customers(by_customer, "customer"),
         "tax_analysis": met.gross_vs_net(fx.invoice_tax(spark, d, order=False, customer=False), "gross", "net"),
     }
     lists = {
-        "top_10_customers": (par.top_n(sales, "customer", "revenue", 10), ("-revenue", "customer")),
-        "monthly_revenue": (ts.monthly_revenue(amounts), ("month",)),
-        "moving_average": (ts.moving_average(amounts), ("month",)),
-        "month_of_year_revenue": (ts.seasonality(amounts), ("month_no",)),
-        "year_wise_revenue": (ts.revenue_by_year(amounts), ("year",)),
-        "yearly_growth_pct": (ts.yoy_growth(amounts), ("year",)),
-        "peak_and_weakest": (ts.peak_month(amounts), ("kind",)),
-        "category_mix": (par.top_n(items, "category", "total_value", 20), ("-revenue", "category")),
-        "top_items": (par.top_n(items, "item_name", "total_value", 10, out_key="item"), ("-revenue", "item")),
-        "forecast": (fc_all, ("step",)),
+        "top_10_customers": (par.top_n(by_customer, "customer", "revenue", 10, written=True), ("-revenue", "customer")),
+        "monthly_revenue": (ts.monthly_revenue(by_month, "month"), ("month",)),
+        "moving_average": (ts.moving_average(by_month, "month"), ("month",)),
+        "month_of_year_revenue": (ts.seasonality(by_month, "month"), ("month_no",)),
+        "year_wise_revenue": (ts.revenue_by_year(by_month, "month"), ("year",)),
+        "yearly_growth_pct": (ts.yoy_growth(by_month, "month"), ("year",)),
+        "peak_and_weakest": (ts.peak_month(by_month, "month"), ("kind",)),
+        "category_mix": (met.share_by(by_category, "category", "revenue", "category", written=True), ("-revenue", "category")),
+        "top_items": (par.top_n(by_item, "item", "revenue", 10, written=True), ("-revenue", "item")),
+        "forecast": (_all_forecast(by_month), ("step",)),
     }
-    return rp.payload(spark, parts, lists, roles)
+    return rp.payload_rows(rp.payload(spark, parts, lists, roles))
 
 
 @query
 def q_insights(spark, d):
-    sales, items, _, _, fc_all = _report_parts(spark, d)
-    return rp.insights(spark, par.top_n(sales, "customer", "revenue", 10),
-                       met.share_by(items, "category", "total_value", "category", "revenue"),
-                       fc_all, ts.peak_month(fx.sales(spark, d, customer=False), "date", "revenue"))
+    sales = _sales_grains(spark, d)
+    by_month = sales.total("month")
+    by_category = gr.grains(fx.items(spark, d, customer=False), "total_value", {"category": F.col("category")}).total("category")
+    return rp.insights(spark, par.top_n(sales.total("customer"), "customer", "revenue", 10, written=True),
+                       met.share_by(by_category, "category", "revenue", "category", written=True),
+                       _all_forecast(by_month), ts.peak_month(by_month, "month"))
 
 
 # ------------------------------------------------------------ further operators over the same views

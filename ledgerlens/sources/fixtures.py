@@ -210,10 +210,13 @@ def date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, d = F.col("o_orderkey"), F.col("o_orderdate")
     forms = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "d/M/yyyy",
              "dd/MM/yyyy HH:mm:ss", "dd-MM-yyyy", "dd.MM.yyyy", "d/M/yy", "d-MMM-yyyy", "dd-MMM-yyyy HH:mm", "d MMM yyyy",
-             "d-MMMM-yyyy", "dd-MMM-yy"]
-    text = F.when(k % 16 == 15, F.concat(F.lit("31/02/"), F.year(d).cast("string")))
+             "d-MMMM-yyyy", "dd-MMM-yy", "", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd'T'HH:mm:ss'+05:30'", "dd/MM/yyyy hh:mm a",
+             "yyyyMMdd", "MMM d, yyyy", "EEE, d MMM yyyy", "d'th' MMM yyyy", "yyyy-MM", "MMMM yyyy", "yyyyMMddHHmmss"]
+    # times of day from the key: the dates themselves are midnights
+    at = F.make_timestamp_ntz(F.year(d), F.month(d), F.dayofmonth(d), (k % 24).cast("int"), (k % 60).cast("int"), F.lit(0))
+    text = F.when(k % len(forms) == 15, F.concat(F.lit("31/02/"), F.year(d).cast("string")))
     for i, form in enumerate(forms):
-        text = text.when(k % 16 == i, F.date_format(d, form))
+        text = text.when(k % len(forms) == i, F.date_format(at, form)) if form else text
     return read_table(spark, sf_dir, "orders").select(k.alias("key"), text.alias("text"))
 
 
