@@ -551,8 +551,12 @@ UNION ALL SELECT 'date', 'date', count(date) FROM integ
 UNION ALL SELECT 'revenue', 'gross_total', count(gross_total) FROM integ""", INTEG_CTES)
 ORACLE["export_wide"] = """SELECT strftime(o_orderdate, '%-d/%-m/%Y') AS date, 'Customer ' || CAST(o_custkey AS VARCHAR) AS particulars,
   'INV' || CAST(o_orderkey AS VARCHAR) AS voucher_no, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS gross_total,
+  CAST(o_orderkey % 12 AS VARCHAR) || '" pipe' AS size,
   'order "' || CAST(o_orderkey AS VARCHAR) || '", paid' || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || 'late' ELSE '' END AS remarks,
   CASE WHEN o_orderkey % 97 = 0 AND year(o_orderdate) % 2 = 1 THEN 'end' || CAST(o_orderkey AS VARCHAR) END AS last_cell FROM orders"""
+ORACLE["export_first"] = """SELECT particulars, date, voucher_no FROM (SELECT 'Customer ' || CAST(o_custkey AS VARCHAR) AS particulars,
+  strftime(o_orderdate, '%-d/%-m/%Y') AS date, 'INV' || CAST(o_orderkey AS VARCHAR) AS voucher_no,
+  row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS nth FROM orders) t WHERE nth = 1"""
 
 # ------------------------------------------------------------ the payload's document (S6), section by section
 

@@ -593,10 +593,22 @@ def q_merged_roles(spark, d):
                                            for i, (r, c) in enumerate(chosen)])).alias("r")).select("r.*")
 
 
+def _export_report(spark, d):
+    """The report files of `fixtures.export_files`, written as text and read back by S3."""
+    path = scratch_path(spark, f"export-{uuid.uuid4().hex}")
+    lines = fx.export_files(spark, d)
+    lines.write.partitionBy("file").text(path)
+    years = [r[0] for r in fx.sales(spark, d, customer=False).select(F.year("date")).distinct().orderBy(F.year("date")).collect()]
+    return ex.read_report_files(spark, [f"{path}/file={y}" for y in years])
+
+
 @query
 def q_export_wide(spark, d):
-    """S3 on files: two exports with title lines, a header, quoted cells and some records of 300 cells."""
-    path = scratch_path(spark, f"export-wide-{uuid.uuid4().hex}")
-    fx.export_files(spark, d).write.partitionBy("file").text(path)
-    out = ex.read_report_files(spark, [f"{path}/file={i}" for i in (0, 1)])
-    return out.select("date", "particulars", "voucher_no", "gross_total", "remarks", F.col("unnamed_299").alias("last_cell"))
+    """S3 on files: an export a year with title lines, a header, quoted breaks, inch marks and some records of 300 cells."""
+    return _export_report(spark, d).select("date", "particulars", "voucher_no", "gross_total", "size", "remarks", F.col("unnamed_299").alias("last_cell"))
+
+
+@query
+def q_export_first(spark, d):
+    """J5 over several files: the first record of each customer in the order of the files and their lines."""
+    return ig.dedupe_first(_export_report(spark, d), "particulars").select("particulars", "date", "voucher_no")

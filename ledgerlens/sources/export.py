@@ -1,22 +1,23 @@
 """Report-export reading with header-row recovery.
 
-ERP exports put title lines above the real header.  Spark's CSV reader takes
-the column count from the first line, so one pass over the file finds the widest
-record, the file is read headless with an all-text schema of that width, the
-header row is scored among the first 40 rows, and the rows after it are renamed
-by its cells.  Quoted cells may hold separators, doubled quotes and line breaks.
+ERP exports put title lines above the real header.  Files are read as lines, in
+splits, and put together to records (quoted cells may hold separators, doubled
+quotes and line breaks); one pass finds the widest record, the header row is scored
+among the first 40 rows of each file, and the rows after it are split into cells and
+named by the header's.  A record's number orders it over all files.
 """
 
 from __future__ import annotations
 
 import re
-from typing import Optional
+import uuid
+from typing import Optional, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ledgerlens.functions.text import canonical_names, trim_text
+from ledgerlens.session import scratch_path
 
 ORDER = "_row_id"
 MAX_SCAN_ROWS = 40
@@ -54,30 +55,33 @@ def header_scores(df: DataFrame, order_col: str = ORDER, max_rows: int = MAX_SCA
             + distinct cells / cells
     All array work is higher-order functions, no Python.
     """
-    cols = [c for c in df.columns if c != order_col]
-    first = df.orderBy(order_col).limit(max_rows)
-    cells = first.select(F.col(order_col).alias("row"), _cells(cols).alias("cells"), F.array(*cols).alias("raw"))
+    return _scored(df.orderBy(order_col).limit(max_rows), order_col, ["raw"] if keep_cells else [])
+
+
+def _scored(first: DataFrame, order_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    cols = [c for c in first.columns if c not in (order_col, "_file")]
+    cells = first.select("*", F.col(order_col).alias("row"), _cells(cols).alias("cells"), F.array(*cols).alias("raw"))
     tokens = F.array(*[F.lit(t) for t in HEADER_TOKENS])
     n = F.size("cells")
     hits = F.size(F.filter(tokens, lambda t: F.exists("cells", lambda c: c.contains(t))))
     score = (hits.cast("double") * 2.0 + F.least(n, F.lit(20)).cast("double") * 0.1
              + F.size(F.array_distinct("cells")).cast("double") / n)
-    return cells.filter(n >= 3).select("row", score.alias("score"), *(["raw"] if keep_cells else []))
+    return cells.filter(n >= 3).select("row", score.alias("score"), *keep)
+
+
+def detect_header(df: DataFrame, order_col: str = ORDER):
+    """The header row's order value (`row`) and cells (`raw`), or None below 3.0; the first on ties (one job)."""
+    best = (header_scores(df, order_col, keep_cells=True).where(F.col("score") >= MIN_HEADER_SCORE)
+            .select("row", "raw", "score").orderBy(F.col("score").desc(), F.col("row").asc()).limit(1).collect())
+    return best[0] if best else None
 
 
 def detect_header_row(df: DataFrame, order_col: str = ORDER) -> Optional[int]:
     """Order value of the best-scoring row (first on ties), None below 3.0 (one job)."""
-    best = _best_row(df, order_col)
+    best = detect_header(df, order_col)
     return None if best is None else best["row"]
 
 
-def _best_row(df: DataFrame, order_col: str):
-    """The header row's order value and cells, or None."""
-    best = (header_scores(df, order_col, keep_cells=True).where(F.col("score") >= MIN_HEADER_SCORE)
-            .orderBy(F.col("score").desc(), F.col("row").asc()).limit(1).collect())
-    return best[0] if best else None
-
-
 def recover_header(df: DataFrame, order_col: str = ORDER, canonical: bool = True) -> DataFrame:
     """S3: rename by the detected header row and keep the rows after it.
 
@@ -85,7 +89,7 @@ def recover_header(df: DataFrame, order_col: str = ORDER, canonical: bool = True
     One job fetches the header row (its cells become column names); the data
     rows never leave the executors.
     """
-    best = _best_row(df, order_col)
+    best = detect_header(df, order_col)
     if best is None:
         return df
     cols = [c for c in df.columns if c != order_col]
@@ -95,58 +99,161 @@ def recover_header(df: DataFrame, order_col: str = ORDER, canonical: bool = True
     return body.select(F.col(order_col), *[F.col(c).alias(n) for c, n in zip(cols, names)])
 
 
+# A closed quoted cell, and any cell; every repetition is possessive, so a match is one pass.
+_QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
+_CELL = rf'(?:{_QUOTED}[^,]*+|[^",][^,]*+|)'
+_OPEN = r'"[^"]*+(?:""[^"]*+)*+$'
+#: A line that begins outside a quoted cell and ends inside one; one that begins inside and never leaves, or leaves and ends inside another.
+ENDS_INSIDE = rf"^(?:{_CELL},)*+{_OPEN}"
+STAYS_INSIDE = rf'^[^"]*+(?:""[^"]*+)*+(?:$|"[^,]*+(?:,{_CELL}(?=,))*+,{_OPEN})'
+#: Lines of one record; more are taken for a quote that is never closed.
+LONGEST_RECORD = 10_000
+SPLIT = ["_file", "part", "block"]
+
+
 def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
-    """Whether some line has an odd number of quotes: a quoted cell goes on in the next line.
+    """Whether some quoted cell goes on in the next line (the first such line begins outside a quoted cell)."""
+    return not spark.read.text(path).where(F.col("value").contains('"') & F.col("value").rlike(ENDS_INSIDE)).isEmpty()
+
+
+def _before(rows: DataFrame, within: list[str], order: list[str]) -> DataFrame:
+    """Whether each row begins inside a quoted cell: `turns` (0/1), to be added to the first row's own state where `open` is true.
 
-    Only such files give up reading one file in several splits.
+    A row takes the state outside to `out` and inside to `into` (1: inside).  Rows
+    where both are the same fix the state; a row that swaps them turns it.
     """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    upto = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    n = rows.withColumn("swaps", F.sum(F.when(F.col("out") > F.col("into"), 1).otherwise(0)).over(upto))
+    n = n.withColumn("fixed", F.last(F.when(F.col("out") == F.col("into"), F.struct("out", "swaps")), ignorenulls=True).over(upto))
+    after = (F.coalesce("fixed.out", F.lit(0)) + F.col("swaps") - F.coalesce("fixed.swaps", F.lit(0))) % 2
+    w = Window.partitionBy(*within).orderBy(*order)
+    return n.withColumn("after", after).select(
+        *rows.columns, F.lag(F.col("fixed").isNull(), 1, True).over(w).alias("open"), F.lag("after", 1, 0).over(w).alias("turns"))
 
 
-def read_headless(spark: SparkSession, path: str) -> DataFrame:
-    """Read delimited text with no header as `_c0.._c{N-1}` strings plus a file-order `_row_id`.
+def _with_offsets(splits: DataFrame, count: str) -> DataFrame:
+    """The number of records before each split, over all files as listed (a row per split of a file, whatever its size)."""
+    order = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn("offset", F.coalesce(F.sum(count).over(order), F.lit(0)))
 
-    N is the widest record of the whole file, counted on the records' raw texts.
-    Fully blank lines are skipped by the reader.
-    """
-    options = {"header": False, "mode": "PERMISSIVE", "quote": '"', "escape": '"', "multiLine": has_quoted_breaks(spark, path)}
 
-    # with one column, every record with more cells also gives its raw text
-    raw = spark.read.schema("_c0 string, _raw string").options(
-        **options, columnNameOfCorruptRecord="_raw", maxColumns=1 << 20).csv(path)
-    bare = F.regexp_replace("_raw", '"[^"]*"', "")      # without quoted cells (a doubled quote ends one and begins the next)
+def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """The records of delimited exports: `_file` (place in ``paths``), `_row_id` (their order over all files) and `_record` (raw text).
+
+    Lines are read in any number of splits and written once with their place.  A
+    split's number of records and how its lines leave the state of quotes (outside
+    or inside a quoted cell) are combined over the splits of a file, so a record may
+    begin in one split and end in another.  A quote counts only where a cell begins
+    with it; an inch mark inside a cell does not.  Blank lines are no records.
+    """
+    lines = None
+    for i, path in enumerate(paths):
+        one = spark.read.text(path).select(F.lit(i).alias("_file"), F.col("_metadata.file_path").alias("part"),
+                                           F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+        lines = one if lines is None else lines.unionByName(one)
+    quoted, inside = F.col("value").contains('"'), lambda pattern: F.col("value").rlike(pattern).cast("int")
+    lines = _stored(lines.select("*", F.when(quoted, inside(ENDS_INSIDE)).otherwise(0).alias("out"),
+                                 F.when(quoted, inside(STAYS_INSIDE)).otherwise(1).alias("into")), "lines")
+    if lines.where("out = 1").isEmpty():
+        # every line is a record; a split's lines are numbered in a row
+        splits = _with_offsets(lines.groupBy(*SPLIT).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")), "n")
+        # broadcast bound: a row for each split
+        records = lines.join(F.broadcast(splits), SPLIT).select("_file", (F.col("offset") + F.col("at") - F.col("first")).alias("_row_id"),
+                                                                F.col("value").alias("_record"))
+        return _filled(records)
+    placed = _before(lines, SPLIT, ["at"])
+    # what a split does to the state, and with it the state in which each split of a file begins
+    last = F.max_by(F.struct("open", "turns", "out", "into"), "at")
+    splits = placed.groupBy(*SPLIT).agg(last.alias("l"))
+    end = lambda start: F.when(F.when(F.col("l.open"), (F.col("l.turns") + start) % 2).otherwise(F.col("l.turns")) == 1, F.col("l.into")).otherwise(F.col("l.out"))
+    begins = _before(splits.select(*SPLIT, end(0).alias("out"), end(1).alias("into")), SPLIT[:2], ["block"]).select(*SPLIT, F.col("turns").alias("start"))
+    begin = F.when(F.col("open"), (F.col("turns") + F.col("start")) % 2).otherwise(F.col("turns"))
+    # broadcast bound: a row for each split
+    known = placed.join(F.broadcast(begins), SPLIT).withColumn("begin", begin).withColumn(
+        "end", F.when(F.col("begin") == 1, F.col("into")).otherwise(F.col("out")))
+    known = _stored(known.select(*SPLIT, "at", "value", "begin", "end", F.sum(1 - F.col("begin")).over(
+        Window.partitionBy(*SPLIT).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("nth")), "known")
+    offsets = _with_offsets(known.groupBy(*SPLIT).agg(F.max("nth").alias("n")), "n").select(*SPLIT, "offset")
+    numbered = known.join(F.broadcast(offsets), SPLIT).withColumn("_row_id", F.col("offset") + F.col("nth") - 1)
+    alone = (F.col("begin") == 0) & (F.col("end") == 0)
+    several = numbered.where(~alone).groupBy("_file", "_row_id")
+    long = several.count().where(F.col("count") > LONGEST_RECORD).orderBy("_row_id").first()
+    if long:
+        raise ValueError(f"Record {long['_row_id']} of {paths[long['_file']]} has {long['count']} lines: a quote that is never closed?")
+    joined = several.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "block", "at", "value"))), lambda x: x["value"]), "\n").alias("_record"))
+    return _filled(_stored(numbered.where(alone).select("_file", "_row_id", F.col("value").alias("_record")).unionByName(joined), "records"))
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Written as Parquet in the shared folder, a folder per `_file`, and read back."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.partitionBy("_file").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _filled(records: DataFrame) -> DataFrame:
+    text = F.ltrim(F.col("_record"), F.lit("﻿"))       # a byte order mark
+    return records.select("_file", "_row_id", text.alias("_record")).where(F.col("_record").rlike(r"\S"))
+
+
+def _split(records: DataFrame, width: int) -> DataFrame:
+    """`_file`, `_row_id` and the first ``width`` cells of each record as `_c0`.., each record parsed once (`inline` keeps the cells together)."""
+    cells = F.from_csv("_record", ", ".join(f"_c{i} string" for i in range(width)),
+                       {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": str(width + 2)})
+    return records.select("_file", ORDER, F.inline(F.array(cells)))
+
+
+def widths(records: DataFrame) -> dict[int, int]:
+    """The cells of the widest record of each file (a row per file)."""
+    bare = F.regexp_replace("_record", rf"(^|,){_QUOTED}", "$1")
     cells = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    width = raw.agg(F.max(cells), F.count("_c0")).first()[0] or 1
-    wide = spark.read.schema(StructType([StructField(f"_c{i}", StringType()) for i in range(width)])).options(
-        **options, maxColumns=max(width + 2, 20480)).csv(path)
-    # One export file is split in offset order and each split keeps its line
-    # order, so the generated id follows file order within a file.
-    return wide.select(F.monotonically_increasing_id().alias(ORDER), *[f"_c{i}" for i in range(width)])
+    return {r["_file"]: r["width"] for r in records.groupBy("_file").agg(F.max(cells).alias("width")).collect()}
 
 
-def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
-    """S3 for delimited exports: use the first line as header unless it is
-    mostly placeholders, otherwise recover the header row; error if no rows."""
-    headless = read_headless(spark, path)
-    cols = [c for c in headless.columns if c != ORDER]
-    first = headless.orderBy(ORDER).limit(1).collect()
-    if not first:
-        raise ValueError(f"No rows in {path}.")
-    cells = [first[0][c] or "" for c in cols]
-    if needs_header_recovery(cells):
-        return recover_header(headless)
-    names = canonical_names([cell or f"Unnamed: {i}" for i, cell in enumerate(cells)])
-    return headless.filter(F.col(ORDER) > first[0][ORDER]).select(ORDER, *[F.col(c).alias(n) for c, n in zip(cols, names)])
-
-
-def read_report_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_headless(spark: SparkSession, path: str) -> DataFrame:
+    """Read delimited text with no header as `_c0.._c{N-1}` strings plus a file-order `_row_id`; N is the widest record's.
+
+    Fully blank lines are skipped.
+    """
+    records = read_records(spark, [path])
+    return _split(records, widths(records).get(0, 1)).drop("_file")
+
+
+def read_report_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """S3 for several exports, each with its own title lines and header: their rows by column name.
 
-    A column that a file lacks is null; `_file` numbers the files as listed.
+    A column that a file lacks is null; `_file` numbers the files as listed, and
+    `_row_id` orders the rows over all of them.  Each file's first line is its
+    header unless it is mostly placeholders; then the header row is recovered.  All
+    files are read, measured and searched for headers together.
     """
-    frames = [read_report_csv(spark, p).withColumn("_file", F.lit(i)) for i, p in enumerate(paths)]
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame, allowMissingColumns=True)
+    records = read_records(spark, paths)
+    width = widths(records)
+    if not width:
+        raise ValueError(f"No rows in {', '.join(paths)}.")
+    nth = F.row_number().over(Window.partitionBy("_file").orderBy(ORDER))
+    first = records.withColumn("nth", nth).where(F.col("nth") <= MAX_SCAN_ROWS).drop("nth").collect()      # MAX_SCAN_ROWS rows of each file
+    head = _split(spark.createDataFrame(first, records.schema), max(width.values()))
+    lines = {r["_file"]: r for r in head.orderBy(F.desc(ORDER)).collect()}      # the first of each file stays
+    headers: dict[int, tuple] = {}
+    for r in _scored(head, ORDER, ["_file", "raw"]).where(F.col("score") >= MIN_HEADER_SCORE).orderBy("score", F.desc("row")).collect():
+        headers[r["_file"]] = (r["row"], r["raw"])      # the best, of these the first, stays
+    out = None
+    for i, n in sorted(width.items()):
+        row, cells = lines[i][ORDER], [lines[i][f"_c{c}"] or "" for c in range(n)]
+        body = _split(records.where(F.col("_file") == i), n).drop("_file")
+        if needs_header_recovery(cells):
+            row, cells = headers.get(i, (None, []))
+        if row is not None:
+            names = canonical_names([v if v and v.strip() else f"Unnamed: {c}" for c, v in enumerate(cells[:n])])
+            body = body.where(F.col(ORDER) > row).toDF(ORDER, *names)
+        body = body.withColumn("_file", F.lit(i))
+        out = body if out is None else out.unionByName(body, allowMissingColumns=True)
     return out
+
+
+def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S3 for one delimited export: use the first line as header unless it is
+    mostly placeholders, otherwise recover the header row; error if no rows."""
+    return read_report_files(spark, [path]).drop("_file")

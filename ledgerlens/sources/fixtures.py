@@ -265,24 +265,26 @@ def export_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text lines of two export files (`file`: even or odd years; `value`): two title lines, a header, the orders.
+    """The text lines of one export file a year (`file`, `value`): two title lines, a header, the orders.
 
-    Remarks are quoted and hold separators, doubled quotes and line breaks; in the
-    odd years' file every 97th order's record has 300 cells.
+    Remarks are quoted and hold separators, doubled quotes and line breaks; sizes hold
+    inch marks, in cells that are not quoted; in odd years every 97th order's record has
+    300 cells.  Lines are sorted by file and place over any number of tasks.
     """
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
-    k, file = F.col("o_orderkey"), F.year("o_orderdate") % 2
+    k, file = F.col("o_orderkey"), F.year("o_orderdate")
     remark = F.concat(F.lit('"order ""'), k.cast("string"), F.lit('"", paid'), F.when(k % 5 == 0, F.lit("\nlate")).otherwise(F.lit("")), F.lit('"'))
-    tail = F.when((k % 97 == 0) & (file == 1), F.concat(F.lit("," * 295), F.lit("end"), k.cast("string"))).otherwise(F.lit(""))
+    size = F.concat((k % 12).cast("string"), F.lit('" pipe'))
+    tail = F.when((k % 97 == 0) & (file % 2 == 1), F.concat(F.lit("," * 294), F.lit("end"), k.cast("string"))).otherwise(F.lit(""))
     line = F.concat(F.date_format("o_orderdate", "d/M/yyyy"), F.lit(",Customer "), F.col("o_custkey").cast("string"), F.lit(",INV"),
-                    k.cast("string"), F.lit(","), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(","), remark, tail)
+                    k.cast("string"), F.lit(","), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.lit(","), size, F.lit(","), remark, tail)
     body = o.select(file.alias("file"), k.alias("at"), line.alias("value"))
     files = o.select(file.alias("file")).distinct()
     head = files.select("file", F.explode(F.array(
         F.struct(F.lit(-3).cast("long").alias("at"), F.lit(EXPORT_TITLE_LINES[0]).alias("value")),
         F.struct(F.lit(-2).cast("long").alias("at"), F.lit(EXPORT_TITLE_LINES[1]).alias("value")),
-        F.struct(F.lit(-1).cast("long").alias("at"), F.lit('Date,Particulars,"Voucher\nNo",Gross Total,Remarks').alias("value")))).alias("l")).select("file", "l.*")
-    return head.unionByName(body).repartition("file").sortWithinPartitions("file", "at").select("file", "value")
+        F.struct(F.lit(-1).cast("long").alias("at"), F.lit('Date,Particulars,"Voucher\nNo",Gross Total,Size,Remarks').alias("value")))).alias("l")).select("file", "l.*")
+    return head.unionByName(body).repartitionByRange("file", "at").sortWithinPartitions("file", "at").select("file", "value")
 
 
 VIEWS = {

@@ -1,4 +1,5 @@
 import random
+from hashlib import sha256
 
 import numpy as np
 import pytest
@@ -28,11 +29,32 @@ def plain(docs, n):
         for j, (_, b) in enumerate(sets[:i]):
             if a and b and min(len(a), len(b)) * 100 >= 80 * max(len(a), len(b)) and 100 * len(a & b) >= 80 * len(a | b):
                 parent[root(i)] = root(j)
-    smallest = {}
-    for i, (d, _) in enumerate(sets):
+    smallest, least = {}, {}
+    for i, (d, s) in enumerate(sets):
+        key = sha256((docs[i][1] or "").encode()).digest()
+        least[root(i)] = min(key, least.get(root(i), key))
         if d is not None:
             smallest[root(i)] = min(d, smallest.get(root(i), d))
-    return sorted(((d, len(s), smallest.get(root(i)), d == smallest.get(root(i))) for i, (d, s) in enumerate(sets)), key=str)
+    out = []
+    for i, (d, s) in enumerate(sets):
+        component = smallest.get(root(i))
+        alone = component is None and s
+        kept = sha256(docs[i][1].encode()).digest() == least[root(i)] if alone else d == component
+        out.append((d, len(s), component, kept))
+    return sorted(out, key=str)
+
+
+def plain_left(docs, n):
+    """One row of each group: that of the smallest (id, null ones last, and SHA-256 of the text); rows without words all stay."""
+    sets = sets_of(docs, n)
+    left = [(d, t) for (d, t), (_, s) in zip(docs, sets) if not s]
+    groups = []
+    for (d, t), (_, s) in zip(docs, sets):
+        if s:
+            linked = [g for g in groups if any(100 * len(s & o) >= 80 * len(s | o) for _, _, o in g)]
+            groups = [g for g in groups if g not in linked] + [[x for g in linked for x in g] + [(d, t, s)]]
+    left += [min(g, key=lambda x: (x[0] is None, x[0] or 0, sha256(x[1].encode()).digest()))[:2] for g in groups]
+    return sorted(left, key=str)
 
 
 def got(df):
@@ -49,6 +71,35 @@ def test_edges(spark):
     assert neardup.near_duplicates(empty_docs(spark)).count() == 0
 
 
+A = "the first text has some ten words of its own here"
+B = "quite another text with as many words but other ones instead of those"
+C = " ".join(f"word{i}" for i in range(60))
+#: Ids that several texts share, and null ones.
+SHARED = [
+    [(3, A), (7, A), (7, B)],
+    [(None, C), (None, C + " more"), (None, A)],
+    [(5, A), (5, C), (8, C + " more")],
+    [(5, A), (5, C), (5, C + " more"), (None, C), (9, A), (9, A), (4, ""), (4, ""), (None, None), (6, B), (6, B)],
+    [(None, B)] * 3 + [(None, C)] * 2 + [(2, C + " end")],
+]
+
+
+@pytest.mark.parametrize("rows", SHARED)
+def test_ids_of_several_texts_and_null_ids(spark, rows):
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, text_key string, component int")
+    assert got(neardup.near_duplicates(docs)) == plain(rows, 5)
+    left = neardup.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(docs_of(left), key=str) == plain_left(rows, 5)
+
+
+def test_many_null_ids_in_one_group(spark):
+    rows = [(None if i % 3 else i, C if i % 2 else C + f" end{i % 5}") for i in range(300)] + [(1000 + i, f"own text number {i} is here") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert got(neardup.near_duplicates(docs)) == plain(rows, 5)
+    assert sorted(docs_of(neardup.without_near_duplicates(docs)), key=str) == plain_left(rows, 5)
+
+
 @pytest.mark.parametrize("block", [1_000_000, 300])
 def test_groups_of_edited_copies(spark, monkeypatch, block):
     """A group around the threshold: links that the central member doesn't give, over one block and over many."""

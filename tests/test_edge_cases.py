@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from ledgerlens.functions.dates import parse_dayfirst
+from ledgerlens.functions.dates import date_form, parse_dayfirst
 from ledgerlens.functions.numbers import strict_number
 from ledgerlens.operators import catalog as ct
 from ledgerlens.operators import clean as cl
@@ -70,6 +70,49 @@ def test_dates_in_all_forms(spark):
     assert got == ["2024-01-05"] * 9 + ["1999-09-05"] * 2 + [None] * 4
 
 
+def test_dates_with_zones_names_and_half_days(spark):
+    forms = ["2024-01-05T10:00:00Z", "2024-01-05 10:00:00+05:30", "05/01/2024 10:00 AM", "20240105T10:00", "20240105100000", "May 5, 2024", "Fri, 5 Jan 2024",
+             "5th Jan 2024", "Friday 5 January 2024 10:00", "2024-01", "Jan 2024", "Jan-24", "5-1-24 12:30 pm", "5/1/2024 12:05 am", "5/1/2024 13:00 PM",
+             "1st of May", "20241301", "Foo 5, 2024", "2024-Jan-05", "3 may 2024 1:2:3.5 p.m."]
+    got = [g and g.strftime("%Y-%m-%d %H:%M:%S") for g in col_values(spark, forms, parse_dayfirst)]
+    at, day = "2024-01-05 10:00:00", "2024-01-05 00:00:00"
+    assert got == [at] * 5 + ["2024-05-05 00:00:00", day, day, at, "2024-01-01 00:00:00", "2024-01-01 00:00:00", None, "2024-01-05 12:30:00",
+                              "2024-01-05 00:05:00", None, None, None, None, day, "2024-05-03 13:02:03"]
+    named = [f for f in col_values(spark, forms, date_form)]
+    assert named[:4] == ["y-m-d time", "y-m-d time", "d-m-y am/pm", "yyyymmdd time"] and named[15] is None
+    narrow = col_values(spark, ["2024-01-05", "5/1/2024"], lambda c: parse_dayfirst(c, forms=["y-m-d"]))
+    assert narrow[0] == dt.datetime(2024, 1, 5) and narrow[1] is None
+
+
+def test_amounts_beyond_the_decimals_are_an_error(spark):
+    from pyspark.errors import PySparkException
+    from ledgerlens.functions.numbers import money_sum
+    total = lambda xs: values(spark, xs).agg(money_sum("v")).first()[0]
+    assert total([9e27, 1.0, float("nan")]) == 9e27
+    for bad in (1e29, float("inf")):
+        with pytest.raises(PySparkException, match="28 digits"):
+            total([bad, 1.0])
+
+
+def test_moments_don_t_depend_on_partitions(spark):
+    import numpy as np
+    from ledgerlens.operators import distribution as ds, metrics as mt
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.lognormal(8, 2, 4000), -r.random(50) * 1e6, [0.0, -0.0]])
+    seen = set()
+    for n in (1, 3, 11):
+        df = spark.createDataFrame([(float(v),) for v in r.permutation(x)], "v double").repartition(n)
+        seen.add((tuple(mt.revenue_summary(df, "v").first()), tuple(ds.distribution(df, "v").first())))
+    assert len(seen) == 1
+    (total, mean, median, std), (q1, q3, skew) = seen.pop()
+    n, d = len(x), x - x.mean()
+    assert (total, mean, median, std) == pytest.approx((x.sum(), x.mean(), np.median(x), x.std(ddof=1)), rel=1e-9)
+    assert (q1, q3) == pytest.approx(tuple(np.quantile(x, [0.25, 0.75])))
+    assert skew == pytest.approx((d**3).mean() / (d**2).mean() ** 1.5 * np.sqrt(n * (n - 1)) / (n - 2), rel=1e-6)
+    empty = values(spark, [])
+    assert tuple(mt.revenue_summary(empty, "v").first()) == (None,) * 4 and tuple(ds.distribution(empty, "v").first()) == (None,) * 3
+
+
 def test_wall_clock_times_don_t_move_with_the_zone(spark):
     spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
     try:
@@ -118,6 +161,64 @@ def test_several_exports_each_with_its_header(spark, tmpdir_path):
     assert got == {("1/1/2024", "A", "1", None, 0), ("2/1/2024", None, "2", "V1", 1)}
 
 
+def small_splits(spark, size):
+    """Files are read in splits of so many bytes."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in old:
+        spark.conf.set(k, str(size))
+    return old
+
+
+def plain_records(text):
+    """Cells of the records of a text, by Python's reader of quotes that open a cell."""
+    import csv
+    import io
+    return [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+
+
+@pytest.mark.parametrize("size", [64, 1000])
+def test_records_over_many_splits(spark, tmpdir_path, size):
+    import random
+    r = random.Random(size)
+    cell = ['plain', '5 ft', '6" pipe', 'a "b" c', '""', '"quoted, cell"', '"with ""doubled"""', '"two\nlines"', '"a\n\nb,c\n"', '""""', '"x""\n""y"', '']
+    text = "Date,Customer,Gross Total,Item\n" + "".join(",".join(r.choice(cell) for _ in range(4)) + f",{i}\n" for i in range(150))
+    path = written(tmpdir_path, "many.csv", text)
+    old = small_splits(spark, size)
+    try:
+        records = ex.read_records(spark, [path])
+        got = [tuple(x) for x in ex.read_headless(spark, path).orderBy("_row_id").collect()]
+        ids = [x["_row_id"] for x in records.select("_row_id").collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(set(ids)) == len(ids)
+    want = plain_records(text)
+    assert [tuple(c or "" for c in row[1:])[:len(w)] for row, w in zip(got, want, strict=True)] == [tuple(w) for w in want]
+
+
+def test_an_inch_mark_keeps_lines_apart(spark, tmpdir_path):
+    path = written(tmpdir_path, "inch.csv", 'Date,Customer,Item,Gross Total\n1/1/2024,A,5" pipe,1\n2/1/2024,B,"6"" pipe",2\n3/1/2024,C,7" pipe,3\n')
+    got = [tuple(r)[1:] for r in ex.read_report_csv(spark, path).orderBy("_row_id").collect()]
+    assert got == [("1/1/2024", "A", '5" pipe', "1"), ("2/1/2024", "B", '6" pipe', "2"), ("3/1/2024", "C", '7" pipe', "3")]
+    assert not ex.has_quoted_breaks(spark, path)
+
+
+def test_an_unclosed_quote_is_an_error(spark, tmpdir_path, monkeypatch):
+    monkeypatch.setattr(ex, "LONGEST_RECORD", 50)
+    path = written(tmpdir_path, "open.csv", "Date,Customer,Total\n1/1/2024,\"A,1\n" + "2/1/2024,B,2\n" * 60)
+    with pytest.raises(ValueError, match="never closed"):
+        ex.read_report_csv(spark, path)
+
+
+def test_keep_first_over_several_files(spark, tmpdir_path):
+    from ledgerlens.operators.integrate import dedupe_first
+    text = "Date,Customer,Gross Total\n{0}/1/2024,A,{0}\n{0}/2/2024,B{0},{0}\n"
+    paths = [written(tmpdir_path, f"{c}.csv", text.format(n)) for n, c in enumerate("zay", 1)]
+    both = ex.read_report_files(spark, paths)
+    assert both.select("_row_id").distinct().count() == both.count() == 6
+    assert {(r.customer, r.gross_total) for r in dedupe_first(both, "customer").collect()} == {("A", "1"), ("B1", "1"), ("B2", "2"), ("B3", "3")}
+
+
 def test_item_files_with_breaks_and_day_first_dates(spark, tmpdir_path):
     head = "Date,Customer,Item Name,Category,Quantity,Unit Price,Total Value\n"
     path = written(tmpdir_path, "items.csv", head + '2024-01-05,"Acme\nLtd",Bolt,Parts,1,2,2\n05/02/2024,Beta,Nut,Parts,1,1d,3\nsoon,C,D,E,1,1,1\n')
