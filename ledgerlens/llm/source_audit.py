@@ -40,11 +40,13 @@ LEAST_DOCUMENTS = 3
 TOP_TERMS = 200
 #: Distinct texts that one task remembers while it collapses copies, and bytes tokenised together.
 REMEMBERED = 1 << 16
-CHUNK = 16 << 20
+CHUNK = 12 << 20
 #: (term, source) entries of a block of terms that one task evaluates.
 BLOCK_ENTRIES = 200_000
 
-COLLAPSED = "lang string, text_key binary, text string, source string, n long"
+#: A text travels to its task compressed, with its bytes before; rows of multiplicities have none.
+COLLAPSED = "lang string, text_key binary, text binary, bytes long, source string, n long"
+CODEC = "zstd"
 
 
 def letters_table() -> np.ndarray:
@@ -58,30 +60,31 @@ def letters_table() -> np.ndarray:
 def _collapse(batches):
     """Copies inside a task: the text once, then a row without it for each (text, source) and its number of documents."""
     seen: dict[tuple, int] = {}
+    codec, names = pa.Codec(CODEC), ["lang", "text_key", "text", "bytes", "source", "n"]
 
     def flush():
         rows = [(*key, n) for key, n in seen.items()]
         seen.clear()
         lang, key, source, n = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(key, pa.binary()), pa.nulls(len(rows), pa.string()), pa.array(source), pa.array(n)],
-                                          names=["lang", "text_key", "text", "source", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(key, pa.binary()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.int64()),
+                                           pa.array(source), pa.array(n)], names=names)
 
     told: set[tuple] = set()
     for chunk in text_chunks(batches, "text"):
         data, offsets = text_buffer(chunk.column("text"))
         langs, sources = chunk.column("lang").to_pylist(), chunk.column("source").to_pylist()
-        fresh, keys = [], []
+        fresh = []
         for i, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
-            key = hashlib.blake2b(data[a:b].tobytes(), digest_size=16).digest()
+            text = data[a:b].tobytes()
+            key = hashlib.blake2b(text, digest_size=16).digest()
             seen[langs[i], key, sources[i]] = seen.get((langs[i], key, sources[i]), 0) + 1
             if (langs[i], key) not in told:
                 told.add((langs[i], key))
-                fresh.append(i)
-                keys.append(key)
+                fresh.append((langs[i], key, codec.compress(text, asbytes=True), len(text)))
         if fresh:
-            some = chunk.take(pa.array(fresh))
-            yield pa.RecordBatch.from_arrays([some.column("lang"), pa.array(keys, pa.binary()), some.column("text"), pa.nulls(len(fresh), pa.string()),
-                                              pa.nulls(len(fresh), pa.int64())], names=["lang", "text_key", "text", "source", "n"])
+            lang, key, packed, size = zip(*fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(key, pa.binary()), pa.array(packed, pa.binary()), pa.array(size, pa.int64()),
+                                              pa.nulls(len(fresh), pa.string()), pa.nulls(len(fresh), pa.int64())], names=names)
         if len(seen) >= REMEMBERED:
             yield flush()
         if len(told) >= REMEMBERED:
@@ -102,6 +105,7 @@ def _term_counts(texts: pa.Array, langs: list[str], weights: list[dict[str, int]
     tokens = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[~separators[data]]))
     coded = tokens.dictionary_encode()
     terms, ids = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+    del data, starts, ends, bounds, tokens, coded      # the rest needs the memory
     # each text's distinct terms, then a row of them for each source that has the text
     owner = np.repeat(np.arange(len(first) - 1, dtype=np.int64), np.diff(first))
     own, count = np.unique(owner * len(terms) + ids, return_counts=True)
@@ -135,15 +139,14 @@ def _term_counts(texts: pa.Array, langs: list[str], weights: list[dict[str, int]
 def _counted(batches):
     """Rows sorted by text: the first text of a key is tokenised, with the documents per source of all its rows."""
     langs, texts, weights, held = [], [], [], 0
-    last = None
+    last, codec = None, pa.Codec(CODEC)
 
     def counted():
-        return _term_counts(pa.array(texts, pa.large_string()), langs, weights)
+        return _term_counts(pa.array(texts, pa.large_binary()).cast(pa.large_string()), langs, weights)
 
     for batch in batches:
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "text_key", "source", "n")]
-        column = batch.column(batch.schema.get_field_index("text"))
-        for i, (lang, key, source, n) in enumerate(zip(*columns)):
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "text_key", "text", "bytes", "source", "n")]
+        for lang, key, text, size, source, n in zip(*columns):
             if (lang, key) != last:
                 if held >= CHUNK:
                     if (out := counted()) is not None:
@@ -151,9 +154,9 @@ def _counted(batches):
                     langs, texts, weights, held = [], [], [], 0
                 last = (lang, key)
                 langs.append(lang)
-                texts.append(column[i].as_py())     # rows with the text come first
+                texts.append(codec.decompress(text, size, asbytes=True))     # rows with the text come first
                 weights.append({})
-                held += len(texts[-1])
+                held += size
             if source is not None:
                 weights[-1][source] = weights[-1].get(source, 0) + n
     if texts and (out := counted()) is not None:
