@@ -8,8 +8,8 @@ coordinate i from the whole set.  So every coordinate fills, even from one
 element, and agreeing coordinates estimate the Jaccard similarity with
 concentration bounds.
 
-Equal sets are one class (one representative each).  Representatives that share
-a band are candidates.  Instead of all pairs of a band, its members are first
+Equal sets are one class, known by a number of its own (`rep`), whatever ids its
+documents have.  Classes that share a band are candidates.  Instead of all pairs of a band, its members are first
 checked against the central one (which shares most bands with others).  Members
 that this leaves apart are joined with all members of the bands of the same
 central one, over an inverted index of the full sets in blocks of bounded size;
@@ -21,9 +21,12 @@ With 40 bands of 6 rows a pair at similarity 0.8 is missed with probability
 
 Defined results: null and empty texts and texts without words have an empty set
 and are linked with nothing; with fewer words than a shingle the whole sequence
-is the one shingle.  Repeated rows fall into one class.  Documents with a null id
-are linked, but never give a component its id.  Empty tables give empty results;
-other columns are not read.
+is the one shingle; very long texts are taken whole.  A document is a row: several
+texts under one id are linked each by its own text.  Repeated rows fall into one
+class.  Documents with a null id are linked, but never give a component its id; a
+component without any id has a null one, and its text with the smallest SHA-256 is
+kept (in every row that repeats it).  Empty tables give empty results; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerlens.llm.graph import components
 from ledgerlens.llm.tables import corpus_table, written
@@ -98,9 +101,9 @@ def _signatures(n: int, bands: int, rows: int):
             keys = [hashlib.blake2b(elements[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1], first[1:])]
             offsets = pa.array(np.arange(len(sketch) + 1, dtype=np.int32) * bands)
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("doc_id"), pa.array(np.diff(first)), pa.array(keys, pa.binary()),
+                [chunk.column("doc_id"), chunk.column("text_key"), pa.array(np.diff(first)), pa.array(keys, pa.binary()),
                  pa.ListArray.from_arrays(offsets, pa.array(band.reshape(-1).view(np.int64)))],
-                names=["doc_id", "n_shingles", "set_key", "bands"])
+                names=["doc_id", "text_key", "n_shingles", "set_key", "bands"])
 
     return run
 
@@ -124,8 +127,8 @@ def _verified(n: int, similarity: int):
 
 def verify(pairs: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataFrame:
     """The (u, v) whose full sets have at least the similarity."""
-    left = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    both = left.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v")
+    left = pairs.join(texts.select(F.col("rep").alias("u"), F.col("text").alias("text_u")), "u")
+    both = left.join(texts.select(F.col("rep").alias("v"), F.col("text").alias("text_v")), "v")
     return both.select("u", "v", "text_u", "text_v").mapInArrow(_verified(n, similarity), "u long, v long")
 
 
@@ -188,39 +191,78 @@ def _remaining_links(member: DataFrame, central: DataFrame, linked: DataFrame, t
            .withColumn("a", F.explode(F.expr("sequence(0, singles - 1)"))).withColumn("single", F.lit(False)))
     columns = ["center", "a", "b", "single", "rep", "component"]
     both = one.select(columns).unionByName(two.select(columns))
-    return (both.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").groupBy("center", "a", "b")
+    return (both.join(texts, "rep").groupBy("center", "a", "b")
             .applyInArrow(_between_blocks(n, similarity), "u long, v long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY,
-                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document of (doc_id, text): n_shingles, component_id, kept."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def text_key(text: Column | None = None) -> Column:
+    """SHA-256 of a row's text: with doc_id it tells documents apart."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text") if text is None else text, F.lit("")), 256))
+
+
+def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY,
+                bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per row: doc_id, text_key, n_shingles and `first`, the (no_id, doc_id, text_key) of the first document of its group (null: an empty set).
+
+    The first is that with the smallest id, null ones last, and of these with the smallest text_key.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
     signed = written(docs.mapInArrow(_signatures(shingle, bands, rows),
-                                     "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures")
-    sets = signed.where("n_shingles > 0")
-    classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    banded = (sets.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-              .select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("band")))
+                                     "doc_id long, text_key binary, n_shingles long, set_key binary, bands array<long>"), "signatures")
+    # equal sets have equal bands, so any row's will do; the first document lends its text to the class
+    document = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    classes = written(signed.where("n_shingles > 0").groupBy("set_key").agg(
+        F.min(document).alias("first"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"))
+        .withColumn("rep", F.monotonically_increasing_id()), "classes")
+    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     member = written(banded.join(shared, "band").distinct(), "members")
     central = written(_central(member), "central")
-    texts = written(docs.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                    .dropDuplicates(["doc_id"]), "texts")
+    needed = classes.join(member.select("rep").distinct(), "rep", "left_semi").select("rep", "first")
+    texts = written(docs.join(needed, (docs["text_key"] == needed["first.text_key"]) & docs["doc_id"].eqNullSafe(needed["first.doc_id"]))
+                    .select("rep", "text").dropDuplicates(["rep"]), "texts")
 
     stars = (member.join(central, "band").where("rep <> center")
              .where(f"100 * least(n, center_n) >= {similarity} * greatest(n, center_n)")
              .select(F.greatest("rep", "center").alias("u"), F.least("rep", "center").alias("v")).distinct())
     links = written(verify(stars, texts, shingle, similarity), "links")
     rest = _remaining_links(member, central, written(components(links), "linked"), texts, shingle, similarity)
-    linked = components(links.unionByName(rest))
-
-    found = classes.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component"))
-    return (signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key"))
-            .join(found, "set_key", "left")
-            .withColumn("component_id", F.coalesce("component", "doc_id"))
-            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    linked = components(links.unionByName(rest)).withColumnRenamed("id", "rep")
+
+    placed = written(classes.select("set_key", "rep", "first").join(linked, "rep", "left")
+                     .withColumn("component", F.coalesce("component", "rep")), "placed")
+    heads = placed.groupBy("component").agg(F.min("first").alias("first"))
+    groups = placed.select("set_key", "component").join(heads, "component").select("set_key", "first")
+    own = F.when(F.col("n_shingles") > 0, F.col("set_key"))     # documents without a set share no key
+    return signed.select("doc_id", "text_key", "n_shingles", own.alias("set_key")).join(groups, "set_key", "left").drop("set_key")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY,
+                    bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per document of (doc_id, text): n_shingles, component_id, kept."""
+    linked = F.col("first").isNotNull()
+    component = F.when(linked, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    # a group without any id keeps its first text
+    kept = F.when(linked & F.col("first.no_id"), F.col("text_key") == F.col("first.text_key")).otherwise(F.col("doc_id").eqNullSafe(component))
+    return near_groups(docs, shingle, similarity, bands, rows).select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+    """The documents, all columns, of which each group keeps its first one, in one row; those with an empty set all stay."""
+    each = (near_groups(docs, shingle, similarity).where("n_shingles > 0").groupBy("doc_id", "text_key")
+            .agg(F.count("*").alias("n"), F.min("first").alias("first")))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    marked = written(each.select("doc_id", "text_key", (~is_first).alias("goes"), "n").where("goes or n > 1"), "marked")
+
+    def matched(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+        same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (text_key(F.col("d.text")) == F.col("m.text_key"))
+        return rows.alias("d").join(marks.alias("m"), same, how)
+
+    left = matched(docs, marked.where("goes"), "left_anti")
+    repeated = marked.where("not goes")
+    if repeated.isEmpty():
+        return left
+    return matched(left, repeated, "left_anti").unionByName(matched(left, repeated, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
