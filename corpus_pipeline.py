@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.llm.decontaminate import contamination
-from ledgerlens.llm.neardup import near_duplicates
+from ledgerlens.llm.neardup import without_near_duplicates
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.secret_scan import without_secrets
 from ledgerlens.llm.tables import corpus_table, written
@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays: the smallest doc_id."""
-    return _without(docs, written(near_duplicates(docs).where("not kept"), "dropped")).dropDuplicates(["doc_id", "text"])
+    """One row of each group of near-duplicates (five-word shingles, similarity 0.8) stays: the smallest doc_id's."""
+    return without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
