@@ -12,10 +12,11 @@ Memory is bounded by the block and by `PHRASES_PER_PASS`; a larger test set take
 more passes over the stored index.
 
 Defined results: a null or empty text has no words and no hits, an item without
-words is never found, an item shorter than the window is one phrase, and repeated
-documents or items count as separate rows (equal ids, null ones too, share their
-hits; equal item ids count once).  Empty
-tables give empty results; other columns of the tables are not read.
+words is never found, an item shorter than the window is one phrase; a document is a
+row, so rows with one id, or none, have each their own hits; equal item ids count
+once; an item with a null id hits but is not among the items counted or hashed.  Very
+long texts are taken whole.  Empty tables give empty results; other columns of the
+tables are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerlens.llm.tables import corpus_table, written
+from ledgerlens.llm.tables import corpus_table, matched, text_key, written
 from ledgerlens.llm.words import hashed_words, text_chunks
 
 WINDOW = 10
@@ -32,7 +33,9 @@ BLOCK_BYTES = 4 << 20
 #: Test phrases sent to the executors at once: 200,000 of 10 words are 18 MB.
 PHRASES_PER_PASS = 200_000
 
-INDEX_SCHEMA = "doc_ids array<long>, n_words binary, terms binary, counts binary, places binary"
+INDEX_SCHEMA = "doc_ids array<long>, n_words binary, terms binary, counts binary, places binary, text_keys array<binary>"
+#: A hit's document is the `at`-th of its `block`.
+HIT_SCHEMA = "block long, at int, doc_id long, item_id string, start long, length long"
 
 
 def _index_blocks(batches):
@@ -41,15 +44,16 @@ def _index_blocks(batches):
         order = np.argsort(words, kind="stable").astype(np.uint32)
         terms, counts = np.unique(words, return_counts=True)
         ids = pa.ListArray.from_arrays(pa.array([0, chunk.num_rows], pa.int32()), chunk.column("doc_id"))
+        keys = pa.ListArray.from_arrays(pa.array([0, chunk.num_rows], pa.int32()), chunk.column("text_key"))
         row = [np.diff(first).astype(np.uint32), terms, counts.astype(np.uint32), order]
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.tobytes()], pa.binary()) for x in row)],
-                                         names=["doc_ids", "n_words", "terms", "counts", "places"])
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array([x.tobytes()], pa.binary()) for x in row), keys],
+                                         names=["doc_ids", "n_words", "terms", "counts", "places", "text_keys"])
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The stored index of (doc_id, text): a row per block with its postings."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(docs.mapInArrow(_index_blocks, INDEX_SCHEMA), "postings")
+    """The stored index of (doc_id, text): a row per block, with its number and postings."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+    return written(docs.mapInArrow(_index_blocks, INDEX_SCHEMA).withColumn("block", F.monotonically_increasing_id()), "postings")
 
 
 def phrases_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -110,7 +114,7 @@ def _match(terms, counts, places, first, phrases, lengths, slop):
 
 
 def find_phrases(index: DataFrame, phrases: list[tuple[str, bytes]], slop: int = 0) -> DataFrame:
-    """(doc_id, item_id, start, length) of every occurrence of the given (item_id, terms) in the index."""
+    """(block, at, doc_id, item_id, start, length) of every occurrence of the given (item_id, terms) in the index."""
     lengths = np.array([len(p[1]) // 8 for p in phrases], dtype=np.int64)
     matrix = np.zeros((len(phrases), int(lengths.max(initial=1))), dtype=np.uint64)
     for i, (_, terms) in enumerate(phrases):
@@ -131,11 +135,11 @@ def find_phrases(index: DataFrame, phrases: list[tuple[str, bytes]], slop: int =
                     middle = np.clip(start + lengths[who] // 2, 0, first[-1] - 1)
                     document = np.searchsorted(first, middle, side="right") - 1
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(document)), pa.array(items[who], pa.string()),
-                         pa.array(start - first[document]), pa.array(lengths[who])],
-                        names=["doc_id", "item_id", "start", "length"])
+                        [pa.repeat(batch.column(5)[r], len(who)), pa.array(document.astype(np.int32)), ids.take(pa.array(document)),
+                         pa.array(items[who], pa.string()), pa.array(start - first[document]), pa.array(lengths[who])],
+                        names=["block", "at", "doc_id", "item_id", "start", "length"])
 
-    return index.mapInArrow(look_up, "doc_id long, item_id string, start long, length long")
+    return index.drop("text_keys").mapInArrow(look_up, HIT_SCHEMA)
 
 
 def occurrences(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -151,34 +155,45 @@ def occurrences(index: DataFrame, items: DataFrame, window: int = WINDOW, slop:
 
 
 def document_lengths(index: DataFrame) -> DataFrame:
-    """(doc_id, n_words) of every indexed document."""
+    """(block, at, doc_id, text_key, n_words) of every indexed document."""
     def unpack(batches):
         for batch in batches:
             for r in range(batch.num_rows):
+                ids = batch.column(1)[r].values
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[r].values,
-                     pa.array(np.frombuffer(batch.column(1)[r].as_py(), np.uint32).astype(np.int64))],
-                    names=["doc_id", "n_words"])
+                    [pa.repeat(batch.column(0)[r], len(ids)), pa.array(np.arange(len(ids), dtype=np.int32)), ids, batch.column(2)[r].values,
+                     pa.array(np.frombuffer(batch.column(3)[r].as_py(), np.uint32).astype(np.int64))],
+                    names=["block", "at", "doc_id", "text_key", "n_words"])
 
-    return index.select("doc_ids", "n_words").mapInArrow(unpack, "doc_id long, n_words long")
+    return index.select("block", "doc_ids", "text_keys", "n_words").mapInArrow(unpack, "block long, at int, doc_id long, text_key binary, n_words long")
+
+
+def hit_documents(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(block, at, n_hit, items) of the documents with an occurrence of an item's window."""
+    hits = occurrences(index, items, window)
+    return (hits.select("block", "at", "item_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("place"))
+            .groupBy("block", "at").agg(F.countDistinct("place").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items")))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: n_words, n_hit (words inside an occurrence), n_items, items_sha256, contaminated."""
     index = build_index(docs)
-    hits = occurrences(index, items, window)
-    hit = (hits.select("doc_id", "item_id", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at"))
-           .groupBy("doc_id").agg(F.countDistinct("at").alias("n_hit"),
-                                  F.array_sort(F.collect_set("item_id")).alias("items")))
     none = F.array().cast("array<string>")
-    lengths, hit = document_lengths(index), hit.withColumnRenamed("doc_id", "hit_id")
-    return (lengths.join(hit, lengths["doc_id"].eqNullSafe(hit["hit_id"]), "left")
+    return (document_lengths(index).join(hit_documents(index, items, window), ["block", "at"], "left")
             .select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
                     F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
                     F.sha2(F.array_join(F.coalesce("items", none), ","), 256).alias("items_sha256"),
                     (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")))
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The documents, all columns, without an occurrence of an item's window."""
+    index = build_index(docs)
+    hit = hit_documents(index, items, window).select("block", "at")
+    found = document_lengths(index).join(hit, ["block", "at"], "left_semi").select("doc_id", "text_key").distinct()
+    return matched(docs, written(found, "contaminated"), "left_anti")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(corpus_table(spark, sf_dir, "documents", "doc_id", "text"),
                          corpus_table(spark, sf_dir, "benchmark", "item_id", "text"))

@@ -35,10 +35,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ledgerlens.llm.graph import components
-from ledgerlens.llm.tables import corpus_table, written
+from ledgerlens.llm.tables import corpus_table, matched, text_key, written
 from ledgerlens.llm.words import chain, hashed_words, mix, text_chunks
 
 SHINGLE = 5
@@ -195,11 +195,6 @@ def _remaining_links(member: DataFrame, central: DataFrame, linked: DataFrame, t
             .applyInArrow(_between_blocks(n, similarity), "u long, v long"))
 
 
-def text_key(text: Column | None = None) -> Column:
-    """SHA-256 of a row's text: with doc_id it tells documents apart."""
-    return F.unhex(F.sha2(F.coalesce(F.col("text") if text is None else text, F.lit("")), 256))
-
-
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, similarity: int = SIMILARITY,
                 bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, text_key, n_shingles and `first`, the (no_id, doc_id, text_key) of the first document of its group (null: an empty set).
@@ -253,11 +248,6 @@ def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity:
             .agg(F.count("*").alias("n"), F.min("first").alias("first")))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     marked = written(each.select("doc_id", "text_key", (~is_first).alias("goes"), "n").where("goes or n > 1"), "marked")
-
-    def matched(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-        same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (text_key(F.col("d.text")) == F.col("m.text_key"))
-        return rows.alias("d").join(marks.alias("m"), same, how)
-
     left = matched(docs, marked.where("goes"), "left_anti")
     repeated = marked.where("not goes")
     if repeated.isEmpty():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerlens.session import ensure_checkpoint_dir
 
@@ -26,3 +26,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def text_key(text: Column | None = None) -> Column:
+    """SHA-256 of a row's text: with doc_id it tells documents apart."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text") if text is None else text, F.lit("")), 256))
+
+
+def matched(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """Documents joined (semi or anti) with the (doc_id, text_key) of ``marks``, null ids too; their columns may have any names."""
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id")) & (text_key(F.col("d.text")) == F.col("m.text_key"))
+    return docs.alias("d").join(marks.alias("m"), same, how)

@@ -58,3 +58,15 @@ def test_proximity(spark):
     index = de.build_index(docs)
     assert {r.doc_id for r in de.occurrences(index, items).collect()} == {3}
     assert {r.doc_id for r in de.occurrences(index, items, slop=1).collect()} == {1, 3}
+
+
+def test_rows_with_one_id_or_none_have_their_own_hits(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(None, f"a {item} b"), (None, "clean words only"), (7, "clean too"), (7, item), (7, None), (8, item), (8, item)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, text_key string")
+    items = spark.createDataFrame([("i1", item), (None, "clean too")], "item_id string, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in de.contamination(docs, items).collect()), key=str)
+    assert got == sorted([(None, 13, 11, 1), (None, 3, 0, 0), (7, 2, 2, 0), (7, 11, 11, 1), (7, 0, 0, 0), (8, 11, 11, 1), (8, 11, 11, 1)], key=str)
+    left = de.without_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == [(7, None), (None, "clean words only")]
