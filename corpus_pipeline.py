@@ -1,15 +1,15 @@
 """The corpus pipeline: toxicity, near-duplicates, decontamination, secrets, packing.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame over all that the stage before it
-kept; all but the last return the columns of documents.  A null doc_id is kept by
-every stage unless its text itself is rejected.
+kept; all but the last return the columns of documents.  A document is a row: rows
+with one id, or none, are judged each by its own text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.llm.decontaminate import contamination
+from ledgerlens.llm.decontaminate import without_contaminated
 from ledgerlens.llm.neardup import without_near_duplicates
 from ledgerlens.llm.packing import pack
 from ledgerlens.llm.secret_scan import without_secrets
@@ -17,11 +17,6 @@ from ledgerlens.llm.tables import corpus_table, written
 from ledgerlens.llm.toxicity import fit_tables, without_toxic
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among the dropped ones."""
-    return docs.join(dropped.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)     # null ids stay
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model calls toxic go."""
     return without_toxic(docs, fit_tables(spark, sf_dir))
@@ -34,8 +29,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a ten-word passage of a benchmark item (or a whole shorter item) go."""
-    found = contamination(docs, corpus_table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return _without(docs, written(found.where("contaminated"), "dropped"))
+    return without_contaminated(docs, corpus_table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
