@@ -35,8 +35,6 @@ FORMS = {layout + kind: (rf"(?i)^{shape}{after}$", *groups, shape.count("(") - s
 FORMS["yyyymmddhhmmss"] = (r"(?i)^(\d{4})(\d{2})(\d{2})[T ]?(\d{2})(\d{2})(\d{2})z?$", 1, 2, 3, 0)
 # Two-digit years from this on are of the 1900s.
 PIVOT = 69
-#: So many forms are compiled into the plan's own code.
-FEW = 4
 
 
 def _c(col) -> Column:
@@ -105,9 +103,8 @@ def parse_dayfirst(col, dtype=None, forms=None) -> Column:
             out = out.when(text.rlike(FORMS[form][0]), _parsed(text, form))
         return out if tried else F.lit(None).cast("timestamp_ntz")
 
-    text = F.trim(_c(col).cast("string"))
-    # many forms make more code than the compiler takes in one method: a lambda keeps them out of it
-    return parsed(text) if len(tried) <= FEW else F.get(F.transform(F.array(text), parsed), F.lit(0))
+    # in a lambda the forms stay out of the plan's generated code, which they would make too long to be compiled
+    return F.get(F.transform(F.array(F.trim(_c(col).cast("string"))), parsed), F.lit(0))
 
 
 def parse_iso(col, dtype=None) -> Column:
