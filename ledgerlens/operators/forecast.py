@@ -1,19 +1,23 @@
-"""Many-series monthly revenue forecast: ARIMA(1,1,1) by conditional sum of squares.
+"""Many-series monthly revenue forecast: ARIMA(1,1,1) by exact maximum likelihood.
 
 One model per key.  Each key's gap-filled monthly series (one value per
 month, so its length is bounded by the time span, not by the data volume) is
-gathered into an array; the fit is a grid search over (phi, theta) where each
-candidate's residuals are folded with `aggregate`, all inside one projection
-per key -- no Python, no join against the grid.  Keys are the scale axis:
-they spread over tasks like any other rows.
-
-Model on w_t = y_t - y_{t-1} (no constant):
-    e_t = w_t - phi * w_{t-1} - theta * e_{t-1},   e starts at 0 after w_1
-Coarse grid: phi, theta in -0.9..0.9 step 0.1; fine grid: +-0.1 step 0.01
-around the best, kept inside +-0.99.  sigma^2 = SS / residual count.
-h-step mean: y_n + sum_{j<=h} phi^(j-1) (phi w_n + theta e_n);
-variance sigma^2 * sum_{j<h} psi_j^2 with psi_0 = 1,
-psi_j = 1 + (phi + theta)(1 - phi^j)/(1 - phi); 95 % band +- 1.959964 se.
+gathered into an array; the fit folds each candidate's recursion with `aggregate`,
+all inside one projection per key -- no Python, no join against a grid.  Keys are the
+scale axis: they spread over tasks like any other rows.
+
+Model on w_t = y_t - y_{t-1} (no constant): w_t = phi w_{t-1} + e_t + theta e_{t-1}.
+The Kalman recursion of this model has one state to carry: the prediction p_t of w_t
+and the ratio r_t of its error's variance to sigma^2,
+    r_1 = (1 + 2 phi theta + theta^2) / (1 - phi^2),  p_1 = 0,
+    p_{t+1} = phi w_t + (theta / r_t) (w_t - p_t),  r_{t+1} = 1 + theta^2 - theta^2 / r_t.
+With S = sum (w_t - p_t)^2 / r_t the exact Gaussian likelihood is largest, over sigma^2
+too, where S * (r_1 ... r_n)^(1/n) is smallest; sigma^2 = S / n.  The search begins with
+the best of a coarse grid (-0.9..0.9 step 0.1) and goes on to the best of 25 points
+around it, halving the step until it is 6e-6, inside +-0.99.
+h-step mean: y_n + p_{n+1} (1 + phi + ... + phi^(h-1));
+variance: sigma^2 (sum_{j<h} psi_j^2 + (r_{n+1} - 1) (1 + phi + ... + phi^(h-1))^2), with
+psi_0 = 1, psi_j = 1 + (phi + theta)(1 - phi^j)/(1 - phi); 95 % band +- 1.959964 se.
 """
 
 from __future__ import annotations
@@ -35,25 +39,30 @@ def monthly_series(df: DataFrame, date_col: str, value_col: str, keys: Sequence[
     return m.select(*keys, "month_start", F.col("revenue_dec").cast("double").alias("y"))
 
 
-def _css(phi: str, theta: str) -> str:
-    """SQL: fold the residual recursion over w[1:], returning (pw, pe, ss)."""
-    step = f"(x - {phi} * acc.pw - {theta} * acc.pe)"
-    return (f"aggregate(slice(w, 2, size(w) - 1), "
-            f"named_struct('pw', w[0], 'pe', CAST(0 AS DOUBLE), 'ss', CAST(0 AS DOUBLE)), "
-            f"(acc, x) -> named_struct('pw', x, 'pe', {step}, 'ss', acc.ss + {step} * {step}))")
+HALVINGS = 14
 
 
-def _grid_best(grid_sql: str) -> str:
-    return (f"array_min(transform({grid_sql}, p -> named_struct('ss', {_css('p.phi', 'p.theta')}.ss, "
-            f"'phi', p.phi, 'theta', p.theta)))")
+def _filtered(phi: str, theta: str) -> str:
+    """SQL: fold the Kalman recursion over w, returning p and r of the next month, the sum of squares and the product of the ratios."""
+    return (f"aggregate(w, named_struct('p', 0D, 'r', (1D + 2D * {phi} * {theta} + {theta} * {theta}) / (1D - {phi} * {phi}), 'ss', 0D, 'pr', 1D), "
+            f"(a, x) -> named_struct('p', {phi} * x + {theta} / a.r * (x - a.p), 'r', 1D + {theta} * {theta} - {theta} * {theta} / a.r, "
+            f"'ss', a.ss + (x - a.p) * (x - a.p) / a.r, 'pr', a.pr * a.r))")
 
 
-COARSE = ("transform(sequence(0, 360), g -> named_struct("
-          "'phi', round(-0.9D + CAST(g DIV 19 AS DOUBLE) * 0.1D, 2), "
-          "'theta', round(-0.9D + CAST(g % 19 AS DOUBLE) * 0.1D, 2)))")
-FINE = ("transform(sequence(0, 440), g -> named_struct("
-        "'phi', least(0.99D, greatest(-0.99D, round(coarse.phi + CAST(g DIV 21 - 10 AS DOUBLE) * 0.01D, 2))), "
-        "'theta', least(0.99D, greatest(-0.99D, round(coarse.theta + CAST(g % 21 - 10 AS DOUBLE) * 0.01D, 2)))))")
+def _best(grid_sql: str) -> str:
+    """SQL: the point (phi, theta) of a grid with the largest likelihood."""
+    value = f"transform(array({_filtered('g.phi', 'g.theta')}), f -> f.ss * pow(f.pr, 1D / size(w)))[0]"
+    return f"array_min(transform({grid_sql}, g -> named_struct('v', {value}, 'phi', g.phi, 'theta', g.theta)))"
+
+
+COARSE = ("transform(sequence(0, 360), i -> named_struct("
+          "'phi', round(-0.9D + CAST(i DIV 19 AS DOUBLE) * 0.1D, 2), "
+          "'theta', round(-0.9D + CAST(i % 19 AS DOUBLE) * 0.1D, 2)))")
+AROUND = ("transform(sequence(0, 24), i -> named_struct("
+          "'phi', least(0.99D, greatest(-0.99D, b.phi + CAST(i DIV 5 - 2 AS DOUBLE) * s)), "
+          "'theta', least(0.99D, greatest(-0.99D, b.theta + CAST(i % 5 - 2 AS DOUBLE) * s))))")
+#: The steps of the search, exact in binary.
+STEPS = "array(" + ", ".join(f"{2.0 ** -(k + 4)!r}D" for k in range(HALVINGS)) + ")"
 
 
 def _let(value_sql: str, name: str, body_sql: str) -> str:
@@ -67,7 +76,7 @@ def _let(value_sql: str, name: str, body_sql: str) -> str:
 
 
 def fit_forecast(series: DataFrame, keys: Sequence[str], steps: int = 6, min_points: int = MIN_POINTS) -> DataFrame:
-    """Per key, fit ARIMA(1,1,1) by CSS and forecast ``steps`` months.
+    """Per key, fit ARIMA(1,1,1) by exact likelihood and forecast ``steps`` months.
 
     Output: keys..., month ('yyyy-MM'), step, forecast, lower_95, upper_95,
     phi, theta.  Keys with fewer than ``min_points`` months are dropped.
@@ -76,17 +85,15 @@ def fit_forecast(series: DataFrame, keys: Sequence[str], steps: int = 6, min_poi
     arr = series.groupBy(*ks).agg(
         F.sort_array(F.collect_list(F.struct("month_start", "y"))).alias("s"))
     arr = arr.filter(F.size("s") >= min_points)
-    horizon = f"""transform(sequence(1, {int(steps)}), h -> named_struct(
-          'step', h,
-          'phi', b.phi, 'theta', b.theta,
-          'mean', y[size(y) - 1] + aggregate(sequence(1, h), CAST(0 AS DOUBLE),
-                  (a, j) -> a + pow(b.phi, j - 1) * (b.phi * f.pw + b.theta * f.pe)),
-          'var', (f.ss / (size(w) - 1)) * aggregate(sequence(0, h - 1), CAST(0 AS DOUBLE),
-                  (a, j) -> a + pow(CASE WHEN j = 0 THEN 1D
-                                         ELSE 1D + (b.phi + b.theta) * (1D - pow(b.phi, j)) / (1D - b.phi) END, 2))))"""
-    body = _let(_css("b.phi", "b.theta"), "f", horizon)
-    body = _let(_grid_best(FINE), "b", body)
-    body = _let(_grid_best(COARSE), "coarse", body)
+    # the sums of powers that mean and variance need
+    powers = "aggregate(sequence(0, h - 1), 0D, (a, j) -> a + pow(b.phi, j))"
+    psi = ("aggregate(sequence(0, h - 1), 0D, (a, j) -> a + pow(CASE WHEN j = 0 THEN 1D "
+           "ELSE 1D + (b.phi + b.theta) * (1D - pow(b.phi, j)) / (1D - b.phi) END, 2))")
+    horizon = f"""transform(sequence(1, {int(steps)}), h -> named_struct('step', h, 'phi', b.phi, 'theta', b.theta,
+          'mean', y[size(y) - 1] + f.p * {powers},
+          'var', f.ss / size(w) * ({psi} + (f.r - 1D) * pow({powers}, 2))))"""
+    body = _let(_filtered("b.phi", "b.theta"), "f", horizon)
+    body = _let(f"aggregate({STEPS}, {_best(COARSE)}, (b, s) -> {_best(AROUND)})", "b", body)
     body = _let("transform(sequence(1, size(y) - 1), i -> y[i] - y[i - 1])", "w", body)
     body = _let("transform(s, r -> r.y)", "y", body)
     out = arr.select(*ks, F.expr("s[size(s) - 1].month_start").alias("last_month"),

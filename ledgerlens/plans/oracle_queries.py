@@ -445,28 +445,32 @@ ORACLE["header_recovery"] = W(["export_raw"], """SELECT _row_id, _c0 AS date, _c
 FROM export_raw WHERE _row_id > (SELECT row FROM hb)""", HEADER_CTES)
 
 
-# ------------------------------------------------------------ forecast (T2): the same CSS fold in DuckDB
+# ------------------------------------------------------------ forecast (T2): the same likelihood and search in DuckDB
 
-def _css_sql(phi: str, theta: str) -> str:
-    e = f"(x - {phi} * acc.pw - {theta} * acc.pe)"
-    return (f"list_reduce(list_slice(w, 2, len(w)), lambda acc, x: {{'pw': x, 'pe': {e}, 'ss': acc.ss + {e} * {e}}}, "
-            f"{{'pw': w[1], 'pe': CAST(0 AS DOUBLE), 'ss': CAST(0 AS DOUBLE)}})")
+def _filtered_sql(phi: str, theta: str) -> str:
+    one = "CAST(1 AS DOUBLE)"
+    return (f"list_reduce(w, lambda a, x: {{'p': {phi} * x + {theta} / a.r * (x - a.p), 'r': {one} + {theta} * {theta} - {theta} * {theta} / a.r, "
+            f"'ss': a.ss + (x - a.p) * (x - a.p) / a.r, 'pr': a.pr * a.r}}, "
+            f"{{'p': {D0}, 'r': ({one} + CAST(2 AS DOUBLE) * {phi} * {theta} + {theta} * {theta}) / ({one} - {phi} * {phi}), 'ss': {D0}, 'pr': {one}}})")
 
 
-_COARSE = ("list_transform(range(0, 361), lambda g: {'phi': round(CAST(-0.9 AS DOUBLE) + CAST(g // 19 AS DOUBLE) * CAST(0.1 AS DOUBLE), 2), "
-           "'theta': round(CAST(-0.9 AS DOUBLE) + CAST(g % 19 AS DOUBLE) * CAST(0.1 AS DOUBLE), 2)})")
-_FINE = ("list_transform(range(0, 441), lambda g: {'phi': least(CAST(0.99 AS DOUBLE), greatest(CAST(-0.99 AS DOUBLE), "
-         "round(c.phi + CAST(g // 21 - 10 AS DOUBLE) * CAST(0.01 AS DOUBLE), 2))), "
-         "'theta': least(CAST(0.99 AS DOUBLE), greatest(CAST(-0.99 AS DOUBLE), "
-         "round(c.theta + CAST(g % 21 - 10 AS DOUBLE) * CAST(0.01 AS DOUBLE), 2)))})")
+def _best_sql(grid: str) -> str:
+    value = "list_transform([" + _filtered_sql("g.phi", "g.theta") + "], lambda f: f.ss * pow(f.pr, CAST(1 AS DOUBLE) / len(w)))[1]"
+    return f"list_sort(list_transform({grid}, lambda g: {{'v': {value}, 'phi': g.phi, 'theta': g.theta}}))[1]"
 
 
-def _best_sql(grid: str) -> str:
-    return f"list_sort(list_transform({grid}, lambda p: {{'ss': ({_css_sql('p.phi', 'p.theta')}).ss, 'phi': p.phi, 'theta': p.theta}}))[1]"
+def _kept(x: str) -> str:
+    return f"least(CAST(0.99 AS DOUBLE), greatest(CAST(-0.99 AS DOUBLE), {x}))"
+
+
+_COARSE = ("list_transform(range(0, 361), lambda i: {'phi': round(CAST(-0.9 AS DOUBLE) + CAST(i // 19 AS DOUBLE) * CAST(0.1 AS DOUBLE), 2), "
+           "'theta': round(CAST(-0.9 AS DOUBLE) + CAST(i % 19 AS DOUBLE) * CAST(0.1 AS DOUBLE), 2)})")
+_AROUND = ("list_transform(range(0, 25), lambda i: {'phi': " + _kept("b.phi + CAST(i // 5 - 2 AS DOUBLE) * {s}") + ", 'theta': "
+           + _kept("b.theta + CAST(i % 5 - 2 AS DOUBLE) * {s}") + "})")
 
 
 def forecast_sql(view: str, key_expr: str, date: str, value: str, prefix: str = "f") -> tuple[tuple[str, ...], str]:
-    """CTEs and the final SELECT of the per-key CSS-ARIMA forecast over ``view``."""
+    """CTEs and the final SELECT of the per-key ARIMA forecast over ``view``."""
     P = prefix
     ctes = (
         f"{P}m AS (SELECT {key_expr} AS key, date_trunc('month', {date}) AS ms, {money_sum(value)} AS v FROM {view} "
@@ -476,20 +480,17 @@ def forecast_sql(view: str, key_expr: str, date: str, value: str, prefix: str =
         f"ON {P}b.key = {P}m.key AND {P}b.ms = {P}m.ms)",
         f"{P}s AS (SELECT key, list(y ORDER BY ms) AS y, max(ms) AS last_month FROM {P}f GROUP BY key HAVING count(*) >= 6)",
         f"{P}w AS (SELECT key, y, last_month, list_transform(range(1, len(y)), lambda i: y[i + 1] - y[i]) AS w FROM {P}s)",
+        f"{P}0 AS (SELECT *, {_best_sql(_COARSE)} AS b FROM {P}w)",
+        *(f"{P}{k + 1} AS (SELECT key, y, w, last_month, {_best_sql(_AROUND.replace('{s}', f'CAST({2.0 ** -(k + 4)!r} AS DOUBLE)'))} AS b FROM {P}{k})"
+          for k in range(14)),
         f"""{P}out AS (SELECT key, strftime(last_month + to_months(CAST(h AS INTEGER)), '%Y-%m') AS month,
   CAST(h AS INTEGER) AS step, round(mean, 2) AS forecast,
   round(mean - 1.959964 * sqrt(var), 2) AS lower_95, round(mean + 1.959964 * sqrt(var), 2) AS upper_95
-FROM (SELECT key, last_month, h,
-        y[len(y)] + list_reduce(list_transform(range(1, h + 1), lambda j: pow(phi, j - 1) * (phi * pw + theta * pe)),
-                                lambda a, t: a + t, CAST(0 AS DOUBLE)) AS mean,
-        (ss / (len(w) - 1)) * list_reduce(list_transform(range(0, h), lambda j:
-            pow(CASE WHEN j = 0 THEN CAST(1 AS DOUBLE) ELSE 1 + (phi + theta) * (1 - pow(phi, j)) / (1 - phi) END, 2)),
-            lambda a, t: a + t, CAST(0 AS DOUBLE)) AS var
-      FROM (SELECT key, y, w, last_month, b.phi AS phi, b.theta AS theta, f.pw AS pw, f.pe AS pe, f.ss AS ss
-            FROM (SELECT *, {_css_sql("b.phi", "b.theta")} AS f
-                  FROM (SELECT *, {_best_sql(_FINE)} AS b
-                        FROM (SELECT *, {_best_sql(_COARSE)} AS c FROM {P}w) q1) q2) q3) q4,
-           (SELECT unnest(range(1, 7)) AS h) hh) q5)""",
+FROM (SELECT key, last_month, h, y[len(y)] + f.p * c AS mean, f.ss / len(w) * (psi + (f.r - 1) * pow(c, 2)) AS var
+      FROM (SELECT *, list_reduce(list_transform(range(0, h), lambda j: pow(b.phi, j)), lambda a, t: a + t, {D0}) AS c,
+              list_reduce(list_transform(range(0, h), lambda j: pow(CASE WHEN j = 0 THEN CAST(1 AS DOUBLE)
+                ELSE 1 + (b.phi + b.theta) * (1 - pow(b.phi, j)) / (1 - b.phi) END, 2)), lambda a, t: a + t, {D0}) AS psi
+            FROM (SELECT *, {_filtered_sql("b.phi", "b.theta")} AS f FROM {P}14) q1, (SELECT unnest(range(1, 7)) AS h) hh) q2) q3)""",
     )
     return ctes, f"SELECT * FROM {P}out"
 
