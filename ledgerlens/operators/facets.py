@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Optional, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import literal_text_key, trim_text
@@ -112,14 +112,15 @@ def facets(sales: DataFrame, items: DataFrame, year: Optional[int] = None, custo
     size of dimensions and written, as several lists read them.
     """
     name = F.nullif(trim_text(F.col("_product").cast("string")), F.lit(""))
-    tags = [("year", _fits(customer, product), F.col("_year").cast("string")), ("product", _fits(customer, None, year), name)]
+    # each row's texts are normalised once (`inline` keeps them from being put into every condition)
+    rows = items.select(F.inline(F.array(F.struct("_year", "_customer_norm", "_product_norm", name.alias("name")))))
+    tags = [("year", _fits(customer, product), F.col("_year").cast("string")), ("product", _fits(customer, None, year), F.col("name"))]
     if _active(product):
         tags += [("scope", _fits(customer, product), F.col("_customer_norm")),
                  ("year_scope", _fits(None, product, year), F.col("_customer_norm"))]
     tagged = materialize(
-        items.select(F.explode(F.array(*[F.struct(F.lit(t).alias("facet"), F.when(cond, v).alias("value"))
-                                         for t, cond, v in tags])).alias("t")).select("t.*")
-        .filter(F.col("value").isNotNull()).distinct())
+        rows.select(F.explode(F.array(*[F.struct(F.lit(t).alias("facet"), F.when(cond, v).alias("value")) for t, cond, v in tags])).alias("t"))
+        .select("t.*").filter(F.col("value").isNotNull()).distinct())
     sold = materialize(sales.select("_year", "_customer", "_customer_norm").distinct())
 
     def scoped(rows: DataFrame, scope: str) -> DataFrame:
@@ -135,9 +136,18 @@ def facets(sales: DataFrame, items: DataFrame, year: Optional[int] = None, custo
     return years.unionByName(custs).unionByName(tagged.filter(F.col("facet") == "product"))
 
 
+def _display_order():
+    return [F.col("value").try_cast("int"), F.lower("value"), F.col("value")]
+
+
 def sort_facets(f: DataFrame) -> DataFrame:
     """U2 order for display: years numerically, text ignoring case (D8: `lower`)."""
-    return f.orderBy("facet", F.col("value").try_cast("int"), F.lower("value"), "value")
+    return f.orderBy("facet", *_display_order())
+
+
+def facet_places(f: DataFrame) -> DataFrame:
+    """Each value's place in its list (from 1); the lists are the size of dimensions."""
+    return f.withColumn("place", F.row_number().over(Window.partitionBy("facet").orderBy(*_display_order())))
 
 
 def report_options(df: DataFrame, date_col: str, customer_col: Optional[str]) -> DataFrame:

@@ -559,6 +559,13 @@ ORACLE["export_first"] = """SELECT particulars, date, voucher_no FROM (SELECT 'C
   strftime(o_orderdate, '%-d/%-m/%Y') AS date, 'INV' || CAST(o_orderkey AS VARCHAR) AS voucher_no,
   row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate), o_orderkey) AS nth FROM orders) t WHERE nth = 1"""
 
+ORACLE["facet_order"] = f"""SELECT facet, value, CAST(row_number() OVER (PARTITION BY facet ORDER BY TRY_CAST(value AS INTEGER) NULLS FIRST, lower(value), value)
+  AS INTEGER) AS place FROM ({ORACLE['facets']}) f"""
+ORACLE["csv_sorted"] = """SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS rows, true AS in_order FROM orders GROUP BY 1"""
+ORACLE["guards"] = """SELECT input, refused FROM (VALUES ('items', false), ('items without a category', true), ('items without a date', true),
+  ('no items', true), ('export', false), ('export without dates', true), ('export without amounts', true),
+  ('frames without a shared key', true)) g(input, refused)"""
+
 # ------------------------------------------------------------ the payload's document (S6), section by section
 
 def _section(name: str, sql: str, numbers: str = "", texts: str = "", order: str = "1") -> str:

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.sources import fixtures as fx
@@ -448,6 +448,7 @@ from ledgerlens.operators import forecast as fcst  # noqa: E402
 from ledgerlens.operators import grains as gr  # noqa: E402
 from ledgerlens.operators import report as rp  # noqa: E402
 from ledgerlens.sources import export as ex  # noqa: E402
+from ledgerlens.sources.sinks import write_csv_sorted  # noqa: E402
 
 
 @query
@@ -612,3 +613,46 @@ def q_export_wide(spark, d):
 def q_export_first(spark, d):
     """J5 over several files: the first record of each customer in the order of the files and their lines."""
     return ig.dedupe_first(_export_report(spark, d), "particulars").select("particulars", "date", "voucher_no")
+
+
+@query
+def q_facet_order(spark, d):
+    """The facet lists in display order."""
+    return fc.facet_places(fc.facets(sales_frame(spark, d), items_frame(spark, d), SLICE_YEAR, None, SLICE_PRODUCT))
+
+
+@query
+def q_csv_sorted(spark, d):
+    """The sales written as CSV in date order and read back: rows per day, and whether all lie after those of earlier days."""
+    path = scratch_path(spark, f"csv-{uuid.uuid4().hex}")
+    write_csv_sorted(fx.sales(spark, d, customer=False), path)
+    rows = ex.read_headless(spark, path).where(F.col("_c0") != "_row_id")      # every part file has its header
+    days = rows.groupBy(F.substring("_c1", 1, 10).alias("day")).agg(F.count(F.lit(1)).alias("rows"), F.min("_row_id").alias("first"), F.max("_row_id").alias("last"))
+    earlier = F.max("last").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))      # a row for each day
+    return days.select("day", "rows", (F.coalesce(earlier, F.lit(-1)) < F.col("first")).alias("in_order"))
+
+
+@query
+def q_guards(spark, d):
+    """Which inputs the loaders refuse; each is the whole table with one fault."""
+    items = fx.items_text(spark, d)
+    raw = fx.sales_raw(spark, d)
+    cases = {
+        "items": lambda: itl.load_items(items, check_empty=True),
+        "items without a category": lambda: itl.load_items(items.drop("Category")),
+        "items without a date": lambda: itl.load_items(items.withColumn("Date", F.lit("soon")), check_empty=True),
+        "no items": lambda: itl.load_items(items.where("false"), check_empty=True),
+        "export": lambda: cl.clean_sales(raw, impute=False),
+        "export without dates": lambda: cl.clean_sales(raw.drop("Date"), impute=False),
+        "export without amounts": lambda: cl.clean_sales(raw.withColumn("Gross Total", F.lit("n/a")), impute=False),
+        "frames without a shared key": lambda: ig.integrate_sales_and_master(cl.clean_sales(raw, impute=False), fx.catalog(spark, d), on_missing="error"),
+    }
+
+    def refused(run) -> bool:
+        try:
+            run()
+        except ValueError:
+            return True
+        return False
+
+    return spark.createDataFrame([(case, refused(run)) for case, run in cases.items()], "input string, refused boolean")
