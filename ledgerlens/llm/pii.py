@@ -8,13 +8,16 @@ apart.  Loopy sum-product message passing gives each node's label probabilities,
 so a number recognised in one place is recognised in its other writings.  What
 the fixed forms left out and the field is sure of is added.
 
-The field learns from the fixed forms' labels in at most `LEARNED_DOCUMENTS`
-documents (by hash of their id).  Repeats are linked each to the one before, so links
-grow with the tokens.
+The field learns from the fixed forms' labels in all documents.  A token that no form
+recognised is no personal data, but for one that repeats or resembles a recognised one
+of its document: its label is hidden, and neither it nor its links are counted, so the
+repeats that the forms miss do not teach the field that repeats are nothing.  Repeats
+are linked each to the one before and to the first recognised one, so links grow with
+the tokens; messages are passed until they settle.
 
 Defined results: null and empty texts have no spans; repeated rows give rows each;
-with nothing to learn from no span is added; empty tables give empty results;
-other columns are not read.
+with nothing to learn from no span is added; very long texts are taken whole; empty
+tables give empty results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,9 +40,12 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
-LEARNED_DOCUMENTS = 20_000
 SURE = 0.95
-SWEEPS = 10
+#: Messages have settled when none moves by more; a field that still swings after so many sweeps is taken as it is.
+SETTLED = 1e-8
+SWEEPS = 1_000
+#: The strongest pull of one link, in natural logarithms: a neighbour says less than a repeat.
+PULL = {"near": 1.0, "skip": 6.0}
 LABELS = len(KINDS) + 1       # the last is: no personal data
 OTHER = LABELS - 1
 
@@ -116,6 +122,13 @@ def likeness(token: str) -> str:
     return "".join(c for c in token.lower() if c.isalnum())
 
 
+def keys_of(tokens: list[str], nodes: list[int]) -> list[str]:
+    """Each node's likeness; a short one in the form of a dialling code takes the next token's along if that is a node."""
+    own = [likeness(tokens[i]) for i in nodes]
+    return [key if len(key) >= 4 or shape(tokens[nodes[k]]) not in (1, 2) or k + 1 == len(nodes) or nodes[k + 1] != nodes[k] + 1
+            else likeness(tokens[nodes[k]] + tokens[nodes[k + 1]]) for k, key in enumerate(own)]
+
+
 def nodes_of(text: str):
     """(tokens with places, indices of the nodes)."""
     spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
@@ -123,18 +136,31 @@ def nodes_of(text: str):
     return spans, tokens, [i for i, t in enumerate(tokens) if "@" in t or any("0" <= c <= "9" for c in t)]
 
 
-def links_of(tokens: list[str], nodes: list[int]):
-    """(neighbour links, skip links) between positions in `nodes`."""
+def links_of(tokens: list[str], nodes: list[int], labels: list[int] | None = None):
+    """(neighbour links, skip links) between positions in `nodes`; with labels, skip links also lead to the first recognised one of each key."""
     near = [(k - 1, k) for k in range(1, len(nodes)) if nodes[k] == nodes[k - 1] + 1]
-    skip, last = [], {}
-    for k, i in enumerate(nodes):
-        key = likeness(tokens[i])
-        if len(key) >= 4 and key in last:
-            skip.append((last[key], k))
-        last[key] = k
+    skip, last, first = [], {}, {}
+    keys = keys_of(tokens, nodes)
+    for k, key in enumerate(keys if labels else ()):
+        if labels[k] < OTHER:
+            first.setdefault(key, k)
+    for k, key in enumerate(keys):
+        if len(key) >= 4:
+            if key in last:
+                skip.append((last[key], k))
+            if key in first and first[key] not in (k, last.get(key)):
+                skip.append((first[key], k))
+            last[key] = k
     return near, skip
 
 
+def hidden_of(tokens: list[str], nodes: list[int], labels: list[int]) -> list[bool]:
+    """Which nodes' labels are not known: those that no form recognised but that are like a recognised one."""
+    keys = keys_of(tokens, nodes)
+    seen = {key for key, label in zip(keys, labels) if label < OTHER and len(key) >= 4}
+    return [label == OTHER and key in seen for key, label in zip(keys, labels)]
+
+
 def labels_of(spans, nodes, found) -> list[int]:
     """Each node's label by the fixed forms that overlap it (the first kind as listed)."""
     out, begins = [OTHER] * len(nodes), [spans[i][0] for i in nodes]
@@ -147,7 +173,7 @@ def labels_of(spans, nodes, found) -> list[int]:
     return out
 
 
-def marginals(own: np.ndarray, links: list[tuple[int, int, np.ndarray]], sweeps: int = SWEEPS) -> np.ndarray:
+def marginals(own: np.ndarray, links: list[tuple[int, int, np.ndarray]], sweeps: int = SWEEPS, settled: float = SETTLED) -> np.ndarray:
     """Label probabilities by loopy sum-product; own: log potentials (nodes x labels), links: (i, j, log potentials)."""
     if not links:
         p = np.exp(own - own.max(axis=1, keepdims=True))
@@ -165,7 +191,10 @@ def marginals(own: np.ndarray, links: list[tuple[int, int, np.ndarray]], sweeps:
         out = np.exp(out - out.max(axis=1, keepdims=True))
         new = np.log(np.einsum("es,est->et", out, towards))
         new -= new.max(axis=1, keepdims=True)
+        moved = np.abs(new - messages).max()
         messages = 0.5 * messages + 0.5 * new
+        if moved < settled:
+            break
     belief = own.copy()
     np.add.at(belief, target, messages)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
@@ -178,7 +207,7 @@ LEARN_SCHEMA = "features array<int>, label int, near int, skip int"
 
 
 def _learning_rows(batches):
-    """A row per node: its features and label, and the labels of its linked neighbours before it."""
+    """A row per node with a known label: its features and label, and those of its linked neighbours before it (null: none, or hidden)."""
     for chunk in text_chunks(batches, "text"):
         rows = []
         for text in chunk.column("text").to_pylist():
@@ -187,19 +216,18 @@ def _learning_rows(batches):
             spans, tokens, nodes = nodes_of(text)
             labels = labels_of(spans, nodes, base_spans(text))
             near, skip = links_of(tokens, nodes)
-            before, earlier = {b: labels[a] for a, b in near}, {b: labels[a] for a, b in skip}
-            rows += [(node_features(tokens, i), labels[k], before.get(k), earlier.get(k)) for k, i in enumerate(nodes)]
+            hidden = hidden_of(tokens, nodes, labels)
+            before, earlier = ({b: labels[a] for a, b in links if not hidden[a]} for links in (near, skip))
+            rows += [(node_features(tokens, i), labels[k], before.get(k), earlier.get(k)) for k, i in enumerate(nodes) if not hidden[k]]
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int32()))],
                 names=["features", "label", "near", "skip"])
 
 
-def fit(docs: DataFrame, learned: int = LEARNED_DOCUMENTS) -> dict:
+def fit(docs: DataFrame) -> dict:
     """Node weights by multinomial logistic regression; link potentials by smoothed log-odds of label pairs."""
-    # at most `learned` ids: small enough to send to every task
-    sample = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(learned)
-    nodes = docs.join(F.broadcast(sample.distinct()), "doc_id").select("text").mapInArrow(_learning_rows, LEARN_SCHEMA)
+    nodes = docs.select("text").mapInArrow(_learning_rows, LEARN_SCHEMA)
     # distinct rows are bounded by the features' combinations
     rows = nodes.groupBy("features", "label", "near", "skip").agg(F.count("*").alias("n")).toPandas()
     weights, n = np.zeros((N_FEATURES, LABELS)), rows["n"].to_numpy(float)
@@ -216,10 +244,13 @@ def fit(docs: DataFrame, learned: int = LEARNED_DOCUMENTS) -> dict:
     share = (np.bincount(label, weights=n, minlength=LABELS) + 1.0) / (n.sum() + LABELS)
     for kind in ("near", "skip"):
         known = rows[kind].notna().to_numpy()
-        # ten pseudo-pairs: half of them agree, half are drawn apart
-        together = 5.0 * np.outer(share, share) + 5.0 * np.diag(share)
+        # for each label ten pseudo-pairs: half of them agree, half are drawn from all labels
+        together = np.zeros((LABELS, LABELS))
         np.add.at(together, (rows[kind][known].to_numpy(float).astype(int), label[known]), n[known])
-        pairs[kind] = np.clip(np.log(together / together.sum()) - np.log(np.outer(share, share)), -3.0, 3.0)
+        together = together + together.T
+        given = together + 5.0 * share[None, :] + 5.0 * np.eye(LABELS)
+        odds = np.log(given / given.sum(axis=1, keepdims=True)) - np.log(share)[None, :]
+        pairs[kind] = np.clip((odds + odds.T) / 2, -PULL[kind], PULL[kind])
     return {"weights": weights, "learned": int(n.sum()), **pairs}
 
 
@@ -229,7 +260,7 @@ def added_spans(text: str, found, model: dict) -> list[tuple[int, int, int]]:
     labels = labels_of(spans, nodes, found)
     if not nodes or all(label != OTHER for label in labels):
         return []
-    near, skip = links_of(tokens, nodes)
+    near, skip = links_of(tokens, nodes, labels)
     own = np.array([model["weights"][node_features(tokens, i)].sum(axis=0) for i in nodes])
     for k, label in enumerate(labels):
         if label != OTHER:          # recognised by its form: observed

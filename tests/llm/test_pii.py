@@ -76,6 +76,35 @@ def test_repeats_take_their_label_along(spark):
     assert out[1001] == "" and all("," not in out[i] for i in range(300))
 
 
+def test_repeats_in_the_learning_texts_teach_no_wrong(spark):
+    """Half the texts repeat their number without its sign, once to 40 times, anywhere: all are found, and nothing else."""
+    import random
+    r = random.Random(8)
+    rows, want = [], {}
+    for i in range(400):
+        area, rest = f"(2{i % 90 + 10})", f"555-{1000 + i}"
+        text = f"call +1 {area} {rest} now and then pay 12 or 1999 there in 2024-01-05"
+        spans = []
+        for k in range(i % 41 if i % 2 else 0):
+            text += " " + " ".join(r.choice(("and", "so", "or", "17", "the", "3.5")) for _ in range(r.randrange(1, 30))) + " "
+            spans.append(f"phone:{len(text)}:{len(text) + len(area) + 1 + len(rest)}")
+            text += f"{area} {rest}"
+        rows.append((i, text))
+        want[i] = spans
+    out = {x.doc_id: x.spans.split(",") for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        base = {f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in plain(text)}
+        assert [s for s in out[i] if s not in base] == want[i]
+
+
+def test_hidden_labels_and_links_to_the_first_recognised():
+    _, tokens, nodes = pii.nodes_of("+15551234567 then 15551234567 and 777 777 15551234567 end 99 15551234567")
+    labels = [3] + [pii.OTHER] * (len(nodes) - 1)
+    assert pii.hidden_of(tokens, nodes, labels) == [False, True, False, False, True, False, True]
+    near, skip = pii.links_of(tokens, nodes, labels)
+    assert skip == [(0, 1), (1, 4), (0, 4), (4, 6), (0, 6)]
+
+
 def test_links_are_linear():
     text = "x1234 " * 5000
     _, tokens, nodes = pii.nodes_of(text)
