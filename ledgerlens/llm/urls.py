@@ -6,8 +6,9 @@ variable.  A child whose share of labelled bad pages does not differ significant
 from its siblings' (two proportions, normal test) is merged into the wildcard, and
 a child that does keeps its own branch.  Below a variable point, where most children
 have few labels, the test is corrected for continuity, lest each rare label pass
-it.  Levels run until every path has ended; one that is alone below its branch is
-its own template at once.  A template (leaf) is rejected when its share of bad labels,
+it.  What all paths of a branch have in common is one edge, however many segments
+long, so there are as many rounds as branch points on a path; they run until every
+path has ended.  A template (leaf) is rejected when its share of bad labels,
 smoothed towards its host's and that towards all hosts', exceeds a threshold.
 
 Everything is grouping and joining on distinct (host, segments), which partial
@@ -63,35 +64,37 @@ def segments() -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, parts, template) for every distinct path of (host, parts, bad), bad being 1, 0 or null."""
     tree = (pages.groupBy("host", "parts").agg(F.count("*").alias("n"), F.count("bad").alias("known"), F.sum("bad").alias("bad"))
-            .withColumn("bad", F.coalesce("bad", F.lit(0))).withColumn("template", F.array().cast("array<string>"))
-            .withColumn("ended", F.size("parts") == 0))
+            .withColumn("bad", F.coalesce("bad", F.lit(0))).withColumn("template", F.array().cast("array<string>")).withColumn("rest", F.col("parts")))
     spark, folder, level = pages.sparkSession, shared_folder(pages.sparkSession, "templates"), 0
     tree.write.parquet(f"{folder}/0")
     schema = tree.schema
     counts = [F.sum(c).alias(c) for c in ("n", "known", "bad")]
-    while not (going := spark.read.schema(schema).parquet(f"{folder}/{level}").where("not ended")).isEmpty():
-        branch = going.withColumn("child", F.get("parts", F.lit(level)))
-        child = branch.groupBy("host", "template", "child").agg(F.count("*").alias("paths"), *counts)
+    known, bad = F.nullif(F.col("known"), F.lit(0)), F.col("bad")
+    other_known, other_bad = F.nullif(F.col("all_known") - F.col("known"), F.lit(0)), F.col("all_bad") - F.col("bad")
+    pooled, each = F.col("all_bad") / F.nullif(F.col("all_known"), F.lit(0)), 1 / known + 1 / other_known
+    variable = (F.col("children") >= MANY_CHILDREN) & (F.col("children") >= CHILDREN_SHARE * F.col("all_n"))
+    apart = F.abs(bad / known - other_bad / other_known)
+    z = F.when(variable, apart - each / 2).otherwise(apart) / F.sqrt(F.nullif(pooled * (1 - pooled) * each, F.lit(0.0)))
+    name = F.when((F.col("children") == 1) | F.coalesce(z >= SIGNIFICANT_Z, F.lit(False)), F.col("child")).otherwise(F.lit("*"))
+    while not (going := spark.read.schema(schema).parquet(f"{folder}/{level}").where(F.size("rest") > 0)).isEmpty():
+        # what all paths of a branch begin with is one edge: that of the least and the greatest of them
+        ends = going.groupBy("host", "template").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        same = F.array_position(F.zip_with("low", "high", lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+        ends = ends.select("host", "template", F.when(same > 0, same - 1).otherwise(F.size("low")).alias("shared"))
+        gone = (going.join(ends, ["host", "template"]).withColumn("head", F.slice("rest", 1, F.col("shared")))
+                .select("host", "parts", "n", "known", "bad", F.concat("template", "head").alias("template"),
+                        F.slice("rest", F.col("shared") + 1, F.size("rest")).alias("rest")))
+        branch = gone.withColumn("child", F.get("rest", F.lit(0)))
+        child = branch.where(F.size("rest") > 0).groupBy("host", "template", "child").agg(*counts)
         point = child.groupBy("host", "template").agg(F.count("*").alias("children"), *(F.sum(c).alias(f"all_{c}") for c in ("n", "known", "bad")))
-        other_known, other_bad = F.col("all_known") - F.col("known"), F.col("all_bad") - F.col("bad")
-        pooled = F.col("all_bad") / F.nullif(F.col("all_known"), F.lit(0))
-        variance = pooled * (1 - pooled) * (1 / F.nullif(F.col("known"), F.lit(0)) + 1 / F.nullif(other_known, F.lit(0)))
-        apart = F.abs(F.col("bad") / F.nullif(F.col("known"), F.lit(0)) - other_bad / F.nullif(other_known, F.lit(0)))
-        step = (1 / F.nullif(F.col("known"), F.lit(0)) + 1 / F.nullif(other_known, F.lit(0))) / 2
-        variable = (F.col("children") >= MANY_CHILDREN) & (F.col("children") >= CHILDREN_SHARE * F.col("all_n"))
-        alone = F.col("children") == 1
-        z = F.when(variable, apart - step).otherwise(apart) / F.sqrt(F.nullif(variance, F.lit(0.0)))
-        differs = F.coalesce(z >= SIGNIFICANT_Z, F.lit(False))
-        name = F.when(alone | differs, F.col("child")).otherwise(F.lit("*"))    # a single child is never variable
-        named = child.join(point, ["host", "template"]).select("host", "template", "child", "paths", name.alias("name"))
+        named = child.join(point, ["host", "template"]).select("host", "template", "child", F.array(name).alias("name"))
         level += 1
-        lone = (F.col("paths") == 1) & (F.col("name") != "*")     # all branch points further down have a single child
-        rest = F.when(lone, F.slice("parts", level, F.size("parts"))).otherwise(F.array("name"))
-        tree = branch.join(named, ["host", "template", "child"]).select(
-            "host", "parts", "n", "known", "bad", F.concat("template", rest).alias("template"),
-            (lone | (F.size("parts") == level)).alias("ended"))
+        # a path that ends here has no child and keeps its template
+        tree = branch.join(named, ["host", "template", "child"], "left").select(
+            "host", "parts", "n", "known", "bad", F.concat("template", F.coalesce("name", F.array().cast("array<string>"))).alias("template"),
+            F.slice("rest", 2, F.greatest(F.size("rest"), F.lit(1))).alias("rest"))
         tree.write.parquet(f"{folder}/{level}")
-    return (spark.read.schema(schema).parquet(*(f"{folder}/{k}" for k in range(level + 1))).where("ended")
+    return (spark.read.schema(schema).parquet(*(f"{folder}/{k}" for k in range(level + 1))).where(F.size("rest") == 0)
             .select("host", "parts", F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "known", "bad"))
 
 

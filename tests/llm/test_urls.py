@@ -73,6 +73,86 @@ def test_deep_subtrees_are_told_apart(spark):
         assert out[5001].template == "/" and out[5002].template == "/a"
 
 
+def plain(rows, labels, reject=0.5):
+    """Template and share of each page, segment by segment, without Spark."""
+    import math
+    import re
+    bad_of = {}
+    for p, b in labels:
+        if p is not None and b is not None:
+            bad_of[p] = max(b, bad_of.get(p, b))
+    paths = {}
+    for p, url in rows:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        parts = tuple(x for x in re.sub("[0-9]+", "0", re.match(r"[^/?#]*([^?#]*)", rest)[1]).split("/") if x)
+        own = paths.setdefault((host.lower(), parts), [0, 0, 0, []])
+        own[0] += 1
+        own[1] += p in bad_of
+        own[2] += bad_of.get(p, 0)
+        own[3].append(p)
+    template = {key: () for key in paths}
+    for level in range(max((len(k[1]) for k in paths), default=0)):
+        points = {}
+        for key in paths:
+            if len(key[1]) > level:
+                points.setdefault((key[0], template[key]), {}).setdefault(key[1][level], []).append(key)
+        for children in points.values():
+            total = [sum(paths[k][i] for ks in children.values() for k in ks) for i in range(3)]
+            many = len(children) >= 8 and len(children) >= 0.2 * total[0]
+            for child, keys in children.items():
+                known, bad = (sum(paths[k][i] for k in keys) for i in (1, 2))
+                others, others_bad = total[1] - known, total[2] - bad
+                keep = len(children) == 1
+                if known and others and 0 < total[2] < total[1]:
+                    pooled = total[2] / total[1]
+                    apart = abs(bad / known - others_bad / others) - (many and (1 / known + 1 / others) / 2)
+                    keep = keep or apart / math.sqrt(pooled * (1 - pooled) * (1 / known + 1 / others)) >= 1.96
+                for k in keys:
+                    template[k] += (child if keep else "*",)
+    sums = lambda of: {g: [sum(paths[k][i] for k in paths if of(k) == g) for i in (1, 2)] for g in map(of, paths)}
+    leaf, host = sums(lambda k: (k[0], template[k])), sums(lambda k: k[0])
+    known, bad = (sum(h[i] for h in host.values()) for i in (0, 1))
+    overall = bad / known if known else 0.0
+    out = {}
+    for key, (*_, pages) in paths.items():
+        k, b = leaf[key[0], template[key]]
+        above = (host[key[0]][1] + 5 * overall) / (host[key[0]][0] + 5)
+        out.update({p: ("/" + "/".join(template[key]), (b + 5 * above) / (k + 5)) for p in pages})
+    return out
+
+
+def test_equals_brute_force(spark):
+    import random
+    r = random.Random(11)
+    words, rows, labels = ["news", "spam", "shop", "a1", "b"], [], []
+    for i in range(1500):
+        host = r.choice(["one.org", "two.org", "three.org"])
+        parts = [r.choice(words) for _ in range(r.randrange(0, 5))] + r.choice([[], [name_of(i)], [name_of(i % 40)], [f"{i}.html"], ["x", "y", "z", name_of(i % 7)]])
+        rows.append((i, f"http://{host}/{'/'.join(parts)}"))
+        if r.random() < 0.6:
+            labels.append((i, int(r.random() < (0.9 if "spam" in parts[:3] else 0.1))))
+    rows += [(2000, None), (2001, "http://one.org"), (2002, "http://four.org/p/q/r")] + rows[:5]
+    want = plain(rows, labels)
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int"), rules=()).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert x.template == want[x.page_id][0] and abs(x.bad_share - want[x.page_id][1]) < 1e-9
+        assert x.verdict == ("block" if x.bad_share > 0.5 else "allow")
+
+
+def test_shared_segments_are_one_edge(spark, monkeypatch):
+    """A crawler trap of equal segments takes no more rounds than its branch points."""
+    trap = "/".join(["again"] * 1000)
+    rows = [(i, f"http://h.org/{trap}/{name_of(i)}/{trap}/end") for i in range(20)] + [(99, f"http://h.org/{trap}")]
+    written = []
+    monkeypatch.setattr(urls, "shared_folder", lambda spark, name, make=urls.shared_folder: written.append(make(spark, name)) or written[-1])
+    out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int"), rules=()).collect()
+    assert {r.template for r in out} == {f"/{trap}/*/{trap}/end", f"/{trap}"}
+    import os
+    assert len([f for f in os.listdir(written[0].removeprefix("file:")) if not f.startswith(".")]) <= 4
+
+
 def test_small_table(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     out = urls.op8_url_filter(spark, SMALL)
