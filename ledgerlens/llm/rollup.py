@@ -1,10 +1,12 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas.
 
 A batch of changes (documents inserted, deleted, or counted anew) is reduced to
-one signed row per key and written as its own part of the rollup, named by the
-batch.  Committing the same batch again replaces that part by the same rows, so a
-repeated or restarted commit changes nothing.  Totals are the sums over all
-batches; they never need the documents again.
+one signed row per key and written as a part of its own; a marker row, appended when
+the part is whole, makes it the batch's part.  So readers see a batch as it was or as
+it is, never without it: a commit that is cut off leaves the old totals, and
+committing the same batch again (a repeated or restarted commit) puts equal rows in
+the place of the old ones.  Other rows under an old name replace the old ones too.
+Totals are the sums over all batches; they never need the documents again.
 
 A revised document is its old count taken away and its new one added.
 
@@ -16,6 +18,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,6 +28,8 @@ from ledgerlens.llm.tables import corpus_table, shared_folder, written
 from ledgerlens.llm.words import hashed_words, text_chunks
 
 KEYS = ["source", "lang", "version"]
+PART_SCHEMA = "source string, lang string, version string, documents long, tokens long, batch string, part string"
+MARKER_SCHEMA = "batch string, part string, turn long"
 COUNT_SCHEMA = "doc_id long, source string, lang string, text_key string, version string, tokens long, revised long"
 
 
@@ -31,7 +37,17 @@ class Rollup:
     """Signed totals in a shared folder, a part for each committed batch."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.parts, self.markers = spark, f"{folder}/parts", f"{folder}/markers"
+        spark.createDataFrame([], MARKER_SCHEMA).write.mode("ignore").parquet(self.markers)     # where the rollup is new
+
+    def _marked(self) -> DataFrame:
+        """The valid part of each batch (a row per batch): that of its last marker."""
+        last = self.spark.read.schema(MARKER_SCHEMA).parquet(self.markers).groupBy("batch").agg(F.max(F.struct("turn", "part")).alias("m"))
+        return last.select("batch", "m.part", "m.turn")
+
+    def _mark(self, batch: str, part: str) -> None:
+        turn = self._marked().where(F.col("batch") == batch).agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0] + 1
+        self.spark.createDataFrame([(batch, part, turn)], MARKER_SCHEMA).coalesce(1).write.mode("append").parquet(self.markers)
 
     def commit(self, batch: str, inserted: DataFrame | None = None, removed: DataFrame | None = None) -> None:
         """Record a batch of per-document counts (the keys and `tokens`) that come or go."""
@@ -46,10 +62,15 @@ class Rollup:
         if changes is None:
             raise ValueError("a batch inserts or removes something")
         summed = changes.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
-        summed.write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
+        part = uuid.uuid4().hex
+        summed.write.parquet(f"{self.parts}/batch={batch}/part={part}")
+        self._mark(batch, part)
 
     def totals(self) -> DataFrame:
-        signed = self.spark.read.schema("source string, lang string, version string, documents long, tokens long, batch string").parquet(self.folder)
+        valid = self._marked()
+        if valid.isEmpty():
+            return self.spark.createDataFrame([], PART_SCHEMA).drop("batch", "part")
+        signed = self.spark.read.schema(PART_SCHEMA).parquet(self.parts).join(valid, ["batch", "part"], "left_semi")
         return (signed.groupBy(*KEYS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens"))
                 .where("documents <> 0 or tokens <> 0"))
 

@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import public_tokenizers as P
+import pytest
 from tokenizers import Tokenizer
 
 from ledgerlens.llm import rollup
@@ -50,6 +51,28 @@ def test_batches_are_signed_and_idempotent(spark):
     assert r.totals().count() == 0
 
 
+def test_a_commit_that_is_cut_off_leaves_the_old_totals(spark, monkeypatch):
+    counts = rollup.count_tokens(edge_docs(spark))
+    folder = shared_folder(spark, "rollup-cut")
+    r = rollup.Rollup(spark, folder)
+    assert r.totals().count() == 0
+    r.commit("load", inserted=counts)
+    once = sorted(map(tuple, r.totals().collect()), key=str)
+
+    def dies(*_):
+        raise RuntimeError("the driver is lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(rollup.Rollup, "_mark", dies)
+        for batch in ("load", "more"):
+            with pytest.raises(RuntimeError):
+                r.commit(batch, inserted=counts.where("doc_id = 5"))
+    again = rollup.Rollup(spark, folder)
+    assert sorted(map(tuple, again.totals().collect()), key=str) == once
+    again.commit("load", inserted=counts.where("doc_id = 5"))
+    assert sum(t.documents for t in again.totals().collect()) == 2 * edge_docs(spark).where("doc_id = 5").count()
+
+
 def test_counts_of_edge_texts(spark):
     for r in rollup.count_tokens(edge_docs(spark)).join(edge_docs(spark).select("doc_id", "text").distinct(), "doc_id").collect():
         assert r.tokens == COUNTS[r.version](r.text or "")
