@@ -248,7 +248,8 @@ def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity:
             .agg(F.count("*").alias("n"), F.min("first").alias("first")))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     marked = written(each.select("doc_id", "text_key", (~is_first).alias("goes"), "n").where("goes or n > 1"), "marked")
-    left = matched(docs, marked.where("goes"), "left_anti")
+    # the same join at every size: texts are dealt by hash once and not sorted, and each task holds only its marks
+    left = matched(docs, marked.where("goes").hint("shuffle_hash"), "left_anti")
     repeated = marked.where("not goes")
     if repeated.isEmpty():
         return left
