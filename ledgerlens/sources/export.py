@@ -106,6 +106,9 @@ _OPEN = r'"[^"]*+(?:""[^"]*+)*+$'
 #: A line that begins outside a quoted cell and ends inside one; one that begins inside and never leaves, or leaves and ends inside another.
 ENDS_INSIDE = rf"^(?:{_CELL},)*+{_OPEN}"
 STAYS_INSIDE = rf'^[^"]*+(?:""[^"]*+)*+(?:$|"[^,]*+(?:,{_CELL}(?=,))*+,{_OPEN})'
+#: A cell with the separator that ends it (an empty one more may follow a record's last); a quoted cell whose text is between its outer quotes.
+_ENDED = rf'(?:{_QUOTED}[^,]*+|"[\s\S]*+|[^,]*+)(?:,|\z)'
+_PLAIN = r'^"[^"]++(?:""[^"]*+)*+",?\z'
 #: Lines of one record; more are taken for a quote that is never closed.
 LONGEST_RECORD = 10_000
 SPLIT = ["_file", "part", "block"]
@@ -198,10 +201,23 @@ def _filled(records: DataFrame) -> DataFrame:
 
 
 def _split(records: DataFrame, width: int) -> DataFrame:
-    """`_file`, `_row_id` and the first ``width`` cells of each record as `_c0`.., each record parsed once (`inline` keeps the cells together)."""
-    cells = F.from_csv("_record", ", ".join(f"_c{i} string" for i in range(width)),
-                       {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "maxColumns": str(width + 2)})
-    return records.select("_file", ORDER, F.inline(F.array(cells)))
+    """`_file`, `_row_id` and the first ``width`` cells of each record as `_c0`.., null where empty.
+
+    A record is taken apart once, into as many cells as it has itself, so it does not
+    cost what the widest record does; `explode` of one array keeps them together.  Quoted
+    cells of odd form (they begin with a doubled quote, have text behind the last quote,
+    or are never closed) are left to the CSV parser, each with the separator that ends it.
+    """
+    def text(c):
+        inner = F.substr(c, F.lit(2), F.length(c) - F.when(c.endswith('",'), 3).otherwise(2))
+        odd = F.from_csv(c, "c string, rest string", {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})["c"]
+        return (F.when(~c.startswith('"'), F.rtrim(c, F.lit(",")))
+                .when(c.rlike(_PLAIN), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(odd))
+
+    quoted = F.transform(F.regexp_extract_all("_record", F.lit(_ENDED), F.lit(0)), text)
+    parts = F.when(F.col("_record").contains('"'), quoted).otherwise(F.split("_record", ","))
+    cells = records.select("_file", ORDER, F.explode(F.array(parts)).alias("cells"))
+    return cells.selectExpr("_file", ORDER, *[f"nullif(get(cells, {i}), '') AS _c{i}" for i in range(width)])
 
 
 def widths(records: DataFrame) -> dict[int, int]:
