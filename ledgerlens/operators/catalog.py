@@ -18,22 +18,29 @@ UNKNOWN_PRODUCT = "Unknown Product"
 UNCATEGORIZED = "Uncategorized"
 
 
-def build_catalog(catalog: DataFrame, order_col: str = "_row_id") -> DataFrame:
-    """(key, product, category), first row per normalised product key.
-
-    The product column is R8 (else the first text column); the category is
-    R10, null or absent -> 'Uncategorized'.
-    """
+def _catalog_rows(catalog: DataFrame, order_col: str = "_row_id") -> Optional[DataFrame]:
+    """(order, key, product, category) of every catalog row; None where no column can be the product's."""
     prod = R.product_role(catalog.columns)
     if not prod:
         texts = R.text_columns(catalog)
         prod = texts[0] if texts else None
     if not prod:
-        return catalog.sparkSession.createDataFrame([], "key string, product string, category string")
+        return None
     cat = R.category_role(catalog.columns)
     category = F.coalesce(trim_text(cat), F.lit(UNCATEGORIZED)) if cat else F.lit(UNCATEGORIZED)
-    rows = catalog.select(F.col(order_col), product_key(prod).alias("key"),
+    return catalog.select(F.col(order_col), product_key(prod).alias("key"),
                           trim_text(prod).alias("product"), category.alias("category"))
+
+
+def build_catalog(catalog: DataFrame, order_col: str = "_row_id") -> DataFrame:
+    """(key, product, category), first row per normalised product key.
+
+    The product column is R8 (else the first text column); the category is
+    R10, null or absent -> 'Uncategorized'.
+    """
+    rows = _catalog_rows(catalog, order_col)
+    if rows is None:
+        return catalog.sparkSession.createDataFrame([], "key string, product string, category string")
     return dedupe_first(rows, "key", order_col).select("key", "product", "category")
 
 
@@ -45,15 +52,19 @@ def enrich(txn: DataFrame, catalog: DataFrame, product_col: Optional[str] = None
     de-duplicated, so the left join keeps the transaction row count, and it is
     the join's small side: Spark broadcasts it below its size threshold.
     """
-    cat = build_catalog(catalog)
-    col = product_col or R.product_role_by_catalog(txn, cat.select("key"))
+    cat, rows = build_catalog(catalog), _catalog_rows(catalog)
+    # the overlap counts distinct keys: it need not know which row of a key is the first
+    keys = cat.select("key") if rows is None else rows.select("key").filter(F.col("key").isNotNull())
+    col = product_col or R.product_role_by_catalog(txn, keys)
     if not col:
         return txn.withColumn("_product", F.lit(UNKNOWN_PRODUCT)).withColumn("_category", F.lit(UNCATEGORIZED))
     own = F.coalesce(trim_text(col), F.lit(UNKNOWN_PRODUCT))
     cat = cat.select(F.col("key").alias("_pk"), F.col("product").alias("_cat_product"), F.col("category").alias("_cat_category"))
-    j = txn.join(cat, product_key(col) == F.col("_pk"), "left")
-    p = trim_text(F.coalesce(F.col("_cat_product"), own))
-    c = trim_text(F.coalesce(F.col("_cat_category"), F.lit(UNCATEGORIZED)))
+    # the key in a projection of its own: as a join condition it would be computed twice a row
+    j = txn.select("*", product_key(F.col(f"`{col}`")).alias("_own_pk")).join(cat, F.col("_own_pk") == F.col("_pk"), "left")
+    # both sides are trimmed already
+    p = F.coalesce(F.col("_cat_product"), own)
+    c = F.coalesce(F.col("_cat_category"), F.lit(UNCATEGORIZED))
     return j.select(*[F.col(f"`{x}`") for x in txn.columns],
                     F.when(p == "", F.lit(UNKNOWN_PRODUCT)).otherwise(p).alias("_product"),
                     F.when(c == "", F.lit(UNCATEGORIZED)).otherwise(c).alias("_category"))
